@@ -26,7 +26,7 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     window happens.  Centred sums keep the arithmetic small.
     """
     cells = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
-    rank = lambda c: average_ranks(value_positions(cells, by, c, buckets=32, weight="w")).select(*by, c, F.col("rank").alias(f"r_{c}"), F.col("total").alias(f"t_{c}"))
+    rank = lambda c: average_ranks(value_positions(cells, by, c, weight="w")).select(*by, c, F.col("rank").alias(f"r_{c}"), F.col("total").alias(f"t_{c}"))
     both = cells.join(rank(x), [*by, x]).join(rank(y), [*by, y])
     mid = (F.col(f"t_{x}") + 1) / F.lit(2.0)
     dx, dy = F.col(f"r_{x}") - mid, F.col(f"r_{y}") - mid

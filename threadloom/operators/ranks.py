@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.sources.scratch import cut_lineage
+
+SMALL_COUNTS = 1_000_000  # this many (value, count) rows fit one task with ease
+
 
 def order_hash(seed: int | str, key: Column) -> Column:
     """The pseudo-random order every sampler uses: md5 of seed and key."""
@@ -27,7 +31,7 @@ def position_by_hash(df: DataFrame, by: Sequence[str], hash_col: str, tie: str,
     """
     cut = df.withColumn("_bucket", F.substring(hash_col, 1, digits))
     sizes = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*by, "_bucket").orderBy(hash_col, tie)
     return (
@@ -38,30 +42,42 @@ def position_by_hash(df: DataFrame, by: Sequence[str], hash_col: str, tie: str,
     )
 
 
-def value_positions(df: DataFrame, by: Sequence[str], value: str, buckets: int = 256, weight: str | None = None) -> DataFrame:
+def _bucket_of(c: Column, bounds: Sequence, lo: int, hi: int) -> Column:
+    """Number of bounds below the value, as a balanced CASE: log2(bounds) comparisons per row."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(c <= F.lit(bounds[mid]), _bucket_of(c, bounds, lo, mid)).otherwise(_bucket_of(c, bounds, mid + 1, hi))
+
+
+def value_positions(
+    df: DataFrame, by: Sequence[str], value: str, buckets: int = 256, weight: str | None = None, small: int = SMALL_COUNTS
+) -> DataFrame:
     """One row per (group, value): `n` rows, `before` rows with a smaller value, `total` rows in the group.
 
-    Rows are counted per value first, so repeats combine before the shuffle.  Bucket bounds are quantiles
-    of the distinct values (a fixed-size sketch, one row); bounds only steer the split, so the positions are
-    exact whatever the sketch's error.  NULL values are left out.
+    Rows are counted per value first, so repeats combine before the shuffle, and the counts are kept: what
+    follows reads them more than once.  Up to `small` counts are summed by one window per group.  Beyond
+    that the values are cut into buckets at quantiles of the distinct values (a fixed-size sketch, collected
+    as at most `buckets` numbers).  The cuts only steer the split: positions are exact whatever the sketch's
+    error.  NULL values are left out.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n")))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if counts.count() <= small:
+        group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+        return counts.select(*by, value, "n", so_far(group).alias("before"), F.sum("n").over(group).alias("total"))
     share = [i / buckets for i in range(1, buckets)]
-    bounds = counts.agg(F.percentile_approx(value, share, 10 * buckets)).scalar()
-    cut = counts.withColumn("_bounds", bounds).withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
-    ).drop("_bounds")
+    bounds = sorted(set(counts.agg(F.percentile_approx(value, share, 10 * buckets)).first()[0]))
+    cut = counts.withColumn("_bucket", _bucket_of(F.col(value), bounds, 0, len(bounds)))
     sizes = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_n"))
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    all_buckets = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = all_buckets.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *by, "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*by)).alias("total"),
+        *by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(all_buckets).alias("total")
     )
-    inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
-        cut.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        cut.withColumn("_inside", so_far(W.partitionBy(*by, "_bucket")))
         .join(offsets, [*by, "_bucket"])
         .select(*by, value, "n", (F.col("_before") + F.col("_inside")).alias("before"), "total")
     )
@@ -92,10 +108,10 @@ def quantiles_from(positions: DataFrame, by: Sequence[str], value: str, probs: d
     return out.select(*by, "total", *cols)
 
 
-def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], buckets: int = 256) -> DataFrame:
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL_COUNTS) -> DataFrame:
     """Exact quantiles per group for values with unbounded range (times, amounts).
 
     For values with a small range (text lengths, scores) the built-in `median` is enough: its buffer holds one
     entry per distinct value.
     """
-    return quantiles_from(value_positions(df, by, value, buckets), by, value, probs)
+    return quantiles_from(value_positions(df, by, value, small=small), by, value, probs)

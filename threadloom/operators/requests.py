@@ -37,7 +37,7 @@ def append(store_path: str, responses: DataFrame) -> None:
 def parsed(answers: DataFrame, schema: T.StructType | str, required: Sequence[str], default=None) -> DataFrame:
     """PRJ20: adds the parsed struct and parse_ok; unreadable answers get the default struct."""
     value, ok = parse_response(F.col("response"), schema, required)
-    fallback = default if default is not None else F.lit(None).cast(schema)
+    fallback = default if default is not None else F.from_json(F.lit(None).cast("string"), schema)
     return answers.withColumn("parse_ok", ok).withColumn("parsed", F.when(F.col("parse_ok"), value).otherwise(fallback))
 
 

@@ -80,7 +80,7 @@ def jon_thread_trace(spark, d):
 
 @query("flt_usable_threads", f"WITH {q.THREADS} SELECT customer_tweet_id, brand_tweet_id, has_followup, followup_text FROM threads WHERE {q.USABLE}")
 def flt_usable_threads(spark, d):
-    return linking.usable(all_threads(spark, d), q.GRUMBLES).select("customer_tweet_id", "brand_tweet_id", "has_followup", "followup_text")
+    return linking.usable(all_threads(spark, d), q.FOLLOWUP).select("customer_tweet_id", "brand_tweet_id", "has_followup", "followup_text")
 
 
 @query("agg_author_overlap", f"""WITH {q.T} SELECT (SELECT count(DISTINCT author_id) FROM tweets WHERE NOT inbound) AS brand_authors,
@@ -111,19 +111,19 @@ def agg_followup_rate(spark, d):
 
 
 @query("agg_group_comparison", f"""WITH {q.FOLLOWED} SELECT brand_author_id, count(*) AS volume_pairs, count(DISTINCT customer_tweet_id) AS unique_inbound_tweets,
-round(avg(has_followup::INT) * 100, 2) AS followup_rate_pct, count(*) FILTER ({q.has('customer_text', q.GRUMBLES)}) AS escalation_count,
-round(count(*) FILTER ({q.has('customer_text', q.GRUMBLES)}) / count(*)::DOUBLE * 100, 2) AS escalation_pct,
+round(avg(has_followup::INT) * 100, 2) AS followup_rate_pct, count(*) FILTER ({q.has('customer_text', q.FOLLOWUP)}) AS escalation_count,
+round(count(*) FILTER ({q.has('customer_text', q.FOLLOWUP)}) / count(*)::DOUBLE * 100, 2) AS escalation_pct,
 trunc(median(length(customer_text)))::BIGINT AS median_customer_len, trunc(median(length(brand_reply_text)))::BIGINT AS median_brand_len, round(1 + avg(has_followup::INT), 2) AS avg_thread_depth
 FROM followed GROUP BY 1 ORDER BY volume_pairs DESC, brand_author_id LIMIT 15""")
 def agg_group_comparison(spark, d):
-    return linking.group_comparison(followed(spark, d), words=q.GRUMBLES)
+    return linking.group_comparison(followed(spark, d), words=q.FOLLOWUP)
 
 
 @query("agg_thread_summary", f"""WITH {q.THREADS} SELECT count(*) AS total_threads, count(*) FILTER ({q.USABLE}) AS usable_threads, round(count(*) FILTER ({q.USABLE}) / count(*)::DOUBLE * 100, 2) AS usable_percentage,
 count(*) FILTER (has_followup) AS has_followup_count,
 'customer_tweet_id,customer_text,customer_created_at,brand_tweet_id,brand_reply_text,brand_reply_created_at,has_followup,followup_text,thread_length,response_time_minutes' AS columns FROM threads""")
 def agg_thread_summary(spark, d):
-    return linking.thread_summary(all_threads(spark, d), q.GRUMBLES)
+    return linking.thread_summary(all_threads(spark, d), q.FOLLOWUP)
 
 
 @query("agg_thread_minutes", f"""WITH {q.THREADS} SELECT min(response_time_minutes) AS min, round(avg(response_time_minutes), 6) AS mean, max(response_time_minutes) AS max,
@@ -137,7 +137,7 @@ def agg_thread_minutes(spark, d):
 SELECT count(*) AS total_threads, count(*) FILTER (replied AND NOT bad) AS usable_threads, round(count(*) FILTER (replied AND NOT bad) / count(*)::DOUBLE * 100, 2) AS usable_percentage,
 count(*) FILTER (NOT (replied AND NOT bad)) AS excluded_threads, count(*) FILTER (NOT replied) AS no_brand_reply, count(*) FILTER (bad) AS frustrated_followup FROM f""")
 def ret_index_report(spark, d):
-    return linking.index_report(all_threads(spark, d), q.GRUMBLES)
+    return linking.index_report(all_threads(spark, d), q.FOLLOWUP)
 
 
 @query("set_pair_keys", f"WITH {q.PAIRS} SELECT c AS customer_tweet_id, b AS brand_tweet_id FROM (SELECT c, b FROM fwd UNION SELECT c, b FROM rev)")

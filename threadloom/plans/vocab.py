@@ -9,6 +9,7 @@ from threadloom.sources.adapters import TWEETS_SQL
 
 INSULTS = ["worthless", "pathetic"]
 GRUMBLES = ["rest", "heat", "stupid"]
+FOLLOWUP = ["that", "les", "die", "los"]
 PRAISE = ["thing", "inst", "zu", "les"]
 URGENT = ["heat", "der", "por", "this"]
 STOP = ["the", "of", "and", "in", "to", "is", "de", "la", "die", "der"]
@@ -95,6 +96,6 @@ followed AS MATERIALIZED (SELECT p.*, coalesce(n, 0) > 0 AS has_followup, first_
 THREADS = f"""{FOLLOWED},
 threads AS MATERIALIZED (SELECT customer_tweet_id, customer_text, customer_created_at, brand_tweet_id, brand_reply_text, brand_reply_created_at, has_followup, followup_text, thread_length,
   (epoch_us({STAMP.format('brand_reply_created_at')}) - epoch_us({STAMP.format('customer_created_at')})) / 6.0e7::DOUBLE AS response_time_minutes FROM followed)"""
-FRUSTRATED = has("followup_text", GRUMBLES)
+FRUSTRATED = has("followup_text", FOLLOWUP)
 USABLE = f"trim(brand_reply_text) <> '' AND NOT (has_followup AND {FRUSTRATED})"
 CRITERIA = ["correctness", "groundedness", "completeness", "brand_voice", "tone"]
