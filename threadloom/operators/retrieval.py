@@ -14,16 +14,22 @@ Nothing is capped: the threshold and k are the query's own, and the bounds only
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
 from threadloom.operators.features import fit, term_counts, vectors
+from threadloom.sources.scratch import stage_table
+
+# The scoring functions travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_ROWS = 20_000
 QUERY_ROWS = 5_000
@@ -112,17 +118,32 @@ def _dense_scorer(k: int, min_sim: float):
     return score
 
 
-def _score_shards(routes: DataFrame, docs: DataFrame, payload: Sequence[str], scorer, k: int, query_rows: int) -> DataFrame:
+def _represented(queries: DataFrame, digest) -> DataFrame:
+    """Queries with `rep_id`, the smallest id among those with an equal vector.
+
+    What follows reads the queries several times, so they are written once.
+    """
+    q = stage_table(queries.withColumn("_digest", digest), "queries")
+    reps = q.groupBy("_digest").agg(F.min("query_id").alias("rep_id"))
+    return q.join(reps, "_digest").drop("_digest")
+
+
+def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payload: Sequence[str], scorer, k: int, query_rows: int) -> DataFrame:
     """Bring each shard together with its queries and keep the k best rows per query.
 
     A shard that many queries visit is copied to several tasks, each with at most about `query_rows` of them.
     """
     parts = routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(query_rows))).cast("int").alias("parts"))
-    q = routes.join(parts, "shard").select(
-        "shard", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id", *payload
+    # The key columns are named apart: both sides come from the same shard frame.
+    q = routes.join(parts, "shard").join(queries, "query_id").select(
+        F.col("shard").alias("q_shard"), F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("q_part"),
+        "query_id", *[F.col(c).alias(c) for c in payload],
     )
-    d = docs.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "owner_id", *payload)
-    scored = q.groupBy("shard", "part").cogroup(d.groupBy("shard", "part")).applyInPandas(
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    d = docs.join(parts, "shard").select(
+        F.col("shard").alias("d_shard"), copies.alias("d_part"), "doc_id", "owner_id", *[F.col(c).alias(c) for c in payload]
+    )
+    scored = q.groupBy("q_shard", "q_part").cogroup(d.groupBy("d_shard", "d_part")).applyInPandas(
         scorer, "query_id long, doc_id long, owner_id long, sim double"
     )
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("sim", RANK_DIGITS)), "doc_id", "owner_id")
@@ -174,14 +195,12 @@ def topk_sparse(
     # Two independent hashes: a pair of different vectors sharing both does not happen in practice.
     digest = F.struct(digest.alias("a"), F.xxhash64(F.lit(1), "weights", "term_ids").alias("b"))
     d = _citable(docs.withColumn("_digest", digest), "_digest", kk, k).drop("_digest")
-    q = queries.withColumn("_digest", digest)
-    reps = q.groupBy("_digest").agg(F.min("query_id").alias("rep_id"))
-    q = q.join(reps, "_digest").select("query_id", "rep_id", "term_ids", "weights")
+    q = _represented(queries, digest)
     distinct_q = q.filter("query_id = rep_id").select("query_id", "term_ids", "weights")
 
     lead = F.element_at("term_ids", F.array_position("weights", F.array_max("weights")).cast("int"))
     sharded = _sub_shards(d.withColumn("_group", F.pmod(F.xxhash64(lead), F.lit(groups))), "_group", shard_rows)
-    sharded = sharded.select("shard", "doc_id", "owner_id", "term_ids", "weights")
+    sharded = stage_table(sharded.select("shard", "doc_id", "owner_id", "term_ids", "weights"), "shards")
     entry = F.explode(F.arrays_zip("term_ids", "weights"))
     profile = sharded.select("shard", entry.alias("e")).groupBy("shard", F.col("e.term_ids").alias("term_id")).agg(
         F.max("e.weights").alias("top_weight")
@@ -193,9 +212,8 @@ def topk_sparse(
         .groupBy("query_id", "shard").agg(F.sum(F.col("weight") * F.col("top_weight")).alias("bound"))
         .filter(F.col("bound") >= min_sim - SLACK)
         .select("query_id", "shard")
-        .join(distinct_q, "query_id")
     )
-    best = _score_shards(routes, sharded, ["term_ids", "weights"], _sparse_scorer(kk, min_sim), kk, query_rows)
+    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded, ["term_ids", "weights"], _sparse_scorer(kk, min_sim), kk, query_rows)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 
@@ -215,9 +233,8 @@ def topk_dense(
     ).filter("_n > 0").withColumn("vector", F.transform("vector", lambda x: x.cast("double") / F.col("_n"))).drop("_n")
     q, d = scale(queries), scale(docs)
     digest = F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b"))
-    d = _citable(d.withColumn("_digest", digest), "_digest", kk, k).drop("_digest")
-    q = q.withColumn("_digest", digest)
-    q = q.join(q.groupBy("_digest").agg(F.min("query_id").alias("rep_id")), "_digest").drop("_digest")
+    d = stage_table(_citable(d.withColumn("_digest", digest), "_digest", kk, k).drop("_digest"), "rows")
+    q = _represented(q, digest)
     # A fixed, small number of pivot vectors comes to the driver and goes out with the task code.
     p = np.array([r[0] for r in d.orderBy(F.md5(F.col("doc_id").cast("string"))).select("vector").limit(pivots).collect()])
 
@@ -235,15 +252,15 @@ def topk_dense(
             yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), len(p)), "grp": np.tile(np.arange(len(p)), len(b)), "angle": a.ravel()})
 
     placed = d.mapInPandas(nearest, "doc_id long, owner_id long, vector array<double>, grp int, angle double")
-    sharded = _sub_shards(placed, "grp", shard_rows)
+    sharded = stage_table(_sub_shards(placed, "grp", shard_rows), "shards")
     radius = sharded.groupBy("shard", "grp").agg(F.max("angle").alias("radius"))
     distinct_q = q.filter("query_id = rep_id").select("query_id", "vector")
     gap = F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))
     routes = (
         distinct_q.mapInPandas(angles, "query_id long, grp int, angle double")
-        .join(radius, "grp").filter(F.cos(gap) >= min_sim - SLACK).select("query_id", "shard").join(distinct_q, "query_id")
+        .join(radius, "grp").filter(F.cos(gap) >= min_sim - SLACK).select("query_id", "shard")
     )
-    best = _score_shards(routes, sharded.select("shard", "doc_id", "owner_id", "vector"), ["vector"], _dense_scorer(kk, min_sim), kk, query_rows)
+    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded.select("shard", "doc_id", "owner_id", "vector"), ["vector"], _dense_scorer(kk, min_sim), kk, query_rows)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 
@@ -260,15 +277,18 @@ class ThreadIndex:
     ) -> ThreadIndex:
         """RET1: index the customer texts of threads, one row per thread.
 
-        A thread is known by its brand reply (doc_id) and its customer message (owner_id).
+        A thread is known by its brand reply (doc_id) and its customer message (owner_id).  Each of the three
+        parts is written once, as queries read them many times.
         """
         docs = usable_threads.select(
             F.col("brand_tweet_id").alias("doc_id"), F.col("customer_tweet_id").alias("owner_id"),
             "customer_tweet_id", "customer_text", "brand_tweet_id", "brand_reply_text", "response_time_minutes",
         )
+        docs = stage_table(docs, "docs")
         keyed = docs.select(F.struct("doc_id", "owner_id").alias("thread"), "customer_text")
         counts, vocab = fit(keyed, "thread", "customer_text", stop_words, True, min_df, max_terms)
-        rows = vectors(counts, vocab, "thread", max_terms).select("thread.*", "term_ids", "weights")
+        vocab = stage_table(vocab, "vocab")
+        rows = stage_table(vectors(counts, vocab, "thread", max_terms).select("thread.*", "term_ids", "weights"), "rows")
         return cls(vocab, rows, docs, stop_words, max_terms)
 
     def save(self, path: str) -> None:
