@@ -12,6 +12,31 @@ from threadloom.functions import values as V
 from threadloom.functions.lexicon import mentions
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """PRJ30: round to `digits` (at most 7) from the exact binary value, ties to even.
+
+    `round` works on the shortest decimal form and rounds ties up, so 0.155 (which is stored a little below) and
+    0.125 would come out differently.  The product with the power of ten is carried with its rounding error
+    (the factor is split so that both partial products are exact), and the error decides near ties.
+    """
+    c = c.cast("double")
+    scale = float(10**digits)
+    product = c * F.lit(scale)
+    spread = c * F.lit(134217729.0)
+    high = spread - (spread - c)
+    error = (high * F.lit(scale) - product) + (c - high) * F.lit(scale)
+    whole = F.floor(product)
+    over = (product - whole - F.lit(0.5)) + error
+    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    exact = (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
+    return F.when(F.isnan(c) | (F.abs(c) >= 1e8), c).otherwise(exact)
+
+
+def two_places(c: Column) -> Column:
+    """Text of a number with two decimals, rounded as `rounded` does."""
+    return F.format_string("%.2f", rounded(c, 2))
+
+
 def pointer_ids(c: Column) -> Column:
     """PRJ11: '5, 7.0,x' to [5, 7]; blanks and ids that are not numbers are skipped."""
     parts = F.transform(F.split(c, ","), lambda x: x.try_cast("double").try_cast("bigint"))
@@ -38,7 +63,7 @@ def minutes_risk(
 ) -> Column:
     """PRJ15: position of the minutes between floor and ceiling, held inside 0..1, 4 dp."""
     span = (minutes - F.lit(floor)) / F.lit(ceiling - floor)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), span)), 4)
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), span)), 4)
 
 
 def urgency_risk(text: Column, severity: Column, urgency_words: Sequence[str] = tuple(V.URGENCY_WORDS)) -> Column:
@@ -49,13 +74,13 @@ def urgency_risk(text: Column, severity: Column, urgency_words: Sequence[str] =
     base = base.otherwise(F.lit(V.UNKNOWN_SEVERITY_RISK))
     score = F.when(mentions(text, urgency_words), F.least(F.lit(1.0), base + F.lit(V.URGENCY_BONUS))).otherwise(base)
     blank = text.isNull() | (text == "")
-    return F.round(F.when(blank, F.lit(V.SEVERITY_RISK["routine"])).otherwise(score), 4)
+    return rounded(F.when(blank, F.lit(V.SEVERITY_RISK["routine"])).otherwise(score), 4)
 
 
 def composite_risk(intent_risk: Column, sentiment_risk: Column) -> Column:
     """PRJ17: equal-weight mean of both risks, held inside 0..1, 4 dp."""
     both = F.lit(0.5) * intent_risk + F.lit(0.5) * sentiment_risk
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), both)), 4)
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), both)), 4)
 
 
 def invalid_confidence(c: Column) -> Column:
@@ -70,7 +95,7 @@ def usable_confidence(c: Column) -> Column:
 def known_label(label: Column, confidence: Column, labels: Sequence[str], other: str = V.OTHER_INTENT) -> tuple[Column, Column]:
     """PRJ23: a label outside the set becomes `other` at confidence 0.50."""
     ok = F.coalesce(label.isin(*labels), F.lit(False))
-    return F.when(ok, label).otherwise(F.lit(other)), F.round(F.when(ok, confidence).otherwise(F.lit(0.5)), 4)
+    return F.when(ok, label).otherwise(F.lit(other)), rounded(F.when(ok, confidence).otherwise(F.lit(0.5)), 4)
 
 
 def yes(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
+from threadloom.functions.scoring import rounded
 from threadloom.operators.ranks import average_ranks, value_positions
 
 
@@ -44,10 +45,10 @@ def agreement(df: DataFrame, left: str, right: str, criteria: Sequence[str] = tu
     gap = F.abs(F.col("human") - F.col("judge"))
     n, big = F.count(F.lit(1)), F.count_if(gap >= 2)
     stats = pairs.groupBy("criterion").agg(
-        n.alias("n"), big.alias("n_large"), F.round(big / n * 100, 2).alias("large_pct"), F.round(F.avg("human"), 2).alias("mean_human"),
-        F.round(F.avg("judge"), 2).alias("mean_judge"), F.round(F.avg(gap), 2).alias("mean_abs_diff"),
+        n.alias("n"), big.alias("n_large"), rounded(big / n * 100, 2).alias("large_pct"), rounded(F.avg("human"), 2).alias("mean_human"),
+        rounded(F.avg("judge"), 2).alias("mean_judge"), rounded(F.avg(gap), 2).alias("mean_abs_diff"),
     )
-    rho = spearman(pairs, ["criterion"], "human", "judge").select("criterion", F.round("rho", 4).alias("rho"))
+    rho = spearman(pairs, ["criterion"], "human", "judge").select("criterion", rounded(F.col("rho"), 4).alias("rho"))
     return stats.join(rho, "criterion", "left")
 
 
@@ -82,7 +83,7 @@ def round_delta(first: DataFrame, second: DataFrame) -> DataFrame:
     """AGG28: change of rho between two rounds, NULL when either is undefined."""
     a = first.select("criterion", F.col("rho").alias("rho_1"))
     b = second.select("criterion", F.col("rho").alias("rho_2"))
-    return a.join(b, "criterion", "full").withColumn("delta", F.round(F.col("rho_2") - F.col("rho_1"), 4))
+    return a.join(b, "criterion", "full").withColumn("delta", rounded(F.col("rho_2") - F.col("rho_1"), 4))
 
 
 def score_table_checks(df: DataFrame, key: str, score_columns: Sequence[str], min_rows: int = 50, max_rows: int = 80) -> DataFrame:

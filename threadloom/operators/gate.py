@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
 from threadloom.functions.lexicon import first_rule
-from threadloom.functions.scoring import composite_risk, invalid_confidence, minutes_risk, urgency_risk, usable_confidence
+from threadloom.functions.scoring import (
+    composite_risk,
+    invalid_confidence,
+    minutes_risk,
+    rounded,
+    two_places,
+    urgency_risk,
+    usable_confidence,
+)
 from threadloom.operators.ranks import grouped_quantiles
 
 
@@ -26,7 +34,7 @@ def model_reason(intent: Column, confidence: Column, severity: Column, prone: Se
     return (
         F.when(
             invalid_confidence(confidence) | (conf < min_confidence),
-            F.format_string("model:low_confidence(intent=%s, conf=%.2f)", named, conf),
+            F.format_string("model:low_confidence(intent=%s, conf=%s)", named, two_places(conf)),
         )
         .when(intent.isin(*prone), F.format_string("model:escalation_prone_intent(intent=%s)", intent))
         .when(severity == "severe", F.lit("model:severe_sentiment"))
@@ -44,12 +52,12 @@ def gate(df: DataFrame, text: str, intent: str, confidence: str, severity: str,
 def label_medians(labelled: DataFrame, label: str, minutes: str) -> DataFrame:
     """AGG13: median minutes per label, 2 dp."""
     q = grouped_quantiles(labelled, [label], minutes, {"median": 0.5})
-    return q.select(F.lower(F.trim(label)).alias("intent"), F.round("median", 2).alias("median_minutes"))
+    return q.select(F.lower(F.trim(label)).alias("intent"), rounded(F.col("median"), 2).alias("median_minutes"))
 
 
 def global_median(threads: DataFrame, minutes: str) -> DataFrame:
     """AGG13: median minutes over all threads, 2 dp, one row."""
-    return grouped_quantiles(threads, [], minutes, {"median": 0.5}).select(F.round("median", 2).alias("median_minutes"))
+    return grouped_quantiles(threads, [], minutes, {"median": 0.5}).select(rounded(F.col("median"), 2).alias("median_minutes"))
 
 
 def fixed_medians(df: DataFrame, medians: Mapping[str, float] = V.INTENT_MEDIAN_MINUTES) -> DataFrame:
@@ -82,12 +90,13 @@ def route(df: DataFrame, similarity: str = "retrieval_similarity", min_sim: floa
     sim, risk = F.coalesce(F.col(similarity), F.lit(0.0)), F.col("sla_risk_score")
     auto = (sim >= min_sim) & (risk <= max_risk)
     tier = F.when(F.col("escalate"), V.TIER_ESCALATE).when(auto, V.TIER_AUTO).otherwise(V.TIER_REVIEW)
-    low = F.when(sim < min_sim, F.format_string("lower retrieval similarity (%.2f < %s)", sim, F.lit(str(min_sim))))
-    high = F.when(risk > max_risk, F.format_string("higher SLA risk (%.2f > %s)", risk, F.lit(str(max_risk))))
+    low = F.when(sim < min_sim, F.format_string("lower retrieval similarity (%s < %s)", two_places(sim), F.lit(str(min_sim))))
+    high = F.when(risk > max_risk, F.format_string("higher SLA risk (%s > %s)", two_places(risk), F.lit(str(max_risk))))
     reason = (
         F.when(F.col("escalate"), F.concat(F.lit("Escalated via gate: "), F.col("escalate_reason")))
         .when(auto, F.format_string(
-            "High retrieval confidence (%.2f >= %s) and low SLA risk (%.2f <= %s)", sim, F.lit(str(min_sim)), risk, F.lit(str(max_risk))
+            "High retrieval confidence (%s >= %s) and low SLA risk (%s <= %s)",
+            two_places(sim), F.lit(str(min_sim)), two_places(risk), F.lit(str(max_risk)),
         ))
         .otherwise(F.concat(F.lit("Drafted for review due to "), F.array_join(F.array_compact(F.array(low, high)), " and ")))
     )

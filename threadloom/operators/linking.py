@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
 from threadloom.functions.lexicon import mentions
-from threadloom.functions.scoring import minutes_between, parse_created_at, pointer_ids
+from threadloom.functions.scoring import minutes_between, parse_created_at, pointer_ids, rounded
 from threadloom.operators.ranks import grouped_quantiles
 from threadloom.sources.scratch import cut_lineage
 
@@ -143,7 +143,7 @@ def thread_summary(df: DataFrame, words: Sequence[str] = tuple(V.FRUSTRATION_WOR
     return df.agg(
         F.count(F.lit(1)).alias("total_threads"),
         F.count_if(ok).alias("usable_threads"),
-        F.round(F.count_if(ok) / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 2).alias("usable_percentage"),
+        rounded(F.count_if(ok) / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 2).alias("usable_percentage"),
         F.count_if("has_followup").alias("has_followup_count"),
         F.lit(",".join(df.columns)).alias("columns"),
     )
@@ -155,7 +155,7 @@ def index_report(df: DataFrame, words: Sequence[str] = tuple(V.FRUSTRATION_WORDS
     return df.agg(
         F.count(F.lit(1)).alias("total_threads"),
         F.count_if(replied & ~bad).alias("usable_threads"),
-        F.round(F.count_if(replied & ~bad) / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 2).alias("usable_percentage"),
+        rounded(F.count_if(replied & ~bad) / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 2).alias("usable_percentage"),
         F.count_if(~(replied & ~bad)).alias("excluded_threads"),
         F.count_if(~replied).alias("no_brand_reply"),
         F.count_if(bad).alias("frustrated_followup"),
@@ -172,7 +172,7 @@ def pair_sources(pairs: DataFrame) -> DataFrame:
 def followup_rate(pairs: DataFrame) -> DataFrame:
     """AGG9."""
     n, k = F.count(F.lit(1)), F.count_if("has_followup")
-    return pairs.agg(n.alias("n_pairs"), k.alias("n_followups"), F.round(F.try_divide(k, n) * 100, 2).alias("followup_pct"))
+    return pairs.agg(n.alias("n_pairs"), k.alias("n_followups"), rounded(F.try_divide(k, n) * 100, 2).alias("followup_pct"))
 
 
 def group_comparison(
@@ -191,12 +191,12 @@ def group_comparison(
         .agg(
             n.alias("volume_pairs"),
             F.count_distinct("customer_tweet_id").alias("unique_inbound_tweets"),
-            F.round(rate * 100, 2).alias("followup_rate_pct"),
+            rounded(rate * 100, 2).alias("followup_rate_pct"),
             hits.alias("escalation_count"),
-            F.round(hits / n * 100, 2).alias("escalation_pct"),
+            rounded(hits / n * 100, 2).alias("escalation_pct"),
             F.median(F.char_length("customer_text")).cast("bigint").alias("median_customer_len"),
             F.median(F.char_length("brand_reply_text")).cast("bigint").alias("median_brand_len"),
-            F.round(1 + rate, 2).alias("avg_thread_depth"),
+            rounded(1 + rate, 2).alias("avg_thread_depth"),
         )
         .orderBy(F.desc("volume_pairs"), group)
         .limit(top)

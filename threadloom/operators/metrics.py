@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
-from threadloom.functions.scoring import low_score
+from threadloom.functions.scoring import low_score, rounded
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -59,9 +59,9 @@ def macro_scores(df: DataFrame, gold: str, pred: str, by: Sequence[str] = ()) ->
     """AGG17: macro-F1 over labels present, support-weighted F1 and accuracy, 4 dp."""
     rep = class_report(df, gold, pred, by)
     return rep.groupBy(*by).agg(
-        F.round(F.avg("f1"), 4).alias("macro_f1"),
-        F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"),
-        F.round(F.sum("tp") / F.sum("support"), 4).alias("accuracy"),
+        rounded(F.avg("f1"), 4).alias("macro_f1"),
+        rounded(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"),
+        rounded(F.sum("tp") / F.sum("support"), 4).alias("accuracy"),
     )
 
 
@@ -74,7 +74,7 @@ def binary_scores(df: DataFrame, gold: str, pred: str, by: Sequence[str] = ()) -
     prec, rec = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     acc = _ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
     return c.select(
-        *by, F.round(prec, 4).alias("precision"), F.round(rec, 4).alias("recall"), F.round(_f1(prec, rec), 4).alias("f1"), F.round(acc, 4).alias("accuracy")
+        *by, rounded(prec, 4).alias("precision"), rounded(rec, 4).alias("recall"), rounded(_f1(prec, rec), 4).alias("f1"), rounded(acc, 4).alias("accuracy")
     )
 
 
@@ -90,7 +90,7 @@ def escalation_layers(df: DataFrame, escalate: str = "escalate", reason: str = "
     base = F.greatest(total, F.lit(1))
     return df.agg(
         total.alias("total_escalations"), by_rule.alias("rule_layer"), (total - by_rule).alias("model_layer"),
-        F.round(by_rule / base * 100, 2).alias("rule_pct"), F.round((total - by_rule) / base * 100, 2).alias("model_pct"),
+        rounded(by_rule / base * 100, 2).alias("rule_pct"), rounded((total - by_rule) / base * 100, 2).alias("model_pct"),
     )
 
 
@@ -109,13 +109,13 @@ def wide_scores(df: DataFrame, key: str, prefix: str, criteria: Sequence[str] =
 
 def score_stats(long: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
     """AGG21: mean and sample deviation per criterion, 2 dp."""
-    return long.groupBy(*by, "criterion").agg(F.round(F.avg(score), 2).alias("mean"), F.round(F.stddev_samp(score), 2).alias("std"))
+    return long.groupBy(*by, "criterion").agg(rounded(F.avg(score), 2).alias("mean"), rounded(F.stddev_samp(score), 2).alias("std"))
 
 
 def low_score_rate(df: DataFrame, score: str, by: Sequence[str] = (), at_most: int = 2) -> DataFrame:
     """AGG22: rows scored at most 2 and their share."""
     n, k = F.count(F.lit(1)), F.count_if(F.col(score) <= at_most)
-    return df.groupBy(*by).agg(k.alias("n_low"), F.round(_ratio(k, n) * 100, 2).alias("low_pct"))
+    return df.groupBy(*by).agg(k.alias("n_low"), rounded(_ratio(k, n) * 100, 2).alias("low_pct"))
 
 
 def tier_distribution(df: DataFrame, tier: str = "routing_tier") -> DataFrame:
@@ -124,7 +124,7 @@ def tier_distribution(df: DataFrame, tier: str = "routing_tier") -> DataFrame:
     counts = df.groupBy(F.col(tier).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
     tiers = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in V.TIERS])).alias("tier"))
     n = F.coalesce("n", F.lit(0))
-    return tiers.join(counts, "tier", "left").select("tier", n.alias("n"), F.round(_ratio(n, total) * 100, 2).alias("pct"))
+    return tiers.join(counts, "tier", "left").select("tier", n.alias("n"), rounded(_ratio(n, total) * 100, 2).alias("pct"))
 
 
 def review_precision(df: DataFrame, scores: Sequence[str], tier: str = "routing_tier") -> DataFrame:
@@ -134,7 +134,7 @@ def review_precision(df: DataFrame, scores: Sequence[str], tier: str = "routing_
     total, issue = F.count_if(held), F.count_if(held & low_score(cols, 5))
     return df.agg(
         total.alias("n_review"), issue.alias("n_issue"), F.count_if(held & low_score(cols, 4)).alias("n_strict_issue"),
-        F.round(_ratio(issue, total), 4).alias("review_precision"),
+        rounded(_ratio(issue, total), 4).alias("review_precision"),
     )
 
 
@@ -142,7 +142,7 @@ def top_confusion(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """AGG29, FLT13: the most frequent wrong pair and its share of all errors."""
     errors = _cells(df.filter(F.col(gold) != F.col(pred)), gold, pred, [])
     total = errors.agg(F.sum("n")).scalar()
-    return errors.withColumn("total_errors", total).withColumn("share", F.round(F.col("n") / F.col("total_errors"), 4)).orderBy(
+    return errors.withColumn("total_errors", total).withColumn("share", rounded(F.col("n") / F.col("total_errors"), 4)).orderBy(
         F.desc("n"), "gold", "pred"
     ).limit(1)
 

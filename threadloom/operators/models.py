@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
+from threadloom.functions.scoring import rounded
 from threadloom.operators.features import fit as fit_terms
 from threadloom.operators.features import ml_vectors, term_counts, vectors
 from threadloom.operators.sampling import kfold
@@ -66,7 +67,7 @@ class TextClassifier:
         probs = vector_to_array("probability")
         names = F.array(*[F.lit(x) for x in self.labels])
         best = F.array_position(probs, F.array_max(probs)).cast("int")
-        return scored.select(key, F.element_at(names, best).alias(label), F.round(F.array_max(probs), 4).alias(confidence))
+        return scored.select(key, F.element_at(names, best).alias(label), rounded(F.array_max(probs), 4).alias(confidence))
 
 
 def cross_validated(df: DataFrame, key: str, text: str, label: str, folds: int = 5, seed: int = 42, **train) -> DataFrame:
@@ -131,4 +132,4 @@ def nearest_members(rows: DataFrame, model: KMeansModel, key: str, n: int = 15)
     gaps = F.zip_with(x, "centre", lambda a, b: (a - b) * (a - b))
     placed = placed.withColumn("distance", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b)))
     w = W.partitionBy("cluster").orderBy("distance", key)
-    return placed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("cluster", "rank", key, F.round("distance", 6).alias("distance"))
+    return placed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("cluster", "rank", key, rounded(F.col("distance"), 6).alias("distance"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.functions.scoring import rounded
 from threadloom.operators.ranks import order_hash
 
 
@@ -23,7 +24,7 @@ def value_share(df: DataFrame, *keys: str) -> DataFrame:
     """AGG2, WIN12: count and percentage per value; the total is summed over the small grouped frame."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("pct", F.round(F.col("n") / total * 100, 2))
+    return counts.withColumn("pct", rounded(F.col("n") / total * 100, 2))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def length_profile(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
     """AGG6, PRJ8: mean, median and longest text length per group."""
     n = F.char_length(text)
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 2).alias("mean_len"), F.median(n).alias("median_len"), F.max(n).alias("max_len")
+        F.count(F.lit(1)).alias("n"), rounded(F.avg(n), 2).alias("mean_len"), F.median(n).alias("median_len"), F.max(n).alias("max_len")
     )
 
 
@@ -86,4 +87,4 @@ def share_ratio(sample: DataFrame, corpus: DataFrame, label: str) -> DataFrame:
     s, c = pct(sample, "sample_pct"), pct(corpus, "corpus_pct")
     both = s.join(c, label, "left").withColumn("corpus_pct", F.coalesce("corpus_pct", F.lit(0.0)))
     ratio = F.coalesce(F.try_divide(F.col("corpus_pct"), F.col("sample_pct")), F.lit(0.0))
-    return both.select(label, F.round("sample_pct", 2).alias("sample_pct"), F.round("corpus_pct", 2).alias("corpus_pct"), F.round(ratio, 2).alias("ratio"))
+    return both.select(label, rounded(F.col("sample_pct"), 2).alias("sample_pct"), rounded(F.col("corpus_pct"), 2).alias("corpus_pct"), rounded(ratio, 2).alias("ratio"))

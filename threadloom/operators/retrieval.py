@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
+from threadloom.functions.scoring import rounded
 from threadloom.operators.features import fit, term_counts, vectors
 from threadloom.sources.scratch import stage_table
 
@@ -176,7 +177,7 @@ def _merge_per_query(queries: DataFrame, best: DataFrame, k: int, min_sim: float
     mine = F.filter("hits", lambda h: h["owner_id"] != F.col("query_id")) if exclude_self else F.col("hits")
     good = F.filter(mine, lambda h: F.round(h["sim"], RANK_DIGITS) >= min_sim)
     return found.select("query_id", F.slice(good, 1, k).alias("hits")).filter(F.size("hits") > 0).select(
-        "query_id", F.transform("hits", lambda h: F.struct(h["doc_id"], h["owner_id"], F.round(h["sim"], 4).alias("similarity"))).alias("hits")
+        "query_id", F.transform("hits", lambda h: F.struct(h["doc_id"], h["owner_id"], rounded(h["sim"], 4).alias("similarity"))).alias("hits")
     )
 
 

@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from threadloom.plans import profiles, retrieval, samples, scores, texts, threads  # noqa: F401
+from threadloom.plans import profiles, retrieval, routing, samples, scores, texts, threads  # noqa: F401
 from threadloom.plans.registry import ORACLES, QUERIES  # noqa: F401

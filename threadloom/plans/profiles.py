@@ -24,7 +24,7 @@ def agg_inventory(spark, d):
     return profile.inventory(table(spark, d, "events"), "user_id", "event_id")
 
 
-@query("agg_value_share", "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events)::DOUBLE * 100, 2) AS pct FROM events GROUP BY 1")
+@query("agg_value_share", "SELECT event_type, count(*) AS n, round_even(count(*) / (SELECT count(*) FROM events)::DOUBLE * 100, 2) AS pct FROM events GROUP BY 1")
 def agg_value_share(spark, d):
     return profile.value_share(table(spark, d, "events"), "event_type")
 
@@ -41,14 +41,14 @@ def agg_time_range(spark, d):
     return r.select(us("first_at").alias("first_us"), us("last_at").alias("last_us"))
 
 
-@query("agg_describe", f"""SELECT label, min(minutes) AS min, round(avg(minutes), 4) AS mean, max(minutes) AS max, count(*) FILTER (minutes < 0) AS negatives, count(*) AS total,
-round(quantile_cont(minutes, 0.25), 6) AS p25, round(median(minutes), 6) AS median FROM ({MINUTES_SQL}) GROUP BY 1""")
+@query("agg_describe", f"""SELECT label, min(minutes) AS min, round_even(avg(minutes), 4) AS mean, max(minutes) AS max, count(*) FILTER (minutes < 0) AS negatives, count(*) AS total,
+round_even(quantile_cont(minutes, 0.25), 6) AS p25, round_even(median(minutes), 6) AS median FROM ({MINUTES_SQL}) GROUP BY 1""")
 def agg_describe(spark, d):
     rows = order_line_minutes(table(spark, d, "orders"), table(spark, d, "lineitem"))
     return linking.describe(rows, "minutes", ["label"]).withColumns({"mean": F.round("mean", 4), "p25": F.round("p25", 6), "median": F.round("median", 6)})
 
 
-@query("agg_label_medians", f"""SELECT lower(label) AS intent, round(median(minutes), 2) AS median_minutes, (SELECT round(median(minutes), 2) FROM ({MINUTES_SQL})) AS global_median FROM ({MINUTES_SQL}) GROUP BY 1""")
+@query("agg_label_medians", f"""SELECT lower(label) AS intent, round_even(median(minutes), 2) AS median_minutes, (SELECT round_even(median(minutes), 2) FROM ({MINUTES_SQL})) AS global_median FROM ({MINUTES_SQL}) GROUP BY 1""")
 def agg_label_medians(spark, d):
     rows = order_line_minutes(table(spark, d, "orders"), table(spark, d, "lineitem"))
     return gate.label_medians(rows, "label", "minutes").withColumn("global_median", gate.global_median(rows, "minutes").scalar())
@@ -61,7 +61,7 @@ def agg_majority(spark, d):
 
 @query("agg_share_ratio", """WITH s AS (SELECT lang, count(*) * 100 / sum(count(*)) OVER () AS p FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 c AS (SELECT lang, count(*) * 100 / sum(count(*)) OVER () AS p FROM documents GROUP BY 1)
-SELECT s.lang, round(s.p, 2) AS sample_pct, round(coalesce(c.p, 0), 2) AS corpus_pct, round(coalesce(c.p, 0) / s.p, 2) AS ratio FROM s LEFT JOIN c USING (lang)""")
+SELECT s.lang, round_even(s.p, 2) AS sample_pct, round_even(coalesce(c.p, 0), 2) AS corpus_pct, round_even(coalesce(c.p, 0) / s.p, 2) AS ratio FROM s LEFT JOIN c USING (lang)""")
 def agg_share_ratio(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
     return profile.share_ratio(docs.join(table(spark, d, "labels"), "doc_id", "left_semi"), docs, "lang")
@@ -92,7 +92,7 @@ def jon_labels_inner(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
 
 
-@query("jon_dict_default", "SELECT doc_id, round(greatest(0, least(1, (CASE lang WHEN 'en' THEN 101.7 WHEN 'fr' THEN 41.58 WHEN 'de' THEN 64.48 ELSE 72.98 END::DOUBLE - 35) / 70)), 4) AS intent_risk FROM documents")
+@query("jon_dict_default", "SELECT doc_id, round_even(greatest(0, least(1, (CASE lang WHEN 'en' THEN 101.7 WHEN 'fr' THEN 41.58 WHEN 'de' THEN 64.48 ELSE 72.98 END::DOUBLE - 35) / 70)), 4) AS intent_risk FROM documents")
 def jon_dict_default(spark, d):
     known = {k: v for k, v in q.LANG_MEDIANS.items() if k != "es"}
     docs = table(spark, d, "documents").select("doc_id", "lang", "text").withColumn("severity", F.lit("routine"))
@@ -173,7 +173,7 @@ def snk_roundtrip(spark, d):
     return readers.read_parquet(spark, f"{root}/parquet")
 
 
-@query("snk_metrics_json", "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events)::DOUBLE * 100, 2) AS pct FROM events GROUP BY 1")
+@query("snk_metrics_json", "SELECT event_type, count(*) AS n, round_even(count(*) / (SELECT count(*) FROM events)::DOUBLE * 100, 2) AS pct FROM events GROUP BY 1")
 def snk_metrics_json(spark, d):
     """SNK3: a metric frame as JSON, read back with its schema."""
     path = f"{shared_folder(spark)}/tables/metrics-{uuid.uuid4().hex}"
@@ -181,7 +181,7 @@ def snk_metrics_json(spark, d):
     return spark.read.schema("event_type string, n long, pct double").json(path)
 
 
-@query("src_threads_choice", f"WITH {q.THREADS} SELECT customer_tweet_id, brand_tweet_id, thread_length, round(response_time_minutes, 6) AS response_time_minutes FROM threads")
+@query("src_threads_choice", f"WITH {q.THREADS} SELECT customer_tweet_id, brand_tweet_id, thread_length, round_even(response_time_minutes, 6) AS response_time_minutes FROM threads")
 def src_threads_choice(spark, d):
     """SRC3: the full table is read when there is no subsample."""
     root = f"{shared_folder(spark)}/tables/threads-{uuid.uuid4().hex}"
@@ -226,7 +226,7 @@ def prj_request_key(spark, d):
 
 
 # Stored answers exist for texts under 500 characters; answers to very short texts lack a field.
-RESPONSE_SQL = "'```json' || chr(10) || CASE WHEN length(text) < 150 THEN '{\"intent\": \"x\"}' ELSE '{\"intent\": \"' || role || '\", \"confidence\": ' || round(length(text) / 1000::DOUBLE, 4) || '}' END || chr(10) || '```'"
+RESPONSE_SQL = "'```json' || chr(10) || CASE WHEN length(text) < 150 THEN '{\"intent\": \"x\"}' ELSE '{\"intent\": \"' || role || '\", \"confidence\": ' || round_even(length(text) / 1000::DOUBLE, 4) || '}' END || chr(10) || '```'"
 
 
 @query("jon_response_cache", "SELECT count(*) FILTER (length(text) < 500) AS cache_hits, count(*) FILTER (length(text) >= 500) AS cache_misses, count(*) FILTER (length(text) < 150) AS parse_fallbacks FROM conversations")

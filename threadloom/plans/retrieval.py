@@ -56,13 +56,13 @@ def txt_ngrams(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n"), F.md5(F.array_join(t, "|")).alias("terms"))
 
 
-@query("txt_vocab", f"WITH {counts_sql('c', 'documents', 'doc_id', 'text', True)}, {vocab_sql('c', 'documents')} SELECT term, df, cf, round(idf, 6) AS idf FROM vocab")
+@query("txt_vocab", f"WITH {counts_sql('c', 'documents', 'doc_id', 'text', True)}, {vocab_sql('c', 'documents')} SELECT term, df, cf, round_even(idf, 6) AS idf FROM vocab")
 def txt_vocab(spark, d):
     _, vocab = features.fit(table(spark, d, "documents"), "doc_id", "text", q.STOP)
     return vocab.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
-@query("txt_tfidf", f"WITH {counts_sql('c', 'documents', 'doc_id', 'text', True)}, {vocab_sql('c', 'documents')}, {weights_sql('w', 'c', 'doc_id')} SELECT doc_id, count(*) AS n_terms, round(sum(w), 6) AS total, round(max(w), 6) AS top, round(sum(w * length(term)), 5) AS by_length FROM w GROUP BY 1")
+@query("txt_tfidf", f"WITH {counts_sql('c', 'documents', 'doc_id', 'text', True)}, {vocab_sql('c', 'documents')}, {weights_sql('w', 'c', 'doc_id')} SELECT doc_id, count(*) AS n_terms, round_even(sum(w), 6) AS total, round_even(max(w), 6) AS top, round_even(sum(w * length(term)), 5) AS by_length FROM w GROUP BY 1")
 def txt_tfidf(spark, d):
     counts, vocab = features.fit(table(spark, d, "documents"), "doc_id", "text", q.STOP)
     w = features.weights(counts, vocab, "doc_id", V.MAX_INDEX_TERMS)
@@ -71,7 +71,7 @@ def txt_tfidf(spark, d):
     )
 
 
-@query("txt_transform", f"WITH {counts_sql('c', 'documents', 'doc_id', 'text', True)}, {vocab_sql('c', 'documents')}, {counts_sql('u', 'conversations', 'conv_id, turn', 'text', True)}, {weights_sql('w', 'u', 'conv_id, turn')} SELECT conv_id, turn, count(*) AS n_terms, round(sum(w), 6) AS total FROM w GROUP BY 1, 2")
+@query("txt_transform", f"WITH {counts_sql('c', 'documents', 'doc_id', 'text', True)}, {vocab_sql('c', 'documents')}, {counts_sql('u', 'conversations', 'conv_id, turn', 'text', True)}, {weights_sql('w', 'u', 'conv_id, turn')} SELECT conv_id, turn, count(*) AS n_terms, round_even(sum(w), 6) AS total FROM w GROUP BY 1, 2")
 def txt_transform(spark, d):
     _, vocab = features.fit(table(spark, d, "documents"), "doc_id", "text", q.STOP)
     conv = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
@@ -84,8 +84,8 @@ def txt_transform(spark, d):
 INDEX = f"""{q.THREADS}, docs AS MATERIALIZED (SELECT brand_tweet_id AS d, customer_tweet_id AS o, customer_text, brand_reply_text FROM threads WHERE {q.USABLE}),
 {counts_sql('dc', 'docs', 'd, o', 'customer_text', True)}, {vocab_sql('dc', 'docs')}, {weights_sql('dw', 'dc', 'd, o')},
 msgs AS (SELECT tweet_id AS qid, text FROM tweets WHERE inbound), {counts_sql('qc', 'msgs', 'qid', 'text', True)}, {weights_sql('qw', 'qc', 'qid')},
-sims AS MATERIALIZED (SELECT qid, d, o, sum(qw.w * dw.w) AS s FROM qw JOIN dw USING (term) WHERE o <> qid GROUP BY ALL HAVING round(sum(qw.w * dw.w), 8) >= 0.15::DOUBLE)"""
-RANKED = f"{INDEX}, hits AS MATERIALIZED (SELECT qid, d, o, round(s, 4) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(s, 8) DESC, d, o) AS rank FROM sims QUALIFY rank <= 3)"
+sims AS MATERIALIZED (SELECT qid, d, o, sum(qw.w * dw.w) AS s FROM qw JOIN dw USING (term) WHERE o <> qid GROUP BY ALL HAVING round_even(sum(qw.w * dw.w), 8) >= 0.15::DOUBLE)"""
+RANKED = f"{INDEX}, hits AS MATERIALIZED (SELECT qid, d, o, round_even(s, 4) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round_even(s, 8) DESC, d, o) AS rank FROM sims QUALIFY rank <= 3)"
 
 
 def message_table(spark, d):
@@ -106,7 +106,7 @@ def ret_topk(spark, d):
 
 @query("ret_saved_index", f"""WITH {q.THREADS}, docs AS MATERIALIZED (SELECT brand_tweet_id AS d, customer_tweet_id AS o, customer_text FROM threads WHERE {q.USABLE}),
 {counts_sql('dc', 'docs', 'd, o', 'customer_text', True)}, {vocab_sql('dc', 'docs')}, {weights_sql('dw', 'dc', 'd, o')}
-SELECT d AS doc_id, o AS owner_id, count(*) AS n_terms, round(sum(w), 6) AS total FROM dw GROUP BY 1, 2""")
+SELECT d AS doc_id, o AS owner_id, count(*) AS n_terms, round_even(sum(w), 6) AS total FROM dw GROUP BY 1, 2""")
 def ret_saved_index(spark, d):
     """RET1, SNK4: the index written as tables and read back."""
     path = f"{shared_folder(spark)}/tables/index-{uuid.uuid4().hex}"
@@ -118,7 +118,7 @@ def ret_saved_index(spark, d):
 
 @query("ret_dense_knn", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
 s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_dot_product(a.e, b.e) / a.l / b.l AS s FROM n a, n b WHERE a.vec_id <> b.vec_id)
-SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 8) DESC, neighbour) AS rank, neighbour, round(s, 4) AS similarity FROM s WHERE round(s, 8) >= 0.15::DOUBLE QUALIFY rank <= 3""")
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY round_even(s, 8) DESC, neighbour) AS rank, neighbour, round_even(s, 4) AS similarity FROM s WHERE round_even(s, 8) >= 0.15::DOUBLE QUALIFY rank <= 3""")
 def ret_dense_knn(spark, d):
     e = table(spark, d, "embeddings")
     docs = e.select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("owner_id"), F.col("embedding").alias("vector"))

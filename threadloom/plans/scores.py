@@ -30,19 +30,19 @@ REPORT_SQL = """rep AS (SELECT l.label, coalesce(tp / nullif(p, 0)::DOUBLE, 0) A
   FROM ({0})) l)"""
 
 
-@query("agg_class_report", f"WITH {RUNS_SQL}, {REPORT_SQL.format('SELECT unnest([' + chr(39) + (chr(39) + ',' + chr(39)).join([*q.LANGS, 'other']) + chr(39) + ']) AS label')} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, support FROM rep")
+@query("agg_class_report", f"WITH {RUNS_SQL}, {REPORT_SQL.format('SELECT unnest([' + chr(39) + (chr(39) + ',' + chr(39)).join([*q.LANGS, 'other']) + chr(39) + ']) AS label')} SELECT label, round_even(precision, 6) AS precision, round_even(recall, 6) AS recall, round_even(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, support FROM rep")
 def agg_class_report(spark, d):
     rep = metrics.class_report(lang_runs(spark, d), "gold", "pred", labels=[*q.LANGS, "other"])
     return rep.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 @query("agg_macro", f"""WITH {RUNS_SQL}, {REPORT_SQL.format('SELECT gold AS label FROM runs UNION SELECT pred FROM runs')}, f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM rep)
-SELECT round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1, round(sum(tp) / sum(support)::DOUBLE, 4) AS accuracy FROM f""")
+SELECT round_even(avg(f1), 4) AS macro_f1, round_even(sum(f1 * support) / sum(support), 4) AS weighted_f1, round_even(sum(tp) / sum(support)::DOUBLE, 4) AS accuracy FROM f""")
 def agg_macro(spark, d):
     return metrics.macro_scores(lang_runs(spark, d), "gold", "pred")
 
 
-@query("agg_top_confusion", f"WITH {RUNS_SQL} SELECT gold, pred, count(*) AS n, (SELECT count(*) FROM runs WHERE gold <> pred) AS total_errors, round(count(*) / (SELECT count(*) FROM runs WHERE gold <> pred)::DOUBLE, 4) AS share FROM runs WHERE gold <> pred GROUP BY 1, 2 ORDER BY n DESC, gold, pred LIMIT 1")
+@query("agg_top_confusion", f"WITH {RUNS_SQL} SELECT gold, pred, count(*) AS n, (SELECT count(*) FROM runs WHERE gold <> pred) AS total_errors, round_even(count(*) / (SELECT count(*) FROM runs WHERE gold <> pred)::DOUBLE, 4) AS share FROM runs WHERE gold <> pred GROUP BY 1, 2 ORDER BY n DESC, gold, pred LIMIT 1")
 def agg_top_confusion(spark, d):
     return metrics.top_confusion(lang_runs(spark, d), "gold", "pred")
 
@@ -64,7 +64,7 @@ def toxic_runs(spark, d):
 @query("agg_binary_metrics", f"""WITH {TOXIC_SQL}, c AS (SELECT lang, count(*) FILTER (gold AND reason <> 'auto_handle')::DOUBLE AS tp, count(*) FILTER (NOT gold AND reason <> 'auto_handle') AS fp,
 count(*) FILTER (gold AND reason = 'auto_handle') AS fn, count(*) AS n, count(*) FILTER (gold = (reason <> 'auto_handle')) AS ok FROM esc GROUP BY 1),
 r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c)
-SELECT lang, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, round(ok / n::DOUBLE, 4) AS accuracy FROM r""")
+SELECT lang, round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, round_even(ok / n::DOUBLE, 4) AS accuracy FROM r""")
 def agg_binary_metrics(spark, d):
     return metrics.binary_scores(toxic_runs(spark, d), "gold", "pred", ["lang"])
 
@@ -75,7 +75,7 @@ def agg_fn_reasons(spark, d):
 
 
 @query("agg_layers", f"""WITH {TOXIC_SQL}, c AS (SELECT count(*) FILTER (reason <> 'auto_handle') AS n, count(*) FILTER (starts_with(reason, 'rule:')) AS r FROM esc)
-SELECT n AS total_escalations, r AS rule_layer, n - r AS model_layer, round(r / greatest(n, 1)::DOUBLE * 100, 2) AS rule_pct, round((n - r) / greatest(n, 1)::DOUBLE * 100, 2) AS model_pct FROM c""")
+SELECT n AS total_escalations, r AS rule_layer, n - r AS model_layer, round_even(r / greatest(n, 1)::DOUBLE * 100, 2) AS rule_pct, round_even((n - r) / greatest(n, 1)::DOUBLE * 100, 2) AS model_pct FROM c""")
 def agg_layers(spark, d):
     return metrics.escalation_layers(toxic_runs(spark, d).withColumnRenamed("pred", "escalate"), reason="reason")
 
@@ -122,12 +122,12 @@ def jon_scores_inner(spark, d):
     return s.select("example_id", "human_correctness").join(s.filter("judge_v1_tone = 4").select("example_id", "judge_v1_correctness"), "example_id")
 
 
-@query("agg_score_stats", f"WITH {S}, {LONG} SELECT criterion, round(avg(judge), 2) AS mean, round(stddev_samp(judge), 2) AS std FROM long GROUP BY 1")
+@query("agg_score_stats", f"WITH {S}, {LONG} SELECT criterion, round_even(avg(judge), 2) AS mean, round_even(stddev_samp(judge), 2) AS std FROM long GROUP BY 1")
 def agg_score_stats(spark, d):
     return metrics.score_stats(metrics.long_scores(scores(spark, d), ["example_id"], "judge_v1"))
 
 
-@query("agg_low_score_rate", f"WITH {S} SELECT agent_draft, count(*) FILTER (judge_v1_groundedness <= 2) AS n_low, round(count(*) FILTER (judge_v1_groundedness <= 2) / count(*)::DOUBLE * 100, 2) AS low_pct FROM s GROUP BY 1")
+@query("agg_low_score_rate", f"WITH {S} SELECT agent_draft, count(*) FILTER (judge_v1_groundedness <= 2) AS n_low, round_even(count(*) FILTER (judge_v1_groundedness <= 2) / count(*)::DOUBLE * 100, 2) AS low_pct FROM s GROUP BY 1")
 def agg_low_score_rate(spark, d):
     return metrics.low_score_rate(scores(spark, d), "judge_v1_groundedness", ["agent_draft"])
 
@@ -139,20 +139,20 @@ RHO = """{0} AS (SELECT criterion, n, CASE WHEN sxx = 0 OR syy = 0 THEN NULL ELS
       rank() OVER (PARTITION BY criterion ORDER BY {1}) + (count(*) OVER (PARTITION BY criterion, {1}) - 1) / 2::DOUBLE AS rj FROM long) GROUP BY 1))"""
 
 
-@query("agg_spearman", f"WITH {S}, {LONG}, {RHO.format('r', 'judge')} SELECT criterion, n, round(rho, 6) AS rho, round(rho * sqrt((n - 2) / (1 - rho * rho)), 3) AS t_stat FROM r")
+@query("agg_spearman", f"WITH {S}, {LONG}, {RHO.format('r', 'judge')} SELECT criterion, n, round_even(rho, 6) AS rho, round_even(rho * sqrt((n - 2) / (1 - rho * rho)), 3) AS t_stat FROM r")
 def agg_spearman(spark, d):
     pairs = agreement.score_pairs(scores(spark, d), [], "human", "judge_v1")
     out = agreement.spearman(pairs, ["criterion"], "human", "judge")
     return out.select("criterion", "n", F.round("rho", 6).alias("rho"), F.round("t_stat", 3).alias("t_stat"))
 
 
-@query("agg_agreement", f"""WITH {S}, {LONG}, {RHO.format('r', 'judge')} SELECT criterion, count(*) AS n, count(*) FILTER (abs(human - judge) >= 2) AS n_large, round(count(*) FILTER (abs(human - judge) >= 2) / count(*)::DOUBLE * 100, 2) AS large_pct,
-round(avg(human), 2) AS mean_human, round(avg(judge), 2) AS mean_judge, round(avg(abs(human - judge)), 2) AS mean_abs_diff, round(any_value(rho), 4) AS rho FROM long JOIN (SELECT criterion, rho FROM r) USING (criterion) GROUP BY 1""")
+@query("agg_agreement", f"""WITH {S}, {LONG}, {RHO.format('r', 'judge')} SELECT criterion, count(*) AS n, count(*) FILTER (abs(human - judge) >= 2) AS n_large, round_even(count(*) FILTER (abs(human - judge) >= 2) / count(*)::DOUBLE * 100, 2) AS large_pct,
+round_even(avg(human), 2) AS mean_human, round_even(avg(judge), 2) AS mean_judge, round_even(avg(abs(human - judge)), 2) AS mean_abs_diff, round_even(any_value(rho), 4) AS rho FROM long JOIN (SELECT criterion, rho FROM r) USING (criterion) GROUP BY 1""")
 def agg_agreement(spark, d):
     return agreement.agreement(scores(spark, d), "human", "judge_v1")
 
 
-@query("agg_round_delta", f"WITH {S}, {LONG}, {RHO.format('a', 'judge')}, {RHO.format('b', 'judge2')} SELECT criterion, round(a.rho, 4) AS rho_1, round(b.rho, 4) AS rho_2, round(round(b.rho, 4) - round(a.rho, 4), 4) AS delta FROM a FULL JOIN b USING (criterion)")
+@query("agg_round_delta", f"WITH {S}, {LONG}, {RHO.format('a', 'judge')}, {RHO.format('b', 'judge2')} SELECT criterion, round_even(a.rho, 4) AS rho_1, round_even(b.rho, 4) AS rho_2, round_even(round_even(b.rho, 4) - round_even(a.rho, 4), 4) AS delta FROM a FULL JOIN b USING (criterion)")
 def agg_round_delta(spark, d):
     s = scores(spark, d)
     return agreement.round_delta(agreement.agreement(s, "human", "judge_v1"), agreement.agreement(s, "human", "judge_v2"))
@@ -196,6 +196,6 @@ def _tiered(spark, d):
 
 
 @query("agg_review_precision", f"""WITH {ROUTED_SQL}, c AS (SELECT count(*) AS n_review, count(*) FILTER (least({', '.join('judge_v1_' + c for c in q.CRITERIA)}) < 5) AS n_issue,
-count(*) FILTER (least({', '.join('judge_v1_' + c for c in q.CRITERIA)}) <= 3) AS n_strict_issue FROM t WHERE tier = 'DRAFT_FOR_REVIEW') SELECT *, round(n_issue / n_review::DOUBLE, 4) AS review_precision FROM c""")
+count(*) FILTER (least({', '.join('judge_v1_' + c for c in q.CRITERIA)}) <= 3) AS n_strict_issue FROM t WHERE tier = 'DRAFT_FOR_REVIEW') SELECT *, round_even(n_issue / n_review::DOUBLE, 4) AS review_precision FROM c""")
 def agg_review_precision(spark, d):
     return metrics.review_precision(_tiered(spark, d), [f"judge_v1_{c}" for c in q.CRITERIA])

@@ -20,14 +20,14 @@ def prj_normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.normal_form(F.col("text")).alias("norm"))
 
 
-def _redacted(source: str, steps: str) -> str:
+def _redacted(source: str, steps: str, name: str = "s") -> str:
     """The redaction as a chain of CTEs, cut after the wanted steps."""
     table_ = {"email": (V.EMAIL_PATTERN, V.EMAIL_TAG), "phone": (V.PHONE_PATTERN, V.PHONE_TAG), "digits": (V.LONG_DIGITS_PATTERN, V.LONG_DIGITS_TAG), "device": ("(?i)" + V.DEVICE_PATTERN, V.DEVICE_TAG)}
-    ctes, prev = [f"s0 AS ({source})"], "s0"
+    ctes, prev = [f"{name}0 AS ({source})"], f"{name}0"
     for i, s in enumerate(steps.split(), 1):
         p, tag = table_[s]
-        ctes.append(f"s{i} AS (SELECT * REPLACE (regexp_replace(t, '{p}', '{tag}', 'g') AS t), len(regexp_extract_all(t, '{p}')) AS n_{s} FROM {prev})")
-        prev = f"s{i}"
+        ctes.append(f"{name}{i} AS (SELECT * REPLACE (regexp_replace(t, '{p}', '{tag}', 'g') AS t), len(regexp_extract_all(t, '{p}')) AS n_{s} FROM {prev})")
+        prev = f"{name}{i}"
     return "WITH " + ", ".join(ctes) + " "
 
 
@@ -66,7 +66,7 @@ def prj_anonymize(spark, d):
     return text.anonymize(pages, "body").select("page_id", "anonymized_text")
 
 
-@query("prj_text_length_profile", "SELECT role, count(*) AS n, round(avg(length(text)), 2) AS mean_len, median(length(text))::DOUBLE AS median_len, max(length(text))::BIGINT AS max_len FROM conversations GROUP BY 1")
+@query("prj_text_length_profile", "SELECT role, count(*) AS n, round_even(avg(length(text)), 2) AS mean_len, median(length(text))::DOUBLE AS median_len, max(length(text))::BIGINT AS max_len FROM conversations GROUP BY 1")
 def prj_text_length_profile(spark, d):
     out = profile.length_profile(table(spark, d, "conversations"), "text", ["role"])
     return out.withColumn("max_len", F.col("max_len").cast("bigint"))
@@ -154,7 +154,7 @@ def prj_reply_features(spark, d):
 
 
 @query("prj_flags_clean", """SELECT doc_id, lower(trim(CASE WHEN l.toxic = 1 THEN ' Yes' ELSE 'no ' END)) = 'yes' AS is_toxic,
-CASE WHEN lang IN ('en', 'fr') THEN lang ELSE 'other' END AS label, CASE WHEN lang IN ('en', 'fr') THEN round(quality * 0.77123::DOUBLE, 4) ELSE 0.5::DOUBLE END AS confidence
+CASE WHEN lang IN ('en', 'fr') THEN lang ELSE 'other' END AS label, CASE WHEN lang IN ('en', 'fr') THEN round_even(quality * 0.77123::DOUBLE, 4) ELSE 0.5::DOUBLE END AS confidence
 FROM labels l JOIN documents USING (doc_id)""")
 def prj_flags_clean(spark, d):
     both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")

@@ -62,7 +62,7 @@ def jon_followups_same_author(spark, d):
     )
 
 
-@query("jon_threads", f"WITH {q.THREADS} SELECT * REPLACE (round(response_time_minutes, 6) AS response_time_minutes) FROM threads")
+@query("jon_threads", f"WITH {q.THREADS} SELECT * REPLACE (round_even(response_time_minutes, 6) AS response_time_minutes) FROM threads")
 def jon_threads(spark, d):
     return all_threads(spark, d).withColumn("thread_length", F.col("thread_length").cast("bigint")).withColumn(
         "response_time_minutes", F.round("response_time_minutes", 6)
@@ -100,41 +100,41 @@ def agg_link_coverage(spark, d):
     return linking.link_coverage(tweets(spark, d))
 
 
-@query("agg_join_source", f"WITH {q.PAIRS} SELECT join_source, count(*) AS n, round(count(*) / (SELECT count(*) FROM pairs)::DOUBLE * 100, 2) AS pct FROM pairs GROUP BY 1")
+@query("agg_join_source", f"WITH {q.PAIRS} SELECT join_source, count(*) AS n, round_even(count(*) / (SELECT count(*) FROM pairs)::DOUBLE * 100, 2) AS pct FROM pairs GROUP BY 1")
 def agg_join_source(spark, d):
     return linking.pair_sources(linking.tagged_pairs(tweets(spark, d)))
 
 
-@query("agg_followup_rate", f"WITH {q.FOLLOWED} SELECT count(*) AS n_pairs, count(*) FILTER (has_followup) AS n_followups, round(count(*) FILTER (has_followup) / count(*)::DOUBLE * 100, 2) AS followup_pct FROM followed")
+@query("agg_followup_rate", f"WITH {q.FOLLOWED} SELECT count(*) AS n_pairs, count(*) FILTER (has_followup) AS n_followups, round_even(count(*) FILTER (has_followup) / count(*)::DOUBLE * 100, 2) AS followup_pct FROM followed")
 def agg_followup_rate(spark, d):
     return linking.followup_rate(followed(spark, d))
 
 
 @query("agg_group_comparison", f"""WITH {q.FOLLOWED} SELECT brand_author_id, count(*) AS volume_pairs, count(DISTINCT customer_tweet_id) AS unique_inbound_tweets,
-round(avg(has_followup::INT) * 100, 2) AS followup_rate_pct, count(*) FILTER ({q.has('customer_text', q.FOLLOWUP)}) AS escalation_count,
-round(count(*) FILTER ({q.has('customer_text', q.FOLLOWUP)}) / count(*)::DOUBLE * 100, 2) AS escalation_pct,
-trunc(median(length(customer_text)))::BIGINT AS median_customer_len, trunc(median(length(brand_reply_text)))::BIGINT AS median_brand_len, round(1 + avg(has_followup::INT), 2) AS avg_thread_depth
+round_even(avg(has_followup::INT) * 100, 2) AS followup_rate_pct, count(*) FILTER ({q.has('customer_text', q.FOLLOWUP)}) AS escalation_count,
+round_even(count(*) FILTER ({q.has('customer_text', q.FOLLOWUP)}) / count(*)::DOUBLE * 100, 2) AS escalation_pct,
+trunc(median(length(customer_text)))::BIGINT AS median_customer_len, trunc(median(length(brand_reply_text)))::BIGINT AS median_brand_len, round_even(1 + avg(has_followup::INT), 2) AS avg_thread_depth
 FROM followed GROUP BY 1 ORDER BY volume_pairs DESC, brand_author_id LIMIT 15""")
 def agg_group_comparison(spark, d):
     return linking.group_comparison(followed(spark, d), words=q.FOLLOWUP)
 
 
-@query("agg_thread_summary", f"""WITH {q.THREADS} SELECT count(*) AS total_threads, count(*) FILTER ({q.USABLE}) AS usable_threads, round(count(*) FILTER ({q.USABLE}) / count(*)::DOUBLE * 100, 2) AS usable_percentage,
+@query("agg_thread_summary", f"""WITH {q.THREADS} SELECT count(*) AS total_threads, count(*) FILTER ({q.USABLE}) AS usable_threads, round_even(count(*) FILTER ({q.USABLE}) / count(*)::DOUBLE * 100, 2) AS usable_percentage,
 count(*) FILTER (has_followup) AS has_followup_count,
 'customer_tweet_id,customer_text,customer_created_at,brand_tweet_id,brand_reply_text,brand_reply_created_at,has_followup,followup_text,thread_length,response_time_minutes' AS columns FROM threads""")
 def agg_thread_summary(spark, d):
     return linking.thread_summary(all_threads(spark, d), q.FOLLOWUP)
 
 
-@query("agg_thread_minutes", f"""WITH {q.THREADS} SELECT min(response_time_minutes) AS min, round(avg(response_time_minutes), 6) AS mean, max(response_time_minutes) AS max,
-count(*) FILTER (response_time_minutes < 0) AS negatives, count(*) AS total, round(quantile_cont(response_time_minutes, 0.25), 6) AS p25, round(median(response_time_minutes), 6) AS median FROM threads""")
+@query("agg_thread_minutes", f"""WITH {q.THREADS} SELECT min(response_time_minutes) AS min, round_even(avg(response_time_minutes), 6) AS mean, max(response_time_minutes) AS max,
+count(*) FILTER (response_time_minutes < 0) AS negatives, count(*) AS total, round_even(quantile_cont(response_time_minutes, 0.25), 6) AS p25, round_even(median(response_time_minutes), 6) AS median FROM threads""")
 def agg_thread_minutes(spark, d):
     out = linking.describe(all_threads(spark, d), "response_time_minutes")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "p25", "median")})
 
 
 @query("ret_index_report", f"""WITH {q.THREADS}, f AS (SELECT trim(brand_reply_text) <> '' AS replied, has_followup AND {q.FRUSTRATED} AS bad FROM threads)
-SELECT count(*) AS total_threads, count(*) FILTER (replied AND NOT bad) AS usable_threads, round(count(*) FILTER (replied AND NOT bad) / count(*)::DOUBLE * 100, 2) AS usable_percentage,
+SELECT count(*) AS total_threads, count(*) FILTER (replied AND NOT bad) AS usable_threads, round_even(count(*) FILTER (replied AND NOT bad) / count(*)::DOUBLE * 100, 2) AS usable_percentage,
 count(*) FILTER (NOT (replied AND NOT bad)) AS excluded_threads, count(*) FILTER (NOT replied) AS no_brand_reply, count(*) FILTER (bad) AS frustrated_followup FROM f""")
 def ret_index_report(spark, d):
     return linking.index_report(all_threads(spark, d), q.FOLLOWUP)
