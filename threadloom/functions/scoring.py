@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from threadloom.functions import values as V
 from threadloom.functions.lexicon import mentions
+from threadloom.functions.text import named
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -19,17 +20,19 @@ def rounded(c: Column, digits: int) -> Column:
     0.125 would come out differently.  The product with the power of ten is carried with its rounding error
     (the factor is split so that both partial products are exact), and the error decides near ties.
     """
-    c = c.cast("double")
     scale = float(10**digits)
-    product = c * F.lit(scale)
-    spread = c * F.lit(134217729.0)
-    high = spread - (spread - c)
-    error = (high * F.lit(scale) - product) + (c - high) * F.lit(scale)
-    whole = F.floor(product)
-    over = (product - whole - F.lit(0.5)) + error
-    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2)) == 1))
-    exact = (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
-    return F.when(F.isnan(c) | (F.abs(c) >= 1e8), c).otherwise(exact)
+
+    def exact(x: Column) -> Column:
+        product = x * F.lit(scale)
+        spread = x * F.lit(134217729.0)
+        high = spread - (spread - x)
+        error = (high * F.lit(scale) - product) + (x - high) * F.lit(scale)
+        whole = F.floor(product)
+        over = (product - whole - F.lit(0.5)) + error
+        up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2)) == 1))
+        return F.when(F.isnan(x) | (F.abs(x) >= 1e8), x).otherwise((whole + F.when(up, 1).otherwise(0)) / F.lit(scale))
+
+    return named(c.cast("double"), exact)
 
 
 def two_places(c: Column) -> Column:

@@ -7,7 +7,7 @@ optimiser keep one evaluation per step instead of nesting the same regex again a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +18,24 @@ ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD = r"[\p{L}\p{N}_]"
 
 
+def named(c: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind an expression to a name: `use` may mention it many times and it is still evaluated once."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def _only_where(c: Column, guard: Callable[[Column], Column], pattern: str) -> Column:
+    """Delete a pattern; texts that fail the cheap guard skip the regex."""
+    return named(c, lambda t: F.when(guard(t), F.regexp_replace(t, pattern, "")).otherwise(t))
+
+
 def normal_form(c: Column) -> Column:
     """PRJ1: lower-case, drop URLs, handles and ASCII punctuation, collapse blanks; NULL gives ''."""
     t = F.lower(F.coalesce(c, F.lit("")))
-    t = F.regexp_replace(t, r"https?://[^\s\p{Z}]+|www\.[^\s\p{Z}]+", "")
-    t = F.regexp_replace(t, f"@{WORD}+", "")
+    t = _only_where(t, lambda x: x.contains("http") | x.contains("www."), r"https?://[^\s\p{Z}]+|www\.[^\s\p{Z}]+")
+    t = _only_where(t, lambda x: x.contains("@"), f"@{WORD}+")
     t = F.translate(t, ASCII_PUNCTUATION, "")
-    return F.trim(F.regexp_replace(t, r"[\s\p{Z}]+", " "))
+    # Single plain blanks are left alone; only what has to change is matched.
+    return F.trim(F.regexp_replace(t, r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+", " "))
 
 
 def text_length(c: Column) -> Column:

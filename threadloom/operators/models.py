@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import values as V
 from threadloom.functions.scoring import rounded
 from threadloom.operators.features import fit as fit_terms
-from threadloom.operators.features import ml_vectors, term_counts, vectors
+from threadloom.operators.features import ml_vectors, rows_per_task, term_counts, vectors
 from threadloom.operators.sampling import kfold
 from threadloom.sources.scratch import stage_table
 
@@ -32,7 +32,7 @@ class TextClassifier:
     @classmethod
     def train(
         cls, df: DataFrame, key: str, text: str, label: str, labels: Sequence[str] | None = None, c: float = 2.0,
-        max_iter: int = 100, max_terms: int = MAX_MODEL_TERMS,
+        max_iter: int = 100, tol: float = 1e-6, max_terms: int = MAX_MODEL_TERMS,
     ) -> TextClassifier:
         """FLT10: rows with a label outside `labels` are left out.  regParam = 1/(C n) with weights summing to n."""
         data = df.filter(F.col(label).isin(*labels)) if labels else df.filter(F.col(label).isNotNull())
@@ -48,12 +48,14 @@ class TextClassifier:
             balance = balance.when(F.col(label) == name, F.lit(n / (len(names) * per_label[name])))
         vecs = vectors(counts, vocab, key, max_terms).join(data.select(key, label), key)
         vecs = vecs.select(key, "term_ids", "weights", index.otherwise(None).alias("_label"), balance.otherwise(None).alias("_balance"))
-        rows = ml_vectors(vecs, [key, "_label", "_balance"], size, "train")
+        rows = rows_per_task(ml_vectors(vecs, [key, "_label", "_balance"], size, "train")).persist()
         lr = LogisticRegression(
             featuresCol="features", labelCol="_label", weightCol="_balance", family="multinomial", standardization=False,
-            regParam=1.0 / (c * n), maxIter=max_iter,
+            regParam=1.0 / (c * n), maxIter=max_iter, tol=tol,
         )
-        return cls(vocab, size, lr.fit(rows), names, max_terms)
+        model = lr.fit(rows)
+        rows.unpersist()
+        return cls(vocab, size, model, names, max_terms)
 
     def predict(self, df: DataFrame, key: str, text: str, label: str = "intent", confidence: str = "confidence") -> DataFrame:
         """CLS6: (key, label, highest probability at 4 dp); a text with no known term gets the prior's label."""
@@ -112,7 +114,7 @@ def dense_features(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def kmeans_sweep(rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed: int = 42) -> tuple[DataFrame, dict[int, KMeansModel]]:
     """CLU1, CLU2: per k the silhouette, the smallest share and the cluster sizes; and the fitted models."""
-    cached = stage_table(rows, "kmeans", rows.schema)
+    cached = rows_per_task(stage_table(rows, "kmeans", rows.schema)).persist()
     judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
     models, out = {}, []
     for k in ks:
@@ -120,6 +122,7 @@ def kmeans_sweep(rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed:
         silhouette = judge.evaluate(models[k].transform(cached))
         sizes = models[k].summary.clusterSizes  # k numbers
         out.append((k, round(float(silhouette), 4), round(min(sizes) / sum(sizes) * 100, 2), sorted(sizes)))
+    cached.unpersist()
     return rows.sparkSession.createDataFrame(out, "k int, silhouette double, min_pct double, sizes array<bigint>"), models
 
 

@@ -34,13 +34,22 @@ def dedup_exact(df: DataFrame, text: str, order: str) -> DataFrame:
     return keep_first(df, text_key(F.col(text)), order)
 
 
+def with_normal_key(df: DataFrame, text: str, min_chars: int = 0, out: str = "norm_key") -> DataFrame:
+    """FLT6: adds the digest of the normal form; rows whose normal form is shorter are dropped.
+
+    `explode` of a one-element array computes the normal form exactly once per row; as a plain column it would
+    be repeated in every filter the optimiser pushes towards the scan.
+    """
+    norm = F.filter(F.array(normal_form(F.col(text))), lambda n: F.char_length(n) >= min_chars)
+    return df.select("*", F.explode(F.transform(norm, text_key)).alias(out))
+
+
 def dedup_normalized(df: DataFrame, text: str, order: str, min_chars: int = 3) -> DataFrame:
     """WIN1, FLT6 on the normal form; shorter normal forms are dropped.
 
     Equal raw texts have equal normal forms, so the raw pass that may precede it changes nothing.
     """
-    normal = df.withColumn("_norm", normal_form(F.col(text))).filter(F.char_length("_norm") >= min_chars)
-    return keep_first(normal, text_key(F.col("_norm")), order).drop("_norm")
+    return keep_first(with_normal_key(df, text, min_chars), F.col("norm_key"), order).drop("norm_key")
 
 
 def random_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -153,30 +153,36 @@ def cls_arbitration_stats(spark, d):
     return models.arbitration_stats(models.arbitrate(two_predictions(spark, d), "p1", "c1", "p2", "c2"))
 
 
-def labelled_documents(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return docs.join(table(spark, d, "labels"), "doc_id", "left_semi")
+GOLD_WORDS = [("fr", 0.9, ["et", "les", "en"]), ("de", 0.9, ["die", "und"]), ("es", 0.9, ["los", "de"])]
+
+
+def labelled_messages(spark, d):
+    """Customer messages with a label from function words."""
+    label, _ = lexicon.cascade(F.col("text"), GOLD_WORDS, ("en", 0.5))
+    return message_table(spark, d).withColumn("label", label)
+
+
+def trained(spark, d):
+    return models.TextClassifier.train(labelled_messages(spark, d), "tweet_id", "text", "label", q.LANGS)
 
 
 @query("cls_logreg")
 def cls_logreg(spark, d):
-    """CLS1: trained on the labelled documents, applied to the same rows."""
-    data = labelled_documents(spark, d)
-    model = models.TextClassifier.train(data, "doc_id", "text", "lang", q.LANGS)
-    return model.predict(data, "doc_id", "text").join(data.select("doc_id", "lang"), "doc_id")
+    """CLS1: trained on the labelled messages, applied to the same rows."""
+    data = labelled_messages(spark, d)
+    return trained(spark, d).predict(data, "tweet_id", "text").join(data.select("tweet_id", "label"), "tweet_id")
 
 
 @query("cls_pseudo_label")
 def cls_pseudo_label(spark, d):
-    """CLS6: the labelled rows train, the whole corpus is labelled."""
-    model = models.TextClassifier.train(labelled_documents(spark, d), "doc_id", "text", "lang", q.LANGS)
-    return model.predict(table(spark, d, "documents"), "doc_id", "text", "pseudo_intent", "pseudo_confidence")
+    """CLS6: the labelled messages train, a whole other corpus is labelled."""
+    return trained(spark, d).predict(table(spark, d, "documents"), "doc_id", "text", "pseudo_intent", "pseudo_confidence")
 
 
 @query("cls_crossval")
 def cls_crossval(spark, d):
-    """CLS5: out-of-fold predictions of the labelled documents."""
-    return models.cross_validated(labelled_documents(spark, d), "doc_id", "text", "lang")
+    """CLS5: out-of-fold predictions of the labelled messages."""
+    return models.cross_validated(labelled_messages(spark, d), "tweet_id", "text", "label")
 
 
 def embedding_rows(spark, d):

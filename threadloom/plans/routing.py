@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from threadloom.functions import lexicon
 from threadloom.functions import values as V
 from threadloom.operators import failures, gate, metrics, sampling
-from threadloom.operators.models import TextClassifier
 from threadloom.plans import flows
 from threadloom.plans import vocab as q
 from threadloom.plans.registry import query
-from threadloom.plans.retrieval import RANKED, labelled_documents, message_table, thread_index
+from threadloom.plans.retrieval import GOLD_WORDS, RANKED, message_table, thread_index, trained
 from threadloom.plans.scores import LONG, S, TOXIC_SQL, scores, toxic_runs
 from threadloom.plans.texts import ALL, _redacted
 from threadloom.plans.threads import tweets
 from threadloom.sources.adapters import table
+from threadloom.sources.scratch import stage_table
 
 PRONE = ["de"]
 
@@ -125,7 +125,6 @@ def gold_messages(spark, d):
     )
 
 
-GOLD_WORDS = [("fr", 0.9, ["et", "les", "en"]), ("de", 0.9, ["die", "und"]), ("es", 0.9, ["los", "de"])]
 GOLD_SQL = f"gold AS MATERIALIZED (SELECT qid, {q.case('text', GOLD_WORDS, 0, 'en')} AS gold_intent, length(text) > 700 AS gold_escalate FROM msgs)"
 MODE_SQL = "(SELECT gold_intent FROM gold GROUP BY 1 ORDER BY count(*) DESC, gold_intent LIMIT 1)"
 CANNED_SQL = "CASE m WHEN 'en' THEN 'Thanks, @Brand is here.' WHEN 'fr' THEN 'Merci, @Brand.' ELSE 'Hello from @Brand.' END"
@@ -162,9 +161,8 @@ def pip_simple(spark, d):
 
 @query("pip_simple_trained")
 def pip_simple_trained(spark, d):
-    """PIP3 with CLS1: the classifier learns from the labelled documents."""
-    model = TextClassifier.train(labelled_documents(spark, d), "doc_id", "text", "lang", q.LANGS)
-    predictions = model.predict(message_table(spark, d), "tweet_id", "text")
+    """PIP3 with CLS1: the classifier learns from the labelled messages."""
+    predictions = trained(spark, d).predict(message_table(spark, d), "tweet_id", "text")
     out = flows.simple_baseline(message_table(spark, d), "tweet_id", "text", predictions, thread_index(spark, d), LEX.rules, exclude_self=True)
     return out.select("tweet_id", "intent", "confidence", "escalate", "escalate_reason", "retrieval_similarity", "draft_reply")
 
@@ -174,7 +172,8 @@ def evaluation(spark, d):
     msgs = message_table(spark, d)
     full = flows.message_flow(msgs, "tweet_id", "text", index, LEX, medians=gate.fixed_medians(msgs, q.LANG_MEDIANS), exclude_self=True)
     systems = {"TrivialBaseline": trivial(spark, d), "SimpleBaseline": simple(spark, d, index), "FullAgent": full}
-    return flows.evaluation_runs(systems, gold_messages(spark, d), "tweet_id", "text", LEX, gate.fixed_medians(msgs, q.LANG_MEDIANS))
+    runs = flows.evaluation_runs(systems, gold_messages(spark, d), "tweet_id", "text", LEX, gate.fixed_medians(msgs, q.LANG_MEDIANS))
+    return stage_table(runs, "all_runs")
 
 
 RUNS3 = f"""{FLOW}, {GOLD_SQL},
@@ -280,5 +279,5 @@ def fal_leaking_reply(spark, d):
 
 @query("fal_table", " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (FAL1, FAL2, FAL4, FAL5)))
 def fal_table(spark, d):
-    runs = mined_runs(spark, d)
+    runs = stage_table(mined_runs(spark, d), "all_runs")  # mining reads the stored runs several times
     return failures.failure_table(failures.intent_confusion(runs), failures.missed_escalation(runs), failures.weak_evidence(runs), failures.leaking_reply(runs))

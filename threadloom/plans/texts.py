@@ -137,10 +137,15 @@ def win_dedup_exact(spark, d):
 
 @query("win_dedup_normalized", f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {q.normal('text')} AS norm FROM documents) WHERE length(norm) >= 3 GROUP BY norm")
 def win_dedup_normalized(spark, d):
+    keyed = sampling.with_normal_key(table(spark, d, "documents").select("doc_id", "text"), "text", 3).select("doc_id", "norm_key")
+    first = sampling.keep_first(keyed, F.col("norm_key"), "doc_id")
+    return first.join(keyed.groupBy("norm_key").agg(F.count(F.lit(1)).alias("copies")), "norm_key").select("doc_id", "copies")
+
+
+@query("win_dedup_corpus", f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, {q.normal('text')} AS norm FROM documents) WHERE length(norm) >= 3 GROUP BY norm")
+def win_dedup_corpus(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    first = sampling.dedup_normalized(docs, "text", "doc_id").select("doc_id", text.text_key(text.normal_form(F.col("text"))).alias("k"))
-    copies = docs.select(text.text_key(text.normal_form(F.col("text"))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
-    return first.join(copies, "k").select("doc_id", "copies")
+    return sampling.dedup_normalized(docs, "text", "doc_id").select("doc_id")
 
 
 @query("prj_reply_features", """SELECT conv_id, turn, contains(lower(text), '[escalated') AS escalated, regexp_matches(lower(text), 'settings|reset|update') AS has_settings,

@@ -12,8 +12,17 @@ TURN_SPACE = 1_000_000
 N_BRANDS = 15
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  Long texts that lie in fewer files than there are cores are spread over the cores,
+    since one row group is read by one task; filters and columns still reach the scan.  A table of many
+    files is read as it lies, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and len(df.inputFiles()) < cores else df
 
 
 def conversation_tweets(conversations: DataFrame) -> DataFrame:
