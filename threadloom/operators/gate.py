@@ -78,7 +78,8 @@ def sla_risk(
     other = fallback if isinstance(fallback, Column) else F.lit(float(fallback))
     joined = df.join(F.broadcast(m), key == F.col("_label"), "left")
     return (
-        joined.withColumn("intent_risk", minutes_risk(F.coalesce(F.col("_minutes"), other)))
+        joined.withColumn("_minutes", F.coalesce(F.col("_minutes"), other))
+        .withColumn("intent_risk", minutes_risk(F.col("_minutes")))
         .withColumn("sentiment_risk", urgency_risk(F.col(text), F.col(severity), urgency_words))
         .withColumn("sla_risk_score", composite_risk(F.col("intent_risk"), F.col("sentiment_risk")))
         .drop("_label", "_minutes")

@@ -123,8 +123,8 @@ def tier_distribution(df: DataFrame, tier: str = "routing_tier") -> DataFrame:
     total = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy(F.col(tier).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
     tiers = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in V.TIERS])).alias("tier"))
-    n = F.coalesce("n", F.lit(0))
-    return tiers.join(counts, "tier", "left").select("tier", n.alias("n"), rounded(_ratio(n, total) * 100, 2).alias("pct"))
+    full = tiers.join(counts, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"), total.alias("total"))
+    return full.select("tier", "n", rounded(_ratio(F.col("n"), F.col("total")) * 100, 2).alias("pct"))
 
 
 def review_precision(df: DataFrame, scores: Sequence[str], tier: str = "routing_tier") -> DataFrame:

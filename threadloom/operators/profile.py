@@ -24,7 +24,7 @@ def value_share(df: DataFrame, *keys: str) -> DataFrame:
     """AGG2, WIN12: count and percentage per value; the total is summed over the small grouped frame."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("pct", rounded(F.col("n") / total * 100, 2))
+    return counts.withColumn("_total", total).withColumn("pct", rounded(F.col("n") / F.col("_total") * 100, 2)).drop("_total")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ ELSE 'Drafted for review due to ' || concat_ws(' and ', CASE WHEN sim < 0.4::DOU
 
 # Documents as messages; every 0 < confidence issue occurs: NULL for src1, NaN for src2, negative for src4.
 DOC_CONF = f"CASE source WHEN 'src1' THEN NULL WHEN 'src2' THEN 'nan'::DOUBLE WHEN 'src4' THEN -0.5::DOUBLE ELSE {q.case('text', q.LANG_WORDS, 1, q.LANG_DEFAULT[1])} END"
-DOCS_SQL = f"m AS MATERIALIZED (SELECT doc_id, text, {q.case('text', q.LANG_WORDS, 0, q.LANG_DEFAULT[0])} AS intent, {DOC_CONF} AS conf, {q.severity('text')} AS sev, {q.rule_code('text')} AS code, round_even(least(1, n_chars / 4000::DOUBLE), 4) AS sim FROM documents)"
+DOCS_SQL = f"m AS MATERIALIZED (SELECT doc_id, text, {q.case('text', q.LANG_WORDS, 0, q.LANG_DEFAULT[0])} AS intent, {DOC_CONF} AS conf, {q.severity('text')} AS sev, {q.rule_code('text')} AS code, round_even(least(1, n_chars / 5000::DOUBLE), 4) AS sim FROM documents)"
 GATED_SQL = f"{DOCS_SQL}, g AS (SELECT *, {reason_sql('code', 'intent', 'conf', 'sev')} AS reason FROM m)"
 
 
@@ -49,7 +49,7 @@ def doc_messages(spark, d):
     conf = F.when(src == "src1", None).when(src == "src2", float("nan")).when(src == "src4", -0.5).otherwise(conf)
     return table(spark, d, "documents").select(
         "doc_id", "text", label.alias("intent"), conf.alias("confidence"), lexicon.severity(F.col("text"), q.INSULTS, q.GRUMBLES).alias("severity"),
-        F.round(F.least(F.lit(1.0), F.col("n_chars") / F.lit(4000.0)), 4).alias("retrieval_similarity"),
+        F.round(F.least(F.lit(1.0), F.col("n_chars") / F.lit(5000.0)), 4).alias("retrieval_similarity"),
     )
 
 
@@ -198,9 +198,9 @@ def pip_evaluation_scores(spark, d):
     return metrics.macro_scores(evaluation(spark, d), "gold_intent", "pred_intent", ["system"])
 
 
-@query("pip_calibration", f"""WITH {FLOW} SELECT qid AS tweet_id, {DRAFT_SQL} AS agent_draft, '[' || ids || ']' AS retrieved_ids_json FROM k ORDER BY md5('42:' || qid), qid LIMIT 60""")
+@query("pip_calibration", f"""WITH {FLOW} SELECT qid AS tweet_id, {DRAFT_SQL} AS agent_draft, '[' || ids || ']' AS retrieved_ids_json FROM k ORDER BY md5('42:' || qid), qid LIMIT 20""")
 def pip_calibration(spark, d):
-    out = flows.calibration_set(message_table(spark, d), message_flow(spark, d), "tweet_id", 60)
+    out = flows.calibration_set(message_table(spark, d), message_flow(spark, d), "tweet_id", 20)
     return out.select("tweet_id", "agent_draft", "retrieved_ids_json")
 
 
@@ -210,7 +210,7 @@ def pip_calibration(spark, d):
 def mined_runs(spark, d):
     """Documents with labels as runs; the verbatim draft is the text itself."""
     label, _ = lexicon.cascade(F.col("text"), q.LANG_WORDS, q.LANG_DEFAULT)
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("customer_text"), label.alias("pred_intent"), F.round(F.least(F.lit(1.0), F.col("n_chars") / F.lit(4000.0)), 4).alias("retrieval_similarity"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("customer_text"), label.alias("pred_intent"), F.round(F.least(F.lit(1.0), F.col("n_chars") / F.lit(5000.0)), 4).alias("retrieval_similarity"))
     return toxic_runs(spark, d).join(docs, "doc_id").select(
         F.col("doc_id").alias("golden_id"), "customer_text", F.col("lang").alias("gold_intent"), "pred_intent", F.col("gold").alias("gold_escalate"), F.col("pred").alias("pred_escalate"),
         F.col("source").alias("gold_escalate_reason"), F.col("reason").alias("pred_escalate_reason"), "retrieval_similarity", F.col("customer_text").alias("draft"),
@@ -218,7 +218,7 @@ def mined_runs(spark, d):
 
 
 MINED = f"""{TOXIC_SQL}, runs3 AS MATERIALIZED (SELECT doc_id AS golden_id, d.text AS customer_text, e.lang AS gold_intent, {q.case('d.text', q.LANG_WORDS, 0, q.LANG_DEFAULT[0])} AS pred_intent, gold AS gold_escalate, reason <> 'auto_handle' AS pred_escalate,
-e.source AS gold_escalate_reason, reason AS pred_escalate_reason, round_even(least(1, n_chars / 4000::DOUBLE), 4) AS retrieval_similarity FROM esc e JOIN documents d USING (doc_id))"""
+e.source AS gold_escalate_reason, reason AS pred_escalate_reason, round_even(least(1, n_chars / 5000::DOUBLE), 4) AS retrieval_similarity FROM esc e JOIN documents d USING (doc_id))"""
 
 
 def mined_sql(ctes: str, pick: str, mode: str, rank: int, gold: str, pred: str, reason: str, source: str) -> str:

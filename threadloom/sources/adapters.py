@@ -97,7 +97,7 @@ def line_scores(lineitem: DataFrame) -> DataFrame:
     clip = lambda c: F.greatest(F.lit(1), F.least(F.lit(5), c.cast("int")))
     q, ln = F.col("l_quantity"), F.col("l_linenumber")
     return lineitem.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("example_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.cast("int")).alias("example_id"),
         F.concat(F.lit("part "), F.col("l_partkey")).alias("customer_text"),
         F.concat(F.lit("dm "), F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus")).alias("agent_draft"),
         clip(ln).alias("human_correctness"),
@@ -119,7 +119,7 @@ def line_scores(lineitem: DataFrame) -> DataFrame:
 
 
 _CLIP = "greatest(1, least(5, trunc({0})::INTEGER))"
-SCORES_SQL = "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS example_id, 'part ' || l_partkey AS customer_text, 'dm ' || l_returnflag || ' ' || l_linestatus AS agent_draft, " + ", ".join(
+SCORES_SQL = "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS example_id, 'part ' || l_partkey AS customer_text, 'dm ' || l_returnflag || ' ' || l_linestatus AS agent_draft, " + ", ".join(
     f"{_CLIP.format(expr)} AS {name}"
     for name, expr in {
         "human_correctness": "l_linenumber",
