@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import values as V
 from threadloom.functions.scoring import rounded
 from threadloom.operators.ranks import average_ranks, value_positions
+from threadloom.sources.scratch import cut_lineage
 
 
 def score_pairs(df: DataFrame, keep: Sequence[str], left: str, right: str, criteria: Sequence[str] = tuple(V.CRITERIA)) -> DataFrame:
@@ -26,7 +27,7 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     Rows are first counted per (group, x, y); ranks are those of the value counts, so no row-level sort or
     window happens.  Centred sums keep the arithmetic small.
     """
-    cells = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
+    cells = cut_lineage(pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w")))
     rank = lambda c: average_ranks(value_positions(cells, by, c, weight="w")).select(*by, c, F.col("rank").alias(f"r_{c}"), F.col("total").alias(f"t_{c}"))
     both = cells.join(rank(x), [*by, x]).join(rank(y), [*by, y])
     mid = (F.col(f"t_{x}") + 1) / F.lit(2.0)

@@ -152,10 +152,13 @@ def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payloa
 
 
 def _sub_shards(docs: DataFrame, group: str, shard_rows: int) -> DataFrame:
-    """Split each group into as many shards as its size needs; a hot group simply gets more of them."""
+    """Split each group into as many shards as its size needs; a hot group simply gets more of them.
+
+    The sizes are one row per group, and the callers fix the number of groups, so they are broadcast.
+    """
     sizes = docs.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(shard_rows))).alias("_subs"))
     sub = F.pmod(F.xxhash64("doc_id"), F.col("_subs"))
-    return docs.join(sizes, group).withColumn("shard", F.concat_ws(":", F.col(group), sub)).drop("_subs")
+    return docs.join(F.broadcast(sizes), group).withColumn("shard", F.concat_ws(":", F.col(group), sub)).drop("_subs")
 
 
 def _citable(docs: DataFrame, digest: str, k: int, own_rows: int) -> DataFrame:
@@ -189,8 +192,10 @@ def topk_sparse(
     (doc_id, owner_id, term_ids, weights) by dot product, at least min_sim; (query_id, hits array).
 
     `exclude_self` leaves out rows whose owner_id is the query's id.  Vectors must have unit length and
-    non-negative weights.
+    non-negative weights.  There are about as many groups of leading terms as shards, so that a shard
+    holds rows about few things and its bounds are tight.
     """
+    groups = max(groups, -(-docs.count() // shard_rows))
     kk = 2 * k if exclude_self else k
     digest = F.xxhash64("term_ids", "weights")
     # Two independent hashes: a pair of different vectors sharing both does not happen in practice.
