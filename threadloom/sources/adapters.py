@@ -38,14 +38,16 @@ def conversation_tweets(conversations: DataFrame) -> DataFrame:
     forward = F.when(chars < 200, None).when(F.contains("text", F.lit("\n")), F.concat(after, F.lit(", -1"))).otherwise(after)
     backward = F.when((F.col("turn") > 0) & (chars <= 900), (tweet_id - 1).cast("string"))
     inbound = F.col("role") == "user"
-    created = F.timestamp_seconds(F.lit(1506816000) + F.col("conv_id") * 3600 + F.col("turn") * 1200 + chars)
+    # Wall-clock arithmetic, so that the text does not depend on the session's time zone.
+    start = F.lit("2017-10-01 00:00:00").cast("timestamp_ntz")
+    created = F.timestamp_add("SECOND", F.col("conv_id") * 3600 + F.col("turn") * 1200 + chars, start)
     return conversations.filter(F.col("role") != "system").select(
         tweet_id.alias("tweet_id"),
         F.when(inbound, F.concat(F.lit("c"), F.col("conv_id")))
         .otherwise(F.concat(F.lit("brand_"), F.pmod(F.col("conv_id"), F.lit(N_BRANDS))))
         .alias("author_id"),
         inbound.alias("inbound"),
-        F.date_format(created, "EEE MMM dd HH:mm:ss Z yyyy").alias("created_at"),
+        F.date_format(created, "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"),
         "text",
         forward.alias("response_tweet_id"),
         backward.alias("in_response_to_tweet_id"),
