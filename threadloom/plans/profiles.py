@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.functions import scoring
 from threadloom.functions import values as V
@@ -15,7 +14,7 @@ from threadloom.plans.registry import query
 from threadloom.plans.threads import tweets
 from threadloom.sources import readers
 from threadloom.sources.adapters import MINUTES_SQL, order_line_minutes, table
-from threadloom.sources.schemas import MANIFEST, require_columns
+from threadloom.sources.schemas import require_columns
 from threadloom.sources.scratch import shared_folder
 
 

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import lexicon
 from threadloom.functions import values as V
-from threadloom.operators import failures, gate, metrics, sampling
+from threadloom.operators import failures, gate, metrics
 from threadloom.plans import flows
 from threadloom.plans import vocab as q
 from threadloom.plans.registry import query
 from threadloom.plans.retrieval import GOLD_WORDS, RANKED, message_table, thread_index, trained
-from threadloom.plans.scores import LONG, S, TOXIC_SQL, scores, toxic_runs
+from threadloom.plans.scores import S, TOXIC_SQL, scores, toxic_runs
 from threadloom.plans.texts import ALL, _redacted
-from threadloom.plans.threads import tweets
 from threadloom.sources.adapters import table
 from threadloom.sources.scratch import stage_table
 

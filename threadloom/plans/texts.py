@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import lexicon, scoring, text
 from threadloom.functions import values as V
-from threadloom.operators import linking, profile, sampling
+from threadloom.operators import profile, sampling
 from threadloom.operators.gate import rule_layer
 from threadloom.plans import vocab as q
 from threadloom.plans.registry import query
