@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from threadloom.plans.catalog import QUERIES
 from check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,9 +17,9 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    n, error = compare(con, spark, SF_DIR, queries()[name], oracle_sql().get(name))
+    n, error = compare(con, spark, SF_DIR, QUERIES[name], oracle_sql().get(name))
     assert error is None, error
     assert name in oracle_sql() or n > 0
 
