@@ -7,18 +7,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import packing
+from threadloom.llm import packing, simhash
 from threadloom.sources.scratch import shared_folder
 
 ORACLE_SQL = None  # models and token ids are not SQL
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.one_of_each(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("simhash_near_dedup", near_duplicates),
     ("best_fit_packing", pack_sequences),
 ]
 
