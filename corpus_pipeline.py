@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import packing, simhash
+from threadloom.llm import packing, secrets, simhash
 from threadloom.sources.scratch import shared_folder
 
 ORACLE_SQL = None  # models and token ids are not SQL
@@ -18,6 +19,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_of_each(docs)
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts, n_chars follows; every document stays."""
+    clean = secrets.mask(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(clean.schema["n_chars"].dataType))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences."""
     return packing.pack(docs)
@@ -25,6 +32,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("simhash_near_dedup", near_duplicates),
+    ("secret_scans", mask_secrets),
     ("best_fit_packing", pack_sequences),
 ]
 
