@@ -8,12 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import packing, secrets, simhash
+from threadloom.llm import packing, quality_model, secrets, simhash
 from threadloom.sources.scratch import shared_folder
 
 ORACLE_SQL = None  # models and token ids are not SQL
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.keep_good(docs, quality_model.fit(docs, labels))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.one_of_each(docs)
@@ -31,6 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", good_quality),
     ("simhash_near_dedup", near_duplicates),
     ("secret_scans", mask_secrets),
     ("best_fit_packing", pack_sequences),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import packing, secrets, simhash
+from threadloom.llm import packing, quality_model, secrets, simhash
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,9 @@ def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_scans")
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_classifier")
+def _quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_model.classify(docs, quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
