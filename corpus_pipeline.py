@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import packing, quality_model, secrets, simhash
+from threadloom.llm import language, packing, quality_model, secrets, simhash
 from threadloom.sources.scratch import shared_folder
 
 ORACLE_SQL = None  # models and token ids are not SQL
@@ -20,6 +20,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_model.keep_good(docs, quality_model.fit(docs, labels))
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no language stands out, go."""
+    return language.keep_known(docs, language.fit(docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.one_of_each(docs)
@@ -38,6 +43,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", good_quality),
+    ("language_id", known_language),
     ("simhash_near_dedup", near_duplicates),
     ("secret_scans", mask_secrets),
     ("best_fit_packing", pack_sequences),

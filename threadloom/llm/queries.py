@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import packing, quality_model, secrets, simhash
+from threadloom.llm import language, packing, quality_model, secrets, simhash
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_model.classify(docs, quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op8_language_id")
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
