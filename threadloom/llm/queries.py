@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language, packing, quality_model, secrets, simhash
+from threadloom.llm import language, packing, ppm, quality_model, secrets, simhash
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def _quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
+
+
+@query("op9_lm_scoring")
+def _ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read_table(spark, sf_dir, "documents"))
