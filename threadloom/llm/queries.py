@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language, packing, ppm, quality_model, quality_rules, secrets, simhash
+from threadloom.llm import language, packing, ppm, quality_model, quality_rules, secrets, simhash, vptree
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def _quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op5_approximate_nearest_neighbours")
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read_table(spark, sf_dir, "embeddings"))
