@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language, packing, ppm, quality_model, quality_rules, secrets, simhash, vptree
+from threadloom.llm import language, packing, pieces, ppm, quality_model, quality_rules, secrets, simhash, vptree
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def _quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_approximate_nearest_neighbours")
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_sentencepiece")
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digest(read_table(spark, sf_dir, "documents"))
