@@ -121,15 +121,16 @@ def fences(rated: DataFrame, names: Sequence[str], slacks: dict[str, float], lea
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in names]]
     suffixed = lambda df, s: df.select(*[c for c in ("lang",) if c in df.columns], F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in names])
     by_lang = suffixed(own.groupBy("lang").agg(*merged), "lang").withColumnRenamed("lang", "of_lang")
-    overall = suffixed(own.agg(*merged), "all")
-    joined = own.join(by_lang, own.lang.eqNullSafe(by_lang.of_lang)).drop("of_lang").join(F.broadcast(overall))  # one row
+    joined = own.join(by_lang, own.lang.eqNullSafe(by_lang.of_lang)).drop("of_lang")
+
+    def limit(sketch: str, rate: str) -> Column:
+        median, upper = _quantiles(sketch)
+        return upper + F.greatest(fence * (upper - median), F.lit(slacks[rate]))
+
+    overall = own.agg(*merged).select(*[limit(c, c).alias(c) for c in names]).first()  # one number per rate
     out = []
     for c in names:
-        levels = []
-        for sketch in (c, f"{c}_lang", f"{c}_all"):
-            median, upper = _quantiles(sketch)
-            levels.append(upper + F.greatest(fence * (upper - median), F.lit(slacks[c])))
-        own_fence, lang_fence, all_fence = levels
+        own_fence, lang_fence, all_fence = limit(c, c), limit(f"{c}_lang", c), F.lit(overall[c])
         out.append(F.when(F.col("n") >= least_docs, own_fence).when(F.col("n_lang") >= least_docs, lang_fence).otherwise(all_fence).alias(f"most_{c}"))
     return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *out)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language, packing, pieces, ppm, quality_model, quality_rules, secrets, simhash, vptree
+from threadloom.llm import language, licenses, packing, pieces, ppm, quality_model, quality_rules, secrets, simhash, vptree
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scans")
+def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
