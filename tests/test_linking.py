@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from threadloom.operators import linking
 from threadloom.sources.schemas import TWEETS
 
@@ -58,7 +60,7 @@ def test_trace_follows_long_chains_hot_parents_and_skips_cycles(spark):
     chain = [(i, "a", True, "", "", None, str(i - 1) if i else None) for i in range(40)]
     hot = [(1000 + i, "b", True, "", "", None, "39") for i in range(300)]
     cycle = [(5000, "z", True, "", "", None, "5001"), (5001, "z", True, "", "", None, "5000")]
-    got = {r["tweet_id"]: (r["root_id"], r["depth"]) for r in linking.thread_trace(spark.createDataFrame(chain + hot + cycle, TWEETS), max_depth=64).collect()}
+    got = {r["tweet_id"]: (r["root_id"], r["depth"]) for r in linking.thread_trace(spark.createDataFrame(chain + hot + cycle, TWEETS)).collect()}
     want = {i: (0, i) for i in range(40)} | {1000 + i: (0, 40) for i in range(300)}
     assert got == want
 
@@ -67,3 +69,18 @@ def test_describe_without_groups(spark):
     df = spark.createDataFrame([(-1.0,), (2.0,), (4.0,), (8.0,)], "v double")
     r = linking.describe(df, "v").first()
     assert (r["min"], r["p25"], r["median"], r["max"], r["negatives"]) == (-1.0, 1.25, 3.0, 8.0, 1)
+
+
+def test_long_ids_stay_exact(spark):
+    from threadloom.functions.scoring import pointer_ids
+
+    df = spark.createDataFrame([("9007199254740993, 7.0, x, 123456789012345678",)], "p string")
+    assert df.select(pointer_ids(F.col("p")).alias("i")).first()["i"] == [9007199254740993, 7, 123456789012345678]
+
+
+def test_a_followup_without_a_readable_time_comes_last(spark):
+    tweets = spark.createDataFrame(
+        [(3, "c", True, "not a time", "later", None, "2"), (4, "c", True, "Tue Oct 31 22:10:47 +0000 2017", "first", None, "2")], TWEETS
+    )
+    pairs = spark.createDataFrame([(2, "c")], "brand_tweet_id long, customer_author_id string")
+    assert linking.with_followups(pairs, tweets).first()["followup_text"] == "first"

@@ -13,12 +13,12 @@ def values(n=4000, seed=3):
     return [("hot" if i % 3 else "cold", 5.0 if i % 3 == 1 else round(rnd.gauss(0, 50), 3)) for i in range(n)]
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
+@pytest.mark.parametrize("buckets", [None, 1, 64])
 @pytest.mark.parametrize("by", [["g"], []])
-def test_positions_and_quantiles_are_exact_on_both_paths(spark, small, by):
+def test_positions_and_quantiles_are_exact_for_any_bucket_count(spark, buckets, by):
     rows = values()
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {tuple(r[b] for b in by): r for r in ranks.grouped_quantiles(df, by, "v", {"p25": 0.25, "median": 0.5}, small=small).collect()}
+    got = {tuple(r[b] for b in by): r for r in ranks.grouped_quantiles(df, by, "v", {"p25": 0.25, "median": 0.5}, buckets).collect()}
     for key in ({("hot",), ("cold",)} if by else {()}):
         mine = sorted(v for g, v in rows if not by or g == key[0])
         assert got[key]["total"] == len(mine)
@@ -29,7 +29,7 @@ def test_positions_and_quantiles_are_exact_on_both_paths(spark, small, by):
 def test_bucketed_ranks_equal_brute_force(spark):
     rows = values(900)
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {(r["g"], r["v"]): r["rank"] for r in ranks.average_ranks(ranks.value_positions(df, ["g"], "v", buckets=16, small=0)).collect()}
+    got = {(r["g"], r["v"]): r["rank"] for r in ranks.average_ranks(ranks.value_positions(df, ["g"], "v", buckets=16)).collect()}
     for g in ("hot", "cold"):
         mine = sorted(v for x, v in rows if x == g)
         for v in set(mine):
@@ -109,3 +109,27 @@ def test_random_n_and_share_ratio(spark):
     s = spark.createDataFrame([("a",), ("b",)], "l string")
     c = spark.createDataFrame([("a",), ("a",), ("a",), ("c",)], "l string")
     assert {tuple(r) for r in profile.share_ratio(s, c, "l").collect()} == {("a", 50.0, 75.0, 1.5), ("b", 50.0, 0.0, 0.0)}
+
+
+def test_null_groups_and_labels_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2], float(i) if i % 4 else None) for i in range(60)], "id int, g string, v double")
+    assert sampling.kfold(df, "g", "id").count() == 60
+    split = sampling.dev_test_split(df, "g", "id").groupBy("g", "split").count().collect()
+    assert {(r["g"], r["split"]): r["count"] for r in split}[(None, "dev")] == 12 and sum(r["count"] for r in split) == 60
+    positions = ranks.value_positions(df, ["g"], "v", buckets=4).filter("g is null").collect()
+    assert sorted(r["before"] for r in positions) == list(range(15))
+
+
+def test_describe_keeps_null_groups_and_groups_without_values(spark):
+    from threadloom.operators.linking import describe
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0)], "g string, v double")
+    got = {r["g"]: (r["median"], r["total"]) for r in describe(df, "v", ["g"]).collect()}
+    assert got == {"a": (2.0, 2), "b": (None, 0), None: (5.0, 1)}
+    assert describe(df.filter("v is null"), "v").first()["total"] == 0
+
+
+def test_a_large_stratified_sample_has_its_quotas(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    got = sampling.stratified_sample(df, "g", "id", ["a", "b"], 1500).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in got} == {"a": 503, "b": 997}

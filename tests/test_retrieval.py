@@ -110,3 +110,16 @@ def test_weights_have_unit_length(spark):
     counts, vocab = features.fit(df, "id", "t")
     w = features.weights(counts, vocab, "id", 25000).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert {r["id"]: round(r["n"], 9) for r in w} == {1: 1.0, 2: 1.0}
+
+
+def test_an_owner_with_many_different_rows_does_not_hide_the_others(spark):
+    own = [(i, 1, [1.0, 0.01 * i]) for i in range(10)]
+    docs = spark.createDataFrame([*own, (50, 2, [1.0, 0.6])], "doc_id long, owner_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (7, [1.0, 0.0])], "query_id long, vector array<double>")
+    got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_dense(queries, docs, 3, 0.15, True, shard_rows=4).collect()}
+    assert got == {1: [50], 7: [0, 1, 2]}
+    unit = lambda v: [x / math.hypot(*v) for x in v]
+    sparse = docs.select("doc_id", "owner_id", F.array(F.lit(0), F.lit(1)).alias("term_ids"), F.transform("vector", lambda x: x / F.sqrt(F.get("vector", 0) ** 2 + F.get("vector", 1) ** 2)).alias("weights"))
+    asked = spark.createDataFrame([(1, [0, 1], unit([1.0, 0.001])), (7, [0, 1], unit([1.0, 0.001]))], "query_id long, term_ids array<int>, weights array<double>")
+    got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_sparse(asked, sparse, 3, 0.15, True, shard_rows=4).collect()}
+    assert got == {1: [50], 7: [0, 1, 2]}

@@ -42,7 +42,7 @@ def two_places(c: Column) -> Column:
 
 def pointer_ids(c: Column) -> Column:
     """PRJ11: '5, 7.0,x' to [5, 7]; blanks and ids that are not numbers are skipped."""
-    parts = F.transform(F.split(c, ","), lambda x: x.try_cast("double").try_cast("bigint"))
+    parts = F.transform(F.split(c, ","), lambda x: F.coalesce(x.try_cast("bigint"), x.try_cast("double").try_cast("bigint")))
     return F.array_compact(parts)
 
 

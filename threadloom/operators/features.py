@@ -110,8 +110,3 @@ def ml_vectors(vecs: DataFrame, keep: Sequence[str], size: int, name: str) -> Da
     schema = T.StructType([vecs.schema[c] for c in keep] + [T.StructField("features", VectorUDT())])
     return stage_table(flat, name, schema)
 
-
-def rows_per_task(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """Read a small staged table in few tasks: an iterative fit pays for every task in every iteration."""
-    tasks = max(1, -(-df.count() // rows))
-    return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df

@@ -50,9 +50,9 @@ def gate(df: DataFrame, text: str, intent: str, confidence: str, severity: str,
 
 
 def label_medians(labelled: DataFrame, label: str, minutes: str) -> DataFrame:
-    """AGG13: median minutes per label, 2 dp."""
-    q = grouped_quantiles(labelled, [label], minutes, {"median": 0.5})
-    return q.select(F.lower(F.trim(label)).alias("intent"), rounded(F.col("median"), 2).alias("median_minutes"))
+    """AGG13: median minutes per label, 2 dp; labels that differ in case or outer blanks only are one."""
+    named = labelled.select(F.lower(F.trim(label)).alias("intent"), minutes)
+    return grouped_quantiles(named, ["intent"], minutes, {"median": 0.5}).select("intent", rounded(F.col("median"), 2).alias("median_minutes"))
 
 
 def global_median(threads: DataFrame, minutes: str) -> DataFrame:

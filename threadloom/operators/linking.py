@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import values as V
 from threadloom.functions.lexicon import mentions
 from threadloom.functions.scoring import minutes_between, parse_created_at, pointer_ids, rounded
-from threadloom.operators.ranks import grouped_quantiles
+from threadloom.operators.ranks import grouped_quantiles, join_null_safe
 from threadloom.sources.scratch import cut_lineage
 
 
@@ -89,10 +89,11 @@ def with_followups(pairs: DataFrame, tweets: DataFrame, same_author: bool = Fals
     """JON5, WIN2, PRJ13: flag, first text and number of inbound messages that answer the brand reply.
 
     Children are combined per parent before the join, so a reply with a huge number of answers costs one row.
-    First means earliest by (time, id).  `same_author` counts only answers by the pair's own customer.
+    First means earliest by (time, id), messages without a readable time last.  `same_author` counts only answers by the pair's own customer.
     """
     parent = F.try_element_at(pointer_ids(F.col("in_response_to_tweet_id")), F.lit(1))
-    order = F.struct(parse_created_at(F.col("created_at")).alias("at"), F.col("tweet_id"))
+    at = parse_created_at(F.col("created_at"))
+    order = F.struct(at.isNull().alias("unknown"), at.alias("at"), F.col("tweet_id"))
     keys = ["brand_tweet_id"] + (["customer_author_id"] if same_author else [])
     children = (
         tweets.filter(F.col("inbound") & F.col("in_response_to_tweet_id").isNotNull())
@@ -180,17 +181,18 @@ def group_comparison(
 ) -> DataFrame:
     """AGG10, SRT2: volume, distinct customers, follow-up and lexicon rates, median lengths, depth per group.
 
-    One aggregation over the pairs; the top groups are a bounded sort on its output.  Median lengths use the
-    built-in exact median, whose buffer has one entry per distinct length.
+    Distinct customers are counted apart: beside them Spark would key the medians' buffers by (group, customer).
+    The top groups are a bounded sort.  Median lengths use the built-in exact median, whose buffer has one entry per
+    distinct length.
     """
     n = F.count(F.lit(1))
     hits = F.count_if(mentions(F.col("customer_text"), words))
     rate = F.count_if("has_followup") / n
-    return (
+    customers = pairs.select(group, "customer_tweet_id").distinct().groupBy(group).agg(F.count("customer_tweet_id").alias("unique_inbound_tweets"))
+    facts = (
         pairs.groupBy(group)
         .agg(
             n.alias("volume_pairs"),
-            F.count_distinct("customer_tweet_id").alias("unique_inbound_tweets"),
             rounded(rate * 100, 2).alias("followup_rate_pct"),
             hits.alias("escalation_count"),
             rounded(hits / n * 100, 2).alias("escalation_pct"),
@@ -201,20 +203,26 @@ def group_comparison(
         .orderBy(F.desc("volume_pairs"), group)
         .limit(top)
     )
+    columns = [group, "volume_pairs", "unique_inbound_tweets", *facts.columns[2:]]
+    return join_null_safe(facts, customers, [group]).select(*columns)
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """AGG11, FLT15: min, quartile, median, mean, max and the number of negatives, exact at any size."""
+    """AGG11, FLT15: min, quartile, median, mean, max and the number of negatives, exact at any size.
+
+    A group without values has NULL figures and the total 0; NULL is a group like any other.
+    """
     q = grouped_quantiles(df, by, value, {"p25": 0.25, "median": 0.5})
     rest = df.groupBy(*by).agg(
         F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"),
         F.count_if(F.col(value) < 0).alias("negatives"),
     )
     if by:
-        return rest.join(q, list(by))
-    # Without groups both sides are one-row aggregates.
-    one = F.lit(1).alias("_one")
-    return rest.select("*", one).join(q.select("*", one), "_one").drop("_one")
+        counted = join_null_safe(rest, q, list(by), "left")
+    else:  # both sides are one-row aggregates
+        one = F.lit(1).alias("_one")
+        counted = rest.select("*", one).join(q.select("*", one), "_one", "left").drop("_one")
+    return counted.withColumn("total", F.coalesce("total", F.lit(0)))
 
 
 def link_coverage(tweets: DataFrame) -> DataFrame:
@@ -244,30 +252,40 @@ def link_coverage(tweets: DataFrame) -> DataFrame:
     return base.select("*", one).join(forward.select("*", one), "_one").join(backward.select("*", one), "_one").drop("_one")
 
 
-def thread_trace(tweets: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
+def thread_trace(tweets: DataFrame) -> DataFrame:
     """JON14: the root of every message and its distance from it, following backward pointers that resolve.
 
     Pointer jumping: each round replaces a message's ancestor by that ancestor's ancestor, so a chain of
-    length n takes log2(n) joins.  Only messages not yet at their root join, the right side is unique on its
-    key, and each round's state is checkpointed.  Messages on a pointer cycle have no root and are left out,
-    as in a walk that starts from the roots.
+    length n takes log2(n) joins.  Finished messages are written once, apart from those still on their way, and
+    rounds go on until none finishes.  What is left then is on or behind a pointer cycle, has no root and is left
+    out, as in a walk that starts from the roots.
     """
     parent = F.try_element_at(pointer_ids(F.col("in_response_to_tweet_id")), F.lit(1))
     ids = tweets.select(F.col("tweet_id").alias("ancestor_id"))
     links = tweets.select("tweet_id", parent.alias("ancestor_id"))
     found = links.join(ids, "ancestor_id", "left_semi").select("tweet_id", "ancestor_id", F.lit(1).cast("bigint").alias("depth"))
     roots = tweets.select("tweet_id").join(found.select("tweet_id"), "tweet_id", "left_anti")
-    roots = roots.select("tweet_id", F.col("tweet_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("done"))
-    state = cut_lineage(roots.unionByName(found.withColumn("done", F.lit(False))))
-    rounds = max(1, max_depth.bit_length())
-    for _ in range(rounds):
-        jump = state.select(
-            F.col("tweet_id").alias("ancestor_id"), F.col("ancestor_id").alias("_next"), F.col("depth").alias("_more"), F.col("done").alias("_done")
-        )
-        moved = state.filter("NOT done").join(jump, "ancestor_id").select(
-            "tweet_id", F.col("_next").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"), F.col("_done").alias("done")
+    roots = roots.select("tweet_id", F.col("tweet_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("depth"))
+    finished = [cut_lineage(roots)]
+    moving = cut_lineage(found)
+    left = moving.count()
+    while left:
+        end = finished[0]
+        for more in finished[1:]:
+            end = end.unionByName(more)
+        ended = end.select(F.col("tweet_id").alias("ancestor_id"), F.col("ancestor_id").alias("_next"), F.col("depth").alias("_more"), F.lit(True).alias("_done"))
+        ahead = moving.select(F.col("tweet_id").alias("ancestor_id"), F.col("ancestor_id").alias("_next"), F.col("depth").alias("_more"), F.lit(False).alias("_done"))
+        moved = cut_lineage(
+            moving.join(ended.unionByName(ahead), "ancestor_id").select(
+                "tweet_id", F.col("_next").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"), "_done"
+            )
         )
-        state = cut_lineage(state.filter("done").unionByName(moved))
-        if state.filter("NOT done").isEmpty():
+        finished.append(moved.filter("_done").drop("_done"))
+        moving = moved.filter("NOT _done").drop("_done")
+        before, left = left, moving.count()
+        if left == before:
             break
-    return state.filter("done").select("tweet_id", F.col("ancestor_id").alias("root_id"), "depth")
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    return out.select("tweet_id", F.col("ancestor_id").alias("root_id"), "depth")

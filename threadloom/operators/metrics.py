@@ -153,3 +153,13 @@ def run_record(runs: DataFrame, facts: dict) -> DataFrame:
     return runs.agg(
         F.count_distinct("golden_id").alias("total_test_interactions"), F.count(F.lit(1)).alias("n_runs"), failed.alias("failed_examples_count")
     ).select("*", *[F.lit(v).alias(k) for k, v in facts.items()])
+
+
+def append_record(record: DataFrame, path: str) -> None:
+    """SNK6: one more line of JSON behind the records of earlier runs."""
+    record.write.mode("append").json(path)
+
+
+def read_records(spark, path: str) -> DataFrame:
+    """Records of all runs."""
+    return spark.read.json(path)

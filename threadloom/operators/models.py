@@ -15,28 +15,41 @@ from pyspark.sql import functions as F
 from threadloom.functions import values as V
 from threadloom.functions.scoring import rounded
 from threadloom.operators.features import fit as fit_terms
-from threadloom.operators.features import ml_vectors, rows_per_task, term_counts, vectors
-from threadloom.operators.sampling import kfold
+from threadloom.operators.features import ml_vectors, term_counts, vectors
+from threadloom.operators.sampling import kfold, random_n
 from threadloom.sources.scratch import stage_table
 
-# The model's weight matrix (labels x terms) lives on the driver, so the feature space has a size limit.
-MAX_MODEL_TERMS = 1 << 18
+# The model's weight matrix (labels x terms) lives on the driver; its terms are those of the rows it is fitted on.
+MAX_TRAINING_ROWS = 200_000
+
+
+def filled(rows: DataFrame, vecs: DataFrame, key: str) -> DataFrame:
+    """`rows` with their vectors, empty ones for rows without a known term."""
+    return rows.join(vecs, key, "left").select(
+        *rows.columns, F.coalesce("term_ids", F.array().cast("array<int>")).alias("term_ids"),
+        F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
+    )
 
 
 class TextClassifier:
     """CLS1: TF-IDF (1-2 grams, min_df 2, sublinear) and multinomial logistic regression, C=2, balanced classes."""
 
-    def __init__(self, vocab: DataFrame, size: int, model, labels: list[str], max_terms: int):
-        self.vocab, self.size, self.model, self.labels, self.max_terms = vocab, size, model, labels, max_terms
+    def __init__(self, vocab: DataFrame, size: int, model, labels: list[str]):
+        self.vocab, self.size, self.model, self.labels = vocab, size, model, labels
 
     @classmethod
     def train(
         cls, df: DataFrame, key: str, text: str, label: str, labels: Sequence[str] | None = None, c: float = 2.0,
-        max_iter: int = 100, tol: float = 1e-6, max_terms: int = MAX_MODEL_TERMS,
+        max_iter: int = 100, tol: float = 1e-6, max_rows: int = MAX_TRAINING_ROWS,
     ) -> TextClassifier:
-        """FLT10: rows with a label outside `labels` are left out.  regParam = 1/(C n) with weights summing to n."""
+        """FLT10: rows with a label outside `labels` are left out.  regParam = 1/(C n) with weights summing to n.
+
+        Fitted on at most `max_rows` labelled rows, those of lowest hash; all their terms count, and rows without a
+        known term stay as empty vectors.
+        """
         data = df.filter(F.col(label).isin(*labels)) if labels else df.filter(F.col(label).isNotNull())
-        counts, vocab = fit_terms(data, key, text, max_terms=max_terms)
+        data = stage_table(random_n(data.select(key, text, label), key, max_rows), "labelled")
+        counts, vocab = fit_terms(data, key, text, max_terms=None)
         vocab = stage_table(vocab, "vocab")
         size = max(1, vocab.count())
         per_label = {r[0]: r[1] for r in data.groupBy(label).agg(F.count(F.lit(1))).collect()}  # one row per label
@@ -46,25 +59,20 @@ class TextClassifier:
         for i, name in enumerate(names):
             index = index.when(F.col(label) == name, F.lit(float(i)))
             balance = balance.when(F.col(label) == name, F.lit(n / (len(names) * per_label[name])))
-        vecs = vectors(counts, vocab, key, max_terms).join(data.select(key, label), key)
+        vecs = filled(data.select(key, label), vectors(counts, vocab, key), key)
         vecs = vecs.select(key, "term_ids", "weights", index.otherwise(None).alias("_label"), balance.otherwise(None).alias("_balance"))
-        rows = rows_per_task(ml_vectors(vecs, [key, "_label", "_balance"], size, "train")).persist()
+        rows = ml_vectors(vecs, [key, "_label", "_balance"], size, "train").persist()
         lr = LogisticRegression(
             featuresCol="features", labelCol="_label", weightCol="_balance", family="multinomial", standardization=False,
             regParam=1.0 / (c * n), maxIter=max_iter, tol=tol,
         )
         model = lr.fit(rows)
         rows.unpersist()
-        return cls(vocab, size, model, names, max_terms)
+        return cls(vocab, size, model, names)
 
     def predict(self, df: DataFrame, key: str, text: str, label: str = "intent", confidence: str = "confidence") -> DataFrame:
         """CLS6: (key, label, highest probability at 4 dp); a text with no known term gets the prior's label."""
-        vecs = vectors(term_counts(df, key, text), self.vocab, key, self.max_terms)
-        empty = df.select(key).join(vecs, key, "left")
-        vecs = empty.select(
-            key, F.coalesce("term_ids", F.array().cast("array<int>")).alias("term_ids"),
-            F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
-        )
+        vecs = filled(df.select(key), vectors(term_counts(df, key, text), self.vocab, key), key)
         scored = self.model.transform(ml_vectors(vecs, [key], self.size, "predict"))
         probs = vector_to_array("probability")
         names = F.array(*[F.lit(x) for x in self.labels])
@@ -112,13 +120,14 @@ def dense_features(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
 
 
-def kmeans_sweep(rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed: int = 42) -> tuple[DataFrame, dict[int, KMeansModel]]:
-    """CLU1, CLU2: per k the silhouette, the smallest share and the cluster sizes; and the fitted models."""
-    cached = rows_per_task(stage_table(rows, "kmeans", rows.schema)).persist()
+def kmeans_sweep(rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed: int = 42, starts: int = 3) -> tuple[DataFrame, dict[int, KMeansModel]]:
+    """CLU1, CLU2: of `starts` starts per k the one of least cost; per k the silhouette, the smallest share and the cluster sizes; and the fitted models."""
+    cached = stage_table(rows, "kmeans", rows.schema).persist()
     judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
     models, out = {}, []
     for k in ks:
-        models[k] = KMeans(k=k, seed=seed, featuresCol="features").fit(cached)
+        tries = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(cached) for i in range(starts)]
+        models[k] = min(tries, key=lambda m: m.summary.trainingCost)
         silhouette = judge.evaluate(models[k].transform(cached))
         sizes = models[k].summary.clusterSizes  # k numbers
         out.append((k, round(float(silhouette), 4), round(min(sizes) / sum(sizes) * 100, 2), sorted(sizes)))
@@ -126,12 +135,22 @@ def kmeans_sweep(rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed:
     return rows.sparkSession.createDataFrame(out, "k int, silhouette double, min_pct double, sizes array<bigint>"), models
 
 
+def centre_table(spark, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """(cluster, centre) of k given centres."""
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>")
+
+
 def nearest_members(rows: DataFrame, model: KMeansModel, key: str, n: int = 15) -> DataFrame:
-    """CLU3, WIN4: the n rows nearest to each centre; the limit applies in every task before the shuffle."""
-    centres = model.clusterCenters()  # k vectors
-    table = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>")
+    """CLU3, WIN4: the n rows nearest to each fitted centre."""
+    assigned = model.transform(rows).withColumnRenamed("prediction", "cluster")
+    return nearest_assigned(assigned, centre_table(rows.sparkSession, model.clusterCenters()), key, n)
+
+
+def nearest_assigned(assigned: DataFrame, centres: DataFrame, key: str, n: int = 15) -> DataFrame:
+    """CLU3, WIN4 for any assignment (cluster, features) and its (cluster, centre) rows, one per cluster; the limit
+    applies in every task before the shuffle."""
     x = vector_to_array("features")
-    placed = model.transform(rows).withColumnRenamed("prediction", "cluster").join(F.broadcast(table), "cluster")
+    placed = assigned.join(F.broadcast(centres), "cluster")
     gaps = F.zip_with(x, "centre", lambda a, b: (a - b) * (a - b))
     placed = placed.withColumn("distance", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b)))
     w = W.partitionBy("cluster").orderBy("distance", key)

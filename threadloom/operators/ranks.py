@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 
 from threadloom.sources.scratch import cut_lineage
 
-SMALL_COUNTS = 1_000_000  # this many (value, count) rows fit one task with ease
+BUCKET_ROWS = 200_000  # about so many rows are sorted by one task
+MAX_BUCKETS = 4_096  # cuts of a value range that a plan states; one bucket still is one sort that can spill
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the keys of the left side stay."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"_right_{k}"])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def order_hash(seed: int | str, key: Column) -> Column:
@@ -23,20 +33,24 @@ def order_hash(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def position_by_hash(df: DataFrame, by: Sequence[str], hash_col: str, tie: str, out: str = "position", digits: int = 3) -> DataFrame:
-    """1-based position of every row inside its group, ordered by a hex hash, then `tie`.
+def position_by_hash(df: DataFrame, by: Sequence[str], hash_col: str, tie: str, out: str = "position", digits: int | None = None) -> DataFrame:
+    """1-based position of every row inside its group, ordered by a hex hash, then `tie`; NULL is a group like any other.
 
-    The leading hex digits of the hash cut each group into 16**digits even buckets, so a hot group is
-    spread over all of them.
+    The leading hex digits of the hash cut each group into 16**digits even buckets, so a hot group is spread over all
+    of them; their number follows the number of rows.
     """
+    if digits is None:
+        rows = df.count()
+        digits = 1
+        while rows > BUCKET_ROWS * 16**digits:
+            digits += 1
     cut = df.withColumn("_bucket", F.substring(hash_col, 1, digits))
     sizes = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*by, "_bucket").orderBy(hash_col, tie)
     return (
-        cut.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*by, "_bucket"])
+        join_null_safe(cut.withColumn("_inside", F.row_number().over(inside)), offsets, [*by, "_bucket"])
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_bucket", "_inside", "_before")
     )
@@ -51,24 +65,23 @@ def _bucket_of(c: Column, bounds: Sequence, lo: int, hi: int) -> Column:
 
 
 def value_positions(
-    df: DataFrame, by: Sequence[str], value: str, buckets: int = 256, weight: str | None = None, small: int = SMALL_COUNTS
+    df: DataFrame, by: Sequence[str], value: str, buckets: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """One row per (group, value): `n` rows, `before` rows with a smaller value, `total` rows in the group.
 
     Rows are counted per value first, so repeats combine before the shuffle, and the counts are kept: what
-    follows reads them more than once.  Up to `small` counts are summed by one window per group.  Beyond
-    that the values are cut into buckets at quantiles of the distinct values (a fixed-size sketch, collected
-    as at most `buckets` numbers).  The cuts only steer the split: positions are exact whatever the sketch's
-    error.  NULL values are left out.
+    follows reads them more than once.  The values are cut into buckets, more of them for more values, at quantiles
+    of the distinct values (a fixed-size sketch, collected as at most `buckets` numbers).  The cuts only steer the
+    split: positions are exact whatever the sketch's error.  NULL values are left out, NULL groups are not.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
     counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n")))
     so_far = lambda w: F.coalesce(F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    if counts.count() <= small:
-        group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-        return counts.select(*by, value, "n", so_far(group).alias("before"), F.sum("n").over(group).alias("total"))
+    if buckets is None:
+        buckets = max(1, min(MAX_BUCKETS, -(-counts.count() // BUCKET_ROWS)))
     share = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(counts.agg(F.percentile_approx(value, share, 10 * buckets)).first()[0]))
+    found = counts.agg(F.percentile_approx(value, share, 10 * buckets)).first()[0] if share else None
+    bounds = sorted(set(found or []))
     cut = counts.withColumn("_bucket", _bucket_of(F.col(value), bounds, 0, len(bounds)))
     sizes = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_n"))
     all_buckets = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -76,10 +89,8 @@ def value_positions(
     offsets = sizes.select(
         *by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(all_buckets).alias("total")
     )
-    return (
-        cut.withColumn("_inside", so_far(W.partitionBy(*by, "_bucket")))
-        .join(offsets, [*by, "_bucket"])
-        .select(*by, value, "n", (F.col("_before") + F.col("_inside")).alias("before"), "total")
+    return join_null_safe(cut.withColumn("_inside", so_far(W.partitionBy(*by, "_bucket"))), offsets, [*by, "_bucket"]).select(
+        *by, value, "n", (F.col("_before") + F.col("_inside")).alias("before"), "total"
     )
 
 
@@ -108,10 +119,10 @@ def quantiles_from(positions: DataFrame, by: Sequence[str], value: str, probs: d
     return out.select(*by, "total", *cols)
 
 
-def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL_COUNTS) -> DataFrame:
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], buckets: int | None = None) -> DataFrame:
     """Exact quantiles per group for values with unbounded range (times, amounts).
 
     For values with a small range (text lengths, scores) the built-in `median` is enough: its buffer holds one
     entry per distinct value.
     """
-    return quantiles_from(value_positions(df, by, value, small=small), by, value, probs)
+    return quantiles_from(value_positions(df, by, value, buckets), by, value, probs)

@@ -44,14 +44,24 @@ HITS = (
 )
 
 
-def _best(part: pd.DataFrame, docs: pd.DataFrame, q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query: similarity down, ids up."""
+def _place_in(groups: np.ndarray) -> np.ndarray:
+    """Place of every element among equal, adjacent ones, from 0."""
+    first = np.r_[True, groups[1:] != groups[:-1]] if len(groups) else np.zeros(0, bool)
+    return np.arange(len(groups)) - np.maximum.accumulate(np.where(first, np.arange(len(groups)), 0))
+
+
+def _best(part: pd.DataFrame, docs: pd.DataFrame, q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int, per_owner: int) -> pd.DataFrame:
+    """The k best rows of each query, at most `per_owner` of one owner: similarity down, ids up."""
     ids, owners = docs["doc_id"].to_numpy(), docs["owner_id"].to_numpy()
     order = np.lexsort((owners[d], ids[d], -np.round(s, RANK_DIGITS), q))
-    qs = q[order]
-    first = np.r_[True, qs[1:] != qs[:-1]] if len(qs) else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(qs)), 0))
-    keep = order[np.arange(len(qs)) - start < k]
+    if per_owner < k:
+        _, owner = np.unique(owners[d[order]], return_inverse=True)
+        pair = q[order] * (owner.max(initial=0) + 1) + owner
+        together = np.argsort(pair, kind="stable")
+        allowed = np.zeros(len(order), bool)
+        allowed[together] = _place_in(pair[together]) < per_owner
+        order = order[allowed]
+    keep = order[_place_in(q[order]) < k]
     return pd.DataFrame(
         {"query_id": part["query_id"].to_numpy()[q[keep]], "doc_id": ids[d[keep]], "owner_id": owners[d[keep]], "sim": s[keep]}
     )
@@ -62,7 +72,7 @@ def _empty() -> pd.DataFrame:
     return pd.DataFrame({"query_id": none, "doc_id": none, "owner_id": none, "sim": np.zeros(0)})
 
 
-def _sparse_scorer(k: int, min_sim: float):
+def _sparse_scorer(k: int, min_sim: float, per_owner: int):
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or docs.empty:
             return _empty()
@@ -96,13 +106,13 @@ def _sparse_scorer(k: int, min_sim: float):
                     )
                 at = to
             good = np.flatnonzero(cells >= min_sim - SLACK)
-            out.append(_best(part, docs, good // nd, good % nd, cells[good], k))
+            out.append(_best(part, docs, good // nd, good % nd, cells[good], k, per_owner))
         return pd.concat(out)
 
     return score
 
 
-def _dense_scorer(k: int, min_sim: float):
+def _dense_scorer(k: int, min_sim: float, per_owner: int):
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or docs.empty:
             return _empty()
@@ -113,7 +123,7 @@ def _dense_scorer(k: int, min_sim: float):
             part = queries.iloc[lo : lo + step]
             sims = np.vstack(part["vector"].to_numpy()) @ d.T
             gq, gd = np.nonzero(sims >= min_sim - SLACK)
-            out.append(_best(part, docs, gq, gd, sims[gq, gd], k))
+            out.append(_best(part, docs, gq, gd, sims[gq, gd], k, per_owner))
         return pd.concat(out)
 
     return score
@@ -129,7 +139,7 @@ def _represented(queries: DataFrame, digest) -> DataFrame:
     return q.join(reps, "_digest").drop("_digest")
 
 
-def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payload: Sequence[str], scorer, k: int, query_rows: int) -> DataFrame:
+def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payload: Sequence[str], scorer, k: int, per_owner: int, query_rows: int) -> DataFrame:
     """Bring each shard together with its queries and keep the k best rows per query.
 
     A shard that many queries visit is copied to several tasks, each with at most about `query_rows` of them.
@@ -147,7 +157,11 @@ def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payloa
     scored = q.groupBy("q_shard", "q_part").cogroup(d.groupBy("d_shard", "d_part")).applyInPandas(
         scorer, "query_id long, doc_id long, owner_id long, sim double"
     )
-    w = W.partitionBy("query_id").orderBy(F.desc(F.round("sim", RANK_DIGITS)), "doc_id", "owner_id")
+    order = (F.desc(F.round("sim", RANK_DIGITS)), "doc_id", "owner_id")
+    if per_owner < k:
+        of_owner = W.partitionBy("query_id", "owner_id").orderBy(*order)
+        scored = scored.withColumn("_own", F.row_number().over(of_owner)).filter(F.col("_own") <= per_owner).drop("_own")
+    w = W.partitionBy("query_id").orderBy(*order)
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
@@ -191,7 +205,8 @@ def topk_sparse(
     """JON12, WIN3: for every query (query_id, term_ids, weights) its k nearest rows of docs
     (doc_id, owner_id, term_ids, weights) by dot product, at least min_sim; (query_id, hits array).
 
-    `exclude_self` leaves out rows whose owner_id is the query's id.  Vectors must have unit length and
+    `exclude_self` leaves out rows whose owner_id is the query's id.  Equal queries share one list, which then holds
+    2k rows but at most k of one owner: whichever owner a query leaves out, k others are left.  Vectors must have unit length and
     non-negative weights.  There are about as many groups of leading terms as shards, so that a shard
     holds rows about few things and its bounds are tight.
     """
@@ -219,7 +234,7 @@ def topk_sparse(
         .filter(F.col("bound") >= min_sim - SLACK)
         .select("query_id", "shard")
     )
-    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded, ["term_ids", "weights"], _sparse_scorer(kk, min_sim), kk, query_rows)
+    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded, ["term_ids", "weights"], _sparse_scorer(kk, min_sim, k), kk, k, query_rows)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 
@@ -266,7 +281,7 @@ def topk_dense(
         distinct_q.mapInPandas(angles, "query_id long, grp int, angle double")
         .join(radius, "grp").filter(F.cos(gap) >= min_sim - SLACK).select("query_id", "shard")
     )
-    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded.select("shard", "doc_id", "owner_id", "vector"), ["vector"], _dense_scorer(kk, min_sim), kk, query_rows)
+    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded.select("shard", "doc_id", "owner_id", "vector"), ["vector"], _dense_scorer(kk, min_sim, k), kk, k, query_rows)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 

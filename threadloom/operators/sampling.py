@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import values as V
 from threadloom.functions.lexicon import mentions, multi_issue, sarcasm_risk
 from threadloom.functions.text import normal_form, text_key
-from threadloom.operators.ranks import order_hash, position_by_hash
-
-MAX_GROUP_LIMIT = 1000  # largest per-group limit Spark prunes before the shuffle
+from threadloom.operators.ranks import join_null_safe, order_hash, position_by_hash
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -58,17 +56,17 @@ def random_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def kfold(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """WIN10: stratified fold number 0..folds-1."""
+    """WIN10: stratified fold number 0..folds-1; rows with a NULL label are a stratum of their own."""
     placed = position_by_hash(df.withColumn("_h", order_hash(seed, F.col(key))), [label], "_h", key, "_pos")
     return placed.withColumn("fold", F.pmod(F.col("_pos") - 1, F.lit(folds)).cast("int")).drop("_h", "_pos")
 
 
 def dev_test_split(df: DataFrame, stratum: str, key: str, dev_share: float = 0.6, seed: int = 42) -> DataFrame:
-    """WIN11: the first share of each stratum in hash order is dev, the rest test."""
+    """WIN11: the first share of each stratum in hash order is dev, the rest test; NULL is a stratum like any other."""
     placed = position_by_hash(df.withColumn("_h", order_hash(seed, F.col(key))), [stratum], "_h", key, "_pos")
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
     is_dev = F.col("_pos") <= F.round(F.col("_size") * dev_share)
-    return placed.join(sizes, stratum).withColumn("split", F.when(is_dev, "dev").otherwise("test")).drop("_h", "_pos", "_size")
+    return join_null_safe(placed, sizes, [stratum]).withColumn("split", F.when(is_dev, "dev").otherwise("test")).drop("_h", "_pos", "_size")
 
 
 def quotas(df: DataFrame, stratum: str, strata: Sequence[str], target: int, floor: int = 10) -> DataFrame:
@@ -95,10 +93,9 @@ def stratified_sample(
 ) -> DataFrame:
     """WIN5: the first `quota` rows of each stratum in hash order.
 
-    No quota exceeds the target, so the constant limit comes first and is applied before the shuffle.
+    Positions come from hash buckets, so that no task sorts a whole stratum, whatever the target.
     """
-    w = W.partitionBy(stratum).orderBy("_h", key)
-    ranked = df.withColumn("_h", order_hash(seed, F.col(key))).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= target)
+    ranked = position_by_hash(df.withColumn("_h", order_hash(seed, F.col(key))), [stratum], "_h", key, "_rn")
     q = quotas(df, stratum, strata, target, floor).select(stratum, "quota")
     return ranked.join(F.broadcast(q), stratum).filter(F.col("_rn") <= F.col("quota")).drop("_h", "_rn", "quota")
 

@@ -40,10 +40,12 @@ def agg_time_range(spark, d):
     return r.select(us("first_at").alias("first_us"), us("last_at").alias("last_us"))
 
 
-@query("agg_describe", f"""SELECT label, min(minutes) AS min, round_even(avg(minutes), 4) AS mean, max(minutes) AS max, count(*) FILTER (minutes < 0) AS negatives, count(*) AS total,
-round_even(quantile_cont(minutes, 0.25), 6) AS p25, round_even(median(minutes), 6) AS median FROM ({MINUTES_SQL}) GROUP BY 1""")
+@query("agg_describe", f"""SELECT label, min(minutes) AS min, round_even(avg(minutes), 4) AS mean, max(minutes) AS max, count(*) FILTER (minutes < 0) AS negatives, count(minutes) AS total,
+round_even(quantile_cont(minutes, 0.25), 6) AS p25, round_even(median(minutes), 6) AS median FROM (SELECT nullif(label, '5-LOW') AS label, CASE WHEN label <> '2-HIGH' THEN minutes END AS minutes FROM ({MINUTES_SQL})) GROUP BY 1""")
 def agg_describe(spark, d):
+    """One priority counts as unlabelled, one has no values."""
     rows = order_line_minutes(table(spark, d, "orders"), table(spark, d, "lineitem"))
+    rows = rows.withColumn("minutes", F.when(F.col("label") != "2-HIGH", F.col("minutes"))).withColumn("label", F.nullif("label", F.lit("5-LOW")))
     return linking.describe(rows, "minutes", ["label"]).withColumns({"mean": F.round("mean", 4), "p25": F.round("p25", 6), "median": F.round("median", 6)})
 
 
@@ -137,16 +139,16 @@ def jon_anti_split(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@query("set_except", "SELECT user_id FROM events EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("set_except", "SELECT user_id, event_type FROM events EXCEPT SELECT o_custkey, 'view' FROM orders")
 def set_except(spark, d):
-    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"))
-    return table(spark, d, "events").select("user_id").subtract(urgent)
+    buyers = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.lit("view").alias("event_type"))
+    return table(spark, d, "events").select("user_id", "event_type").subtract(buyers)
 
 
-@query("set_intersect", "SELECT user_id FROM events INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("set_intersect", "SELECT user_id FROM events INTERSECT SELECT o_custkey FROM orders")
 def set_intersect(spark, d):
-    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"))
-    return table(spark, d, "events").select("user_id").intersect(urgent)
+    buyers = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))
+    return table(spark, d, "events").select("user_id").intersect(buyers)
 
 
 @query("set_union_train", "SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
@@ -189,6 +191,16 @@ def src_threads_choice(spark, d):
     return t.select("customer_tweet_id", "brand_tweet_id", F.col("thread_length").cast("bigint"), F.round("response_time_minutes", 6).alias("response_time_minutes"))
 
 
+@query("src_threads_subsample", f"WITH {q.THREADS} SELECT customer_tweet_id, brand_tweet_id FROM threads WHERE has_followup")
+def src_threads_subsample(spark, d):
+    """SRC3: the subsample is read when there is one, here the threads with a follow-up."""
+    root = f"{shared_folder(spark)}/tables/threads-{uuid.uuid4().hex}"
+    every = linking.threads(tweets(spark, d))
+    readers.write_parquet(every, f"{root}/full")
+    readers.write_parquet(every.filter("has_followup"), f"{root}/sub")
+    return readers.read_threads(spark, f"{root}/sub", f"{root}/full").select("customer_tweet_id", "brand_tweet_id")
+
+
 @query("src_required_columns", "SELECT count(*) AS n, true AS rejected FROM documents JOIN labels USING (doc_id)")
 def src_required_columns(spark, d):
     """SRC6: the complete table passes, the same table without two columns is refused before any job."""

@@ -166,36 +166,75 @@ def trained(spark, d):
     return models.TextClassifier.train(labelled_messages(spark, d), "tweet_id", "text", "label", q.LANGS)
 
 
-@query("cls_logreg")
+LABELLED = f"{q.T}, labelled AS (SELECT tweet_id, {q.case('text', GOLD_WORDS, 0, 'en')} AS label FROM tweets WHERE inbound)"
+
+
+def prediction_facts(predicted, label, confidence, *by):
+    """Rows per group, and how many have a known label and a probability that can be the highest of them."""
+    valid = F.col(label).isin(*q.LANGS) & F.col(confidence).between(round(1 / len(q.LANGS), 4), 1)
+    return predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("n_valid"), F.count_distinct(F.struct(*predicted.columns[:1])).alias("n_keys"))
+
+
+@query("cls_logreg", f"WITH {LABELLED} SELECT label, count(*) AS n, count(*) AS n_valid, count(*) AS n_keys, true AS most_right FROM labelled GROUP BY 1")
 def cls_logreg(spark, d):
-    """CLS1: trained on the labelled messages, applied to the same rows."""
+    """CLS1: trained on the labelled messages and applied to them: no row is lost, and most of each label are found."""
     data = labelled_messages(spark, d)
-    return trained(spark, d).predict(data, "tweet_id", "text").join(data.select("tweet_id", "label"), "tweet_id")
+    predicted = trained(spark, d).predict(data, "tweet_id", "text").join(data.select("tweet_id", "label"), "tweet_id")
+    right = predicted.groupBy("label").agg((2 * F.count_if(F.col("intent") == F.col("label")) > F.count(F.lit(1))).alias("most_right"))
+    return prediction_facts(predicted, "intent", "confidence", "label").join(right, "label")
 
 
-@query("cls_pseudo_label")
+@query("cls_pseudo_label", "SELECT lang, count(*) AS n, count(*) AS n_valid, count(*) AS n_keys FROM documents GROUP BY 1")
 def cls_pseudo_label(spark, d):
-    """CLS6: the labelled messages train, a whole other corpus is labelled."""
-    return trained(spark, d).predict(table(spark, d, "documents"), "doc_id", "text", "pseudo_intent", "pseudo_confidence")
+    """CLS6: the labelled messages train, a whole other corpus is labelled, without losing a row."""
+    docs = table(spark, d, "documents")
+    predicted = trained(spark, d).predict(docs, "doc_id", "text", "pseudo_intent", "pseudo_confidence").join(docs.select("doc_id", "lang"), "doc_id")
+    return prediction_facts(predicted, "pseudo_intent", "pseudo_confidence", "lang")
 
 
-@query("cls_crossval")
+@query("cls_crossval", f"""WITH {LABELLED}, f AS (SELECT label AS gold, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || tweet_id), tweet_id) - 1) % 5)::BIGINT AS fold FROM labelled)
+SELECT gold, fold, count(*) AS n, count(*) AS n_valid, count(*) AS n_keys FROM f GROUP BY 1, 2""")
 def cls_crossval(spark, d):
-    """CLS5: out-of-fold predictions of the labelled messages."""
-    return models.cross_validated(labelled_messages(spark, d), "tweet_id", "text", "label")
+    """CLS5: out-of-fold predictions of the labelled messages, counted by label and fold."""
+    out = models.cross_validated(labelled_messages(spark, d), "tweet_id", "text", "label")
+    return prediction_facts(out, "predicted", "confidence", "gold", "fold").withColumn("fold", F.col("fold").cast("bigint"))
 
 
 def embedding_rows(spark, d):
     return models.dense_features(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query("clu_kmeans_sweep")
+@query("clu_kmeans_sweep", "SELECT unnest([8, 9, 10, 11, 12])::BIGINT AS k, (SELECT count(*) FROM embeddings) AS n, unnest([8, 9, 10, 11, 12])::BIGINT AS n_clusters, true AS in_range, 0::BIGINT AS misplaced")
 def clu_kmeans_sweep(spark, d):
-    return models.kmeans_sweep(embedding_rows(spark, d))[0]
+    """CLU1, CLU2: sizes sum up to all rows, the silhouette is one, and no row is nearer to another centre than its own."""
+    rows = embedding_rows(spark, d)
+    table_, fitted = models.kmeans_sweep(rows, starts=1)
+    facts = table_.select(
+        F.col("k").cast("bigint").alias("k"), F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"),
+        F.size("sizes").cast("bigint").alias("n_clusters"), F.col("silhouette").between(-1, 1).alias("in_range"),
+    )
+    misplaced = None
+    for k, model in fitted.items():
+        centres = [F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()]
+        far = lambda c: F.aggregate(F.zip_with(models.vector_to_array("features"), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+        gaps = F.array(*[far(c) for c in centres])
+        placed = model.transform(rows).select("prediction", gaps.alias("gaps"))
+        wrong = placed.agg(F.count_if(F.get("gaps", F.col("prediction")) > F.array_min("gaps") + 1e-6).alias("misplaced")).withColumn("k", F.lit(k).cast("bigint"))
+        misplaced = wrong if misplaced is None else misplaced.unionByName(wrong)
+    return facts.join(misplaced, "k")
+
 
+LABEL_MEANS = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS centre FROM (
+SELECT label, i, avg(x[i]) AS m FROM e, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(x) GROUP BY ALL) GROUP BY 1)"""
 
-@query("clu_nearest")
+
+@query("clu_nearest", f"""WITH {LABEL_MEANS}, s AS (SELECT label AS cluster, vec_id, list_distance(x, centre) AS far FROM e JOIN c USING (label))
+SELECT cluster::BIGINT AS cluster, row_number() OVER (PARTITION BY cluster ORDER BY round_even(far, 9), vec_id) AS rank, vec_id, round_even(far, 6) AS distance FROM s QUALIFY rank <= 15""")
 def clu_nearest(spark, d):
-    rows = embedding_rows(spark, d)
-    _, fitted = models.kmeans_sweep(rows, ks=[10])
-    return models.nearest_members(rows, fitted[10], "vec_id")
+    """CLU3, WIN4: given labels are the clusters, their means the centres."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    means = rows.select("cluster", F.posexplode("x").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("m"))
+    centres = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("centre"))
+    assigned = rows.select("vec_id", "cluster", models.array_to_vector("x").alias("features"))
+    out = models.nearest_assigned(assigned, centres, "vec_id")
+    return out.select(F.col("cluster").cast("bigint"), F.col("rank").cast("bigint"), "vec_id", "distance")

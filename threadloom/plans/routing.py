@@ -10,7 +10,7 @@ from threadloom.operators import failures, gate, metrics
 from threadloom.plans import flows
 from threadloom.plans import vocab as q
 from threadloom.plans.registry import query
-from threadloom.plans.retrieval import GOLD_WORDS, RANKED, message_table, thread_index, trained
+from threadloom.plans.retrieval import GOLD_WORDS, LABELLED, RANKED, labelled_messages, message_table, prediction_facts, thread_index, trained
 from threadloom.plans.scores import S, TOXIC_SQL, scores, toxic_runs
 from threadloom.plans.texts import ALL, _redacted
 from threadloom.sources.adapters import table
@@ -158,12 +158,12 @@ def pip_simple(spark, d):
     return simple(spark, d).select("tweet_id", "intent", "confidence", "escalate", "escalate_reason", "retrieval_similarity", "draft_reply")
 
 
-@query("pip_simple_trained")
+@query("pip_simple_trained", f"WITH {LABELLED} SELECT label, count(*) AS n, count(*) AS n_valid, count(*) AS n_keys FROM labelled GROUP BY 1")
 def pip_simple_trained(spark, d):
-    """PIP3 with CLS1: the classifier learns from the labelled messages."""
+    """PIP3 with CLS1: the classifier learns from the labelled messages; every message comes out once."""
     predictions = trained(spark, d).predict(message_table(spark, d), "tweet_id", "text")
     out = flows.simple_baseline(message_table(spark, d), "tweet_id", "text", predictions, thread_index(spark, d), LEX.rules, exclude_self=True)
-    return out.select("tweet_id", "intent", "confidence", "escalate", "escalate_reason", "retrieval_similarity", "draft_reply")
+    return prediction_facts(out.select("tweet_id", "intent", "confidence").join(labelled_messages(spark, d).select("tweet_id", "label"), "tweet_id"), "intent", "confidence", "label")
 
 
 def evaluation(spark, d):

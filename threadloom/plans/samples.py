@@ -22,15 +22,20 @@ def win_random_n(spark, d):
     return sampling.random_n(table(spark, d, "documents").select("doc_id"), "doc_id", 100)
 
 
-@query("win_kfold", f"SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY {rank_sql(42)}) - 1) % 5)::BIGINT AS fold FROM documents")
+def _some_unlabelled(spark, d):
+    """Every document; one language counts as unlabelled."""
+    return table(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("es")).alias("lang"))
+
+
+@query("win_kfold", f"SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY {rank_sql(42)}) - 1) % 5)::BIGINT AS fold FROM (SELECT doc_id, nullif(lang, 'es') AS lang FROM documents)")
 def win_kfold(spark, d):
-    out = sampling.kfold(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    out = sampling.kfold(_some_unlabelled(spark, d), "lang", "doc_id")
     return out.withColumn("fold", F.col("fold").cast("bigint"))
 
 
-@query("win_split", f"SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {rank_sql(42)}) <= round(count(*) OVER (PARTITION BY lang) * 0.6::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM documents")
+@query("win_split", f"SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {rank_sql(42)}) <= round(count(*) OVER (PARTITION BY lang) * 0.6::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, nullif(lang, 'es') AS lang FROM documents)")
 def win_split(spark, d):
-    return sampling.dev_test_split(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    return sampling.dev_test_split(_some_unlabelled(spark, d), "lang", "doc_id")
 
 
 QUOTA_SQL = """quota AS (SELECT s, n, q + CASE WHEN row_number() OVER (ORDER BY n DESC, s) = 1 THEN {target} - sum(q) OVER () ELSE 0 END AS quota FROM (

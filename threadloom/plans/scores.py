@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threadloom.functions import lexicon
@@ -10,6 +12,7 @@ from threadloom.operators import agreement, metrics
 from threadloom.plans import vocab as q
 from threadloom.plans.registry import query
 from threadloom.sources.adapters import SCORES_SQL, line_scores, table
+from threadloom.sources.scratch import shared_folder
 
 RUNS_SQL = f"runs AS (SELECT doc_id, lang AS gold, {q.case('text', q.LANG_WORDS, 0, q.LANG_DEFAULT[0])} AS pred, source FROM documents)"
 
@@ -80,10 +83,19 @@ def agg_layers(spark, d):
     return metrics.escalation_layers(toxic_runs(spark, d).withColumnRenamed("pred", "escalate"), reason="reason")
 
 
-@query("snk_run_record", f"WITH {TOXIC_SQL} SELECT count(DISTINCT doc_id) AS total_test_interactions, count(*) AS n_runs, 0::BIGINT AS failed_examples_count, 42::BIGINT AS seed, 0.15::DOUBLE AS retrieval_min_similarity FROM esc")
+RECORD_SQL = "count(DISTINCT doc_id) AS total_test_interactions, count(*) AS n_runs, count(*) FILTER (doc_id % 7 = 0) AS failed_examples_count, {0}::BIGINT AS seed, 0.15::DOUBLE AS retrieval_min_similarity FROM esc"
+
+
+@query("snk_run_record", f"WITH {TOXIC_SQL} SELECT {RECORD_SQL.format(42)} UNION ALL SELECT {RECORD_SQL.format(43)}")
 def snk_run_record(spark, d):
-    runs = toxic_runs(spark, d).select(F.col("doc_id").alias("golden_id"), F.col("reason").alias("pred_escalate_reason"))
-    out = metrics.run_record(runs, {"seed": 42, "retrieval_min_similarity": V.MIN_SIMILARITY})
+    """SNK6: two runs' records appended to one file and read back; some runs have failed rows."""
+    path = f"{shared_folder(spark)}/tables/runs-{uuid.uuid4().hex}"
+    reason = F.when(F.col("doc_id") % 7 == 0, "system_error: no prediction").otherwise(F.col("reason"))
+    runs = toxic_runs(spark, d).select(F.col("doc_id").alias("golden_id"), reason.alias("pred_escalate_reason"))
+    for seed in (42, 43):
+        record = metrics.run_record(runs, {"seed": seed, "retrieval_min_similarity": V.MIN_SIMILARITY})
+        metrics.append_record(record, path)
+    out = metrics.read_records(spark, path)
     return out.withColumn("seed", F.col("seed").cast("bigint"))
 
 
@@ -187,6 +199,14 @@ def agg_score_quality(spark, d):
     return agreement.score_table_checks(scores(spark, d), "example_id", [f"human_{c}" for c in q.CRITERIA])
 
 
+@query("agg_first_violation", f"""WITH {S}, c AS (SELECT count(*) AS n, count(DISTINCT example_id) AS k FROM s)
+SELECT n BETWEEN 50 AND 80 AND n = k AS valid, CASE WHEN n NOT BETWEEN 50 AND 80 THEN 'row_count' WHEN n > k THEN 'duplicate:example_id' END AS reason FROM c""")
+def agg_first_violation(spark, d):
+    """AGG31: the verdict over the checks."""
+    checks = agreement.score_table_checks(scores(spark, d), "example_id", [f"human_{c}" for c in q.CRITERIA])
+    return agreement.first_violation(checks)
+
+
 ROUTED_SQL = f"""{S}, t AS (SELECT *, CASE WHEN agent_draft LIKE 'dm R%' THEN 'ESCALATE' WHEN human_tone >= 3 THEN 'DRAFT_FOR_REVIEW' ELSE 'AUTO_SEND' END AS tier FROM s)"""
 
 

@@ -71,8 +71,8 @@ def normal(col: str) -> str:
     return f"trim(regexp_replace(regexp_replace({t}, '[[:punct:]]', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
 
-IDS = "list_filter(list_transform(str_split({0}, ','), lambda x: try_cast(try_cast(trim(x) AS DOUBLE) AS BIGINT)), lambda x: x IS NOT NULL)"
-PARENT = "try_cast(try_cast(trim(in_response_to_tweet_id) AS DOUBLE) AS BIGINT)"
+IDS = "list_filter(list_transform(str_split({0}, ','), lambda x: coalesce(try_cast(trim(x) AS BIGINT), try_cast(try_cast(trim(x) AS DOUBLE) AS BIGINT))), lambda x: x IS NOT NULL)"
+PARENT = "coalesce(try_cast(trim(in_response_to_tweet_id) AS BIGINT), try_cast(try_cast(trim(in_response_to_tweet_id) AS DOUBLE) AS BIGINT))"
 
 T = f"tweets AS MATERIALIZED ({TWEETS_SQL})"
 PTR = f"""ptr AS (SELECT tweet_id, inbound, generate_subscripts(ids, 1) - 1 AS position, unnest(ids) AS target_id

@@ -12,17 +12,9 @@ TURN_SPACE = 1_000_000
 N_BRANDS = 15
 
 
-TEXT_TABLES = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  Long texts that lie in fewer files than there are cores are spread over the cores,
-    since one row group is read by one task; filters and columns still reach the scan.  A table of many
-    files is read as it lies, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXT_TABLES and len(df.inputFiles()) < cores else df
+    """A driver table as it lies; split sizes are the session's."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def conversation_tweets(conversations: DataFrame) -> DataFrame:
@@ -30,7 +22,7 @@ def conversation_tweets(conversations: DataFrame) -> DataFrame:
 
     The pointers are those of the turn before and after.  Short texts lose their forward pointer, long
     ones their backward pointer, and texts with a line break list a second reply that does not exist, so
-    every link class and dangling pointers occur.  System turns are no messages: pointers to them dangle.
+    every link class and dangling pointers occur.  System turns are outbound messages of an author of their own.
     """
     tweet_id = F.col("conv_id") * TURN_SPACE + F.col("turn")
     chars = F.char_length("text")
@@ -41,9 +33,10 @@ def conversation_tweets(conversations: DataFrame) -> DataFrame:
     # Wall-clock arithmetic, so that the text does not depend on the session's time zone.
     start = F.lit("2017-10-01 00:00:00").cast("timestamp_ntz")
     created = F.timestamp_add("SECOND", F.col("conv_id") * 3600 + F.col("turn") * 1200 + chars, start)
-    return conversations.filter(F.col("role") != "system").select(
+    return conversations.select(
         tweet_id.alias("tweet_id"),
         F.when(inbound, F.concat(F.lit("c"), F.col("conv_id")))
+        .when(F.col("role") == "system", F.lit("system"))
         .otherwise(F.concat(F.lit("brand_"), F.pmod(F.col("conv_id"), F.lit(N_BRANDS))))
         .alias("author_id"),
         inbound.alias("inbound"),
@@ -57,7 +50,7 @@ def conversation_tweets(conversations: DataFrame) -> DataFrame:
 # The same projection for the DuckDB checks.
 TWEETS_SQL = """
 SELECT conv_id * 1000000 + turn AS tweet_id,
-       CASE WHEN role = 'user' THEN 'c' || conv_id ELSE 'brand_' || (conv_id % 15) END AS author_id,
+       CASE WHEN role = 'user' THEN 'c' || conv_id WHEN role = 'system' THEN 'system' ELSE 'brand_' || (conv_id % 15) END AS author_id,
        role = 'user' AS inbound,
        strftime(TIMESTAMP '2017-10-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 1200 + length(text)),
                 '%a %b %d %H:%M:%S +0000 %Y') AS created_at,
@@ -67,7 +60,7 @@ SELECT conv_id * 1000000 + turn AS tweet_id,
             ELSE (conv_id * 1000000 + turn + 1)::VARCHAR END AS response_tweet_id,
        CASE WHEN turn > 0 AND length(text) <= 900 THEN (conv_id * 1000000 + turn - 1)::VARCHAR END
            AS in_response_to_tweet_id
-FROM conversations WHERE role <> 'system'
+FROM conversations
 """
 
 
