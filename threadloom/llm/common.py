@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20  # text that a task takes apart at a time
-WORDS_KEPT = 400_000  # distinct words whose values a task remembers
+BLOCK_BYTES = 2 << 20  # text that a task takes apart at a time
+WORDS_KEPT = 250_000  # distinct words whose values a task remembers
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ bytes left are alike.  Contexts begin at the word, so a word's code length does
 All training documents count, and nothing of the size of the corpus is broadcast:
 
 1. each task turns its documents into blocks: the block's distinct words with their training counts, and each
-   document's word numbers; a document is read once and never shuffled;
+   document's word numbers and their counts; a document is read once and never shuffled;
 2. word counts are summed; words are dealt into parts of bounded size, whose distinct n-grams ask for code lengths;
 3. trie nodes with the same last two context bytes meet in one group (256^3 n-grams at most; shorter contexts are
    bounded tables sent along) and the code length of every n-gram is worked out there;
@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from threadloom.sources.scratch import stage_table
 
 DEPTH = 4  # bytes of context
 HELD_OUT_OF = 5
-BLOCK_BYTES = 24 << 20  # text of a block
-PART_WORDS = 400_000  # distinct words of a part
+BLOCK_BYTES = 16 << 20  # text of a block
+PART_WORDS = 150_000  # distinct words of a part
 END = b"\n"  # the end token; no word has white space
 BLOCK_SCHEMA = "block long, word binary, number int, trained long, doc_id long, held_out boolean, words binary"
 
@@ -41,44 +42,66 @@ BLOCK_SCHEMA = "block long, word binary, number int, trained long, doc_id long,
 # ---- documents to blocks
 
 
-def _block_rows(block: int, docs: list[tuple[int | None, bool, list[bytes]]]) -> Iterator[pa.RecordBatch]:
-    numbers: dict[bytes, int] = {}
-    coded, trained = [], []
-    for _, held, words in docs:
-        for w in set(words).difference(numbers):
-            numbers[w] = len(numbers)
-        ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-        coded.append(ids.tobytes())
+def _packed(ids: np.ndarray, compressor: zstandard.ZstdCompressor) -> bytes:
+    """Distinct word numbers in order, as differences, and how often each occurs."""
+    distinct, n = np.unique(ids, return_counts=True)
+    return compressor.compress(np.concatenate([np.diff(distinct, prepend=0), n]).astype("<u4").tobytes())
+
+
+def _unpacked(coded: bytes, decompressor: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(decompressor.decompress(coded), "<u4").astype(np.int64)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
+
+
+class _Block:
+    """A block under way: the numbers of its words, their training counts, and its documents."""
+
+    def __init__(self, block: int):
+        self.block, self.size = block, 0
+        self.numbers: dict[bytes, int] = {}
+        self.trained = np.zeros(1 << 16, np.int64)
+        self.docs: list[tuple[int | None, bool, bytes]] = []
+
+    def add(self, doc_id: int | None, held: bool, text: bytes, compressor: zstandard.ZstdCompressor) -> None:
+        words = text.lower().split()
+        words.append(END)
+        for w in set(words).difference(self.numbers):
+            self.numbers[w] = len(self.numbers)
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.numbers) > len(self.trained):
+            self.trained = np.concatenate([self.trained, np.zeros(max(len(self.trained), len(self.numbers) - len(self.trained)), np.int64)])
         if not held:
-            trained.append(ids)
-    counts = np.bincount(np.concatenate([*trained, np.zeros(0, np.int32)]), minlength=len(numbers))
-    n, m = len(numbers), len(docs)
-    names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    rows = [
-        [pa.array(np.full(n, block)), pa.array(list(numbers), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts), *(pa.nulls(n, t) for t in kinds[4:])],
-        [pa.array(np.full(m, block)), *(pa.nulls(m, t) for t in kinds[1:4]), pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.bool_()), pa.array(coded, pa.binary())],
-    ]
-    for columns in rows:
-        whole = pa.RecordBatch.from_arrays(columns, names=names)
-        for at in range(0, whole.num_rows, 20_000):
-            yield whole.slice(at, 20_000)
+            self.trained[: len(self.numbers)] += np.bincount(ids, minlength=len(self.numbers))
+        self.docs.append((doc_id, held, _packed(ids, compressor)))
+        self.size += len(text)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        n, m = len(self.numbers), len(self.docs)
+        names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        doc_ids, held, coded = zip(*self.docs)
+        for columns in (
+            [pa.array(np.full(n, self.block)), pa.array(list(self.numbers), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(self.trained[:n]), *(pa.nulls(n, t) for t in kinds[4:])],
+            [pa.array(np.full(m, self.block)), *(pa.nulls(m, t) for t in kinds[1:4]), pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(coded, pa.binary())],
+        ):
+            whole = pa.RecordBatch.from_arrays(columns, names=names)
+            for at in range(0, whole.num_rows, 10_000):
+                yield whole.slice(at, 10_000)
 
 
 def _blocks(block_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        docs, size = [], 0
+        compressor = zstandard.ZstdCompressor(level=3)
+        block = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch)):
-                words = (text or b"").lower().split()
-                docs.append((doc_id, held, [*words, END]))
-                size += len(text or b"")
-                if size >= block_bytes:
-                    yield from _block_rows(block, docs)
-                    block, docs, size = block + 1, [], 0
-        if docs:
-            yield from _block_rows(block, docs)
+                block.add(doc_id, held, text or b"", compressor)
+                if block.size >= block_bytes:
+                    yield from block.rows()
+                    block = _Block(block.block + 1)
+        if block.docs:
+            yield from block.rows()
 
     return run
 
@@ -190,10 +213,10 @@ def _block_scores(total: int, distinct: int):
         log[words["number"]] = words["log"]
         trained[words["number"]] = words["trained"]
         base = np.log10((trained + 0.5) / (total + 0.5 * (distinct + 1)))
-        rows = []
+        rows, decompressor = [], zstandard.ZstdDecompressor()
         for doc_id, held, coded in zip(docs["doc_id"], docs["held_out"], docs["words"]):
-            ids = np.frombuffer(coded, np.int32)
-            rows.append((doc_id, held, len(ids), int((trained[ids] > 0).sum()), total, float(base[ids].sum()), float(log[ids].sum())))
+            ids, n = _unpacked(coded, decompressor)
+            rows.append((doc_id, held, int(n.sum()), int(n[trained[ids] > 0].sum()), total, float(base[ids] @ n), float(log[ids] @ n)))
         out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return out.astype({"doc_id": "Int64"})
 
