@@ -193,5 +193,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     kept = near_duplicates(ids, **options).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi")
     first = W.partitionBy("doc_id").orderBy("text")
-    single = named.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    nth = "nth"
+    while nth in docs.columns:
+        nth += "_"
+    single = named.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
     return single.unionByName(docs.filter(F.col("doc_id").isNull()))
