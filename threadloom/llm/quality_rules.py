@@ -127,7 +127,7 @@ def fences(rated: DataFrame, names: Sequence[str], slacks: dict[str, float], lea
         median, upper = _quantiles(sketch)
         return upper + F.greatest(fence * (upper - median), F.lit(slacks[rate]))
 
-    overall = own.agg(*merged).select(*[limit(c, c).alias(c) for c in names]).first()  # one number per rate
+    overall = own.agg(*merged).select(*[F.when(F.col("n") > 0, limit(c, c)).alias(c) for c in names]).first()  # one number per rate
     out = []
     for c in names:
         own_fence, lang_fence, all_fence = limit(c, c), limit(f"{c}_lang", c), F.lit(overall[c])
