@@ -28,11 +28,11 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
 
 
-def spans_of(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges of about `limit` bytes, one text at least; no text is cut."""
+def spans_of(texts: list[bytes | None] | list[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges of about `limit` bytes (characters), one text at least; no text is cut."""
     start = size = 0
     for i, text in enumerate(texts):
-        size += len(text or b"")
+        size += len(text) if text else 0
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0

@@ -131,7 +131,7 @@ class Network:
     def words(self, words: list[bytes]) -> np.ndarray:
         """Per word: sums of its bytes' probabilities, and the number of bytes."""
         out = np.zeros((len(words), len(self.languages) + 1))
-        for owner, text in by_length(words):
+        for owner, text in by_length(words) if self.languages else ():
             p = self.label(text)
             np.add.at(out, owner, np.concatenate([p.sum(axis=1), np.full((len(text), 1), text.shape[1])], axis=1))
         return out

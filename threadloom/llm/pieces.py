@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import spans_of
 
 MARK = "▁"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 
 
 class Vocabulary:
@@ -76,31 +77,56 @@ class SharedPrefixEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.stays: dict[tuple[str, str], bool] = {}
+        self._long: dict[str, set[int]] = {}
+        for piece in vocabulary.ids:
+            if len(piece) > 2:
+                self._long.setdefault(piece[-3:], set()).add(len(piece))
+        #: Lengths of pieces that may end with up to three last characters, longest first; one always may.
+        self.lengths: dict[str, tuple[int, ...]] = {}
+
+    def _lengths(self, tail: str) -> tuple[int, ...]:
+        found = sorted(self._long.get(tail, ()), reverse=True)
+        if tail[-2:] in self.v.ids and len(tail) > 1:
+            found.append(2)
+        if len(self.lengths) > 500_000:
+            self.lengths.clear()
+        self.lengths[tail] = out = (*found, 1)
+        return out
 
     def _stay(self, left: str, right: str) -> bool:
-        """Whether two pieces side by side are left as they are by the merges."""
-        key = left, right
-        known = self.stays.get(key)
-        if known is None:
-            if len(self.stays) > 2_000_000:
-                self.stays.clear()
-            known = self.stays[key] = self.v.merged(left + right) == key
+        """Whether the merges of two pieces side by side give these two; with no left piece, whether they give one."""
+        if len(self.stays) > 1_000_000:
+            self.stays.clear()
+        self.stays[left, right] = known = self.v.merged(left + right) == ((left, right) if left else (right,))
         return known
 
-    def _cell(self, word: str, end: int, cells: list[tuple]) -> tuple:
-        """(start of the last piece, score, the piece) of the prefix that ends at `end`."""
+    def _extend_merged(self, word: str, begin: int, cells: list[tuple]) -> None:
+        """Add the cells (start, score, piece) of the prefixes that end at `begin` and later: the last piece of each
+        prefix's own encoding."""
+        ids, stays, lengths = self.v.ids, self.stays, self.lengths
+        for end in range(begin, len(word) + 1):
+            tail = word[max(0, end - 3) : end]
+            for n in lengths.get(tail) or self._lengths(tail):
+                start = end - n
+                if start < 0:
+                    continue
+                piece = word[start:end]
+                if n > 1 and piece not in ids:
+                    continue
+                left = cells[start][2]
+                stay = stays.get((left, piece))
+                if stay if stay is not None else self._stay(left, piece):
+                    cells.append((start, 0.0, piece))
+                    break
+
+    def _score_cell(self, word: str, end: int, cells: list[tuple]) -> tuple:
+        """(start, best sum, piece) of the best-scoring segmentation of the prefix."""
         v, best = self.v, None
         for start in range(max(0, end - v.longest), end):
             piece = word[start:end]
             if piece not in v.ids and start != end - 1:
                 continue
-            before = cells[start]
-            if v.merges:
-                if not start or self._stay(before[2], piece):
-                    if len(piece) == 1 or v.merged(piece) == (piece,):
-                        return start, 0.0, piece
-                continue
-            score = before[1] + (v.scores[v.ids[piece]] if piece in v.ids else -1e6)
+            score = cells[start][1] + (v.scores[v.ids[piece]] if piece in v.ids else -1e6)
             if best is None or score > best[1]:
                 best = start, score, piece
         return best
@@ -116,8 +142,11 @@ class SharedPrefixEncoder:
                     break
                 shared += 1
             del cells[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                cells.append(self._cell(word, end, cells))
+            if self.v.merges:
+                self._extend_merged(word, shared + 1, cells)
+            else:
+                for end in range(shared + 1, len(word) + 1):
+                    cells.append(self._score_cell(word, end, cells))
             ids: list[int] = []
             end = len(word)
             while end:
@@ -147,8 +176,8 @@ def marked_words(text: str) -> list[str]:
     return [*out, marks[:-1]] if len(marks) > 1 else out
 
 
-def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
-    """The text of ids: control and unknown pieces say nothing, the dummy space in front goes."""
+def decode_pieces(ids: Iterable[int], v: Vocabulary) -> str:
+    """What ids stand for, marks as spaces; control and unknown pieces say nothing."""
     parts, raw = [], bytearray()
     for i in ids:
         if i in v.byte_of:
@@ -161,36 +190,67 @@ def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
             parts.append(v.pieces[i])
     if raw:
         parts.append(raw.decode("utf-8", "replace"))
-    text = "".join(parts).replace(MARK, " ")
-    return text[1:] if text.startswith(" ") else text
+    return "".join(parts).replace(MARK, " ")
+
+
+def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
+    """The text of ids: without the dummy space in front."""
+    return decode_pieces(ids, v).removeprefix(" ")
+
+
+@lru_cache(maxsize=1)
+def _worker_words(model_file: str, merges: bool) -> WordIds:
+    """The words this worker process has met; later tasks find them as they were left, and results do not depend on it."""
+    return WordIds(SharedPrefixEncoder(Vocabulary(model_file, merges)))
+
+
+class WordIds:
+    """Ids of words, as bytes, remembered in two generations: words not met in the last one are forgotten."""
+
+    def __init__(self, encoder: SharedPrefixEncoder):
+        self.encoder = encoder
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.changed: set[str] = set()  # words that decoding does not give back
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """A mapping that has all these words."""
+        if len(self.young) > WORDS_KEPT:
+            self.old, self.young = self.young, {}
+        new = words.difference(self.young)
+        met = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in met)
+        for w, ids in self.encoder.encode(new - met).items():
+            self.young[w] = np.array(ids, "<i4").tobytes()
+            if decode_pieces(ids, self.encoder.v) != w.replace(MARK, " "):
+                self.changed.add(w)
+        return self.young
+
+    def gives_back(self, words: list[str], text: str) -> bool:
+        """Whether decoding the ids of learnt words gives the text: no run of byte pieces crosses a mark, so each word
+        decodes by itself."""
+        return self.changed.isdisjoint(words) and "".join(words).replace(MARK, " ").removeprefix(" ") == text.replace(MARK, " ")
 
 
 def _encode(model_file: str, merges: bool, digest: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model_file, merges)
-        encoder = SharedPrefixEncoder(v)
-        known: dict[str, bytes] = {}
+        seen = _worker_words(model_file, merges)
         for batch in batches:
             ids_of, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in spans_of([t and t.encode("utf-8", "replace") for t in texts]):
+            for lo, hi in spans_of(texts):
                 words = [marked_words(t or "") for t in texts[lo:hi]]
-                new = set().union(*words).difference(known)
-                if len(known) + len(new) > WORDS_KEPT:
-                    known.clear()
-                    new = set().union(*words)
-                known.update((w, np.array(i, "<i4").tobytes()) for w, i in encoder.encode(new).items())
+                known = seen.learn(set().union(*words))
                 coded = [b"".join(map(known.__getitem__, w)) for w in words]
                 if not digest:
                     offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
                     values = pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32())
                     yield pa.RecordBatch.from_arrays([ids_of.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
                     continue
-                back = [decode_ids(np.frombuffer(c, "<i4").tolist(), v) for c in coded]
                 columns = [
                     ids_of.slice(lo, hi - lo),
                     pa.array([len(c) // 4 for c in coded], pa.int64()),
                     pa.array([zlib.crc32(c) for c in coded], pa.int64()),
-                    pa.array([b == (t or "").replace(MARK, " ") for b, t in zip(back, texts[lo:hi])], pa.bool_()),
+                    pa.array([seen.gives_back(w, t or "") for w, t in zip(words, texts[lo:hi])], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
