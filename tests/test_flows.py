@@ -12,6 +12,11 @@ MESSAGES = [
     (1, "my battery drains since the update"), (2, "I will call my lawyer"), (3, "wifi drops, please write to a@b.co"), (4, "qqq zzz"), (5, "charged twice, refund please"),
 ]
 
+LEX = flows.Lexicons(
+    keywords=[("battery_drain_power", 0.95, ["battery"]), ("connectivity_network", 0.94, ["wifi"]), ("billing_app_store", 0.95, ["charged", "refund"])],
+    default_label=("other", 0.72), severe=["furious"], frustrated=["annoying"], canned={"battery_drain_power": "Hello from @{handle}", "other": "Hi"},
+)
+
 
 @pytest.fixture(scope="module")
 def index(spark):
@@ -25,7 +30,7 @@ def messages(spark):
 
 
 def test_message_flow(spark, index):
-    got = {r["id"]: r for r in flows.message_flow(messages(spark), "id", "text", index).collect()}
+    got = {r["id"]: r for r in flows.message_flow(messages(spark), "id", "text", index, LEX).collect()}
     assert set(got) == {1, 2, 3, 4, 5}
     assert got[1]["intent"] == "battery_drain_power" and got[1]["draft_reply"].startswith("battery reply") and got[1]["routing_tier"] in V.TIERS
     assert got[2]["escalate_reason"] == "rule:legal_threat" and "rule:legal_threat" in got[2]["draft_reply"] and got[2]["routing_tier"] == "ESCALATE"
@@ -36,13 +41,13 @@ def test_message_flow(spark, index):
 
 def test_baselines_and_evaluation(spark, index):
     labelled = spark.createDataFrame([("other",), ("battery_drain_power",), ("battery_drain_power",)], "intent string")
-    trivial = flows.trivial_baseline(messages(spark), labelled, "intent", "Shop")
+    trivial = flows.trivial_baseline(messages(spark), labelled, "intent", "Shop", LEX.canned)
     assert {r["intent"] for r in trivial.collect()} == {"battery_drain_power"} and not any(r["escalate"] for r in trivial.collect())
     preds = messages(spark).select("id", F.lit("billing_app_store").alias("intent"), F.lit(0.3).alias("confidence"))
     simple = {r["id"]: r for r in flows.simple_baseline(messages(spark), "id", "text", preds, index).collect()}
     assert simple[2]["escalate"] and not simple[5]["escalate"] and simple[4]["draft_reply"] == V.FALLBACK_REPLY
     golden = messages(spark).select("id", "text", F.lit("other").alias("gold_intent"), (F.col("id") == 2).alias("gold_escalate"), F.lit("r").alias("gold_escalate_reason"), F.lit("base").alias("sample_layer"))
-    runs = flows.evaluation_runs({"T": trivial, "half": trivial.filter("id < 3")}, golden, "id", "text")
+    runs = flows.evaluation_runs({"T": trivial, "half": trivial.filter("id < 3")}, golden, "id", "text", LEX)
     out = {(r["system"], r["golden_id"]): r for r in runs.collect()}
     assert len(out) == 10 and runs.columns == flows.RUN_COLUMNS
     # A message a system failed on stays in the table as an escalated default row.
@@ -50,7 +55,7 @@ def test_baselines_and_evaluation(spark, index):
 
 
 def test_calibration_needs_enough_rows(spark, index):
-    flow = flows.message_flow(messages(spark), "id", "text", index)
+    flow = lambda sample: flows.message_flow(sample, "id", "text", index, LEX)
     assert flows.calibration_set(messages(spark), flow, "id", 3).count() == 3
     with pytest.raises(ValueError):
         flows.calibration_set(messages(spark), flow, "id", 6)
@@ -101,7 +106,7 @@ def test_streaming_frames_route_like_batch(spark, tmp_path):
     src = messages(spark).select("id", "text", F.lit("other").alias("intent"), F.lit(0.9).alias("confidence"), F.lit(0.5).alias("retrieval_similarity"))
     src.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    q = route_messages(stream, gate.fixed_medians(src)).writeStream.format("memory").queryName("routed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = route_messages(stream, gate.fixed_medians(src), LEX).writeStream.format("memory").queryName("routed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     cols = ["id", "routing_tier", "routing_reason"]
-    assert sorted(spark.table("routed").select(cols).collect()) == sorted(route_messages(src, gate.fixed_medians(src)).select(cols).collect())
+    assert sorted(spark.table("routed").select(cols).collect()) == sorted(route_messages(src, gate.fixed_medians(src), LEX).select(cols).collect())

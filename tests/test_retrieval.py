@@ -43,7 +43,7 @@ def tfidf(rows, texts):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return ThreadIndex.build(spark.createDataFrame(thread_rows(), SCHEMA))
+    return ThreadIndex.build(spark.createDataFrame(thread_rows(), SCHEMA), stop_words=())
 
 
 @pytest.mark.parametrize("exclude", [False, True])
@@ -79,7 +79,7 @@ def test_hits_carry_the_thread(spark, index):
 def test_saved_index_answers_alike(spark, index, tmp_path):
     index.save(str(tmp_path / "ix"))
     df = spark.createDataFrame([(1, "hot w1 w3")], "id long, t string")
-    again = ThreadIndex.load(spark, str(tmp_path / "ix"))
+    again = ThreadIndex.load(spark, str(tmp_path / "ix"), stop_words=())
     assert again.query(df, "id", "t").first() == index.query(df, "id", "t").first()
 
 

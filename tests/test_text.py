@@ -72,9 +72,9 @@ def test_topics_and_sarcasm(spark):
 
 
 def test_cascade_and_severity(spark):
-    label = lambda v: one(spark, v, lambda c: lexicon.cascade(c, V.KEYWORD_CASCADE, V.CASCADE_DEFAULT)[0])
+    label = lambda v: one(spark, v, lambda c: lexicon.cascade(c, [("battery_drain_power", 0.95, ["battery"]), ("connectivity_network", 0.94, ["wifi"])], ("other", 0.72))[0])
     assert label("battery and wifi") == "battery_drain_power" and label("nothing here") == "other"
-    tone = lambda v: one(spark, v, lambda c: lexicon.severity(c, V.SEVERE_WORDS, V.FRUSTRATED_WORDS))
+    tone = lambda v: one(spark, v, lambda c: lexicon.severity(c, ["furious", "sue"], ["annoying"]))
     assert [tone("I am furious and annoying"), tone("so annoying"), tone("hello, an issue")] == ["severe", "frustrated", "routine"]
 
 

@@ -145,17 +145,15 @@ def citations(hits: Column) -> tuple[Column, Column, Column]:
 def reply_features(reply: Column) -> dict[str, Column]:
     """PRJ28: boolean traits of a reply text."""
     low = F.lower(F.coalesce(reply, F.lit("")))
-    return {
-        "escalated": low.contains("[escalated"),
-        "has_settings": low.rlike("settings|reset|update"),
-        "has_dm": low.rlike("dm|direct message"),
-        "has_url": low.rlike(r"https://|\.com|t\.co"),
-        "asks_question": low.rlike(r"\?|what version|which device|front and rear"),
-        "has_specific_path": low.rlike(
-            r"settings >|iforgot\.apple\.com|reportaproblem\.apple\.com|text replacement|network settings|icloud music library|front and rear"
-        ),
-        "is_short": F.char_length(low) < 120,
-    }
+
+    def shows(phrases: Sequence[str]) -> Column:
+        found = F.lit(False)
+        for x in phrases:
+            found = found | low.contains(x)
+        return found
+
+    traits = {name: shows(phrases) for name, phrases in V.REPLY_TRAITS.items()}
+    return {"escalated": low.contains(V.ESCALATED_MARK), **traits, "is_short": F.char_length(low) < 120}
 
 
 def low_score(scores: Sequence[Column], below: int = 5) -> Column:

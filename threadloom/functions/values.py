@@ -69,14 +69,6 @@ URGENCY_WORDS = [
     "urgent", "urgently", "immediately", "asap", "right now",
     "critical", "emergency", "hurry", "today", "cannot wait",
 ]
-SEVERE_WORDS = [
-    "lawyer", "attorney", "sue", "lawsuit", "police", "fraud", "chargeback", "swelling", "swollen",
-    "burn", "exploded", "hacked", "stolen", "unauthorized device", "furious", "destroying",
-    "catastrophic", "unacceptable",
-]
-FRUSTRATED_WORDS = [
-    "terrible", "worst", "hate", "useless", "broken", "annoying", "frustrated", "disappointed",
-]
 
 # --- fixed values: topic words used to count how many topics a text touches ------------------------
 TOPIC_WORDS = {
@@ -90,19 +82,6 @@ TOPIC_WORDS = {
     "billing_app_store": ["app store", "charged", "subscription", "refund", "receipt", "purchase", "billing"],
 }
 
-# --- fixed values: keyword cascade, first hit wins; (label, confidence, words) ---------------------
-KEYWORD_CASCADE = [
-    ("keyboard_autocorrect_bug", 0.96, ["i️", "letter i", "“i”", "autocorrect", "typing i", "predictive text", "type the word", "spacebar", "fix the i", "capital i"]),
-    ("battery_drain_power", 0.95, ["battery", "drain", "draining", "charge", "charging", "dies quickly", "% battery", "overheating", "dies at", "power"]),
-    ("audio_music_playback", 0.94, ["apple music", "music app", "playlist", "headphone", "earpods", "airpods sound", "song", "audio", "listen to music", "podcasts"]),
-    ("camera_photos_media", 0.95, ["camera", "photos", "camera roll", "flashlight", "black screen", "blurry", "shutter", "pictures disappeared", "pics", "16 pics", "animojis"]),
-    ("connectivity_network", 0.94, ["wifi", "wi-fi", "bluetooth", "pair", "pairing", "airdrop", "cellular", "no service", "lte", "reconnect", "reconnecting"]),
-    ("account_icloud_login", 0.95, ["apple id", "icloud", "password", "2fa", "verification code", "locked out", "login", "sign in", "account"]),
-    ("billing_app_store", 0.95, ["app store", "charged", "subscription", "refund", "receipt", "purchase", "billing", "in-app", "credit card", "payment", "$529", "store support"]),
-    ("system_performance_freeze", 0.91, ["ios 11", "ios", "update", "freeze", "freezing", "frozen", "crashes", "crashing", "lag", "slow", "unresponsive", "restart", "reboot", "screen", "glitch", "stutter", "bug", "shutting down", "emojis", "upgrade"]),
-]
-CASCADE_DEFAULT = ("other", 0.72)
-
 # --- fixed values: personal-data patterns, applied in this order -----------------------------------
 EMAIL_PATTERN = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE_PATTERN = r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
@@ -142,21 +121,38 @@ ESCALATION_RULES = [
     ]),
 ]
 
-# --- fixed values: reply texts ({handle} is the brand's handle) ------------------------------------
+# --- fixed values: reply texts ------------------------------------
 FALLBACK_REPLY = "I want to make sure you get the right help — let me connect you with our team."
 ESCALATED_REPLY = "[ESCALATED TO HUMAN SPECIALIST: %s] We want to ensure you get dedicated support on this urgent matter. Our senior team has been notified and will assist you directly."
 ESCALATED_BY_RULE_REPLY = "[ESCALATED VIA RULE: %s]"
-CANNED_REPLIES = {
-    "system_performance_freeze": "Thanks for reaching out to @{handle}. Please force restart your device and let us know your iOS version via DM so we can assist: https://t.co/GDrqU22YpT",
-    "keyboard_autocorrect_bug": "We are aware of this keyboard autocorrect behavior. You can set up a text replacement shortcut in Settings > General > Keyboard > Text Replacement. DM us if you need help: https://t.co/GDrqU22YpT",
-    "battery_drain_power": "We want to ensure your battery runs efficiently. Check Settings > Battery to view power usage and send us a DM to run diagnostic checks: https://t.co/GDrqU22YpT",
-    "audio_music_playback": "Let's get your music working again. Try toggling iCloud Music Library in Settings and restarting your device. Send us a DM for further assistance: https://t.co/GDrqU22YpT",
-    "connectivity_network": "We recommend resetting network settings under Settings > General > Reset > Reset Network Settings. Please DM us if you are still experiencing connection drops: https://t.co/GDrqU22YpT",
-    "camera_photos_media": "We'd like to help with your camera issue. Please close all camera-related apps and DM us with your device model: https://t.co/GDrqU22YpT",
-    "account_icloud_login": "You can reset your Apple ID password securely at iforgot.apple.com. Please send us a DM if you encounter recovery issues: https://t.co/GDrqU22YpT",
-    "billing_app_store": "You can view your purchase history and request refunds directly at reportaproblem.apple.com. DM us if you need more details: https://t.co/GDrqU22YpT",
-    "other": "Thanks for contacting @{handle}. Please send us a Direct Message with your device model and iOS version so we can look into this for you: https://t.co/GDrqU22YpT",
-}
 
 # --- fixed values: columns a labelled evaluation file must have -------------------------------------
 REQUIRED_EVALUATION_COLUMNS = ["golden_id", "customer_text", "intent", "escalate", "escalate_reason"]
+
+# --- fixed values: phrases that show a trait of a reply (any of them, lower case) ---------------------
+REPLY_TRAITS = {
+    "has_settings": ["settings", "reset", "update"],
+    "has_dm": ["dm", "direct message"],
+    "has_url": ["https://", ".com", "t.co"],
+    "asks_question": ["?", "what version", "which device", "front and rear"],
+    "has_specific_path": [
+        "settings >", "iforgot.apple.com", "reportaproblem.apple.com", "text replacement", "network settings", "icloud music library", "front and rear",
+    ],
+}
+ESCALATED_MARK = "[escalated"
+
+# --- fixed values: names of failure modes by rank, and of causes of disagreement ----------------------
+FAILURE_MODES = {
+    1: "Biggest Intent Confusion Pair",
+    2: "Escalation False Negative (Missed Escalation)",
+    3: "Lowest Reply Quality / Groundedness & Hallucination Failure",
+    4: "Retrieval Found Irrelevant Context & LLM Improvised",
+    5: "Naive Verbatim Nearest-Neighbor Retrieval Failure (Baseline Risk)",
+}
+CAUSE_POLITE = "politeness-over-diagnostic"
+CAUSE_INCOMPLETE = "incomplete-but-plausible"
+CAUSE_HALLUCINATION = "missed-hallucination"
+CAUSE_STRICT = "overly-strict-groundedness"
+CAUSE_BRAND = "brand-voice-judgment"
+CAUSE_TONE = "tone-preference"
+CAUSE_BOUNDARY = "scoring-boundary"

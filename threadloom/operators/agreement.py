@@ -59,12 +59,12 @@ def disagreements(df: DataFrame, key: str, text: str, draft: str, left: str, rig
     h, j, c = F.col("human"), F.col("judge"), F.col("criterion")
     polite = F.contains(F.lower(draft), F.lit("dm")) & (F.char_length(draft) < 120)
     cause = (
-        F.when(c.isin("correctness", "completeness") & (j > h), F.when(polite, "politeness-over-diagnostic").otherwise("incomplete-but-plausible"))
-        .when((c == "groundedness") & (j > h), "missed-hallucination")
-        .when((c == "groundedness") & (h > j), "overly-strict-groundedness")
-        .when(c == "brand_voice", "brand-voice-judgment")
-        .when(c == "tone", "tone-preference")
-        .otherwise("scoring-boundary")
+        F.when(c.isin("correctness", "completeness") & (j > h), F.when(polite, V.CAUSE_POLITE).otherwise(V.CAUSE_INCOMPLETE))
+        .when((c == "groundedness") & (j > h), V.CAUSE_HALLUCINATION)
+        .when((c == "groundedness") & (h > j), V.CAUSE_STRICT)
+        .when(c == "brand_voice", V.CAUSE_BRAND)
+        .when(c == "tone", V.CAUSE_TONE)
+        .otherwise(V.CAUSE_BOUNDARY)
     )
     return pairs.withColumn("difference", F.abs(h - j)).filter("difference >= 2").withColumn("category", cause)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions import values as V
 from threadloom.functions.text import anonymize, redact
 from threadloom.operators.metrics import top_confusion
 
@@ -17,10 +18,10 @@ COLUMNS = [
 ]
 
 
-def _shape(df: DataFrame, mode: str, rank: int, gold: Column, pred: Column, reason: Column, source: str, notes: tuple[str, str]) -> DataFrame:
+def _shape(df: DataFrame, rank: int, gold: Column, pred: Column, reason: Column, source: str, notes: tuple[str, str]) -> DataFrame:
     out = anonymize(df, "customer_text", "customer_text_anonymized")
     return out.select(
-        F.lit(mode).alias("failure_mode"), F.lit(rank).alias("failure_rank"), F.col("golden_id").alias("example_id"), "customer_text_anonymized",
+        F.lit(V.FAILURE_MODES[rank]).alias("failure_mode"), F.lit(rank).alias("failure_rank"), F.col("golden_id").alias("example_id"), "customer_text_anonymized",
         gold.alias("gold_label"), pred.alias("predicted_label"), reason.alias("reason"), F.col("draft").alias("agent_draft"),
         F.lit(notes[0]).alias("hypothesis"), F.lit(notes[1]).alias("proposed_fix"), F.lit(source).alias("source_result_file"),
     )
@@ -31,14 +32,14 @@ def intent_confusion(runs: DataFrame, notes: tuple[str, str] = ("", "")) -> Data
     pair = F.broadcast(top_confusion(runs, "gold_intent", "pred_intent").select(F.col("gold").alias("gold_intent"), F.col("pred").alias("pred_intent"), F.col("n").alias("pair_n")))
     row = runs.join(pair, ["gold_intent", "pred_intent"]).orderBy("golden_id").limit(1)
     reason = F.format_string("Confusion count = %d instances across test split", "pair_n")
-    return _shape(row, "Biggest Intent Confusion Pair", 1, F.col("gold_intent"), F.col("pred_intent"), reason, "all_runs", notes)
+    return _shape(row, 1, F.col("gold_intent"), F.col("pred_intent"), reason, "all_runs", notes)
 
 
 def missed_escalation(runs: DataFrame, notes: tuple[str, str] = ("", "")) -> DataFrame:
     """FAL2, FLT12: the first row that should have been escalated and was not."""
     row = runs.filter(F.col("gold_escalate") & ~F.col("pred_escalate")).orderBy("golden_id").limit(1)
     reason = F.concat(F.lit("Gold: "), F.col("gold_escalate_reason"), F.lit(" | Pred: "), F.col("pred_escalate_reason"))
-    return _shape(row, "Escalation False Negative (Missed Escalation)", 2, F.lit("escalate = True"), F.lit("escalate = False"), reason, "all_runs", notes)
+    return _shape(row, 2, F.lit("escalate = True"), F.lit("escalate = False"), reason, "all_runs", notes)
 
 
 def lowest_groundedness(comparison: DataFrame, sample: DataFrame, notes: tuple[str, str] = ("", "")) -> DataFrame:
@@ -46,14 +47,14 @@ def lowest_groundedness(comparison: DataFrame, sample: DataFrame, notes: tuple[s
     low = comparison.orderBy(F.asc_nulls_last("human_groundedness"), "golden_id").limit(1)
     row = low.select("golden_id", "human_groundedness", "judge_v1_groundedness").join(sample, "golden_id")
     reason = F.format_string("groundedness: human %d, judge %d", "human_groundedness", "judge_v1_groundedness")
-    return _shape(row, "Lowest Reply Quality / Groundedness & Hallucination Failure", 3, F.lit("grounded = True"), F.lit("grounded = False"), reason, "comparison", notes)
+    return _shape(row, 3, F.lit("grounded = True"), F.lit("grounded = False"), reason, "comparison", notes)
 
 
 def weak_evidence(runs: DataFrame, min_sim: float = 0.15, notes: tuple[str, str] = ("", "")) -> DataFrame:
     """FAL4: the answered row whose best evidence cleared the threshold by least."""
     row = runs.filter(F.col("retrieval_similarity") >= min_sim).orderBy("retrieval_similarity", "golden_id").limit(1)
     reason = F.format_string("Best retrieval similarity was %.4f", "retrieval_similarity")
-    return _shape(row, "Retrieval Found Irrelevant Context & LLM Improvised", 4, F.col("gold_intent"), F.col("pred_intent"), reason, "all_runs", notes)
+    return _shape(row, 4, F.col("gold_intent"), F.col("pred_intent"), reason, "all_runs", notes)
 
 
 def leaking_reply(runs: DataFrame, notes: tuple[str, str] = ("", "")) -> DataFrame:
@@ -61,7 +62,7 @@ def leaking_reply(runs: DataFrame, notes: tuple[str, str] = ("", "")) -> DataFra
     seen = redact(runs, "draft", "_redacted", "_pii", "_types")
     row = seen.filter((F.col("_pii") > 0) | F.col("draft").rlike("@[A-Za-z0-9_]+")).orderBy("golden_id").limit(1)
     reason = F.format_string("Verbatim reply exposes personal data or a handle (%d redactable items)", "_pii")
-    return _shape(row, "Naive Verbatim Nearest-Neighbor Retrieval Failure (Baseline Risk)", 5, F.col("gold_intent"), F.col("pred_intent"), reason, "all_runs", notes)
+    return _shape(row, 5, F.col("gold_intent"), F.col("pred_intent"), reason, "all_runs", notes)
 
 
 def failure_table(*parts: DataFrame) -> DataFrame:

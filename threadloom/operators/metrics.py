@@ -120,10 +120,8 @@ def low_score_rate(df: DataFrame, score: str, by: Sequence[str] = (), at_most: i
 
 def tier_distribution(df: DataFrame, tier: str = "routing_tier") -> DataFrame:
     """AGG23: every tier with count and percentage, zero where none."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counts = df.groupBy(F.col(tier).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-    tiers = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in V.TIERS])).alias("tier"))
-    full = tiers.join(counts, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"), total.alias("total"))
+    one = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(tier) == t).alias(t) for t in V.TIERS])
+    full = one.unpivot(["total"], list(V.TIERS), "tier", "n")
     return full.select("tier", "n", rounded(_ratio(F.col("n"), F.col("total")) * 100, 2).alias("pct"))
 
 

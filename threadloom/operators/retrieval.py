@@ -20,6 +20,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -285,6 +286,11 @@ def topk_dense(
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 
+def english_stop_words() -> list[str]:
+    """MLlib's English stop words."""
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 class ThreadIndex:
     """RET1, SNK4: vocabulary, row vectors and row texts of the usable threads, as three frames or tables."""
 
@@ -294,13 +300,14 @@ class ThreadIndex:
 
     @classmethod
     def build(
-        cls, usable_threads: DataFrame, stop_words: Sequence[str] = (), max_terms: int | None = V.MAX_INDEX_TERMS, min_df: int = V.MIN_DOC_FREQ
+        cls, usable_threads: DataFrame, stop_words: Sequence[str] | None = None, max_terms: int | None = V.MAX_INDEX_TERMS, min_df: int = V.MIN_DOC_FREQ
     ) -> ThreadIndex:
         """RET1: index the customer texts of threads, one row per thread.
 
         A thread is known by its brand reply (doc_id) and its customer message (owner_id).  Each of the three
-        parts is written once, as queries read them many times.
+        parts is written once, as queries read them many times.  Stop words are English ones unless given.
         """
+        stop_words = english_stop_words() if stop_words is None else stop_words
         docs = usable_threads.select(
             F.col("brand_tweet_id").alias("doc_id"), F.col("customer_tweet_id").alias("owner_id"),
             "customer_tweet_id", "customer_text", "brand_tweet_id", "brand_reply_text", "response_time_minutes",
@@ -319,7 +326,8 @@ class ThreadIndex:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
     @classmethod
-    def load(cls, spark, path: str, stop_words: Sequence[str] = (), max_terms: int | None = V.MAX_INDEX_TERMS) -> ThreadIndex:
+    def load(cls, spark, path: str, stop_words: Sequence[str] | None = None, max_terms: int | None = V.MAX_INDEX_TERMS) -> ThreadIndex:
+        stop_words = english_stop_words() if stop_words is None else stop_words
         vocab, rows, docs = (spark.read.parquet(f"{path}/{t}") for t in ("vocab", "rows", "docs"))
         return cls(vocab, rows, docs, stop_words, max_terms)
 

@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
 from threadloom.functions.lexicon import cascade, first_rule, severity
-from threadloom.functions.scoring import choose_reply, citations
+from threadloom.functions.scoring import choose_reply, citations, clamp_score, render_request
 from threadloom.functions.text import redact
+from threadloom.operators import requests
 from threadloom.operators.gate import gate, route, sla_risk
 from threadloom.operators.models import TextClassifier, arbitrate
 from threadloom.operators.profile import mode
 from threadloom.operators.retrieval import ThreadIndex
 from threadloom.operators.sampling import random_n
+from threadloom.sources.scratch import stage_table
 
 
 @dataclass
 class Lexicons:
-    """The word lists and tables a flow works with."""
+    """The word lists and tables a flow works with; keyword cascade, tone words and fixed replies are the brand's own."""
 
+    keywords: Sequence
+    default_label: tuple[str, float]
+    severe: Sequence[str]
+    frustrated: Sequence[str]
+    canned: Mapping[str, str]
     rules: Sequence = tuple(V.ESCALATION_RULES)
-    keywords: Sequence = tuple(V.KEYWORD_CASCADE)
-    default_label: tuple[str, float] = V.CASCADE_DEFAULT
-    severe: Sequence[str] = tuple(V.SEVERE_WORDS)
-    frustrated: Sequence[str] = tuple(V.FRUSTRATED_WORDS)
     urgency: Sequence[str] = tuple(V.URGENCY_WORDS)
     prone: Sequence[str] = tuple(V.PRONE_INTENTS)
     match: str = "word"
-    canned: Mapping[str, str] = field(default_factory=lambda: V.CANNED_REPLIES)
 
 
 def message_flow(
@@ -39,7 +41,7 @@ def message_flow(
     key: str,
     text: str,
     index: ThreadIndex,
-    lex: Lexicons | None = None,
+    lex: Lexicons,
     classifier: TextClassifier | None = None,
     medians: DataFrame | None = None,
     fallback_minutes: Column | float = V.FALLBACK_MEDIAN_MINUTES,
@@ -54,7 +56,6 @@ def message_flow(
     label comes from the keyword cascade and, when a trained classifier is given, is arbitrated with it.
     `drafts` may hold externally written replies (key, draft_reply); otherwise the best evidence is the reply.
     """
-    lex = lex or Lexicons()
     df = redact(messages, text)
     label, conf = cascade(F.col("redacted_text"), lex.keywords, lex.default_label, lex.match)
     df = df.withColumn("_label", label).withColumn("_conf", conf)
@@ -87,7 +88,7 @@ def canned(df: DataFrame, label: str, replies: Mapping[str, str], handle: str, o
     return joined.withColumn(out, F.coalesce(out, F.lit(default)))
 
 
-def trivial_baseline(messages: DataFrame, labelled: DataFrame, label: str, handle: str, replies: Mapping[str, str] = V.CANNED_REPLIES) -> DataFrame:
+def trivial_baseline(messages: DataFrame, labelled: DataFrame, label: str, handle: str, replies: Mapping[str, str]) -> DataFrame:
     """PIP2: the majority label for every message, never escalated, one fixed reply."""
     majority = mode(labelled, label).select("majority_label").scalar()
     df = messages.withColumn("intent", majority).withColumn("confidence", F.lit(1.0))
@@ -152,22 +153,43 @@ def run_frame(system: str, predicted: DataFrame, golden: DataFrame, key: str, te
     )
 
 
-def evaluation_runs(systems: Mapping[str, DataFrame], golden: DataFrame, key: str, text: str, lex: Lexicons | None = None, medians: DataFrame | None = None, fallback: Column | float = V.FALLBACK_MEDIAN_MINUTES) -> DataFrame:
+def evaluation_runs(systems: Mapping[str, DataFrame], golden: DataFrame, key: str, text: str, lex: Lexicons, medians: DataFrame | None = None, fallback: Column | float = V.FALLBACK_MEDIAN_MINUTES) -> DataFrame:
     """PIP4, JON16: the union of all systems' run frames; golden has gold_intent, gold_escalate, gold_escalate_reason, sample_layer."""
     out = None
     for name, predicted in systems.items():
-        part = run_frame(name, predicted, golden, key, text, lex or Lexicons(), medians, fallback)
+        part = run_frame(name, predicted, golden, key, text, lex, medians, fallback)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def calibration_set(dev: DataFrame, flow: DataFrame, key: str, n: int = 60, seed: int = 42) -> DataFrame:
-    """PIP5, PRJ27: n rows of the dev split with the flow's draft and its evidence as JSON text."""
+def calibration_set(dev: DataFrame, flow: Callable[[DataFrame], DataFrame], key: str, n: int = 60, seed: int = 42) -> DataFrame:
+    """PIP5, PRJ27: n rows of the dev split with the flow's draft and its evidence as JSON text.
+
+    The rows are drawn first, and `flow` runs on them alone.
+    """
     size = dev.count()
     if size < n:
         raise ValueError(f"the dev split has fewer rows ({size}) than requested ({n})")
-    sample = random_n(dev, key, n, seed)
-    out = F.broadcast(sample).join(flow.select(key, "draft_reply", "retrieved_ids", "retrieved_replies"), key)
+    sample = stage_table(random_n(dev, key, n, seed), "calibration")
+    out = sample.join(flow(sample).select(key, "draft_reply", "retrieved_ids", "retrieved_replies"), key)
     return out.select(
         *sample.columns, F.col("draft_reply").alias("agent_draft"), F.to_json("retrieved_replies").alias("retrieved_evidence"), F.to_json("retrieved_ids").alias("retrieved_ids_json")
     )
+
+
+def judge_requests(runs: DataFrame, instructions: str, model: str, temperature: str = "0.0") -> DataFrame:
+    """PIP4: one keyed scoring request per run row: the message, then the reply that is to be judged."""
+    evidence = F.array(F.concat(F.lit("Message: "), "customer_text"), F.concat(F.lit("Reply: "), F.coalesce("draft", F.lit(""))))
+    prompt = render_request(instructions, evidence, "%d. %s\n", F.lit("Scores:"))
+    return requests.keyed(runs.withColumns({"model": F.lit(model), "temperature": F.lit(temperature), "system_prompt": F.lit(""), "prompt": prompt}))
+
+
+def judge_scores(asked: DataFrame, store: DataFrame, criteria: Sequence[str] = tuple(V.CRITERIA), default: int = 3) -> DataFrame:
+    """PIP4, SRC8, PRJ20, PRJ32: scores of every request from stored responses, one row per criterion.
+
+    A response that is missing or cannot be read gives the default score; scores are held inside 1 to 5.
+    """
+    schema = ", ".join(f"{c} string" for c in criteria)
+    read = requests.parsed(requests.lookup(asked, store), schema, list(criteria))
+    wide = read.select("golden_id", "system", "parse_ok", *[clamp_score(F.col(f"parsed.{c}"), default).alias(c) for c in criteria])
+    return wide.unpivot(["golden_id", "system", "parse_ok"], list(criteria), "criterion", "score")

@@ -103,8 +103,8 @@ BANNER = V.ESCALATED_REPLY.replace("%s", "' || reason || '")
 DRAFT_SQL = f"CASE WHEN escalate THEN '{BANNER}' ELSE coalesce(best, '{V.FALLBACK_REPLY}') END"
 
 
-def message_flow(spark, d):
-    msgs = message_table(spark, d)
+def message_flow(spark, d, msgs=None):
+    msgs = message_table(spark, d) if msgs is None else msgs
     return flows.message_flow(msgs, "tweet_id", "text", thread_index(spark, d), LEX, medians=gate.fixed_medians(msgs, q.LANG_MEDIANS), exclude_self=True)
 
 
@@ -199,10 +199,30 @@ def pip_evaluation_scores(spark, d):
 
 @query("pip_calibration", f"""WITH {FLOW} SELECT qid AS tweet_id, {DRAFT_SQL} AS agent_draft, '[' || ids || ']' AS retrieved_ids_json FROM k ORDER BY md5('42:' || qid), qid LIMIT 20""")
 def pip_calibration(spark, d):
-    out = flows.calibration_set(message_table(spark, d), message_flow(spark, d), "tweet_id", 20)
+    out = flows.calibration_set(message_table(spark, d), lambda sample: message_flow(spark, d, sample), "tweet_id", 20)
     return out.select("tweet_id", "agent_draft", "retrieved_ids_json")
 
 
+JUDGED = f"""WITH {q.T}, msgs AS (SELECT tweet_id AS qid, text FROM tweets WHERE inbound), r AS (SELECT s AS system, qid, text, length(text) < 500 AS parse_ok FROM msgs, (SELECT unnest(['TrivialBaseline', 'Silent']) AS s)),
+j AS (SELECT system, unnest({q.CRITERIA}) AS criterion, unnest([{', '.join(f"CASE WHEN parse_ok THEN least(5, 1 + (length(text) + {i}) % 6) ELSE 3 END" for i in range(len(q.CRITERIA)))}]) AS score, parse_ok FROM r)
+SELECT system, criterion, round_even(avg(score), 2) AS mean, round_even(stddev_samp(score), 2) AS std, count(*) FILTER (score <= 2) AS n_low, round_even(count(*) FILTER (score <= 2) / count(*)::DOUBLE * 100, 2) AS low_pct, count(*) FILTER (parse_ok) AS n_ok FROM j GROUP BY 1, 2"""
+
+
+@query("pip_judge_scores", JUDGED)
+def pip_judge_scores(spark, d):
+    """PIP4, AGG21, AGG22: stored scores of two systems' replies, per system; long texts have no stored response."""
+    msgs = message_table(spark, d)
+    systems = {"TrivialBaseline": trivial(spark, d), "Silent": trivial(spark, d).withColumn("draft_reply", F.lit(None).cast("string"))}
+    runs = flows.evaluation_runs(systems, gold_messages(spark, d), "tweet_id", "text", LEX, gate.fixed_medians(msgs, q.LANG_MEDIANS))
+    asked = stage_table(flows.judge_requests(runs, "Score the reply from 1 to 5.\n", "judge-a"), "requests")
+    fields = [F.format_string(f'"{c}": "%d"', 1 + (F.char_length("customer_text") + i) % 6) for i, c in enumerate(q.CRITERIA)]
+    answered = asked.filter(F.char_length("customer_text") < 500).select("key", F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("response"))
+    long = stage_table(flows.judge_scores(asked, answered.dropDuplicates(["key"]), q.CRITERIA), "judge-scores")
+    low = metrics.low_score_rate(long, "score", ["system", "criterion"])
+    ok = long.groupBy("system", "criterion").agg(F.count_if("parse_ok").alias("n_ok"))
+    return metrics.score_stats(long, ["system"]).join(low, ["system", "criterion"]).join(ok, ["system", "criterion"])
+
+
 # ---- failure mining -------------------------------------------------------------------------------
 
 
@@ -276,7 +296,9 @@ def fal_leaking_reply(spark, d):
     return failures.leaking_reply(mined_runs(spark, d))
 
 
-@query("fal_table", " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (FAL1, FAL2, FAL4, FAL5)))
+@query("fal_table", " UNION ALL ".join(f"SELECT * REPLACE (example_id::VARCHAR AS example_id) FROM ({x})" for x in (FAL1, FAL2, FAL3, FAL4, FAL5)))
 def fal_table(spark, d):
     runs = stage_table(mined_runs(spark, d), "all_runs")  # mining reads the stored runs several times
-    return failures.failure_table(failures.intent_confusion(runs), failures.missed_escalation(runs), failures.weak_evidence(runs), failures.leaking_reply(runs))
+    example = lambda df: df.withColumn("example_id", F.col("example_id").cast("string"))  # scored rows have ids of letters
+    mined = [failures.intent_confusion(runs), failures.missed_escalation(runs), fal_lowest_groundedness(spark, d), failures.weak_evidence(runs), failures.leaking_reply(runs)]
+    return failures.failure_table(*map(example, mined))

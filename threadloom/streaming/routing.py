@@ -15,9 +15,8 @@ from threadloom.operators.gate import gate, route, sla_risk
 from threadloom.plans.flows import Lexicons
 
 
-def route_messages(messages: DataFrame, medians: DataFrame, text: str = "text", lex: Lexicons | None = None) -> DataFrame:
+def route_messages(messages: DataFrame, medians: DataFrame, lex: Lexicons, text: str = "text") -> DataFrame:
     """Messages with intent, confidence and retrieval_similarity in; redacted, gated and routed out."""
-    lex = lex or Lexicons()
     df = redact(messages, text)
     df = df.withColumn("severity", severity(F.col("redacted_text"), lex.severe, lex.frustrated, lex.match))
     df = gate(df, "redacted_text", "intent", "confidence", "severity", lex.rules, lex.prone)
