@@ -63,7 +63,13 @@ def _quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_approximate_nearest_neighbours")
+NEAREST_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+
+@query("op5_approximate_nearest_neighbours", NEAREST_SQL)
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +79,16 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(read_table(spark, sf_dir, "documents"))
 
 
-@query("op4_license_scans")
+def _licenses_sql() -> str:
+    """Exact containment of every template's distinct five-word shingles in whole documents."""
+    shingles = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+    words = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+    given = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    return f"""WITH t AS (SELECT template, license, {shingles} AS ts FROM (SELECT template, license, {words.format('txt')} AS w FROM (VALUES {given}) AS g(template, license, txt))),
+d AS MATERIALIZED (SELECT doc_id, {shingles} AS ds FROM (SELECT doc_id, {words.format('text')} AS w FROM documents) WHERE len(w) >= 5)
+SELECT doc_id, license, template, max(len(list_intersect(ts, ds)) / len(ts)) AS containment FROM d, t WHERE len(ts) > 0 AND len(list_intersect(ts, ds)) / len(ts) >= {licenses.CONTAINMENT}::DOUBLE GROUP BY ALL"""
+
+
+@query("op4_license_scans", _licenses_sql())
 def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read_table(spark, sf_dir, "documents"))
+    return licenses.scan(read_table(spark, sf_dir, "documents")).select("doc_id", "license", "template", "containment")

@@ -116,7 +116,7 @@ def _search(k: int, factor: float, leaf: int, largest: float):
             rows = found.rows[i][found.rows[i] >= 0]
             rows = np.concatenate([members[r][: k + 1] for r in rows]) if len(rows) else rows
             rows = rows[ids[rows] != query_id]
-            score = (x[rows] * q[i]).sum(axis=1)
+            score = np.cumsum(x[rows] * q[i], axis=1)[:, -1]  # one component after another
             best = np.lexsort((ids[rows], -score))[:k]
             out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows[best]], "score": score[best]}))
         return pd.concat(out, ignore_index=True)
