@@ -47,10 +47,13 @@ def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
     return vocab.withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0))
 
 
+BROADCAST_TERMS = 100_000
+
+
 def _small(vocab: DataFrame, max_terms: int | None) -> DataFrame:
-    # Only a vocabulary with a fixed size limit is broadcast; an open one joins by shuffle, where adaptive
+    # Only a vocabulary with a small fixed limit is broadcast; any other joins by shuffle, where adaptive
     # execution splits hot terms (its side has one row per term).
-    return F.broadcast(vocab) if max_terms else vocab
+    return F.broadcast(vocab) if max_terms and max_terms <= BROADCAST_TERMS else vocab
 
 
 def weights(counts: DataFrame, vocab_idf: DataFrame, key: str, max_terms: int | None = None) -> DataFrame:

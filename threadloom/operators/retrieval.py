@@ -169,11 +169,11 @@ def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payloa
 def _sub_shards(docs: DataFrame, group: str, shard_rows: int) -> DataFrame:
     """Split each group into as many shards as its size needs; a hot group simply gets more of them.
 
-    The sizes are one row per group, and the callers fix the number of groups, so they are broadcast.
+    The sizes are one row per group; how they are joined is left to Spark.
     """
     sizes = docs.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(shard_rows))).alias("_subs"))
     sub = F.pmod(F.xxhash64("doc_id"), F.col("_subs"))
-    return docs.join(F.broadcast(sizes), group).withColumn("shard", F.concat_ws(":", F.col(group), sub)).drop("_subs")
+    return docs.join(sizes, group).withColumn("shard", F.concat_ws(":", F.col(group), sub)).drop("_subs")
 
 
 def _citable(docs: DataFrame, digest: str, k: int, own_rows: int) -> DataFrame:
