@@ -63,3 +63,22 @@ def test_nothing_to_learn_from(spark, edges, nothing):
     net = language.fit(nothing)
     assert {r["lang_pred"] for r in language.predict(edges, net).collect()} == {"und"}
     assert language.predict(edges, net).count() == len(EDGES) and language.predict(nothing, net).count() == 0
+
+
+def test_keeping_with_one_language_and_with_none(spark):
+    rows = [(i, f"the text number {i} of one language", "en") for i in range(30)] + [(100, "12 34", "en"), (101, None, "en")]
+    for lang in ("en", None):
+        docs = frame(spark, [(i, t, lang) for i, t, _ in rows])
+        kept = {r["doc_id"] for r in language.keep_known(docs, language.fit(docs)).collect()}
+        assert kept == set(range(30)), lang
+
+
+def test_unlearnt_language_is_not_kept(spark):
+    rows = texts(900, 3)
+    net = language.fit(frame(spark, rows), docs_per_lang=100)
+    assert set(net.limits) == {"aa", "bb"} and all(0.6 < x <= 1 for x in net.limits.values())
+    rnd = random.Random(4)
+    known = [(i + 5000, t, None) for i, t, _ in texts(300, 5)]
+    other = [(i + 9000, " ".join(rnd.choices("kuka joka olen hyvä tämä sinä mutta koska ей это как".split(), k=30)), None) for i in range(100)]
+    kept = [r["doc_id"] for r in language.keep_known(frame(spark, known + other), net).collect()]
+    assert sum(i < 9000 for i in kept) >= 290 and sum(i >= 9000 for i in kept) <= 5

@@ -10,7 +10,7 @@ word of every text counts.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ BATCH = 1024
 RATE = 0.01
 HELD_OUT_OF = 3
 UNKNOWN = "und"
-LEAST_LIFT = 1.2  # times an even share, what the best language must reach for a document to be kept
+LEAST_QUANTILE = 0.005  # of the scores of a language's labelled documents, what a document must reach to be kept
+LEAST_DOCS = 200  # labelled documents outside the sample from which a language has its own quantile
+QUANTILE_ACCURACY = 10_000  # rank error of the mergeable quantiles: one in so many
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,6 +97,7 @@ class Network:
     backwards: Direction
     out: np.ndarray  # 2H x languages
     out_bias: np.ndarray
+    limits: dict[str, float] = field(default_factory=dict)  # least score by language
 
     @classmethod
     def fresh(cls, languages: list[str], hidden: int, rng: np.random.Generator) -> Network:
@@ -201,7 +204,7 @@ def _draw_words(per_doc: int):
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC, train_words: int = TRAIN_WORDS) -> Network:
     """A network from text and lang of documents that are not held out: per language at most `docs_per_lang` (those
-    of lowest hash), of each at most `words_per_doc` words, in all about `train_words`."""
+    of lowest hash), of each at most `words_per_doc` words, in all about `train_words`.  Limits: see `score_limits`."""
     learn = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(remainder(F.col("doc_id"), HELD_OUT_OF) != 1)
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = learn.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= docs_per_lang).select("doc_id").distinct()
@@ -213,7 +216,27 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int
     rows = rows.sort_values(["lang", "word"], kind="stable")
     languages = sorted(rows["lang"].unique())
     targets = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
-    return train(list(rows["word"]), targets, languages)
+    net = train(list(rows["word"]), targets, languages)
+    if len(languages) >= 2:
+        net.limits = score_limits(learn, ids, net)
+    return net
+
+
+def score_limits(learn: DataFrame, sample_ids: DataFrame, net: Network, quantile: float = LEAST_QUANTILE, least_docs: int = LEAST_DOCS) -> dict[str, float]:
+    """Per language, the low quantile of the scores of all its labelled documents that are told to be of it.
+
+    The network was fitted on the sample, so its documents do not count where `least_docs` others do; a language with
+    fewer takes all of its own, and the quantile over all languages if that is lower.
+    """
+    shared = learn.sparkSession.sparkContext.broadcast(net)
+    marked = learn.join(F.broadcast(sample_ids.withColumn("sampled", F.lit(True))), "doc_id", "left")
+    rows = marked.select("lang", F.coalesce("sampled", F.lit(False)).alias("held_out"), "text")
+    scored = rows.mapInArrow(_predict(shared), "lang string, sampled boolean, lang_pred string, score double").filter("lang = lang_pred")
+    low = lambda c: F.percentile_approx(c, quantile, QUANTILE_ACCURACY)
+    other = F.when(~F.col("sampled"), F.col("score"))
+    found = scored.rollup("lang").agg(F.count(other).alias("n"), low(other).alias("other"), low(F.col("score")).alias("every")).collect()  # a row per language
+    of_all = next((r["every"] for r in found if r["lang"] is None), 0.0)
+    return {r["lang"]: r["other"] if r["n"] >= least_docs else min(r["every"], of_all) for r in found if r["lang"] is not None}
 
 
 def _has_letter(text: bytes) -> bool:
@@ -254,23 +277,28 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keep(shared, column: int, lift: float):
+def _keep(shared, column: int):
     predict_all = _predict(shared)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = lift / max(1, len(shared.value.languages))
+        net: Network = shared.value
         for batch in batches:
             text = batch.column(column)
+            if len(net.languages) < 2:  # nothing to tell apart
+                yield batch.filter(pa.array([t is not None and _has_letter(t) for t in text.cast(pa.binary()).to_pylist()], pa.bool_()))
+                continue
             nothing = pa.nulls(batch.num_rows, pa.int64())
             found = next(predict_all([pa.RecordBatch.from_arrays([nothing, nothing, text], names=["doc_id", "held_out", "text"])]))
-            known = np.array([x != UNKNOWN for x in found.column(2).to_pylist()], bool)
+            names = found.column(2).to_pylist()
+            known = np.array([x != UNKNOWN for x in names], bool)
+            least = np.array([net.limits.get(x, 0.0) for x in names])
             yield batch.filter(pa.array(known & (found.column(3).to_numpy() >= least)))
 
     return run
 
 
-def keep_known(docs: DataFrame, net: Network, lift: float = LEAST_LIFT) -> DataFrame:
-    """The rows of `docs`, with all columns, whose language is known: a letter, and a score of at least `lift` times
-    an even share."""
+def keep_known(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of `docs`, with all columns, whose language is known: a letter, and a score that reaches the limit of
+    the language.  With fewer than two learnt languages, all rows with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    return docs.mapInArrow(_keep(shared, docs.columns.index("text"), lift), docs.schema)
+    return docs.mapInArrow(_keep(shared, docs.columns.index("text")), docs.schema)
