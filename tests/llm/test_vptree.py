@@ -62,3 +62,32 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(df) == {0: [(3, 2.0)]}
     assert vptree.nearest(df.filter(F.lit(False))).count() == 0
+
+
+def held_against_plain(spark, vectors, **options):
+    rows = [(int(i), [float(v) for v in r], 1, "s") for i, r in vectors.items()]
+    got, want = found(spark.createDataFrame(rows, SCHEMA), every=10, k=7, **options), plain(vectors, 10, 7)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]], q
+
+
+@pytest.mark.parametrize("options", [{"leaf": 4}, {"shard_rows": 60, "leaf": 8}])
+def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark, options):
+    rng = np.random.default_rng(5)
+    x = np.zeros((400, 12))
+    x[:, :3] = rng.integers(0, 2, (400, 3))  # few distinct products
+    x[:, 3:] = rng.integers(0, 9, (400, 9))
+    x[::10, 3:] = 0  # queries are zero where the others differ
+    x[:, 0] += x.sum(axis=1) == 0
+    held_against_plain(spark, dict(zip(rng.permutation(400), x)), **options)
+
+
+@pytest.mark.parametrize("largest", [1e6, 1e8])
+def test_one_long_vector_spoils_no_query(spark, largest):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-50, 50, (400, 6)) / 64  # products are exact, whatever the order of the sums
+    x[:, 5] = 0
+    x[x.sum(axis=1) == 0, 0] = 1
+    x[7] = [0, 0, 0, 0, 0, largest]
+    held_against_plain(spark, dict(enumerate(x)), leaf=4)

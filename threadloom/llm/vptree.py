@@ -5,9 +5,11 @@ q -> (q, 0), and |q - x|^2 = |q|^2 + M^2 - 2 q.x, so nearest means largest produ
 bounded size; every shard builds a tree: a vantage point splits its vectors at the median distance, leaves hold a few
 dozen.  All queries of a block go down a tree together.  A branch is skipped for a query when the triangle inequality
 puts it beyond the k-th distance found, times `factor`: with factor one only branches that cannot hold a result are
-skipped, smaller factors skip more.  Products reported are taken on the original vectors in double precision.
+skipped, smaller factors skip more.  The distance serves for skipping only, with a slack for its rounding, which grows
+with M^2.  Points are ranked and cut by products of the original vectors in double precision, then by vec_id.
 
-Equal vectors of a shard are one point of its tree.  A shard returns at most k rows per query, and these are ranked.
+Equal vectors of a shard are one point of its tree, in order of their smallest vec_id.  A shard returns at most k rows
+per query, and these are ranked.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ SHARD_ROWS = 8_192
 QUERY_ROWS = 4_096
 LEAF = 64
 FACTOR = 1.0
-ROUNDING = 1e-9  # relative; distances this close are never told apart by pruning
+EPS = float(np.finfo(np.float64).eps)
 
 
 class VantageTree:
@@ -49,31 +51,66 @@ class VantageTree:
 
 
 class Search:
-    """The k nearest points of a tree for a block of queries, kept as the k best products seen so far.
+    """The k best points of a tree for a block of queries: the nearest, or with `vectors`, one for each point of the
+    tree, those of largest product with the query's first components.  Ties go to the smaller row.
 
-    `weight` says how many results a point stands for (at most k): the k-th best counts it so often.
+    `exclude` names a row per query that is no result (-1: none).
     """
 
-    def __init__(self, tree: VantageTree, queries: np.ndarray, k: int, factor: float, exclude: np.ndarray):
+    def __init__(self, tree: VantageTree, queries: np.ndarray, k: int, factor: float, exclude: np.ndarray, vectors: np.ndarray | None = None):
         self.tree, self.queries, self.k, self.factor, self.exclude = tree, queries, k, factor, exclude
-        self.best = np.full((len(queries), k), np.inf)  # ascending distances
+        self.best = np.full((len(queries), k), -np.inf)  # scores: products, or negative distances
         self.rows = np.full((len(queries), k), -1)
+        self.squares = (queries**2).sum(axis=1)
+        self.point_squares = (tree.points**2).sum(axis=1)
+        self.largest = self.point_squares.max(initial=0.0)
+        width = tree.points.shape[1] if len(tree.points) else 0
+        self.slack = 8 * (width + 4) * EPS * (self.squares + self.largest)  # error of a computed squared distance
+        self.vectors = vectors
+        if vectors is not None:
+            self.columns, self.query_columns = np.ascontiguousarray(vectors.T), np.ascontiguousarray(queries[:, : vectors.shape[1]].T)
+            self.lengths, self.query_lengths = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((self.query_columns**2).sum(axis=0))
         if len(queries) and len(tree.points):
             self._visit(tree.root, np.arange(len(queries)))
 
-    def _offer(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Consider points for queries; returns the distances."""
-        points = self.tree.points[rows]
-        square = (self.queries[q] ** 2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :] - 2 * self.queries[q] @ points.T
-        distance = np.sqrt(np.maximum(square, 0))
-        held = np.where(rows[None, :] == self.exclude[q][:, None], np.inf, distance)
-        every = np.concatenate([self.best[q], held], axis=1)
-        names = np.concatenate([self.rows[q], np.broadcast_to(rows, held.shape)], axis=1)
-        if every.shape[1] > self.k:
-            pick = np.argpartition(every, self.k - 1, axis=1)[:, : self.k]
-            every, names = np.take_along_axis(every, pick, 1), np.take_along_axis(names, pick, 1)
-        self.best[q], self.rows[q] = every, names
-        return distance
+    def _distances(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        square = self.squares[q][:, None] + self.point_squares[rows][None, :] - 2 * self.queries[q] @ self.tree.points[rows].T
+        return np.sqrt(np.maximum(square, 0))
+
+    def _products(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Products, one component after another; -inf where a rougher one is surely below the k-th."""
+        rough = self.query_columns[:, q].T @ self.columns[:, rows]
+        margin = 4 * (len(self.columns) + 4) * EPS * self.query_lengths[q][:, None] * self.lengths[rows][None, :]
+        at, point = np.nonzero(~(rough + margin < self.best[q].min(axis=1)[:, None]))
+        one, other = q[at], rows[point]
+        exact = np.zeros(len(at))
+        for mine, theirs in zip(self.query_columns, self.columns):
+            exact += mine[one] * theirs[other]
+        out = np.full(rough.shape, -np.inf)
+        out[at, point] = exact
+        return out
+
+    def _offer(self, q: np.ndarray, rows: np.ndarray) -> None:
+        """Consider points for queries."""
+        score = -self._distances(q, rows) if self.vectors is None else self._products(q, rows)
+        score = np.where(rows[None, :] == self.exclude[q][:, None], -np.inf, score)
+        some = np.flatnonzero((score >= self.best[q].min(axis=1)[:, None]).any(axis=1))
+        q, score = q[some], score[some]
+        every = np.concatenate([self.best[q], score], axis=1)
+        names = np.concatenate([self.rows[q], np.broadcast_to(rows, score.shape)], axis=1)
+        names = np.where(every == -np.inf, -1, names)
+        pick = np.argpartition(-every, self.k - 1, axis=1)[:, : self.k]
+        least = np.take_along_axis(every, pick, 1).min(axis=1)
+        tied = np.flatnonzero(((every >= least[:, None]).sum(axis=1) > self.k) & (least > -np.inf))
+        if len(tied):  # more points share the k-th score than fit
+            pick[tied] = np.lexsort((names[tied], -every[tied]), axis=1)[:, : self.k]
+        self.best[q], self.rows[q] = np.take_along_axis(every, pick, 1), np.take_along_axis(names, pick, 1)
+
+    def _reach(self, q: np.ndarray) -> np.ndarray:
+        """The distance, or more, up to which points can still be results."""
+        worst = self.best[q].min(axis=1)
+        square = worst**2 if self.vectors is None else np.maximum(self.squares[q] + self.largest - 2 * worst, 0)
+        return np.sqrt(square * self.factor**2 + self.slack[q])
 
     def _visit(self, node, q: np.ndarray) -> None:
         if not len(q):
@@ -82,15 +119,15 @@ class Search:
             self._offer(q, node)
             return
         vantage, radius, inside, outside = node
-        distance = self._offer(q, np.array([vantage]))[:, 0]
+        self._offer(q, np.array([vantage]))
+        distance = self._distances(q, np.array([vantage]))[:, 0]
         near_inside = distance <= radius
+        square, slack = distance**2, self.slack[q]
+        low, high = np.sqrt(np.maximum(square - slack, 0)), np.sqrt(square + slack)
+        least_radius, most_radius = np.sqrt(np.maximum(radius**2 - slack, 0)), np.sqrt(radius**2 + slack)
         for first in (True, False):  # the side the query lies on, then the other where it can still matter
-            for side, on_side in ((inside, near_inside), (outside, ~near_inside)):
-                mine = on_side if first else ~on_side
-                if not first:
-                    gap = np.abs(distance - radius)
-                    reach = self.best[q].max(axis=1) * self.factor
-                    mine = mine & (gap <= reach + ROUNDING * (radius + distance))
+            for side, on_side, gap in ((inside, near_inside, low - most_radius), (outside, ~near_inside, least_radius - high)):
+                mine = on_side if first else ~on_side & ~(gap > self._reach(q))
                 self._visit(side, q[mine])
 
 
@@ -103,18 +140,18 @@ def _search(k: int, factor: float, leaf: int, largest: float):
         x, ids = np.stack(points["embedding"]).astype(np.float64), points["vec_id"].to_numpy()
         q, query_ids = np.stack(queries["embedding"]).astype(np.float64), queries["query_id"].to_numpy()
         distinct, first, at = np.unique(x, axis=0, return_index=True, return_inverse=True)
-        at = at.ravel()
+        order = np.argsort(first)  # rows of the tree follow the smallest id of their vectors
+        distinct, at = distinct[order], np.argsort(order)[at.ravel()]
         members = np.split(np.argsort(at, kind="stable"), np.cumsum(np.bincount(at))[:-1])  # of one point, smallest id first
         lift = np.sqrt(np.maximum(largest**2 - (distinct**2).sum(axis=1), 0))
         tree = VantageTree(np.concatenate([distinct, lift[:, None]], axis=1), leaf)
-        own = dict(zip(ids, at)) if set(query_ids) & set(ids) else {}
-        alone = np.array([len(m) == 1 for m in members])
-        exclude = np.array([own[i] if i in own and alone[own[i]] else -1 for i in query_ids])
-        found = Search(tree, np.concatenate([q, np.zeros((len(q), 1))], axis=1), k, factor, exclude)
+        names, often = np.unique(ids, return_counts=True)
+        slots = k + int(often[np.isin(names, query_ids)].max(initial=0))  # rows of the query's own id go at the end
+        found = Search(tree, np.concatenate([q, np.zeros((len(q), 1))], axis=1), slots, factor, np.full(len(q), -1), distinct)
         out = []
         for i, query_id in enumerate(query_ids):
             rows = found.rows[i][found.rows[i] >= 0]
-            rows = np.concatenate([members[r][: k + 1] for r in rows]) if len(rows) else rows
+            rows = np.concatenate([members[r][:slots] for r in rows]) if len(rows) else rows
             rows = rows[ids[rows] != query_id]
             score = np.cumsum(x[rows] * q[i], axis=1)[:, -1]  # one component after another
             best = np.lexsort((ids[rows], -score))[:k]
