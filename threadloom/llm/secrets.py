@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and candidates whose bytes a primed compressor cannot shorten.
 
-A candidate is a long run of key-like characters with letters and digits, close behind a sensitive word.  Its novelty
-is what it adds to the compressed size of the text around it, with a dictionary of ordinary identifiers and
-placeholder values in front: known words, repeats and runs cost a few bytes, random keys nearly their entropy.
+A candidate is a long run of key-like characters with letters and digits, close to a sensitive word on either side or
+to another secret that is.  Its novelty is what it adds to the compressed size of the text around it, other copies of
+it left out, with a dictionary of ordinary identifiers and placeholder values in front: known words and runs cost a
+few bytes, random keys nearly their entropy.  A last, shorter line of a key written in lines goes with these.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex", "novel")
 NOVELTY = 0.5  # added compressed bytes per character from which a candidate is reported
-NEAR = 80  # characters behind a sensitive word in which a candidate starts
+NEAR = 80  # characters between a sensitive word, or a secret found, and a candidate
 AROUND = 256  # characters of context on either side that count as known
+LINE = 40  # characters of a line from which, if it is a secret, the line after it can be its rest
 MASK = "[secret]"
 
 # fixed values: the three base patterns
@@ -28,9 +30,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 IS_HEX = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
-SENSITIVE_WORDS = ("passw", "secret", "token", "key", "credential", "bearer", "authorization")
-SENSITIVE = re.compile(r"passw(?:or)?d|secret|token|api_?key|private_?key|access_?key|credential|bearer|authorization", re.I | re.A)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "jwt")
+SENSITIVE = re.compile(
+    r"pass[-_ ]?(?:word|wd|phrase|code)|pwd|secret|token|credential|bearer|authorization|jwt"
+    r"|(?:api|private|access|encryption|signing|account|auth|master|ssh)[-_ ]?key",
+    re.I | re.A,
+)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+KEY_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})[\x20\t]*(?=\r?\n|$)")
 
 IDENTIFIERS = """
 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef 1234567890 qwertyuiop
@@ -78,22 +85,82 @@ def base_spans(text: str, lowered: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float) -> list[tuple[int, int, int]]:
-    """Candidates behind sensitive words that no base span touches and that stay incompressible."""
-    found, seen = [], 0
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(seen, word.end())):
-            if m.start() > word.end() + NEAR:
-                break
-            seen = m.end()
-            if any(start < m.end() and m.start() < end for start, _, end in base):
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The characters before and after a candidate, with other copies of it blanked."""
+    core = text[start:end].rstrip("=")
+    blank = lambda part: part.replace(core, " " * len(core))
+    before = blank(text[max(0, start - AROUND - len(core)) : start])  # so much more that no copy is cut off
+    return before[-AROUND:], blank(text[end : end + AROUND + len(core)])[:AROUND]
+
+
+def near_spans(starts: list[int], ends: list[int], items: list[tuple[int, int]], is_hit) -> set[int]:
+    """Numbers of the items within NEAR of a word or of a hit that is; words are given by sorted starts and ends."""
+    found = set()
+    for numbers, forwards in ((range(len(items)), True), (range(len(items) - 1, -1, -1), False)):
+        reach = None  # the edge of the last word or hit
+        at = 0 if forwards else len(starts) - 1
+        for i in numbers:
+            start, end = items[i]
+            while forwards and at < len(starts) and starts[at] < end:
+                reach, at = ends[at] if reach is None else max(reach, ends[at]), at + 1
+            while not forwards and at >= 0 and ends[at] > start:
+                reach, at = starts[at] if reach is None else min(reach, starts[at]), at - 1
+            if reach is None or (start - reach if forwards else reach - end) > NEAR:
                 continue
-            added = novelty.added_bytes(text[max(0, m.start() - AROUND) : m.start()], m[0], text[m.end() : m.end() + AROUND])
-            if added >= least * len(m[0]):
-                found.append((m.start(), 3, m.end()))
+            if i in found or is_hit(i):
+                found.add(i)
+                reach = max(reach, end) if forwards else min(reach, start)
     return found
 
 
+def rest_lines(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Lines of key characters right behind a line that is a secret: as long ones go on, a shorter one is the last."""
+    size = end - start
+    if size < LINE or text[max(0, start - NEAR) : start].rpartition("\n")[2].strip():
+        return
+    while (line := KEY_LINE.match(text, end)) and len(line[1]) <= size:
+        word = line[1]
+        if word.isalpha() and (word.islower() or word.isupper() or word.istitle()):
+            return
+        yield line.span(1)
+        if len(word) < size:
+            return
+        end = line.end(1)
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float) -> list[tuple[int, int, int]]:
+    """Candidates near sensitive words that no base span touches and that stay incompressible."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    items, at = [], 0
+    merged: list[tuple[int, int]] = []  # base spans, overlapping ones as one
+    for start, _, end in base:
+        if merged and start < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    for m in CANDIDATE.finditer(text):
+        while at < len(merged) and merged[at][1] <= m.start():
+            at += 1
+        if at == len(merged) or merged[at][0] >= m.end():
+            items.append((*m.span(), False))
+    items = sorted([*items, *((s, e, True) for s, e in merged)])  # base spans are hits as they are
+    known: dict[int, bool] = {}
+
+    def is_hit(i: int) -> bool:
+        if i not in known:
+            start, end, of_base = items[i]
+            before, after = ("", "") if of_base else around(text, start, end)
+            known[i] = of_base or novelty.added_bytes(before, text[start:end], after) >= least * (end - start)
+        return known[i]
+
+    near = near_spans([s for s, _ in words], [e for _, e in words], [(s, e) for s, e, _ in items], is_hit)
+    found = [items[i][:2] for i in sorted(near) if not items[i][2]]
+    rest = [span for start, end in found for span in rest_lines(text, start, end)]
+    return [(start, 3, end) for start, end in sorted({*found, *rest})]
+
+
 def joined(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
