@@ -80,6 +80,19 @@ def test_quality_keeps_clean_texts_and_drops_junk(spark, edges, nothing):
     assert quality_model.fit(docs, labels.filter("quality = 5")).limits[None] == float("inf")
 
 
+def test_thresholds_come_from_all_trusted_rows(spark):
+    rnd = random.Random(12)
+    words = [f"{a}{b}" for a in ("the", "an", "er", "re") for b in ("tion", "ing", "ed", "es", "ly")]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(20, 80))), "xx" if i % 20 == 0 else "en") for i in range(1600)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(docs, labels, trusted_rows=300, slack=1.0)
+    assert "xx" in model.limits  # 5 of the sample's 100 held-out rows are of it, of all rows 80
+    got = {r["doc_id"]: (r["perplexity"], r["limit"]) for r in quality_model.classify(docs, model).collect()}
+    over = sum(p > limit + 1e-9 for p, limit in got.values())
+    assert 1 <= over <= 0.008 * len(rows)  # the quantile itself, without slack
+
+
 def plain_ppm(counts):
     trie = defaultdict(Counter)
     coded = lambda w: [START + b"\n"] if w == ppm.END else list(symbols(w))
