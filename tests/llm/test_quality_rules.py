@@ -50,6 +50,28 @@ def test_fences_follow_the_group_and_fall_back(spark):
     assert not got[10_000] and got[10_001] and got[10_005]
 
 
+def test_each_rate_can_reject_what_passes_the_base(spark):
+    rnd = random.Random(10)
+    words = [f"word{i}" for i in range(500)]
+    lines = lambda n: [" ".join(rnd.sample(words, 4)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(20)), "en") for i in range(400)]
+    twice = lines(20)
+    passage = " ".join(rnd.sample(words, 6))
+    odd = {
+        "symbol_rate": "\n".join(line + " ## ##" for line in lines(20)),
+        "dup_line_rate": "\n".join([*twice, *["ok fine", "or not"] * 4]),
+        "repeat_rate": "\n".join([*lines(20), f"{passage} between {passage}"]),
+        "capital_rate": "\n".join(lines(20)).upper(),
+        "word_length": " ".join("x" * 14 + w for w in rnd.sample(words, 80)),
+        "short words": " ".join(rnd.sample([a + b for a in "abcdefghij" for b in "klmnopqrst"], 80)),
+    }
+    rows += [(1000 + k, text, "en") for k, text in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows), least_docs=100).collect()}
+    assert sum(got[i]["kept"] for i in range(400)) >= 396
+    for k, name in enumerate(odd):
+        assert not got[1000 + k]["base_failed"] and not got[1000 + k]["kept"], name
+
+
 def test_edges(edges, nothing):
     rows = quality_rules.judge(edges).collect()
     assert len(rows) == len(EDGES) and not any(r["kept"] and r["base_failed"] for r in rows)

@@ -3,7 +3,7 @@
 The counts of a text are column expressions; nothing leaves the JVM.  What is usual for a rate is learnt from the
 corpus: every (lang, source) has a mergeable quantile sketch per rate, sketches of a language are merged, and those of
 all languages, and a group with too few documents of its own uses the next wider one.  A document is kept if no rate
-lies beyond the upper fence of its group, joined back by lang and source.
+lies beyond the fences of its group, joined back by lang and source.
 """
 
 from __future__ import annotations
@@ -26,26 +26,29 @@ MOST_REPEATED = 20  # per hundred words
 
 SKETCH_K = 800  # rank error well below 1 %
 LEAST_DOCS = 200  # documents of a group from which its own sketch is used
-FENCE = 3.0  # spreads (upper quartile to median) above the upper quartile
+FENCE = 3.0  # spreads (quartile to median) beyond the quartile
+TAIL = 0.99  # of a group's documents are inside its upper fence, and as many inside a lower one
 
 
 @dataclass(frozen=True)
 class Rate:
-    """A rate of a text and the least distance above the upper quartile that may be held against it."""
+    """A rate of a text and the least distance above the upper quartile (below the lower one, where low values are
+    odd too) that may be held against it; far less than the base allows."""
 
     name: str
     value: Column
     slack: float
+    low_slack: float | None = None
 
 
 def rates() -> list[Rate]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     return [
         Rate("symbol_rate", F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), 0.03),
-        Rate("dup_line_rate", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.40),
-        Rate("repeat_rate", F.col("n_repeat_words") / n, 0.20),
+        Rate("dup_line_rate", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.05),
+        Rate("repeat_rate", F.col("n_repeat_words") / n, 0.03),
         Rate("capital_rate", F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)), 0.20),
-        Rate("word_length", F.col("word_chars") / n, 4.0),
+        Rate("word_length", F.col("word_chars") / n, 4.0, 2.0),
     ]
 
 
@@ -107,15 +110,17 @@ def counts(docs: DataFrame) -> DataFrame:
     return placed.withColumn("n_repeat_words", repeated.cast("long")).drop("places")
 
 
-def _quantiles(sketch: str) -> list[Column]:
-    return [F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.75)]
+def _limit(sketch: str, slack: float, fence: float, sign: int) -> Column:
+    """Upper (sign 1) or lower (-1) fence: the quartile and `fence` times its distance from the median, but at least
+    the slack away from it and no nearer than the TAIL quantile."""
+    at = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q if sign > 0 else 1 - q))
+    quartile, spread = at(0.75), sign * (at(0.75) - at(0.5))
+    return quartile + sign * F.greatest(fence * spread, sign * (at(TAIL) - quartile), F.lit(slack))
 
 
-def fences(rated: DataFrame, names: Sequence[str], slacks: dict[str, float], least_docs: int = LEAST_DOCS, fence: float = FENCE) -> DataFrame:
-    """Upper fence of every rate per (lang, source), from sketches of its own, its language's or all documents.
-
-    The fence is the upper quartile and `fence` times its distance from the median, but at least the rate's slack.
-    """
+def fences(rated: DataFrame, judged: Sequence[Rate], least_docs: int = LEAST_DOCS, fence: float = FENCE) -> DataFrame:
+    """Fences of every rate per (lang, source), from sketches of its own, its language's or all documents; see `_limit`."""
+    names = [r.name for r in judged]
     own = rated.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names])
     own = stage_table(own, "sketches")
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in names]]
@@ -123,15 +128,13 @@ def fences(rated: DataFrame, names: Sequence[str], slacks: dict[str, float], lea
     by_lang = suffixed(own.groupBy("lang").agg(*merged), "lang").withColumnRenamed("lang", "of_lang")
     joined = own.join(by_lang, own.lang.eqNullSafe(by_lang.of_lang)).drop("of_lang")
 
-    def limit(sketch: str, rate: str) -> Column:
-        median, upper = _quantiles(sketch)
-        return upper + F.greatest(fence * (upper - median), F.lit(slacks[rate]))
-
-    overall = own.agg(*merged).select(*[F.when(F.col("n") > 0, limit(c, c)).alias(c) for c in names]).first()  # one number per rate
+    ends = [(f"most_{r.name}", r.name, r.slack, 1) for r in judged]
+    ends += [(f"least_{r.name}", r.name, r.low_slack, -1) for r in judged if r.low_slack is not None]
+    overall = own.agg(*merged).select(*[F.when(F.col("n") > 0, _limit(c, slack, fence, sign)).alias(end) for end, c, slack, sign in ends]).first()  # one number per fence
     out = []
-    for c in names:
-        own_fence, lang_fence, all_fence = limit(c, c), limit(f"{c}_lang", c), F.lit(overall[c])
-        out.append(F.when(F.col("n") >= least_docs, own_fence).when(F.col("n_lang") >= least_docs, lang_fence).otherwise(all_fence).alias(f"most_{c}"))
+    for end, c, slack, sign in ends:
+        own_fence, lang_fence, all_fence = _limit(c, slack, fence, sign), _limit(f"{c}_lang", slack, fence, sign), F.lit(overall[end])
+        out.append(F.when(F.col("n") >= least_docs, own_fence).when(F.col("n_lang") >= least_docs, lang_fence).otherwise(all_fence).alias(end))
     return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *out)
 
 
@@ -147,11 +150,12 @@ def judge(docs: DataFrame, least_docs: int = LEAST_DOCS, fence: float = FENCE) -
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
     rated = stage_table(base.select("*", *[r.value.alias(r.name) for r in all_rates]), "rates")
-    names = [r.name for r in all_rates]
-    limits = fences(rated.filter("not base_failed"), names, {r.name: r.slack for r in all_rates}, least_docs, fence)
+    limits = fences(rated.filter("not base_failed"), all_rates, least_docs, fence)
     limits = stage_table(limits, "fences")
     same_group = rated.lang.eqNullSafe(limits.f_lang) & rated.source.eqNullSafe(limits.f_source)
     within = F.lit(True)
-    for name in names:
-        within = within & (F.col(name) <= F.coalesce(F.col(f"most_{name}"), F.lit(float("inf"))))
+    for r in all_rates:
+        within = within & (F.col(r.name) <= F.coalesce(F.col(f"most_{r.name}"), F.lit(float("inf"))))
+        if r.low_slack is not None:
+            within = within & (F.col(r.name) >= F.coalesce(F.col(f"least_{r.name}"), F.lit(float("-inf"))))
     return rated.join(limits, same_group, "left").drop("f_lang", "f_source").withColumn("kept", ~F.col("base_failed") & within)
