@@ -94,3 +94,11 @@ def test_edges(edges, nothing):
     assert kept.columns == edges.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "5", "7", "8", "9", "None"])
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
+
+
+def test_one_row_per_component_with_null_and_repeated_ids(spark):
+    rnd = random.Random(8)
+    a, b, c = (" ".join(rnd.choices([f"w{i}" for i in range(300)], k=60)) for _ in range(3))
+    rows = [(None, a, "en"), (None, a, "en"), (None, a.upper(), "en"), (7, b, "en"), (None, b, "en"), (7, c, "en"), (8, c, "en")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a.upper()), (7, b), (7, c)], key=str)

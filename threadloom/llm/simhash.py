@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from threadloom.llm.common import raw_texts
 from threadloom.llm.components import components
@@ -172,29 +173,51 @@ def near_duplicates(
     """
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle_words, seed), "doc_id long, fp long")
     prints = stage_table(prints, "fingerprints")
-    least = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least-ids")
-    roots = components(links(least.select("fp"), radius, block_rows))
-    of_root = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    of_root = _rooted(prints, radius, block_rows)
     component = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(of_root.select("fp", "root").join(component, "root").select("fp", "component_id"), "fp")
 
 
+def _rooted(prints: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """fp, its component's root fingerprint and its smallest doc_id (least), once for every distinct fingerprint."""
+    least = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least-ids")
+    roots = components(links(least.select("fp"), radius, block_rows))
+    return least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One row per component of near-duplicates: the row of its smallest doc_id; all columns stay.
+def _with_fingerprint(shingle_words: int, seed: int, column: int, name: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(t, shingle_words, seed) for t in batch.column(column).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, name])
 
-    Of repeated rows with that id, the one with the smallest text stays.  Of components without an id, every row
-    stays.
-    """
-    ids = docs.select("doc_id", "text")
-    kept = near_duplicates(ids, **options).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    first = W.partitionBy("doc_id").orderBy("text")
-    nth = "nth"
-    while nth in docs.columns:
-        nth += "_"
-    single = named.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
-    return single.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return run
+
+
+def one_of_each(
+    docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """One row per component of near-duplicates, that of smallest doc_id (NULL last), then smallest text; all columns
+    stay."""
+    mark = "x"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    fp, known, key, nth = (mark + c for c in ("fp", "known", "key", "nth"))
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle_words, seed), "doc_id long, fp long")
+    of_root = stage_table(_rooted(stage_table(prints, "fingerprints"), radius, block_rows), "roots")
+    top = of_root.groupBy("root").agg(F.min("least").alias("top"))
+    chosen = of_root.join(top, "root").filter(F.col("least").eqNullSafe(F.col("top")))
+    chosen = chosen.select(F.col("fp").alias(fp), F.col("least").isNotNull().alias(known), F.coalesce("least", F.lit(0)).alias(key), F.col("root").alias(mark))
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
+    rows = docs.mapInArrow(_with_fingerprint(shingle_words, seed, docs.columns.index("text"), fp), schema)
+    number = F.col("doc_id").cast("long")
+    rows = rows.withColumns({known: number.isNotNull(), key: F.coalesce(number, F.lit(0))})
+    # copies go before the shuffle, one row per fingerprint and id is left
+    rows = rows.withColumn(nth, F.row_number().over(W.partitionBy(fp, known, key).orderBy("text"))).filter(F.col(nth) == 1).drop(nth)
+    first = W.partitionBy(mark).orderBy("text")
+    single = rows.join(chosen, [fp, known, key]).withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1)
+    return single.select(*docs.columns)
