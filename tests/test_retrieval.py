@@ -123,3 +123,22 @@ def test_an_owner_with_many_different_rows_does_not_hide_the_others(spark):
     asked = spark.createDataFrame([(1, [0, 1], unit([1.0, 0.001])), (7, [0, 1], unit([1.0, 0.001]))], "query_id long, term_ids array<int>, weights array<double>")
     got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_sparse(asked, sparse, 3, 0.15, True, shard_rows=4).collect()}
     assert got == {1: [50], 7: [0, 1, 2]}
+
+
+def test_sweep_query_keeps_the_cheapest_of_several_starts(spark, monkeypatch):
+    from threadloom.operators import models
+    from threadloom.plans import retrieval as plans
+
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(200)], "vec_id long, embedding array<double>")
+    sweep, seen = models.kmeans_sweep, []
+
+    def short(rows, ks=(4,), **options):
+        out = sweep(rows, ks=ks, **options)
+        seen.extend(r["costs"] for r in out[0].collect())
+        return out
+
+    monkeypatch.setattr(models, "kmeans_sweep", short)
+    monkeypatch.setattr(plans, "embedding_rows", lambda spark, d: models.dense_features(rows, "vec_id", "embedding"))
+    got = plans.clu_kmeans_sweep(spark, "").collect()
+    assert [len(c) for c in seen] == [3] and [(r["k"], r["n"], r["in_range"], r["misplaced"]) for r in got] == [(4, 200, True, 0)]

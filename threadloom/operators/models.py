@@ -121,18 +121,19 @@ def dense_features(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def kmeans_sweep(rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed: int = 42, starts: int = 3) -> tuple[DataFrame, dict[int, KMeansModel]]:
-    """CLU1, CLU2: of `starts` starts per k the one of least cost; per k the silhouette, the smallest share and the cluster sizes; and the fitted models."""
+    """CLU1, CLU2: of `starts` starts per k the one of least cost; per k the silhouette, the smallest share, the cluster sizes and the costs of all starts; and the fitted models."""
     cached = stage_table(rows, "kmeans", rows.schema).persist()
     judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
     models, out = {}, []
     for k in ks:
         tries = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(cached) for i in range(starts)]
-        models[k] = min(tries, key=lambda m: m.summary.trainingCost)
+        costs = [float(m.summary.trainingCost) for m in tries]
+        models[k] = tries[costs.index(min(costs))]
         silhouette = judge.evaluate(models[k].transform(cached))
         sizes = models[k].summary.clusterSizes  # k numbers
-        out.append((k, round(float(silhouette), 4), round(min(sizes) / sum(sizes) * 100, 2), sorted(sizes)))
+        out.append((k, round(float(silhouette), 4), round(min(sizes) / sum(sizes) * 100, 2), sorted(sizes), costs))
     cached.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, silhouette double, min_pct double, sizes array<bigint>"), models
+    return rows.sparkSession.createDataFrame(out, "k int, silhouette double, min_pct double, sizes array<bigint>, costs array<double>"), models
 
 
 def centre_table(spark, centres: Sequence[Sequence[float]]) -> DataFrame:
