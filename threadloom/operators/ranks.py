@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.sources.scratch import cut_lineage
+from threadloom.sources.scratch import stage_table
 
 BUCKET_ROWS = 200_000  # about so many rows are sorted by one task
-MAX_BUCKETS = 4_096  # cuts of a value range that a plan states; one bucket still is one sort that can spill
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -56,12 +55,39 @@ def position_by_hash(df: DataFrame, by: Sequence[str], hash_col: str, tie: str,
     )
 
 
-def _bucket_of(c: Column, bounds: Sequence, lo: int, hi: int) -> Column:
-    """Number of bounds below the value, as a balanced CASE: log2(bounds) comparisons per row."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(c <= F.lit(bounds[mid]), _bucket_of(c, bounds, lo, mid)).otherwise(_bucket_of(c, bounds, mid + 1, hi))
+def in_ranges(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The rows in one total order, written once: `_part` numbers the ranges, `_at` a row's place in its range from 0.
+
+    Ranges are cut at sampled values, so none of them holds the whole of a large group; rows equal in all of `order`
+    share a range.  Everything read from it later sees the same ranges, also after an executor is lost.
+    """
+    dealt = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    numbered = dealt.withColumn("_id", F.monotonically_increasing_id())  # the range's number, then 33 bits of place
+    return stage_table(
+        numbered.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), "ranges"
+    )
+
+
+def _range_offsets(placed: DataFrame, by: Sequence[str], *, n: Column) -> DataFrame:
+    """Per (group, range): the group's total, what its earlier ranges hold, and its first place in the range.
+
+    A group has one row per range it reaches into, so the window is over ranges, not over rows.
+    """
+    sums = placed.groupBy(*by, "_part").agg(n.alias("_n"), F.min("_at").alias("_first"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    earlier = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    return sums.select(*by, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("total"))
+
+
+def position_by_range(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "position", partitions: int | None = None) -> DataFrame:
+    """0-based position of every row inside its group in the order of `order`, and the group's `total`; NULLs come first."""
+    placed = in_ranges(df, [*by, *order], partitions)
+    offsets = _range_offsets(placed, by, n=F.count(F.lit(1)))
+    return (
+        join_null_safe(placed, offsets, [*by, "_part"])
+        .withColumn(out, F.col("_before") + F.col("_at") - F.col("_first"))
+        .drop("_part", "_at", "_first", "_before")
+    )
 
 
 def value_positions(
@@ -69,27 +95,15 @@ def value_positions(
 ) -> DataFrame:
     """One row per (group, value): `n` rows, `before` rows with a smaller value, `total` rows in the group.
 
-    Rows are counted per value first, so repeats combine before the shuffle, and the counts are kept: what
-    follows reads them more than once.  The values are cut into buckets, more of them for more values, at quantiles
-    of the distinct values (a fixed-size sketch, collected as at most `buckets` numbers).  The cuts only steer the
-    split: positions are exact whatever the sketch's error.  NULL values are left out, NULL groups are not.
+    Rows are counted per value first, so repeats combine before the shuffle.  The counts are dealt into ranges
+    (`buckets` of them, or as many as a shuffle has), each is summed up by itself, and the sums of the ranges before are
+    added: no group is one task's.  NULL values are left out, NULL groups are not.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n")))
-    so_far = lambda w: F.coalesce(F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    if buckets is None:
-        buckets = max(1, min(MAX_BUCKETS, -(-counts.count() // BUCKET_ROWS)))
-    share = [i / buckets for i in range(1, buckets)]
-    found = counts.agg(F.percentile_approx(value, share, 10 * buckets)).first()[0] if share else None
-    bounds = sorted(set(found or []))
-    cut = counts.withColumn("_bucket", _bucket_of(F.col(value), bounds, 0, len(bounds)))
-    sizes = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_n"))
-    all_buckets = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = all_buckets.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(all_buckets).alias("total")
-    )
-    return join_null_safe(cut.withColumn("_inside", so_far(W.partitionBy(*by, "_bucket"))), offsets, [*by, "_bucket"]).select(
+    placed = in_ranges(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n")), [*by, value], buckets)
+    inside = W.partitionBy(*by, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    summed = placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return join_null_safe(summed, _range_offsets(placed, by, n=F.sum("n")), [*by, "_part"]).select(
         *by, value, "n", (F.col("_before") + F.col("_inside")).alias("before"), "total"
     )
 
