@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not mounted")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import language, licenses, packing, pieces, ppm, quality_model, quality_rules, secrets, simhash, vptree
+from threadloom.llm import language, licenses, merkle, packing, pieces, ppm, quality_model, quality_rules, secrets, simhash, vptree
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,58 @@ SELECT doc_id, license, template, max(len(list_intersect(ts, ds)) / len(ts)) AS
 @query("op4_license_scans", _licenses_sql())
 def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents")).select("doc_id", "license", "template", "containment")
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII string, which DuckDB has no function for: eight shifts a character."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1]))"
+    shifted = lambda a: f"CASE WHEN {a} & 1 = 1 THEN xor({a} >> 1, 3988292384) ELSE {a} >> 1 END"
+    start = "CASE WHEN e >= 0 THEN xor(a, e) ELSE a END"
+    return f"xor(4294967295::BIGINT, list_reduce({steps}, lambda a, e: {shifted(f'({start})')}, 4294967295::BIGINT))"
+
+
+def _merkle_sql(source_levels: int = 5, top_levels: int = 4) -> str:
+    """Enough levels for 16^5 rows a source and 16^4 sources; a tree that has come to one node stays as it is."""
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in [*fields, text])})"
+    parts = [
+        f"""b AS MATERIALIZED (SELECT *, {leaf('text')} AS leaf FROM documents)""",
+        f"""a AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, '-') AS tree, leaf, CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN
+{leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE leaf END AS given,
+row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM b)""",
+        "s0 AS (SELECT tree, r, leaf AS d FROM a)",
+    ]
+
+    def level(prefix: str, k: int) -> list[str]:
+        run = f"PARTITION BY tree, r // 16 ORDER BY r ROWS BETWEEN"
+        return [
+            f"""{prefix}x{k} AS MATERIALIZED (SELECT tree, r, d, count(*) OVER (PARTITION BY tree) AS n, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS le,
+coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS ri FROM {prefix}{k})""",
+            f"{prefix}{k + 1} AS MATERIALIZED (SELECT tree, r // 16 AS r, CASE WHEN max(n) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY r)) END AS d FROM {prefix}x{k} GROUP BY tree, r // 16)",
+        ]
+
+    for k in range(source_levels):
+        parts += level("s", k)
+    parts.append(f"t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS r, d, tree AS name FROM s{source_levels})")
+    for k in range(top_levels):
+        parts += level("t", k)
+    parts.append(
+        "p0 AS (SELECT a.doc_id, a.leaf, a.given, a.tree, a.r, t0.r AS tr, t0.d AS subroot, (SELECT d FROM t{0}) AS root, '' AS proof, a.given AS f FROM a JOIN t0 ON a.tree = t0.name)".format(top_levels)
+    )
+    every = [("s", k, "p.tree = x.tree", "p.r") for k in range(source_levels)] + [("t", k, "TRUE", "p.tr") for k in range(top_levels)]
+    for i, (prefix, k, tree, rank) in enumerate(every):
+        parts.append(
+            f"""p{i + 1} AS (SELECT p.* REPLACE (p.proof || CASE WHEN x.n = 1 THEN '' ELSE x.le || x.ri END AS proof, CASE WHEN x.n = 1 THEN p.f ELSE sha256(x.le || p.f || x.ri) END AS f)
+FROM p{i} p JOIN {prefix}x{k} x ON {tree} AND x.r = {rank} // {16 ** k})"""
+        )
+    return f"""WITH {', '.join(parts)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM p{len(every)}"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def _merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.lower_ascii(F.col("text")))
+    # A NULL text stays NULL, so its leaf is the original one, tampered with or not.
+    proofs = merkle.verify(merkle.manifest(read_table(spark, sf_dir, "documents"), changed))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
