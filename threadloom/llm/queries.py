@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import language, licenses, merkle, packing, pieces, ppm, quality_model, quality_rules, secrets, simhash, vptree
+from threadloom.llm import language, licenses, merkle, packing, periodic, pieces, ppm, quality_model, quality_rules, secrets, simhash, vptree
 from threadloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,33 @@ def _merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A NULL text stays NULL, so its leaf is the original one, tampered with or not.
     proofs = merkle.verify(merkle.manifest(read_table(spark, sf_dir, "documents"), changed))
     return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: Pairs of equal words per distance, stretches of them by their place less their number, the smallest distance of each.
+PERIODIC_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {crc32_sql('doc_id::VARCHAR')} AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d), f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+k AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+l AS MATERIALIZED (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM k),
+t AS MATERIALIZED (SELECT rid, n, unnest(range(0, n)) AS i, unnest(w) AS w FROM l),
+q AS MATERIALIZED (SELECT x.rid, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+s AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS stretch FROM q),
+u AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY rid, q, stretch HAVING count(*) >= greatest(q, 12 - q)),
+r AS MATERIALIZED (SELECT rid, start, length, min(q) AS period FROM u GROUP BY rid, start, length),
+a AS (SELECT rid, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY rid),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) = 1),
+o AS (SELECT t.rid, t.i, t.w FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = t.rid AND t.i >= r.start + r.period AND t.i < r.start + r.length)),
+c AS (SELECT rid, sha256(string_agg(w, ' ' ORDER BY i)) AS collapsed_sha256 FROM o GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM l LEFT JOIN a USING (rid) LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)"""
+
+
+@query("op11_periodic_runs", PERIODIC_SQL)
+def _periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.scan(periodic.with_loops(read_table(spark, sf_dir, "documents")))
+    best = periodic.longest_run(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        periodic.runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
