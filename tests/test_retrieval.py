@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import features
+from threadloom.operators import retrieval
 from threadloom.operators.retrieval import ThreadIndex, topk_dense, topk_sparse
+from threadloom.sources.scratch import shared_folder
 
 SCHEMA = "customer_tweet_id long, customer_text string, brand_tweet_id long, brand_reply_text string, response_time_minutes double"
 
@@ -66,7 +68,7 @@ def test_query_equals_brute_force_with_hot_copies(spark, index, exclude):
 def test_small_shards_give_the_same_hits(spark, index):
     q = index.rows.select(F.col("doc_id").alias("query_id"), "term_ids", "weights")
     run = lambda **kw: {r["query_id"]: [tuple(h) for h in r["hits"]] for r in topk_sparse(q, index.rows, 3, 0.15, **kw).collect()}
-    assert run() == run(shard_rows=7, query_rows=11, groups=3)
+    assert run() == run(shard_rows=7, query_rows=11)
 
 
 def test_hits_carry_the_thread(spark, index):
@@ -79,10 +81,91 @@ def test_hits_carry_the_thread(spark, index):
 def test_saved_index_answers_alike(spark, index, tmp_path):
     index.save(str(tmp_path / "ix"))
     df = spark.createDataFrame([(1, "hot w1 w3")], "id long, t string")
-    again = ThreadIndex.load(spark, str(tmp_path / "ix"), stop_words=())
+    again = ThreadIndex.load(spark, str(tmp_path / "ix"))
     assert again.query(df, "id", "t").first() == index.query(df, "id", "t").first()
 
 
+def staged(spark, name):
+    """Tables of that name in the shared folder."""
+    from pathlib import Path
+
+    return sum(p.name.startswith(f"{name}-") for p in Path(shared_folder(spark).removeprefix("file:"), "tables").iterdir())
+
+
+def test_a_stored_index_makes_no_shards_for_queries_and_takes_parts(spark, tmp_path):
+    rows = thread_rows()
+    path = str(tmp_path / "ix")
+    ThreadIndex.build(spark.createDataFrame(rows, SCHEMA), stop_words=()).save(path)
+    loaded = ThreadIndex.load(spark, path)
+    df = spark.createDataFrame([(1, "hot w1 w3"), (2, "w5 w2 w2")], "id long, t string")
+    before = staged(spark, "shards")
+    first = loaded.query(df, "id", "t").collect()
+    assert loaded.query(df, "id", "t").collect() == first and staged(spark, "shards") == before
+    grown = loaded.append(path, spark.createDataFrame([(9_000_000, "w5 w2 w2", 9_000_001, "new reply", 1.0)], SCHEMA))
+    assert staged(spark, "shards") == before + 1  # the new part's only
+    hits = {r["id"]: r["hits"] for r in grown.query(df, "id", "t").collect()}
+    assert "new reply" in [h["brand_reply_text"] for h in hits[2]] and hits[2][0]["similarity"] == 1.0
+    assert grown.rows.count() == loaded.rows.count() + 1 and grown.vocab.count() == loaded.vocab.count()
+    # More hits than the shards were cut for: exact all the same.
+    assert len(grown.query(df, "id", "t", k=retrieval.CITABLE + 5).first()["hits"]) == retrieval.CITABLE + 5
+
+
+def topics(n, n_topics=40, seed=3):
+    """Unit vectors about one topic each: five of its thirty terms, and two of twenty terms that all topics share."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        topic = i * 7919 % n_topics
+        weights = {20 + 30 * topic + t: rnd.uniform(0.5, 1.0) for t in rnd.sample(range(30), 5)} | {t: rnd.uniform(0.2, 0.7) for t in rnd.sample(range(20), 2)}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        out.append((i, i, sorted(weights), [weights[t] / norm for t in sorted(weights)]))
+    return out
+
+
+def test_own_thresholds_leave_most_shards_out(spark):
+    docs = spark.createDataFrame(topics(2400), "doc_id long, owner_id long, term_ids array<int>, weights array<double>").repartition(4)
+    queries = docs.filter("doc_id % 12 = 0").select(F.col("doc_id").alias("query_id"), "term_ids", "weights")
+    shards = retrieval.cut_shards(docs, shard_rows=60)
+    n_shards, n_queries = shards.rows.select("shard").distinct().count(), queries.count()
+    home = retrieval.home_shards(queries, shards).withColumn("floor", F.lit(0.15))
+    score = retrieval._score_shards(home, queries, shards.rows, ["term_ids", "weights"], retrieval._sparse_scorer(3, 3), 5000)
+    floors = retrieval._floors(queries, retrieval._ranked(score, 3, 3), 3, 0.15)
+    visited = retrieval.routes(queries, floors, shards)
+    assert n_shards == 40 and n_queries == 200
+    assert visited.count() < n_queries * n_shards / 4
+    loose = floors.withColumn("floor", F.lit(0.15))
+    assert visited.count() < retrieval.routes(queries, loose, shards).count() / 2, visited.count()
+    # And nothing is lost by that.
+    want = {r["query_id"]: [tuple(h) for h in r["hits"]] for r in topk_sparse(queries, docs, 3, 0.15, shard_rows=5000).collect()}
+    assert {r["query_id"]: [tuple(h) for h in r["hits"]] for r in retrieval.topk_sharded(queries, shards, 3, 0.15).collect()} == want
+
+
+def test_dense_vectors_of_any_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.8, 0.1, 0.0]), (5, []), (6, None), (7, [0.0, 0.0]), (8, [1.0, None]), (9, [float("nan"), 1.0]), (10, [2.0])]
+    docs = spark.createDataFrame([(i, i, v) for i, v in rows], "doc_id long, owner_id long, vector array<double>")
+    queries = docs.select(F.col("doc_id").alias("query_id"), "vector")
+    hits = lambda q, d: {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_dense(q, d, 3, 0.15, True).collect()}
+    assert hits(queries, docs) == {1: [2], 2: [1], 3: [4], 4: [3]}
+    assert hits(queries, docs.limit(0)) == {} and hits(queries.limit(0), docs) == {}
+
+
+def test_dense_cells_are_skipped(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, 16)), 40, axis=0) + 0.05 * rng.normal(size=(1200, 16))
+    docs = spark.createDataFrame([(i, i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, owner_id long, vector array<double>")
+    seen, score = [], retrieval._score_shards
+
+    def counting(where, *rest):
+        seen.append(where.count())
+        return score(where, *rest)
+
+    monkeypatch.setattr(retrieval, "_score_shards", counting)
+    queries = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    topk_dense(queries, docs, 3, 0.15).collect()
+    cells = round(1200**0.5)
+    assert seen[0] == 120 and sum(seen) < 120 * cells / 2
+
+
 def test_dense_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 8))
@@ -90,7 +173,7 @@ def test_dense_equals_brute_force(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     docs = spark.createDataFrame([(i, i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, owner_id long, vector array<double>")
     queries = docs.select(F.col("doc_id").alias("query_id"), "vector")
-    got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_dense(queries, docs, 3, 0.3, True, pivots=6, shard_rows=9, query_rows=13).collect()}
+    got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_dense(queries, docs, 3, 0.3, True, pivots=6, query_rows=13).collect()}
     for i in range(120):
         s = np.round(unit @ unit[i], 8)
         want = [j for j in sorted(range(120), key=lambda j: (-s[j], j)) if j != i and s[j] >= 0.3][:3]
@@ -116,7 +199,7 @@ def test_an_owner_with_many_different_rows_does_not_hide_the_others(spark):
     own = [(i, 1, [1.0, 0.01 * i]) for i in range(10)]
     docs = spark.createDataFrame([*own, (50, 2, [1.0, 0.6])], "doc_id long, owner_id long, vector array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (7, [1.0, 0.0])], "query_id long, vector array<double>")
-    got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_dense(queries, docs, 3, 0.15, True, shard_rows=4).collect()}
+    got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_dense(queries, docs, 3, 0.15, True, pivots=3).collect()}
     assert got == {1: [50], 7: [0, 1, 2]}
     unit = lambda v: [x / math.hypot(*v) for x in v]
     sparse = docs.select("doc_id", "owner_id", F.array(F.lit(0), F.lit(1)).alias("term_ids"), F.transform("vector", lambda x: x / F.sqrt(F.get("vector", 0) ** 2 + F.get("vector", 1) ** 2)).alias("weights"))

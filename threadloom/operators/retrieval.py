@@ -1,13 +1,17 @@
 """Top-k similarity retrieval over an index, exact and without pairing every query with every row.
 
 1. Rows with equal vectors are reduced to the few smallest ids that can be cited, equal queries to one.
-2. The index is cut into shards of bounded size, rows with the same leading term together.
-3. A shard is described by its largest weight per term.  The dot product of a query with that profile bounds
-   every similarity inside the shard, so one join on the term tells which shards a query has to visit; the
-   others cannot reach the threshold.
-4. Each visited shard scores its queries in numpy, a bounded block at a time, and returns only each query's
-   best rows.  Pairs exist only inside that block and never cross the network.
-5. The best rows of all shards are merged per query.
+2. The index is cut into shards of bounded size, in the order of the rows' heaviest terms, so that a shard holds rows
+   about few things.  Shards and what describes them are made once and kept with the index: the largest weight per
+   shard and term, the shard with most rows led by a term, the largest weight per term.
+3. A query first visits one shard, the home of its heaviest term.  Its k-th similarity there is its own threshold.
+4. Terms are then taken rarest first: frequent terms whose largest weights together stay below the threshold bring no
+   shard in.  Of the shards the others lead to, those whose largest weights add up to the threshold are visited.
+5. A visited shard scores its queries in numpy, a bounded block at a time, and returns only each query's best rows.
+   Pairs exist only inside that block and never cross the network.  The best rows of all shards are merged per query.
+
+Dense vectors go the same way with cells instead of terms: a query is scored in its nearest cell first, and skips each
+cell that the triangle inequality puts below its threshold.
 
 Nothing is capped: the threshold and k are the query's own, and the bounds only skip what cannot appear.
 """
@@ -16,27 +20,30 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
 from threadloom.functions.scoring import rounded
 from threadloom.operators.features import fit, term_counts, vectors
+from threadloom.operators.ranks import position_by_range
 from threadloom.sources.scratch import stage_table
 
 # The scoring functions travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_ROWS = 20_000
+SHARD_ROWS = 5_000
 QUERY_ROWS = 5_000
-SHARD_GROUPS = 16
+CITABLE = 16  # a stored index answers up to this k from its shards as they are
 BLOCK_CELLS = 4_000_000
+MAX_PIVOTS = 4_096  # pivots of dense cells that travel with the task code
 RANK_DIGITS = 8  # similarities equal to 8 digits are ties, settled by the smaller id
 SLACK = 1e-7
 HITS = (
@@ -73,7 +80,7 @@ def _empty() -> pd.DataFrame:
     return pd.DataFrame({"query_id": none, "doc_id": none, "owner_id": none, "sim": np.zeros(0)})
 
 
-def _sparse_scorer(k: int, min_sim: float, per_owner: int):
+def _sparse_scorer(k: int, per_owner: int):
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or docs.empty:
             return _empty()
@@ -106,14 +113,14 @@ def _sparse_scorer(k: int, min_sim: float, per_owner: int):
                         np.repeat(qi[at:to], h) * nd + d[pos], weights=np.repeat(qw[at:to], h) * w[pos], minlength=len(cells)
                     )
                 at = to
-            good = np.flatnonzero(cells >= min_sim - SLACK)
+            good = np.flatnonzero(cells >= np.repeat(part["floor"].to_numpy(), nd) - SLACK)
             out.append(_best(part, docs, good // nd, good % nd, cells[good], k, per_owner))
         return pd.concat(out)
 
     return score
 
 
-def _dense_scorer(k: int, min_sim: float, per_owner: int):
+def _dense_scorer(k: int, per_owner: int):
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or docs.empty:
             return _empty()
@@ -123,7 +130,7 @@ def _dense_scorer(k: int, min_sim: float, per_owner: int):
         for lo in range(0, len(queries), step):
             part = queries.iloc[lo : lo + step]
             sims = np.vstack(part["vector"].to_numpy()) @ d.T
-            gq, gd = np.nonzero(sims >= min_sim - SLACK)
+            gq, gd = np.nonzero(sims >= part["floor"].to_numpy()[:, None] - SLACK)
             out.append(_best(part, docs, gq, gd, sims[gq, gd], k, per_owner))
         return pd.concat(out)
 
@@ -140,24 +147,28 @@ def _represented(queries: DataFrame, digest) -> DataFrame:
     return q.join(reps, "_digest").drop("_digest")
 
 
-def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payload: Sequence[str], scorer, k: int, per_owner: int, query_rows: int) -> DataFrame:
-    """Bring each shard together with its queries and keep the k best rows per query.
+def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payload: Sequence[str], scorer, query_rows: int) -> DataFrame:
+    """Bring each shard together with its queries (query_id, floor, payload) and keep the best rows per query and shard.
 
     A shard that many queries visit is copied to several tasks, each with at most about `query_rows` of them.
     """
     parts = routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(query_rows))).cast("int").alias("parts"))
     # The key columns are named apart: both sides come from the same shard frame.
-    q = routes.join(parts, "shard").join(queries, "query_id").select(
+    q = routes.select("query_id", "shard", "floor").join(parts, "shard").join(queries, "query_id").select(
         F.col("shard").alias("q_shard"), F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("q_part"),
-        "query_id", *[F.col(c).alias(c) for c in payload],
+        "query_id", "floor", *[F.col(c).alias(c) for c in payload],
     )
     copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     d = docs.join(parts, "shard").select(
         F.col("shard").alias("d_shard"), copies.alias("d_part"), "doc_id", "owner_id", *[F.col(c).alias(c) for c in payload]
     )
-    scored = q.groupBy("q_shard", "q_part").cogroup(d.groupBy("d_shard", "d_part")).applyInPandas(
+    return q.groupBy("q_shard", "q_part").cogroup(d.groupBy("d_shard", "d_part")).applyInPandas(
         scorer, "query_id long, doc_id long, owner_id long, sim double"
     )
+
+
+def _ranked(scored: DataFrame, k: int, per_owner: int) -> DataFrame:
+    """The k best rows of each query over all shards, at most `per_owner` of one owner, with their place `rn`."""
     order = (F.desc(F.round("sim", RANK_DIGITS)), "doc_id", "owner_id")
     if per_owner < k:
         of_owner = W.partitionBy("query_id", "owner_id").orderBy(*order)
@@ -166,14 +177,10 @@ def _score_shards(routes: DataFrame, queries: DataFrame, docs: DataFrame, payloa
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
-def _sub_shards(docs: DataFrame, group: str, shard_rows: int) -> DataFrame:
-    """Split each group into as many shards as its size needs; a hot group simply gets more of them.
-
-    The sizes are one row per group; how they are joined is left to Spark.
-    """
-    sizes = docs.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(shard_rows))).alias("_subs"))
-    sub = F.pmod(F.xxhash64("doc_id"), F.col("_subs"))
-    return docs.join(sizes, group).withColumn("shard", F.concat_ws(":", F.col(group), sub)).drop("_subs")
+def _floors(queries: DataFrame, seeds: DataFrame, k: int, min_sim: float) -> DataFrame:
+    """(query_id, floor): the k-th similarity a query has found, or min_sim.  Rows below cannot be among its best."""
+    found = seeds.filter(F.col("rn") == k).select("query_id", F.col("sim").alias("_kth"))
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.greatest(F.lit(float(min_sim)), "_kth").alias("floor"))
 
 
 def _citable(docs: DataFrame, digest: str, k: int, own_rows: int) -> DataFrame:
@@ -199,90 +206,175 @@ def _merge_per_query(queries: DataFrame, best: DataFrame, k: int, min_sim: float
     )
 
 
-def topk_sparse(
-    queries: DataFrame, docs: DataFrame, k: int = V.TOP_K, min_sim: float = V.MIN_SIMILARITY, exclude_self: bool = False,
-    shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, groups: int = SHARD_GROUPS,
+def _pair_digest(*columns: str) -> Column:
+    """Two independent hashes: a pair of different vectors sharing both does not happen in practice."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *reversed(columns)).alias("b"))
+
+
+def _entries(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per term of a vector."""
+    pair = F.explode(F.arrays_zip("term_ids", "weights"))
+    return rows.select(*keep, pair.alias("e")).select(*keep, F.col("e.term_ids").alias("term_id"), F.col("e.weights").alias("weight"))
+
+
+@dataclass
+class Shards:
+    """Rows cut into shards, and what tells which shards a query has to visit; homes and tops are small sums over the others."""
+
+    rows: DataFrame  # shard, doc_id, owner_id, term_ids, weights
+    bounds: DataFrame  # shard, term_id, top_weight: the largest weight
+    homes: DataFrame  # term_id, shard, led: the shard with most rows whose heaviest term it is
+    tops: DataFrame  # term_id, top_weight, shards: the largest weight in any shard, and how many have the term
+
+    TABLES = ("rows", "bounds", "homes", "tops")
+
+
+def cut_shards(docs: DataFrame, shard_rows: int = SHARD_ROWS, citable: int = CITABLE, part: int = 0) -> Shards:
+    """RET1: cut rows (doc_id, owner_id, term_ids, weights) into shards of `shard_rows`, for queries of k up to `citable`.
+
+    Rows are ordered by their three heaviest terms, so that neighbours are alike; a term that leads a third of all
+    rows has shards by its second and third.  Of rows with equal vectors the `citable` smallest ids of each owner, and
+    twice as many in all, are kept: no query of such k can cite another.  `part` sets the shard numbers apart.
+    """
+    d = _citable(docs.withColumn("_digest", _pair_digest("term_ids", "weights")), "_digest", 2 * citable, citable).drop("_digest")
+    by_weight = F.array_sort(F.transform(F.arrays_zip("term_ids", "weights"), lambda e: F.struct((-e["weights"]).alias("w"), e["term_ids"].alias("t"))))
+    d = d.withColumn("_heavy", F.transform(F.slice(by_weight, 1, 3), lambda e: e["t"]))
+    placed = position_by_range(d, [], ["_heavy", "doc_id", "owner_id"])
+    shard = F.lit(part << 32).cast("long") + F.floor(F.col("position") / F.lit(shard_rows))
+    cut = stage_table(placed.select(shard.alias("shard"), F.get("_heavy", 0).alias("lead"), "doc_id", "owner_id", "term_ids", "weights"), "shards")
+    rows = cut.drop("lead")
+    bounds = stage_table(_entries(rows, "shard").groupBy("shard", "term_id").agg(F.max("weight").alias("top_weight")), "bounds")
+    led = cut.groupBy(F.col("lead").alias("term_id"), "shard").agg(F.count(F.lit(1)).alias("led"))
+    homes = led.groupBy("term_id").agg(F.max_by("shard", F.struct("led", "shard")).alias("shard"), F.max("led").alias("led"))
+    tops = bounds.groupBy("term_id").agg(F.max("top_weight").alias("top_weight"), F.count(F.lit(1)).alias("shards"))
+    return Shards(rows, bounds, homes, tops)
+
+
+def home_shards(queries: DataFrame, shards: Shards) -> DataFrame:
+    """(query_id, shard): the home of the heaviest term of a query that has one."""
+    at_home = _entries(queries, "query_id").join(shards.homes, "term_id")
+    return at_home.groupBy("query_id").agg(F.max_by("shard", F.struct("weight", "led", "shard")).alias("shard"))
+
+
+def routes(queries: DataFrame, floors: DataFrame, shards: Shards) -> DataFrame:
+    """(query_id, shard, floor) of all shards that may hold a row as similar as the query's floor.
+
+    Per query, terms are added up from the one in most shards on, each with its largest weight anywhere; while the sum
+    stays below the floor, a shard with these terms only cannot reach it, so only the rarer terms lead to shards.  What
+    the frequent terms can add is first taken as this sum, then, for the shards left, as the shard's own largest weights.
+    """
+    tops = shards.tops.groupBy("term_id").agg(F.max("top_weight").alias("most"), F.sum("shards").alias("shards"))
+    known = _entries(queries, "query_id").join(tops, "term_id").join(floors, "query_id")
+    frequent_first = W.partitionBy("query_id").orderBy(F.desc("shards"), "term_id").rowsBetween(W.unboundedPreceding, 0)
+    summed = known.withColumn("sum", F.sum(F.col("weight") * F.col("most")).over(frequent_first)).withColumn("leads", F.col("sum") >= F.col("floor") - SLACK)
+    terms = stage_table(summed.select("query_id", "term_id", "weight", "floor", "sum", "leads"), "query-terms")
+    rest = terms.filter(~F.col("leads")).groupBy("query_id").agg(F.max("sum").alias("rest"))
+    led = terms.filter("leads").join(shards.bounds, "term_id").groupBy("query_id", "shard").agg(
+        F.sum(F.col("weight") * F.col("top_weight")).alias("sum"), F.first("floor").alias("floor")
+    )
+    near = led.join(rest, "query_id", "left").filter(F.col("sum") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor") - SLACK).drop("rest")
+    others = terms.filter(~F.col("leads")).select("query_id", "term_id", "weight")
+    more = near.select("query_id", "shard").join(others, "query_id").join(shards.bounds, ["shard", "term_id"]).groupBy("query_id", "shard").agg(
+        F.sum(F.col("weight") * F.col("top_weight")).alias("more")
+    )
+    reach = near.join(more, ["query_id", "shard"], "left").filter(F.col("sum") + F.coalesce("more", F.lit(0.0)) >= F.col("floor") - SLACK)
+    return reach.select("query_id", "shard", "floor")
+
+
+def topk_sharded(
+    queries: DataFrame, shards: Shards, k: int = V.TOP_K, min_sim: float = V.MIN_SIMILARITY, exclude_self: bool = False, query_rows: int = QUERY_ROWS
 ) -> DataFrame:
-    """JON12, WIN3: for every query (query_id, term_ids, weights) its k nearest rows of docs
-    (doc_id, owner_id, term_ids, weights) by dot product, at least min_sim; (query_id, hits array).
+    """JON12, WIN3: for every query (query_id, term_ids, weights) its k nearest rows by dot product, at least min_sim;
+    (query_id, hits array).  k may be what the shards were cut for, at most.
 
     `exclude_self` leaves out rows whose owner_id is the query's id.  Equal queries share one list, which then holds
     2k rows but at most k of one owner: whichever owner a query leaves out, k others are left.  Vectors must have unit length and
-    non-negative weights.  There are about as many groups of leading terms as shards, so that a shard
-    holds rows about few things and its bounds are tight.
+    non-negative weights.
     """
-    groups = max(groups, -(-docs.count() // shard_rows))
     kk = 2 * k if exclude_self else k
-    digest = F.xxhash64("term_ids", "weights")
-    # Two independent hashes: a pair of different vectors sharing both does not happen in practice.
-    digest = F.struct(digest.alias("a"), F.xxhash64(F.lit(1), "weights", "term_ids").alias("b"))
-    d = _citable(docs.withColumn("_digest", digest), "_digest", kk, k).drop("_digest")
-    q = _represented(queries, digest)
+    q = _represented(queries, _pair_digest("term_ids", "weights"))
     distinct_q = q.filter("query_id = rep_id").select("query_id", "term_ids", "weights")
-
-    lead = F.element_at("term_ids", F.array_position("weights", F.array_max("weights")).cast("int"))
-    sharded = _sub_shards(d.withColumn("_group", F.pmod(F.xxhash64(lead), F.lit(groups))), "_group", shard_rows)
-    sharded = stage_table(sharded.select("shard", "doc_id", "owner_id", "term_ids", "weights"), "shards")
-    entry = F.explode(F.arrays_zip("term_ids", "weights"))
-    profile = sharded.select("shard", entry.alias("e")).groupBy("shard", F.col("e.term_ids").alias("term_id")).agg(
-        F.max("e.weights").alias("top_weight")
-    )
-    routes = (
-        distinct_q.select("query_id", entry.alias("e"))
-        .select("query_id", F.col("e.term_ids").alias("term_id"), F.col("e.weights").alias("weight"))
-        .join(profile, "term_id")
-        .groupBy("query_id", "shard").agg(F.sum(F.col("weight") * F.col("top_weight")).alias("bound"))
-        .filter(F.col("bound") >= min_sim - SLACK)
-        .select("query_id", "shard")
-    )
-    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded, ["term_ids", "weights"], _sparse_scorer(kk, min_sim, k), kk, k, query_rows)
+    score = lambda where: _score_shards(where, distinct_q, shards.rows, ["term_ids", "weights"], _sparse_scorer(kk, k), query_rows)
+    home = home_shards(distinct_q, shards).withColumn("floor", F.lit(float(min_sim)))
+    seeds = stage_table(_ranked(score(home), kk, k), "seeds")
+    onward = routes(distinct_q, _floors(distinct_q, seeds, kk, min_sim), shards).join(home.select("query_id", "shard"), ["query_id", "shard"], "left_anti")
+    best = _ranked(seeds.drop("rn").unionByName(score(stage_table(onward, "routes"))), kk, k)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 
-def topk_dense(
+def topk_sparse(
     queries: DataFrame, docs: DataFrame, k: int = V.TOP_K, min_sim: float = V.MIN_SIMILARITY, exclude_self: bool = False,
-    pivots: int = 16, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
+    shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """RET3: the same contract for dense vectors: queries (query_id, vector), docs (doc_id, owner_id, vector).
+    """JON12, WIN3: `topk_sharded` over rows (doc_id, owner_id, term_ids, weights) that are cut for this call."""
+    return topk_sharded(queries, cut_shards(docs, shard_rows, k), k, min_sim, exclude_self, query_rows)
 
-    Rows are grouped by their nearest of a few pivot rows; a group is described by its largest angle to the
-    pivot, and by the triangle inequality a query skips a group when its own angle to the pivot, less that
-    radius, leaves too little similarity.
-    """
-    kk = 2 * k if exclude_self else k
-    scale = lambda df: df.withColumn(
-        "_n", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))
-    ).filter("_n > 0").withColumn("vector", F.transform("vector", lambda x: x.cast("double") / F.col("_n"))).drop("_n")
-    q, d = scale(queries), scale(docs)
-    digest = F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b"))
-    d = stage_table(_citable(d.withColumn("_digest", digest), "_digest", kk, k).drop("_digest"), "rows")
-    q = _represented(q, digest)
-    # A fixed, small number of pivot vectors comes to the driver and goes out with the task code.
-    p = np.array([r[0] for r in d.orderBy(F.md5(F.col("doc_id").cast("string"))).select("vector").limit(pivots).collect()])
-
-    def nearest(batches):
-        for b in batches:
-            sims = np.vstack(b["vector"].to_numpy()) @ p.T if len(b) else np.zeros((0, len(p)))
-            g = sims.argmax(1) if len(b) else np.zeros(0, int)
-            b["grp"] = g
-            b["angle"] = np.arccos(np.clip(sims[np.arange(len(b)), g], -1, 1)) if len(b) else np.zeros(0)
-            yield b[["doc_id", "owner_id", "vector", "grp", "angle"]]
+
+def _unit(df: DataFrame) -> DataFrame:
+    """Vectors of unit length; those that are NULL, empty, zero or hold a NULL or a number that is not finite take no part."""
+    x = F.transform("vector", lambda x: x.cast("double"))
+    squares = F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y)
+    norm = df.withColumn("_n", F.sqrt(squares)).filter((F.col("_n") > 0) & (F.col("_n") < F.lit(float("inf"))))
+    return norm.withColumn("vector", F.transform("vector", lambda x: x.cast("double") / F.col("_n"))).drop("_n")
+
+
+def _to_pivots(pivots: dict[int, np.ndarray], lists: bool):
+    """Nearest pivot of every row, or all pivots of a query with their angles; pivots are those of the vector's length."""
 
     def angles(batches):
         for b in batches:
-            a = np.arccos(np.clip(np.vstack(b["vector"].to_numpy()) @ p.T, -1, 1)) if len(b) else np.zeros((0, len(p)))
-            yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), len(p)), "grp": np.tile(np.arange(len(p)), len(b)), "angle": a.ravel()})
+            for size, rows in b.groupby(b["vector"].map(len)):
+                p = pivots.get(size)
+                if p is None:
+                    continue
+                angle = np.arccos(np.clip(np.vstack(rows["vector"].to_numpy()) @ p.T, -1, 1))
+                if lists:
+                    yield pd.DataFrame({"query_id": rows["query_id"].to_numpy(), "size": size, "angles": list(angle)})
+                else:
+                    near = angle.argmin(1)
+                    yield rows.assign(size=size, cell=near, angle=angle[np.arange(len(rows)), near])[["doc_id", "owner_id", "vector", "size", "cell", "angle"]]
+
+    return angles
+
+
+def topk_dense(
+    queries: DataFrame, docs: DataFrame, k: int = V.TOP_K, min_sim: float = V.MIN_SIMILARITY, exclude_self: bool = False,
+    pivots: int | None = None, query_rows: int = QUERY_ROWS,
+) -> DataFrame:
+    """RET3: the same contract for dense vectors: queries (query_id, vector), docs (doc_id, owner_id, vector).
 
-    placed = d.mapInPandas(nearest, "doc_id long, owner_id long, vector array<double>, grp int, angle double")
-    sharded = stage_table(_sub_shards(placed, "grp", shard_rows), "shards")
-    radius = sharded.groupBy("shard", "grp").agg(F.max("angle").alias("radius"))
+    Rows lie in the cell of their nearest pivot; pivots are about the square root of the rows, drawn by hash, at most
+    MAX_PIVOTS.  A cell is described by its largest and smallest angle to the pivot.  A query is compared with the pivots,
+    searched in its nearest cell first, and visits only cells that by the triangle inequality can hold a row as similar as
+    its k-th there.  Vectors of different length do not meet; those of _unit's exceptions take no part.
+    """
+    kk = 2 * k if exclude_self else k
+    q, d = _unit(queries), _unit(docs)
+    d = stage_table(_citable(d.withColumn("_digest", _pair_digest("vector")), "_digest", kk, k).drop("_digest"), "rows")
+    q = _represented(q, _pair_digest("vector"))
     distinct_q = q.filter("query_id = rep_id").select("query_id", "vector")
-    gap = F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))
-    routes = (
-        distinct_q.mapInPandas(angles, "query_id long, grp int, angle double")
-        .join(radius, "grp").filter(F.cos(gap) >= min_sim - SLACK).select("query_id", "shard")
-    )
-    best = _score_shards(stage_table(routes, "routes"), distinct_q, sharded.select("shard", "doc_id", "owner_id", "vector"), ["vector"], _dense_scorer(kk, min_sim, k), kk, k, query_rows)
+    n = pivots or int(min(MAX_PIVOTS, max(1, round(d.count() ** 0.5))))
+    # A bounded number of pivots comes to the driver and goes out with the task code.
+    drawn = [r[0] for r in d.orderBy(F.md5(F.col("doc_id").cast("string")), "owner_id").select("vector").limit(n).collect()]
+    sizes = [r[0] for r in d.select(F.size("vector")).distinct().limit(MAX_PIVOTS + 1).collect()]
+    if len(sizes) > MAX_PIVOTS:
+        raise ValueError("vectors of so many lengths have no common space")
+    by_size: dict[int, list] = {s: [v for v in drawn if len(v) == s] for s in sizes}
+    pivot_rows = {s: np.array(v) if v else np.eye(1, s) for s, v in by_size.items()}
+
+    placed = d.mapInPandas(_to_pivots(pivot_rows, False), "doc_id long, owner_id long, vector array<double>, size int, cell int, angle double")
+    rows = stage_table(placed.withColumn("shard", F.concat_ws(":", "size", "cell")), "cells")
+    reach = rows.groupBy("shard", "size", "cell").agg(F.max("angle").alias("far"), F.min("angle").alias("close"))
+    seen = stage_table(distinct_q.mapInPandas(_to_pivots(pivot_rows, True), "query_id long, size int, angles array<double>"), "angles")
+    score = lambda where: _score_shards(where, distinct_q, rows, ["vector"], _dense_scorer(kk, k), query_rows)
+    nearest = F.array_position("angles", F.array_min("angles")) - 1
+    home = stage_table(seen.select("query_id", F.concat_ws(":", "size", nearest).alias("shard"), F.lit(float(min_sim)).alias("floor")), "homes-asked")
+    seeds = stage_table(_ranked(score(home), kk, k), "seeds")
+    asked = seen.join(_floors(distinct_q, seeds, kk, min_sim), "query_id").select("query_id", "size", "floor", F.posexplode("angles").alias("cell", "angle"))
+    gap = F.greatest(F.lit(0.0), F.col("angle") - F.col("far"), F.col("close") - F.col("angle"))
+    onward = asked.join(reach, ["size", "cell"]).filter(F.cos(gap) >= F.col("floor") - SLACK).select("query_id", "shard", "floor")
+    onward = onward.join(home.select("query_id", "shard"), ["query_id", "shard"], "left_anti")
+    best = _ranked(seeds.drop("rn").unionByName(score(stage_table(onward, "routes"))), kk, k)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 
@@ -292,11 +384,29 @@ def english_stop_words() -> list[str]:
 
 
 class ThreadIndex:
-    """RET1, SNK4: vocabulary, row vectors and row texts of the usable threads, as three frames or tables."""
+    """RET1, SNK4: vocabulary, row vectors, row texts and shards of the usable threads, as staged or stored tables.
 
-    def __init__(self, vocab: DataFrame, rows: DataFrame, docs: DataFrame, stop_words: Sequence[str], max_terms: int | None):
+    A stored index is a folder: the vocabulary, one manifest row per part, and per part the vectors, texts and shard
+    tables.  Parts are added with `append`; nothing that is stored is read or written again for that.
+    """
+
+    def __init__(self, vocab: DataFrame, rows: DataFrame, docs: DataFrame, stop_words: Sequence[str], max_terms: int | None, shards: Shards | None = None, citable: int = CITABLE):
         self.vocab, self.rows, self.docs = vocab, rows, docs
         self.stop_words, self.max_terms = tuple(stop_words), max_terms
+        self.citable = citable
+        self.shards = cut_shards(rows, citable=citable) if shards is None else shards
+
+    @staticmethod
+    def _texts(usable_threads: DataFrame) -> DataFrame:
+        """A thread is known by its brand reply (doc_id) and its customer message (owner_id)."""
+        return usable_threads.select(
+            F.col("brand_tweet_id").alias("doc_id"), F.col("customer_tweet_id").alias("owner_id"),
+            "customer_tweet_id", "customer_text", "brand_tweet_id", "brand_reply_text", "response_time_minutes",
+        )
+
+    @staticmethod
+    def _keyed(docs: DataFrame) -> DataFrame:
+        return docs.select(F.struct("doc_id", "owner_id").alias("thread"), "customer_text")
 
     @classmethod
     def build(
@@ -304,32 +414,54 @@ class ThreadIndex:
     ) -> ThreadIndex:
         """RET1: index the customer texts of threads, one row per thread.
 
-        A thread is known by its brand reply (doc_id) and its customer message (owner_id).  Each of the three
-        parts is written once, as queries read them many times.  Stop words are English ones unless given.
+        Each part of the index is written once, as queries read them many times.  Stop words are English ones unless given.
         """
         stop_words = english_stop_words() if stop_words is None else stop_words
-        docs = usable_threads.select(
-            F.col("brand_tweet_id").alias("doc_id"), F.col("customer_tweet_id").alias("owner_id"),
-            "customer_tweet_id", "customer_text", "brand_tweet_id", "brand_reply_text", "response_time_minutes",
-        )
-        docs = stage_table(docs, "docs")
-        keyed = docs.select(F.struct("doc_id", "owner_id").alias("thread"), "customer_text")
-        counts, vocab = fit(keyed, "thread", "customer_text", stop_words, True, min_df, max_terms)
+        docs = stage_table(cls._texts(usable_threads), "docs")
+        counts, vocab = fit(cls._keyed(docs), "thread", "customer_text", stop_words, True, min_df, max_terms)
         vocab = stage_table(vocab, "vocab")
         rows = stage_table(vectors(counts, vocab, "thread", max_terms).select("thread.*", "term_ids", "weights"), "rows")
         return cls(vocab, rows, docs, stop_words, max_terms)
 
+    def _write_part(self, path: str, part: int, rows: DataFrame, docs: DataFrame, shards: Shards) -> None:
+        """The part's tables, then its manifest row: a part without one (a run that was lost) is not read."""
+        tables = {"vectors": rows, "docs": docs, **{t: getattr(shards, t) for t in Shards.TABLES}}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}/part={part}")
+        entry = (part, self.citable, self.max_terms, list(self.stop_words))
+        spark = self.vocab.sparkSession
+        spark.createDataFrame([entry], "part int, citable int, max_terms int, stop_words array<string>").write.mode("append").json(f"{path}/manifest")
+
     def save(self, path: str) -> None:
-        """SNK4: three parquet tables; the row vectors are sorted into the files by id."""
+        """SNK4: the vocabulary, and one part with all rows; `path` is a new folder or one to be written over."""
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        spark = self.vocab.sparkSession
+        spark.createDataFrame([], "part int, citable int, max_terms int, stop_words array<string>").write.mode("overwrite").json(f"{path}/manifest")
+        self._write_part(path, 0, self.rows, self.docs, self.shards)
 
     @classmethod
-    def load(cls, spark, path: str, stop_words: Sequence[str] | None = None, max_terms: int | None = V.MAX_INDEX_TERMS) -> ThreadIndex:
-        stop_words = english_stop_words() if stop_words is None else stop_words
-        vocab, rows, docs = (spark.read.parquet(f"{path}/{t}") for t in ("vocab", "rows", "docs"))
-        return cls(vocab, rows, docs, stop_words, max_terms)
+    def load(cls, spark, path: str) -> ThreadIndex:
+        """RET1: a stored index, as it lies; queries read its shards and make none."""
+        parts = spark.read.schema("part int, citable int, max_terms int, stop_words array<string>").json(f"{path}/manifest").collect()  # one row per append
+        if not parts:
+            raise ValueError(f"no index in {path}")
+        numbers = [p["part"] for p in parts]
+        read = lambda name: spark.read.parquet(f"{path}/{name}").filter(F.col("part").isin(numbers)).drop("part")
+        shards = Shards(**{t: read(t) for t in Shards.TABLES})
+        return cls(spark.read.parquet(f"{path}/vocab"), read("vectors"), read("docs"), parts[0]["stop_words"], parts[0]["max_terms"], shards, min(p["citable"] for p in parts))
+
+    def append(self, path: str, usable_threads: DataFrame) -> ThreadIndex:
+        """Adds threads to the index stored in `path` as a part of its own, weighted by the stored vocabulary, and loads it.
+
+        The threads must not be in the index yet.
+        """
+        spark = self.vocab.sparkSession
+        part = 1 + spark.read.schema("part int").json(f"{path}/manifest").agg(F.max("part")).first()[0]
+        docs = stage_table(self._texts(usable_threads), "docs")
+        counts = term_counts(self._keyed(docs), "thread", "customer_text", self.stop_words)
+        rows = stage_table(vectors(counts, self.vocab, "thread", self.max_terms).select("thread.*", "term_ids", "weights"), "rows")
+        self._write_part(path, part, rows, docs, cut_shards(rows, citable=self.citable, part=part))
+        return type(self).load(spark, path)
 
     def query(
         self, messages: DataFrame, key: str, text: str, k: int = V.TOP_K, min_sim: float = V.MIN_SIMILARITY, exclude_self: bool = False
@@ -340,7 +472,8 @@ class ThreadIndex:
         """
         counts = term_counts(messages.select(F.col(key).alias("query_id"), F.col(text).alias("_text")), "query_id", "_text", self.stop_words)
         q = vectors(counts, self.vocab, "query_id", self.max_terms)
-        best = topk_sparse(q, self.rows, k, min_sim, exclude_self)
+        shards = self.shards if k <= self.citable else cut_shards(self.rows, citable=k)
+        best = topk_sharded(q, shards, k, min_sim, exclude_self)
         cited = best.select("query_id", F.posexplode("hits").alias("pos", "h")).select("query_id", "pos", "h.*").join(
             self.docs, ["doc_id", "owner_id"]
         )

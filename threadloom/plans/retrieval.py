@@ -111,7 +111,7 @@ def ret_saved_index(spark, d):
     """RET1, SNK4: the index written as tables and read back."""
     path = f"{shared_folder(spark)}/tables/index-{uuid.uuid4().hex}"
     thread_index(spark, d).save(path)
-    rows = ThreadIndex.load(spark, path, q.STOP).rows
+    rows = ThreadIndex.load(spark, path).rows
     total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
     return rows.select("doc_id", "owner_id", F.size("weights").cast("bigint").alias("n_terms"), F.round(total, 6).alias("total"))
 
