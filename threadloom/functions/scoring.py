@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -159,3 +161,47 @@ def reply_features(reply: Column) -> dict[str, Column]:
 def low_score(scores: Sequence[Column], below: int = 5) -> Column:
     """FLT14: is any score below the bound; missing scores count as full marks."""
     return F.exists(F.array(*[F.coalesce(s, F.lit(5)) for s in scores]), lambda x: x < below)
+
+
+FRACTION_STEPS = 200  # of the continued fraction; it settles in far fewer where it is used
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series behind eight steps of the recurrence; x > 0."""
+    y = x + F.lit(8.0)
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    shifted = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    for i in range(8):
+        shifted = shifted - F.log(x + F.lit(float(i)))
+    return shifted
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, by products of its convergents' ratios."""
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def step(s: Column, m: Column) -> Column:
+        c, d, h = s["c"], s["d"], s["h"]
+        even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+        first = F.struct((1 + even / c).alias("c"), (1 / (1 + even * d)).alias("d"), h.alias("h"))
+        mid = F.transform(F.array(first), lambda s: state(s["c"], s["d"], s["h"] * s["c"] * s["d"]))
+        last = F.transform(mid, lambda s: F.struct((1 + odd / s["c"]).alias("c"), (1 / (1 + odd * s["d"])).alias("d"), s["h"].alias("h")))
+        return F.get(F.transform(last, lambda s: state(s["c"], s["d"], s["h"] * s["c"] * s["d"])), 0)
+
+    d = 1 / (1 - (a + b) * x / (a + 1))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), lambda m: m.cast("double"))
+    return F.aggregate(steps, state(F.lit(1.0), d, d), step)["h"]
+
+
+def regularized_beta(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function; 0 < x < 1, a and b positive."""
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    return F.when(x < (a + 1) / (a + b + 2), front * _beta_fraction(a, b, x) / a).otherwise(1 - front * _beta_fraction(b, a, 1 - x) / b)
+
+
+def student_t_two_sided(t: Column, df: Column) -> Column:
+    """Probability of a value at least as far from 0 as t, with df degrees of freedom; NULL for df < 1 or a NULL t."""
+    n = df.cast("double")
+    x = n / (n + t * t)
+    return F.when(t.isNull() | (df < 1), None).when(t == 0, 1.0).when(x <= 0, 0.0).otherwise(F.least(F.lit(1.0), regularized_beta(n / 2, F.lit(0.5), x)))

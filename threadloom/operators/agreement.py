@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
-from threadloom.functions.scoring import rounded
+from threadloom.functions.scoring import rounded, student_t_two_sided
 from threadloom.operators.ranks import average_ranks, value_positions
 from threadloom.sources.scratch import cut_lineage
 
@@ -22,7 +22,8 @@ def score_pairs(df: DataFrame, keep: Sequence[str], left: str, right: str, crite
 
 
 def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """AGG25, WIN9: rank correlation with average ranks, n and the t statistic; NULL when a side is constant.
+    """AGG25, WIN9: rank correlation with average ranks, n, the t statistic and the two-sided p-value; NULL when a
+    side is constant.  A correlation of one or minus one has no t and the p-value 0; under three rows have no p-value.
 
     Rows are first counted per (group, x, y); ranks are those of the value counts, so no row-level sort or
     window happens.  Centred sums keep the arithmetic small.
@@ -37,7 +38,9 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     )
     rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
     t = rho * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - rho * rho))
-    return s.select(*by, "n", rho.alias("rho"), t.alias("t_stat"))
+    out = s.select(*by, "n", rho.alias("rho"), t.alias("t_stat"))
+    exact = F.when((F.col("n") > 2) & (F.abs("rho") >= 1), 0.0)
+    return out.withColumn("p_value", F.coalesce(exact, student_t_two_sided(F.col("t_stat"), F.col("n") - 2)))
 
 
 def agreement(df: DataFrame, left: str, right: str, criteria: Sequence[str] = tuple(V.CRITERIA)) -> DataFrame:

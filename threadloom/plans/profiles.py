@@ -101,16 +101,11 @@ def jon_dict_default(spark, d):
 
 
 def _manifest(spark, d):
-    """A split document written from the labels table: toxic rows are test, the others dev."""
-    ids = lambda flag: F.array_sort(F.collect_list(F.when(F.col("toxic") == flag, F.col("doc_id"))))
-    n = lambda flag: F.count_if(F.col("toxic") == flag)
-    doc = table(spark, d, "labels").agg(
-        F.count(F.lit(1)).alias("total_golden_examples"), n(0).alias("dev_count"), n(1).alias("test_count"), F.lit(42).cast("bigint").alias("seed"),
-        ids(0).alias("dev_golden_ids"), ids(1).alias("test_golden_ids"),
-    )
+    """A split manifest written from the labels table: toxic rows are test, the others dev."""
+    ids = table(spark, d, "labels").select(F.when(F.col("toxic") == 1, "test").otherwise("dev").alias("split"), F.col("doc_id").alias("id"))
     path = f"{shared_folder(spark)}/tables/manifest-{uuid.uuid4().hex}"
-    readers.write_json(doc, path)
-    return readers.read_manifest(spark, path)
+    readers.write_id_manifest(ids, path, chunk=100)
+    return readers.read_id_manifest(spark, path)
 
 
 def _golden(spark, d):
@@ -123,7 +118,7 @@ def _golden(spark, d):
 
 @query("src_manifest_split", "SELECT doc_id AS golden_id, lang AS intent FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
 def src_manifest_split(spark, d):
-    test_ids = readers.manifest_ids(_manifest(spark, d))
+    test_ids = _manifest(spark, d).filter("split = 'test'").select(F.col("id").alias("golden_id"))
     return readers.load_split(_golden(spark, d), "golden_set.csv", test_ids).select("golden_id", "intent")
 
 
@@ -249,9 +244,12 @@ def jon_response_cache(spark, d):
         F.concat(F.lit('{"intent": "'), "role", F.lit('", "confidence": '), F.round(F.char_length("text") / 1000, 4).cast("string"), F.lit("}"))
     )
     known = req.filter(F.char_length("text") < 500).select("key", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"))
-    store = spark.createDataFrame([], "key string, response string")
-    requests.append(path, requests.misses(known, store))
-    answers = requests.lookup(req, spark.read.schema("key string, response string").parquet(path))
+    store = requests.ResponseStore(spark, path, buckets=8)
+    # Answers that are no JSON come first and are replaced; then what is not stored yet is appended.
+    store.append(known.filter(F.crc32("key") % 2 == 0).select("key", F.lit("none").alias("response")))
+    store.append(known.filter(F.crc32("key") % 2 == 0))
+    store.append(requests.misses(known, store.read()))
+    answers = requests.lookup(req, store.rows())
     return requests.audit(requests.parsed(answers, "intent string, confidence double", ["intent", "confidence"]))
 
 

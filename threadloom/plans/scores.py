@@ -151,11 +151,16 @@ RHO = """{0} AS (SELECT criterion, n, CASE WHEN sxx = 0 OR syy = 0 THEN NULL ELS
       rank() OVER (PARTITION BY criterion ORDER BY {1}) + (count(*) OVER (PARTITION BY criterion, {1}) - 1) / 2::DOUBLE AS rj FROM long) GROUP BY 1))"""
 
 
-@query("agg_spearman", f"WITH {S}, {LONG}, {RHO.format('r', 'judge')} SELECT criterion, n, round_even(rho, 6) AS rho, round_even(rho * sqrt((n - 2) / (1 - rho * rho)), 3) AS t_stat FROM r")
+#: One less twice the density's integral from 0 to t, by Simpson's rule on 4,000 steps.
+T_TAIL = """greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * t / 12000 * list_sum(list_transform(range(0, 4001),
+lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2))))"""
+
+
+@query("agg_spearman", f"WITH {S}, {LONG}, {RHO.format('r', 'judge')} SELECT criterion, n, round_even(rho, 6) AS rho, round_even(rho * sqrt((n - 2) / (1 - rho * rho)), 3) AS t_stat, CASE WHEN abs(rho) >= 1 THEN 0 WHEN t IS NOT NULL THEN round_even({T_TAIL}, 6) END AS p_value FROM (SELECT *, n - 2 AS df, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM r)")
 def agg_spearman(spark, d):
     pairs = agreement.score_pairs(scores(spark, d), [], "human", "judge_v1")
     out = agreement.spearman(pairs, ["criterion"], "human", "judge")
-    return out.select("criterion", "n", F.round("rho", 6).alias("rho"), F.round("t_stat", 3).alias("t_stat"))
+    return out.select("criterion", "n", F.round("rho", 6).alias("rho"), F.round("t_stat", 3).alias("t_stat"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("agg_agreement", f"""WITH {S}, {LONG}, {RHO.format('r', 'judge')} SELECT criterion, count(*) AS n, count(*) FILTER (abs(human - judge) >= 2) AS n_large, round_even(count(*) FILTER (abs(human - judge) >= 2) / count(*)::DOUBLE * 100, 2) AS large_pct,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions import values as V
+from threadloom.operators.ranks import position_by_range
 from threadloom.sources.schemas import MANIFEST, THREADS, TWEETS, require_columns
 
 
@@ -63,6 +64,42 @@ def manifest_ids(manifest: DataFrame, split: str = "test") -> DataFrame:
     return manifest.select(F.explode(f"{split}_golden_ids").alias("golden_id"))
 
 
+def read_manifest_document(spark: SparkSession, path: str) -> DataFrame:
+    """SRC5: (split, id) rows of one JSON document `{"dev_golden_ids": [..], "test_golden_ids": [..], ...}` of any size.
+
+    The document is cut at commas, so that many tasks read it.  Only the few places where an array starts or ends come to
+    the driver; every other piece takes the array it lies in from them.  Numbers outside of arrays are left out.
+    """
+    cut = spark.read.option("lineSep", ",").text(path).select(
+        "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
+    )
+    pieces = cut.select("at", F.regexp_extract("value", r'"(\w+)_golden_ids"\s*:\s*\[', 1).alias("opens"), F.col("value").contains("]").alias("closes"), F.regexp_extract("value", r"(?:^|\[)\s*(-?\d+)\s*(?:\]|$|\})", 1).alias("id"))
+    marks = sorted(tuple(r["at"]) + (r["opens"], r["closes"]) for r in pieces.filter((F.col("opens") != "") | F.col("closes")).collect())
+    inside, split, open_at = F.lit(None).cast("string"), None, None
+    for block, row, opens, closes in marks:
+        if opens:
+            split, open_at = opens, (block, row)
+        if closes and split is not None:
+            here = F.struct(F.lit(block).cast("long").alias("block"), F.lit(row).cast("long").alias("row"))
+            start = F.struct(F.lit(open_at[0]).cast("long").alias("block"), F.lit(open_at[1]).cast("long").alias("row"))
+            inside = F.when((F.col("at") >= start) & (F.col("at") <= here), F.lit(split)).otherwise(inside)
+            split = None
+    return pieces.select(inside.alias("split"), F.col("id").try_cast("long").alias("id")).filter("split IS NOT NULL AND id IS NOT NULL")
+
+
+def write_id_manifest(ids: DataFrame, path: str, chunk: int = 10_000) -> None:
+    """SRC5: (split, id) rows as JSON lines of at most `chunk` ids each, in id order; no split is one task's or one row's."""
+    placed = position_by_range(ids.select("split", "id"), ["split"], ["id"])
+    lines = placed.groupBy("split", F.floor(F.col("position") / F.lit(chunk)).alias("chunk")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    lines.write.mode("overwrite").json(path)
+
+
+def read_id_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """SRC5: the (split, id) rows of `write_id_manifest`."""
+    lines = spark.read.schema("split string, chunk long, ids array<long>").json(path)
+    return lines.select("split", F.explode("ids").alias("id"))
+
+
 def load_split(
     golden: DataFrame,
     file_name: str,
