@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from llm_cases import EDGES, frame
@@ -82,3 +83,23 @@ def test_unlearnt_language_is_not_kept(spark):
     other = [(i + 9000, " ".join(rnd.choices("kuka joka olen hyvä tämä sinä mutta koska ей это как".split(), k=30)), None) for i in range(100)]
     kept = [r["doc_id"] for r in language.keep_known(frame(spark, known + other), net).collect()]
     assert sum(i < 9000 for i in kept) >= 290 and sum(i >= 9000 for i in kept) <= 5
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A repeated id brings no more rows than others."""
+    seen = []
+    monkeypatch.setattr(language, "train", lambda words, targets, languages: seen.append(len(words)) or language.Network.fresh(languages, 4, np.random.default_rng(0)))
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert zlib.crc32(b"7") % 3 != 1
+    language.fit(rows, docs_per_lang=50, words_per_doc=4, limits=False)
+    assert 0 < seen[0] <= 200
+
+
+def test_limits_from_one_pass_keep_the_same_rows(spark):
+    rows = texts(600, 7)
+    net = language.fit(frame(spark, rows), docs_per_lang=80)
+    docs = frame(spark, [*rows, (7001, "12", "aa"), (7002, None, "bb"), (None, "x", None)])
+    want = sorted(r["doc_id"] for r in language.keep_known(docs, net).filter("doc_id is not null").collect())
+    net.limits = {}
+    kept = language.keep_known(docs, net)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == want

@@ -136,3 +136,28 @@ def test_ppm_against_its_definition(spark, options):
 
 def test_ppm_of_nothing(nothing):
     assert ppm.score(nothing).count() == 0
+
+
+def test_one_pass_gives_the_verdicts_of_fit_and_classify(spark, edges, nothing):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choices("the of and to in is that for was with".split(), k=40)), "en" if i % 2 else "de") for i in range(300)]
+    rows += [(1000 + i, "".join(rnd.choices("qzxjkw#", k=80)), "en") for i in range(20)] + [(5, "the same id again", "en")] * 40
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    key = lambda r: str(r)
+    whole = [tuple(r) for r in quality_model.classify(docs, quality_model.fit(docs, labels, trusted_rows=100)).collect()]
+    once = [tuple(r) for r in quality_model.fit_and_classify(docs, labels, trusted_rows=100).collect()]
+    assert [r[4] for r in sorted(once, key=key)] == [r[4] for r in sorted(whole, key=key)]
+    assert np.allclose([r[2] for r in sorted(once, key=key)], [r[2] for r in sorted(whole, key=key)])
+    kept = quality_model.fit_and_keep(docs, labels, trusted_rows=100)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in whole if r[4])
+    assert quality_model.fit_and_keep(edges, labels).columns == edges.columns and quality_model.fit_and_classify(nothing, labels).count() == 0
+
+
+def test_a_repeated_id_is_one_trusted_row(spark, monkeypatch):
+    seen = []
+    grams = quality_model.fit_grams
+    monkeypatch.setattr(quality_model, "fit_grams", lambda trusted: seen.append(trusted.count()) or grams(trusted))
+    docs = frame(spark, [(7, f"text number {i}", "en") for i in range(500)])
+    quality_model.fit(docs, spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"), trusted_rows=4)
+    assert seen[0] <= 1

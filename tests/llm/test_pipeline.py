@@ -29,3 +29,11 @@ def test_whole_run_keeps_clean_documents(spark):
     single = texts.drop_duplicates("text")
     assert len(set(single.doc_id) & set(packed.doc_id)) >= 0.85 * len(single)
     assert (packed.groupby("sequence_id").length.sum() <= 1024).all()
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "en"), (2, "", None)]])
+def test_nothing_to_keep(spark, tmp_path, rows):
+    """An empty table, and one of which nothing is kept, go through all stages and give no rows."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

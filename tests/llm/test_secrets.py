@@ -1,3 +1,4 @@
+import time
 import hashlib
 import random
 import re
@@ -93,3 +94,38 @@ def test_lines_of_a_key_are_followed_to_their_end():
     assert novel(text) == [*lines, tail]
     back = "\n".join([*lines, "is the passphrase"])
     assert novel(back) == lines
+
+
+OLD_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+
+
+def test_candidates_by_one_pattern():
+    rnd = random.Random(1)
+    bits = ["a", "1", "=", "==", "/", "-", " ", "abcdefghij", "1234567890", "é", "\n", "----------"]
+    for _ in range(5000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(16)))
+        assert list(secrets.candidates(text)) == [m.span() for m in OLD_CANDIDATE.finditer(text)], text
+
+
+def key_lines(n):
+    rnd = random.Random(n)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return "private key\n" + "\n".join("".join(rnd.choices(letters, k=64)) for _ in range(n)) + "\nAbc123=="
+
+
+def test_long_keys_and_runs_take_linear_time():
+    scanner = secrets.Scanner(secrets.NOVELTY, secrets.IDENTIFIERS)
+    start = time.time()
+    assert len(scanner.spans("secret " + "=" * 200_000)[1]) == 1
+    assert time.time() - start < 2
+    text = key_lines(4_000)
+    start = time.time()
+    found = scanner.spans(text)[1]
+    assert time.time() - start < 8 and len(found) == 4_001
+    assert [text[s:e] for s, _, e in found] == text.split("\n")[1:]
+
+
+def test_very_long_text(spark):
+    text = "word " * 100_000 + "password = hunter22 " + "word " * 100_000
+    row = secrets.scan(frame(spark, [(1, text, "en")])).first()
+    assert row["n_assign"] == 1 and row["spans"] == "assign:500000:500019"

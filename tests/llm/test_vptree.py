@@ -60,7 +60,7 @@ def test_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], 1, "s"), (20, [0.0, 0.0], 1, "s"), (40, None, 1, "s"), (60, [nan, 1.0], 1, "s"), (80, [None, 1.0], 1, "s"), (None, [1.0, 1.0], 1, "s"), (3, [2.0, 0.0], 1, "s"), (3, [2.0, 0.0], 1, "s"), (4, [1.0, 2.0, 3.0], 1, "s"), (5, [], 1, "s"), (100, [float("inf"), 1.0], 1, "s")]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert found(df) == {0: [(3, 2.0)]}
+    assert found(df) == {0: [(3, 2.0), (3, 2.0)]}  # every row is a candidate, also one that is there twice
     assert vptree.nearest(df.filter(F.lit(False))).count() == 0
 
 
@@ -91,3 +91,10 @@ def test_one_long_vector_spoils_no_query(spark, largest):
     x[x.sum(axis=1) == 0, 0] = 1
     x[7] = [0, 0, 0, 0, 0, largest]
     held_against_plain(spark, dict(enumerate(x)), leaf=4)
+
+
+def test_a_row_given_twice_comes_twice(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (2, [0.8, 0.0]), (2, [0.1, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in vptree.nearest(df, k=4).orderBy("rank").collect()]
+    assert got == [(1, 1, 0.9), (2, 1, 0.9), (3, 1, 0.9), (4, 2, 0.8)]

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.llm.common import WordValues, raw_texts, remainder, spans_of
 from threadloom.sources.scratch import stage_table
@@ -98,6 +99,7 @@ class Network:
     out: np.ndarray  # 2H x languages
     out_bias: np.ndarray
     limits: dict[str, float] = field(default_factory=dict)  # least score by language
+    sample: list[int] = field(default_factory=list)  # ids of the documents it was fitted on
 
     @classmethod
     def fresh(cls, languages: list[str], hidden: int, rng: np.random.Generator) -> Network:
@@ -202,39 +204,45 @@ def _draw_words(per_doc: int):
     return run
 
 
-def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC, train_words: int = TRAIN_WORDS) -> Network:
-    """A network from text and lang of documents that are not held out: per language at most `docs_per_lang` (those
-    of lowest hash), of each at most `words_per_doc` words, in all about `train_words`.  Limits: see `score_limits`."""
-    learn = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(remainder(F.col("doc_id"), HELD_OUT_OF) != 1)
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learn.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= docs_per_lang).select("doc_id").distinct()
-    ids = stage_table(ids.filter("doc_id is not null"), "sample-ids")
-    number = max(1, ids.count())
-    per_doc = max(1, min(words_per_doc, train_words // number))
-    chosen = learn.join(F.broadcast(ids), "doc_id").select("text", "lang").mapInArrow(_draw_words(per_doc), "lang string, word binary")
-    rows = chosen.toPandas()  # bounded by the parameters above
+def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC, train_words: int = TRAIN_WORDS, limits: bool = True) -> Network:
+    """A network from text and lang of documents that are not held out: per language at most `docs_per_lang` rows (those
+    of lowest hash of id and text), of each at most `words_per_doc` words, in all about `train_words`.
+
+    Rows with a NULL id, text or lang teach nothing; without any row to learn from the network knows no language.  Rows
+    of a repeated id are rows like others.  The driver holds the sampled words: docs_per_lang rows a language, so that
+    it and the output layer grow with the number of distinct values of lang, which is taken to be that of languages.
+    `limits` also scores all labelled documents for the limits of `keep_known`, see `score_limits`.
+    """
+    learn = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null").filter(remainder(F.col("doc_id"), HELD_OUT_OF) != 1)
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text")
+    sample = stage_table(learn.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= docs_per_lang).drop("nth"), "sample")
+    per_doc = max(1, min(words_per_doc, train_words // max(1, sample.count())))
+    rows = sample.select("text", "lang").mapInArrow(_draw_words(per_doc), "lang string, word binary").toPandas()  # bounded by the parameters above
     rows = rows.sort_values(["lang", "word"], kind="stable")
     languages = sorted(rows["lang"].unique())
     targets = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
     net = train(list(rows["word"]), targets, languages)
-    if len(languages) >= 2:
-        net.limits = score_limits(learn, ids, net)
+    net.sample = sorted({r[0] for r in sample.select("doc_id").collect()})  # ids of the sampled rows
+    if limits and len(languages) >= 2:
+        shared = learn.sparkSession.sparkContext.broadcast(net)
+        held = learn.select("lang", F.lit(False).alias("held_out"), "text", "doc_id")
+        scored = held.mapInArrow(_predict(shared, ("lang", "doc_id")), "lang string, doc_id long, lang_pred string, score double")
+        net.limits = score_limits(scored, net)
     return net
 
 
-def score_limits(learn: DataFrame, sample_ids: DataFrame, net: Network, quantile: float = LEAST_QUANTILE, least_docs: int = LEAST_DOCS) -> dict[str, float]:
-    """Per language, the low quantile of the scores of all its labelled documents that are told to be of it.
+def score_limits(scored: DataFrame, net: Network, quantile: float = LEAST_QUANTILE, least_docs: int = LEAST_DOCS) -> dict[str, float]:
+    """Per language, the low quantile of the scores of all its labelled documents (doc_id, lang, lang_pred, score) that
+    are told to be of it.
 
     The network was fitted on the sample, so its documents do not count where `least_docs` others do; a language with
     fewer takes all of its own, and the quantile over all languages if that is lower.
     """
-    shared = learn.sparkSession.sparkContext.broadcast(net)
-    marked = learn.join(F.broadcast(sample_ids.withColumn("sampled", F.lit(True))), "doc_id", "left")
-    rows = marked.select("lang", F.coalesce("sampled", F.lit(False)).alias("held_out"), "text")
-    scored = rows.mapInArrow(_predict(shared), "lang string, sampled boolean, lang_pred string, score double").filter("lang = lang_pred")
+    ids = F.broadcast(scored.sparkSession.createDataFrame([(i,) for i in net.sample], "sample_id long"))
+    right = scored.filter("lang = lang_pred").join(ids, F.col("doc_id") == F.col("sample_id"), "left")
     low = lambda c: F.percentile_approx(c, quantile, QUANTILE_ACCURACY)
-    other = F.when(~F.col("sampled"), F.col("score"))
-    found = scored.rollup("lang").agg(F.count(other).alias("n"), low(other).alias("other"), low(F.col("score")).alias("every")).collect()  # a row per language
+    other = F.when(F.col("sample_id").isNull(), F.col("score"))
+    found = right.rollup("lang").agg(F.count(other).alias("n"), low(other).alias("other"), low(F.col("score")).alias("every")).collect()  # a row per language
     of_all = next((r["every"] for r in found if r["lang"] is None), 0.0)
     return {r["lang"]: r["other"] if r["n"] >= least_docs else min(r["every"], of_all) for r in found if r["lang"] is not None}
 
@@ -243,7 +251,9 @@ def _has_letter(text: bytes) -> bool:
     return text.upper() != text.lower() or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def _predict(shared):
+def _predict(shared, keep: tuple[str, str] = ("doc_id", "held_out")):
+    """Adds lang_pred and score to the two columns named."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = shared.value
         width = len(net.languages) + 1
@@ -260,7 +270,7 @@ def _predict(shared):
             names = [net.languages[k] if ok else UNKNOWN for k, ok in zip(best, known)]
             score = np.where(known, np.minimum(pooled.max(axis=1, initial=0.0), 1.0), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"]
+                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"]
             )
 
     return run
@@ -297,8 +307,36 @@ def _keep(shared, column: int):
     return run
 
 
+def _with_scores(shared, column: int):
+    predict_all = _predict(shared)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nothing = pa.nulls(batch.num_rows, pa.int64())
+            found = next(predict_all([pa.RecordBatch.from_arrays([nothing, nothing, batch.column(column)], names=["doc_id", "held_out", "text"])]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found.column(2), found.column(3)], names=[*batch.schema.names, *SCORED])
+
+    return run
+
+
+SCORED = ("_language_pred", "_language_score")  # added to staged rows, and taken off again
+
+
 def keep_known(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of `docs`, with all columns, whose language is known: a letter, and a score that reaches the limit of
-    the language.  With fewer than two learnt languages, all rows with a letter."""
+    the language.  With fewer than two learnt languages, all rows with a letter.
+
+    A network without limits takes them from `docs` itself: every row is scored once and written with its score, and
+    limits and verdicts are read from that.  NULL and empty texts go; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    return docs.mapInArrow(_keep(shared, docs.columns.index("text")), docs.schema)
+    column = docs.columns.index("text")
+    if net.limits or len(net.languages) < 2:
+        return docs.mapInArrow(_keep(shared, column), docs.schema)
+    schema = T.StructType([*docs.schema, T.StructField(SCORED[0], T.StringType()), T.StructField(SCORED[1], T.DoubleType())])
+    scored = stage_table(docs.mapInArrow(_with_scores(shared, column), schema), "language-scores")
+    learnt = scored.filter(remainder(F.col("doc_id"), HELD_OUT_OF) != 1).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col(SCORED[0]).alias("lang_pred"), F.col(SCORED[1]).alias("score"))
+    least = F.lit(0.0)
+    for name, limit in score_limits(learnt, net).items():
+        least = F.when(F.col(SCORED[0]) == name, F.lit(limit)).otherwise(least)
+    return scored.filter((F.col(SCORED[0]) != UNKNOWN) & (F.col(SCORED[1]) >= least)).drop(*SCORED)

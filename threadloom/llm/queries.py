@@ -43,13 +43,13 @@ def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def _quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return quality_model.classify(docs, quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
+    return quality_model.fit_and_classify(docs, read_table(spark, sf_dir, "labels"))
 
 
 @query("op8_language_id")
 def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return language.predict(docs, language.fit(docs))
+    return language.predict(docs, language.fit(docs, limits=False))
 
 
 @query("op9_lm_scoring")
@@ -66,7 +66,7 @@ def _quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEAREST_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM (SELECT DISTINCT * FROM u WHERE vec_id % 20 = 0) q JOIN u c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
 
 

@@ -36,7 +36,9 @@ SENSITIVE = re.compile(
     r"|(?:api|private|access|encryption|signing|account|auth|master|ssh)[-_ ]?key",
     re.I | re.A,
 )
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+KEY_PART = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KEY_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})[\x20\t]*(?=\r?\n|$)")
 
 IDENTIFIERS = """
@@ -113,6 +115,15 @@ def near_spans(starts: list[int], ends: list[int], items: list[tuple[int, int]],
     return found
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of key characters with a letter and a digit from their start on; each run is read a fixed number of times."""
+    for run in KEY_RUN.finditer(text):
+        last_letter, last_digit = len(run[0].rstrip(DIGITS + "+/_=-")), len(run[0].rstrip(LETTERS + "+/_=-"))
+        for part in KEY_PART.finditer(run[0]):
+            if part.start() < min(last_letter, last_digit):
+                yield run.start() + part.start(), run.start() + part.end()
+
+
 def rest_lines(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Lines of key characters right behind a line that is a secret: as long ones go on, a shorter one is the last."""
     size = end - start
@@ -140,11 +151,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
             merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
         else:
             merged.append((start, end))
-    for m in CANDIDATE.finditer(text):
-        while at < len(merged) and merged[at][1] <= m.start():
+    for start, end in candidates(text):
+        while at < len(merged) and merged[at][1] <= start:
             at += 1
-        if at == len(merged) or merged[at][0] >= m.end():
-            items.append((*m.span(), False))
+        if at == len(merged) or merged[at][0] >= end:
+            items.append((start, end, False))
     items = sorted([*items, *((s, e, True) for s, e in merged)])  # base spans are hits as they are
     known: dict[int, bool] = {}
 
@@ -157,7 +168,14 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
 
     near = near_spans([s for s, _ in words], [e for _, e in words], [(s, e) for s, e, _ in items], is_hit)
     found = [items[i][:2] for i in sorted(near) if not items[i][2]]
-    rest = [span for start, end in found for span in rest_lines(text, start, end)]
+    rest: set[tuple[int, int]] = set()
+    followed: set[tuple[int, int]] = set()  # lines as long as the one they follow: what comes behind them is known
+    for start, end in found:
+        if (start, end) not in followed:
+            for span in rest_lines(text, start, end):
+                rest.add(span)
+                if span[1] - span[0] == end - start:
+                    followed.add(span)
     return [(start, 3, end) for start, end in sorted({*found, *rest})]
 
 

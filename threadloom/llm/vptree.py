@@ -137,7 +137,7 @@ def _search(k: int, factor: float, leaf: int, largest: float):
         if not len(points) or not len(queries):
             return pd.DataFrame({c: [] for c in columns})
         points = points.sort_values("vec_id")
-        x, ids = np.stack(points["embedding"]).astype(np.float64), points["vec_id"].to_numpy()
+        x, ids, copies = np.stack(points["embedding"]).astype(np.float64), points["vec_id"].to_numpy(), np.minimum(points["copies"].to_numpy(), k)
         q, query_ids = np.stack(queries["embedding"]).astype(np.float64), queries["query_id"].to_numpy()
         distinct, first, at = np.unique(x, axis=0, return_index=True, return_inverse=True)
         order = np.argsort(first)  # rows of the tree follow the smallest id of their vectors
@@ -153,6 +153,7 @@ def _search(k: int, factor: float, leaf: int, largest: float):
             rows = found.rows[i][found.rows[i] >= 0]
             rows = np.concatenate([members[r][:slots] for r in rows]) if len(rows) else rows
             rows = rows[ids[rows] != query_id]
+            rows = np.repeat(rows, copies[rows])
             score = np.cumsum(x[rows] * q[i], axis=1)[:, -1]  # one component after another
             best = np.lexsort((ids[rows], -score))[:k]
             out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows[best]], "score": score[best]}))
@@ -178,9 +179,11 @@ def nearest(
 
     Candidates are all rows but the query's own id, compared where lengths agree; ties go to the smaller vec_id.
     Takes vec_id and embedding; other columns are not read.  Rows without an id, and vectors that are NULL, zero,
-    empty or not finite, take no part; of rows that repeat an id and vector one takes part.  No rows from an empty table.
+    empty or not finite, take no part.  Rows that repeat an id and vector are one query, but as many candidates: they are
+    searched once and come out as often as they are there.  No rows from an empty table.
     """
-    kept = stage_table(usable(vectors).dropDuplicates().withColumn("size", F.size("embedding")), "vectors")
+    counted = usable(vectors).groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
+    kept = stage_table(counted.withColumn("size", F.size("embedding")), "vectors")
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     rows, largest = kept.agg(F.count(F.lit(1)), F.max(F.sqrt(square))).first()
     shards = max(1, -(-rows // shard_rows))
