@@ -17,12 +17,12 @@ ORACLE_SQL = None  # models and token ids are not SQL
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_model.keep_good(docs, quality_model.fit(docs, labels))
+    return quality_model.fit_and_keep(docs, labels)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in which no language stands out, go."""
-    return language.keep_known(docs, language.fit(docs))
+    return language.keep_known(docs, language.fit(docs, limits=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
