@@ -1,12 +1,10 @@
-"""Classification and clustering on MLlib, and arbitration between two classifiers."""
+"""Classification on MLlib, clustering, and arbitration between two classifiers."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
 from threadloom.functions.scoring import rounded
+from threadloom.operators.clustering import Clusters, sweep
 from threadloom.operators.features import fit as fit_terms
 from threadloom.operators.features import ml_vectors, term_counts, vectors
 from threadloom.operators.sampling import kfold, random_n
@@ -120,20 +119,17 @@ def dense_features(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
 
 
-def kmeans_sweep(rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed: int = 42, starts: int = 3) -> tuple[DataFrame, dict[int, KMeansModel]]:
-    """CLU1, CLU2: of `starts` starts per k the one of least cost; per k the silhouette, the smallest share, the cluster sizes and the costs of all starts; and the fitted models."""
-    cached = stage_table(rows, "kmeans", rows.schema).persist()
-    judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
-    models, out = {}, []
-    for k in ks:
-        tries = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(cached) for i in range(starts)]
-        costs = [float(m.summary.trainingCost) for m in tries]
-        models[k] = tries[costs.index(min(costs))]
-        silhouette = judge.evaluate(models[k].transform(cached))
-        sizes = models[k].summary.clusterSizes  # k numbers
-        out.append((k, round(float(silhouette), 4), round(min(sizes) / sum(sizes) * 100, 2), sorted(sizes), costs))
-    cached.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, silhouette double, min_pct double, sizes array<bigint>, costs array<double>"), models
+def kmeans_sweep(
+    rows: DataFrame, ks: Sequence[int] = (8, 9, 10, 11, 12), seed: int = 42, starts: int = 3, size: int | None = None
+) -> tuple[DataFrame, dict[int, Clusters]]:
+    """CLU1, CLU2: of `starts` starts per k the one of least cost; per k the silhouette, the smallest share, the cluster sizes and
+    the costs of all starts; and the centres.  All fits go through the rows together, see `clustering`.
+
+    Rows have dense `features`, or `term_ids` and `weights` of `size` terms.
+    """
+    found, fitted = sweep(rows, size, ks, seed, starts)
+    out = [(k, None if s is None else round(s, 4), round(sizes[0] / max(1, sum(sizes)) * 100, 2), sizes, costs) for k, s, sizes, costs in found]
+    return rows.sparkSession.createDataFrame(out, "k int, silhouette double, min_pct double, sizes array<bigint>, costs array<double>"), fitted
 
 
 def centre_table(spark, centres: Sequence[Sequence[float]]) -> DataFrame:
@@ -141,7 +137,7 @@ def centre_table(spark, centres: Sequence[Sequence[float]]) -> DataFrame:
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>")
 
 
-def nearest_members(rows: DataFrame, model: KMeansModel, key: str, n: int = 15) -> DataFrame:
+def nearest_members(rows: DataFrame, model: Clusters, key: str, n: int = 15) -> DataFrame:
     """CLU3, WIN4: the n rows nearest to each fitted centre."""
     assigned = model.transform(rows).withColumnRenamed("prediction", "cluster")
     return nearest_assigned(assigned, centre_table(rows.sparkSession, model.clusterCenters()), key, n)

@@ -226,6 +226,20 @@ def clu_kmeans_sweep(spark, d):
     return facts.join(misplaced, "k").select("k", "n", "n_clusters", (F.col("in_range") & least).alias("in_range"), "misplaced")
 
 
+@query("clu_text_sweep", f"""WITH {counts_sql('c', 'documents', 'doc_id', 'text', True)}, {vocab_sql('c', 'documents')}, known AS (SELECT DISTINCT doc_id FROM c JOIN vocab USING (term))
+SELECT unnest([4, 6])::BIGINT AS k, (SELECT count(*) FROM known) AS n, unnest([4, 6])::BIGINT AS n_clusters""")
+def clu_text_sweep(spark, d):
+    """CLU1 on TF-IDF rows: no document with a known term is lost, and every k has its clusters."""
+    docs = table(spark, d, "documents")
+    counts, vocab = features.fit(docs, "doc_id", "text", q.STOP)
+    rows = features.vectors(counts, vocab, "doc_id", V.MAX_INDEX_TERMS)
+    found, _ = models.kmeans_sweep(rows, ks=(4, 6), starts=2, size=V.MAX_INDEX_TERMS)
+    return found.select(
+        F.col("k").cast("bigint").alias("k"), F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"),
+        F.size("sizes").cast("bigint").alias("n_clusters"),
+    )
+
+
 LABEL_MEANS = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS centre FROM (
 SELECT label, i, avg(x[i]) AS m FROM e, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(x) GROUP BY ALL) GROUP BY 1)"""
 
