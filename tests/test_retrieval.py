@@ -188,6 +188,18 @@ def test_open_vocabulary_gets_dense_ids(spark):
     assert {r["term"]: r["df"] for r in rows}["aa"] == 3
 
 
+def test_vocabulary_limit_falls_anywhere(spark):
+    """Limits above, inside and below a group of equal counts; no task sorts all terms."""
+    counts = spark.createDataFrame([(i, t, 1 + (t < "d")) for i in range(2) for t in "abcdefghijkl"] + [(9, "zz", 9), (8, "zz", 1)], "id int, term string, tf int")
+    totals = sorted(((-4 if t < "d" else -2, t) for t in "abcdefghijkl"), key=lambda x: x) + []
+    order = ["zz", *[t for _, t in totals]]
+    for limit in (1, 2, 4, 5, 9, 13, 50):
+        vocab = features.vocabulary(counts, 2, limit)
+        assert sorted(r["term"] for r in vocab.collect()) == sorted(order[:limit]), limit
+        assert "TakeOrdered" not in vocab._jdf.queryExecution().executedPlan().toString()
+    assert features.vocabulary(counts, 3, 5).count() == 0
+
+
 def test_weights_have_unit_length(spark):
     df = spark.createDataFrame([(1, "aa bb aa cc"), (2, "aa bb dd"), (3, "zz")], "id int, t string")
     counts, vocab = features.fit(df, "id", "t")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from threadloom.functions import values as V
 from threadloom.functions.text import drop_stop_words, ngrams, tokens
-from threadloom.operators.ranks import order_hash, position_by_hash
+from threadloom.operators.ranks import order_hash, position_by_hash, position_by_range
 from threadloom.sources.scratch import stage_table
 
 
@@ -36,10 +36,21 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] =
 def vocabulary(counts: DataFrame, min_df: int = V.MIN_DOC_FREQ, max_terms: int | None = None) -> DataFrame:
     """TXT4: term, document frequency and corpus count; the most frequent `max_terms`, ties by term.
 
-    Term totals combine in each task first.  The limit is a bounded sort.
+    Term totals combine in each task first and are written once.  The number of terms per corpus count, a small frame,
+    tells the count at which the limit falls; terms above it are in, and only among terms of that count does the order
+    of terms decide, by their positions.  Nothing is sorted in one task.
     """
     vocab = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df)
-    return vocab.orderBy(F.desc("cf"), "term").limit(max_terms) if max_terms else vocab
+    if not max_terms:
+        return vocab
+    vocab = stage_table(vocab, "terms")
+    higher = W.partitionBy(F.lit(0)).orderBy(F.desc("cf")).rowsBetween(W.unboundedPreceding, -1)
+    per_count = vocab.groupBy("cf").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+    cut, above, n = per_count.filter(F.col("above") < max_terms).agg(F.min("cf"), F.max("above"), F.min_by("n", "cf")).first()
+    if cut is None or above + n <= max_terms:
+        return vocab if cut is None else vocab.filter(F.col("cf") >= cut)
+    ties = position_by_range(vocab.filter(F.col("cf") == cut), [], ["term"]).filter(F.col("position") < max_terms - above)
+    return vocab.filter(F.col("cf") > cut).unionByName(ties.select(*vocab.columns))
 
 
 def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
