@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,25 @@ def test_classifier_learns_and_cross_validates(spark):
     assert len(cv) == 60 and all(r["predicted"] == r["gold"] for r in cv)
 
 
+def test_fit_is_judged_by_its_gradient(spark):
+    rows = [(i, f"battery drains {i % 5}" if i % 3 else f"wifi drops battery {i % 4}", "p" if i % 3 else "n") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, t string, y string")
+    m = models.TextClassifier.train(df, "id", "t", "y")
+    facts = {r["label"]: r for r in m.optimality().collect()}
+    x, y, w, p = [], [], [], []
+    for r in m.model.transform(m.fitted).collect():
+        x.append(r["features"].toArray()), y.append(int(r["_label"])), w.append(r["_balance"]), p.append(r["probability"].toArray())
+    x, p, w, one = np.array(x), np.array(p), np.array(w)[:, None], np.eye(2)[y]
+    by_term = ((p - one) * w).T @ x / 50 + m.penalty * m.model.coefficientMatrix.toArray()
+    by_label = ((p - one) * w).sum(axis=0) / 50
+    for i, label in enumerate(m.labels):
+        assert facts[label]["largest"] == pytest.approx(max(abs(by_term[i]).max(), abs(by_label[i])), abs=1e-12) and facts[label]["largest"] < 1e-5
+        assert facts[label]["mass"] == pytest.approx(0.5, abs=1e-5)
+        assert facts[label]["term_mass"] == pytest.approx((one * w)[:, i] @ x.sum(axis=1) / 50, abs=1e-4)
+    early = models.TextClassifier.train(df, "id", "t", "y", max_iter=1).optimality().collect()
+    assert max(r["largest"] for r in early) > 1e-3
+
+
 def test_kmeans_sweep_and_nearest(spark):
     df = spark.range(60).select("id", F.array((F.col("id") % 3 * 10).cast("double"), (F.col("id") / 600)).alias("v"))
     rows = models.dense_features(df, "id", "v")

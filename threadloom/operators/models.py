@@ -33,13 +33,14 @@ def filled(rows: DataFrame, vecs: DataFrame, key: str) -> DataFrame:
 class TextClassifier:
     """CLS1: TF-IDF (1-2 grams, min_df 2, sublinear) and multinomial logistic regression, C=2, balanced classes."""
 
-    def __init__(self, vocab: DataFrame, size: int, model, labels: list[str]):
-        self.vocab, self.size, self.model, self.labels = vocab, size, model, labels
+    def __init__(self, vocab: DataFrame, size: int, model, labels: list[str], fitted: DataFrame | None = None, penalty: float = 0.0):
+        """`fitted` has the rows of the fit (features, term_ids, weights, _label, _balance), `penalty` is its regParam."""
+        self.vocab, self.size, self.model, self.labels, self.fitted, self.penalty = vocab, size, model, labels, fitted, penalty
 
     @classmethod
     def train(
         cls, df: DataFrame, key: str, text: str, label: str, labels: Sequence[str] | None = None, c: float = 2.0,
-        max_iter: int = 100, tol: float = 1e-6, max_rows: int = MAX_TRAINING_ROWS,
+        max_iter: int = 200, tol: float = 1e-9, max_rows: int = MAX_TRAINING_ROWS,
     ) -> TextClassifier:
         """FLT10: rows with a label outside `labels` are left out.  regParam = 1/(C n) with weights summing to n.
 
@@ -60,14 +61,47 @@ class TextClassifier:
             balance = balance.when(F.col(label) == name, F.lit(n / (len(names) * per_label[name])))
         vecs = filled(data.select(key, label), vectors(counts, vocab, key), key)
         vecs = vecs.select(key, "term_ids", "weights", index.otherwise(None).alias("_label"), balance.otherwise(None).alias("_balance"))
-        rows = ml_vectors(vecs, [key, "_label", "_balance"], size, "train").persist()
+        staged = ml_vectors(vecs, [key, "_label", "_balance", "term_ids", "weights"], size, "train")
+        rows = staged.select("features", "_label", "_balance").persist()
         lr = LogisticRegression(
             featuresCol="features", labelCol="_label", weightCol="_balance", family="multinomial", standardization=False,
             regParam=1.0 / (c * n), maxIter=max_iter, tol=tol,
         )
         model = lr.fit(rows)
         rows.unpersist()
-        return cls(vocab, size, model, names)
+        return cls(vocab, size, model, names, staged, 1.0 / (c * n))
+
+    def optimality(self) -> DataFrame:
+        """CLS1: (label, mass, term_mass, largest): how near the fit is to the optimum, from its predictions on its own rows.
+
+        The penalised loss is convex, so it is least where its gradient is zero: there the weighted probability given to
+        a label (`mass`) is the label's weighted share of the rows, and what it gives to the terms plus the penalty's part
+        (`term_mass`) is what the label's own rows hold.  `largest` is the largest absolute entry of the gradient.
+        """
+        k = range(len(self.labels))
+        scored = self.model.transform(self.fitted).select(
+            "_label", "_balance", vector_to_array("probability").alias("p"),
+            F.explode(F.arrays_zip(F.concat(F.array(F.lit(-1)), "term_ids").alias("t"), F.concat(F.array(F.lit(1.0)), "weights").alias("x"))).alias("e"),
+        )
+        given = F.col("_balance") * F.col("e.x")
+        n = self.fitted.agg(F.sum("_balance")).scalar()
+        sums = scored.groupBy(F.col("e.t").alias("term_id")).agg(
+            F.array(*[F.sum(given * F.get("p", F.lit(i))) / n for i in k]).alias("expected"),
+            F.array(*[F.sum(F.when(F.col("_label") == i, given).otherwise(0.0)) / n for i in k]).alias("observed"),
+        )
+        slopes = self.model.coefficientMatrix.toArray().T * self.penalty  # on the driver already; the intercept has no penalty
+        penalty = self.fitted.sparkSession.createDataFrame(
+            [(-1, [0.0] * len(slopes[0])), *enumerate(slopes.tolist())], "term_id int, penalty array<double>"
+        )
+        each = sums.join(penalty, "term_id").select(
+            "term_id", F.posexplode(F.arrays_zip("expected", "observed", "penalty")).alias("i", "g")
+        )
+        reached = F.col("g.expected") + F.col("g.penalty")
+        return each.groupBy(F.element_at(F.array(*[F.lit(x) for x in self.labels]), F.col("i") + 1).alias("label")).agg(
+            F.sum(F.when(F.col("term_id") < 0, reached)).alias("mass"),
+            F.coalesce(F.sum(F.when(F.col("term_id") >= 0, reached)), F.lit(0.0)).alias("term_mass"),
+            F.max(F.abs(reached - F.col("g.observed"))).alias("largest"),
+        )
 
     def predict(self, df: DataFrame, key: str, text: str, label: str = "intent", confidence: str = "confidence") -> DataFrame:
         """CLS6: (key, label, highest probability at 4 dp); a text with no known term gets the prior's label."""

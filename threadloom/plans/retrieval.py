@@ -11,6 +11,7 @@ from threadloom.functions import values as V
 from threadloom.operators import features, models
 from threadloom.operators.linking import threads, usable
 from threadloom.operators.retrieval import ThreadIndex, topk_dense
+from threadloom.operators.silhouette import plain_silhouette
 from threadloom.plans import vocab as q
 from threadloom.plans.registry import query
 from threadloom.plans.threads import tweets
@@ -35,9 +36,9 @@ def counts_sql(name: str, source: str, keys: str, col: str, stop: bool) -> str:
 {name} AS MATERIALIZED (SELECT {keys}, term, count(*) AS tf FROM (SELECT {keys}, unnest({grams('l')}) AS term FROM {name}_t) GROUP BY {keys}, term)"""
 
 
-def vocab_sql(counts: str, source: str) -> str:
+def vocab_sql(counts: str, source: str, limit: str = "ORDER BY cf DESC, term LIMIT 25000") -> str:
     return f"""vocab AS MATERIALIZED (SELECT term, df, cf, ln((1 + (SELECT count(*) FROM {source})) / (1 + df)::DOUBLE) + 1 AS idf FROM
-(SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM {counts} GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 25000))"""
+(SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM {counts} GROUP BY term HAVING count(*) >= 2 {limit}))"""
 
 
 def weights_sql(name: str, counts: str, keys: str) -> str:
@@ -175,13 +176,19 @@ def prediction_facts(predicted, label, confidence, *by):
     return predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("n_valid"), F.count_distinct(F.struct(*predicted.columns[:1])).alias("n_keys"))
 
 
-@query("cls_logreg", f"WITH {LABELLED} SELECT label, count(*) AS n, count(*) AS n_valid, count(*) AS n_keys, true AS most_right FROM labelled GROUP BY 1")
+@query("cls_logreg", f"""WITH {LABELLED}, texts AS (SELECT tweet_id, text FROM tweets WHERE inbound),
+{counts_sql('c', 'texts', 'tweet_id', 'text', False)}, {vocab_sql('c', 'texts', '')}, {weights_sql('w', 'c', 'tweet_id')},
+per AS (SELECT label, count(*) AS n FROM labelled GROUP BY 1), held AS (SELECT label, sum(w) AS total FROM w JOIN labelled USING (tweet_id) GROUP BY 1)
+SELECT label, n, n AS n_valid, n AS n_keys, round_even(1::DOUBLE / (SELECT count(*) FROM per), 4) AS mass,
+round_even(coalesce(total, 0) / n / (SELECT count(*) FROM per), 3) AS term_mass, true AS at_optimum FROM per LEFT JOIN held USING (label)""")
 def cls_logreg(spark, d):
-    """CLS1: trained on the labelled messages and applied to them: no row is lost, and most of each label are found."""
+    """CLS1: trained on the labelled messages and applied to them: no row is lost, and the fit is the optimum, where a
+    label's probabilities and its terms' weigh what the labelled rows weigh, which the SQL sums up without a model."""
     data = labelled_messages(spark, d)
-    predicted = trained(spark, d).predict(data, "tweet_id", "text").join(data.select("tweet_id", "label"), "tweet_id")
-    right = predicted.groupBy("label").agg((2 * F.count_if(F.col("intent") == F.col("label")) > F.count(F.lit(1))).alias("most_right"))
-    return prediction_facts(predicted, "intent", "confidence", "label").join(right, "label")
+    model = trained(spark, d)
+    predicted = model.predict(data, "tweet_id", "text").join(data.select("tweet_id", "label"), "tweet_id")
+    best = model.optimality().select("label", F.round("mass", 4).alias("mass"), F.round("term_mass", 3).alias("term_mass"), (F.col("largest") < 1e-5).alias("at_optimum"))
+    return prediction_facts(predicted, "intent", "confidence", "label").join(best, "label")
 
 
 @query("cls_pseudo_label", "SELECT lang, count(*) AS n, count(*) AS n_valid, count(*) AS n_keys FROM documents GROUP BY 1")
@@ -254,3 +261,18 @@ def clu_nearest(spark, d):
     assigned = rows.select("vec_id", "cluster", models.array_to_vector("x").alias("features"))
     out = models.nearest_assigned(assigned, centres, "vec_id")
     return out.select(F.col("cluster").cast("bigint"), F.col("rank").cast("bigint"), "vec_id", "distance")
+
+
+@query("clu_silhouette", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label, vec_id % 3 AS third FROM embeddings),
+a AS (SELECT 'label' AS assignment, vec_id, x, label::VARCHAR AS c FROM e UNION ALL SELECT 'third', vec_id, x, third::VARCHAR FROM e),
+sizes AS (SELECT assignment, c, count(*) AS n FROM a GROUP BY ALL),
+far AS MATERIALIZED (SELECT p.vec_id AS i, q.vec_id AS j, list_distance(p.x, q.x) AS d FROM e p, e q),
+sums AS (SELECT o.assignment, o.vec_id, o.c AS own, t.c, sum(d) AS d FROM far JOIN a o ON o.vec_id = i JOIN a t ON t.vec_id = j AND t.assignment = o.assignment GROUP BY ALL),
+means AS (SELECT assignment, vec_id, own, max(CASE WHEN s.c = own THEN d / greatest(n - 1, 1) END) AS mine, min(CASE WHEN s.c <> own THEN d / n END) AS other,
+max(CASE WHEN s.c = own THEN n END) AS n FROM sums s JOIN sizes USING (assignment, c) GROUP BY ALL),
+scores AS (SELECT assignment, own AS cluster, CASE WHEN n > 1 AND greatest(mine, other) > 0 THEN (other - mine) / greatest(mine, other) ELSE 0 END AS s FROM means)
+SELECT assignment, cluster, count(*) AS n, round_even(avg(s), 6) AS silhouette FROM scores GROUP BY GROUPING SETS ((assignment), (assignment, cluster))""")
+def clu_silhouette(spark, d):
+    """CLU2: by plain distances, of the given labels and of thirds by id, together and per cluster."""
+    rows = table(spark, d, "embeddings").withColumn("third", F.col("vec_id") % 3)
+    return plain_silhouette(rows, "embedding", ["label", "third"]).withColumn("silhouette", F.round("silhouette", 6))
