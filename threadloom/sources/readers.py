@@ -10,18 +10,13 @@ from pyspark.sql import types as T
 
 from threadloom.functions import values as V
 from threadloom.operators.ranks import position_by_range
+from threadloom.sources.quoted import read_quoted_csv
 from threadloom.sources.schemas import MANIFEST, THREADS, TWEETS, require_columns
 
 
-def read_tweets_csv(spark: SparkSession, path: str, schema: T.StructType = TWEETS) -> DataFrame:
-    """SRC1: CSV with declared types; texts may hold quotes and line breaks.
-
-    `multiLine` makes a file one split.  At scale the dump should be many files, or be read once and
-    stored as parquet (SRC2), which is what every later step reads.
-    """
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    )
+def read_tweets_csv(spark: SparkSession, path: str, schema: T.StructType | str = TWEETS) -> DataFrame:
+    """SRC1: CSV with declared types; texts may hold quotes and line breaks, and one big file is read by many tasks."""
+    return read_quoted_csv(spark, path, schema)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
