@@ -50,3 +50,14 @@ def test_edges(spark, edges, nothing):
     got = sorted((str(r["doc_id"]), r["license"], r["containment"]) for r in licenses.scan(frame(spark, rows)).collect())
     assert got == [("1", "GPL", 1.0), ("2", "GPL", 1.0), ("None", "GPL", 1.0)]
     assert licenses.scan(edges, templates=[("short", "two words")]).count() == 0
+
+
+def test_a_notice_in_parts_far_from_each_other_counts_whole(spark):
+    words = NOTICE.split()
+    far = " ".join(f"w{i}" for i in range(300))
+    parts = " ".join([*words[:20], far, *words[16:]])  # all shingles, in two places
+    half = " ".join(words[: len(words) // 2])
+    rows = [(1, f"{far} {parts} {far}", "en"), (2, half, "en"), (2, NOTICE, "en"), (3, half, "en"), (3, " ".join(words[len(words) // 2 :]), "en")]
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["start"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert set(got) == {(1, "GPL"), (2, "GPL")} and all(c == 1.0 for c, _ in got.values())
+    assert 290 <= got[(1, "GPL")][1] <= 302 and got[(2, "GPL")][1] == 0

@@ -4,11 +4,11 @@ Words are lower-cased runs of letters and digits; shingles are five words.  A te
 windows, a template's into the windows of the same size at every place.  The MinHash of a window has one hash per
 band, so two windows with Jaccard similarity s share a band with probability 1 - (1 - s)^bands: with 32 bands and a
 window that holds a template of one shingle among others, or four fifths of a template window, that is
-`collision_probability`.  Shared bands retrieve templates, and the words around the window are then compared shingle
-by shingle: the share of the template's shingles found must reach the threshold.
+`collision_probability`.  Shared bands retrieve templates, which are then compared shingle by shingle: the share of the
+template's shingles that the whole text holds, wherever they stand, must reach the threshold.
 
-A text that shares no shingle with any template cannot reach any threshold and has no windows made; this looks at
-every shingle and loses nothing.  All steps are expressions over the rows; texts are not shuffled.
+A text's shingles that some template has are kept once, at most as many as the templates have.  A text without one
+cannot reach any threshold and has no windows made; this looks at every shingle and loses nothing.  All steps are expressions over the rows; texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -89,40 +89,30 @@ def scan(
     stride: int = STRIDE,
     bands: int = BANDS,
 ) -> DataFrame:
-    """doc_id, license, template, containment (best) and start (word number of the first window) of every match.
+    """doc_id, license, template, containment (best) and start (word number of the first window that retrieves it) of every
+    match.
 
     Takes doc_id and text of `docs`; other columns are not read.  Texts that are NULL, empty or without a match give no
-    row; rows with the same doc_id are one document; a NULL doc_id stays NULL.  Templates of under five words are left
+    row; of rows with the same doc_id the best counts; a NULL doc_id stays NULL.  Templates of under five words are left
     out.  Empty documents or templates give no rows.
     """
     spark = docs.sparkSession
     known = stage_table(template_frame(spark, templates), "templates")
     hashes = sorted({h for row in known.select("shingles").collect() for h in row["shingles"]})  # bounded by MOST_TEMPLATE_WORDS
-    longest = max((r[0] for r in known.select(F.size("shingles")).collect()), default=0)
-    constant = F.split(F.lit(",".join(map(str, hashes))), ",").cast("array<bigint>")
+    constant = F.split(F.lit(",".join(map(str, hashes))), ",") if hashes else F.array()
+    constant = constant.cast("array<bigint>")
     worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"))
     shingled = worded.select("doc_id", _shingles("words").alias("shingles"))
-    near = F.when(F.arrays_overlap("shingles", constant), _near_windows(window, stride, longest))
+    held = shingled.select("doc_id", "shingles", F.array_sort(F.array_intersect("shingles", constant)).alias("found"))
+    near = F.when(F.size("found") > 0, F.transform(_windows("shingles", window, stride), lambda w: w.withField("found", F.col("found"))))
     # explode_outer: a filter on what is exploded would work out the shingles twice
-    windows = shingled.select("doc_id", F.explode_outer(near).alias("w")).filter("w is not null")
-    banded = windows.select("doc_id", "w.start", "w.around", F.explode(_bands(F.col("w.hashes"), bands)).alias("key"))
+    windows = held.select("doc_id", F.explode_outer(near).alias("w")).filter("w is not null")
+    banded = windows.select("doc_id", "w.start", "w.found", F.explode(_bands(F.col("w.hashes"), bands)).alias("key"))
     index = known.select("template", F.explode(_windows("shingles", window, 1)).alias("w"))
     index = index.select("template", F.explode(_bands(F.col("w.hashes"), bands)).alias("key")).distinct()
-    retrieved = banded.join(F.broadcast(index), "key").select("doc_id", "start", "around", "template").dropDuplicates(["doc_id", "start", "template"])
+    retrieved = banded.join(F.broadcast(index), "key").groupBy("doc_id", "template", "found").agg(F.min("start").alias("start"))
     compared = retrieved.join(F.broadcast(known.select("template", "license", "shingles")), "template").withColumn(
-        "containment", F.size(F.array_intersect("shingles", "around")) / F.size(F.array_distinct("shingles"))
+        "containment", F.size(F.array_intersect("shingles", "found")) / F.size(F.array_distinct("shingles"))
     )
     found = compared.filter(F.col("containment") >= containment)
     return found.groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("start"))
-
-
-def _near_windows(window: int, stride: int, longest: int) -> Column:
-    """Windows of a text, each with the shingles around it in which a template that meets it must lie."""
-    return F.transform(
-        _windows("shingles", window, stride),
-        lambda w: F.struct(
-            w["start"].alias("start"),
-            w["hashes"].alias("hashes"),
-            F.slice("shingles", F.greatest(w["start"] + 1 - F.lit(longest), F.lit(1)), F.lit(2 * longest + window)).alias("around"),
-        ),
-    )
