@@ -29,7 +29,7 @@ from threadloom.sources.scratch import stage_table
 RADIUS = 3
 SHINGLE_WORDS = 3
 SEED = 42
-BLOCK_ROWS = 16_384  # fingerprints of a tile compared at a time
+BLOCK_ROWS = 262_144  # fingerprints of a tile compared at a time; copies of a fingerprint grow with tile / this
 FINE_PAIRS = 4_000_000  # block pairs beyond this are cut into sub-tiles first
 HALF_BITS = 32
 
@@ -150,7 +150,8 @@ def links(prints: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS)
         .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("own_blocks")).cast("int"))
         .withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
     )
-    own, other = F.struct("tile", "block"), F.struct(F.col("other").alias("tile"), F.col("other_block").alias("block"))
+    numbered = lambda tile, block: F.shiftleft(F.col(tile).cast("long"), 32) + F.col(block)
+    own, other = numbered("tile", "block"), numbered("other", "other_block")
     first = own <= other
     pairs = spread.select(
         "fp",
