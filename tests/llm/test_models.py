@@ -93,45 +93,75 @@ def test_thresholds_come_from_all_trusted_rows(spark):
     assert 1 <= over <= 0.008 * len(rows)  # the quantile itself, without slack
 
 
-def plain_ppm(counts):
+def plain_ppm(texts, depth):
+    """log10 probability of a text's bytes, by the trie of `texts` with their counts."""
+    head = b"\0" * (depth - 1) + b" "
     trie = defaultdict(Counter)
-    coded = lambda w: [START + b"\n"] if w == ppm.END else list(symbols(w))
-    for w, n in counts.items():
-        for g in coded(w):
-            for k in range(5):
-                trie[g[4 - k : 4]][g[4]] += n
+    for text in texts:
+        data = head + text
+        for at in range(depth, len(data)):
+            for k in range(depth + 1):
+                trie[data[at - k : at]][data[at]] += 1
 
-    def log(g):
+    def log(data, at):
         out, gone = 0.0, set()
-        for k in (4, 3, 2, 1, 0):
-            left = {s: n for s, n in trie.get(g[4 - k : 4], {}).items() if s not in gone}
+        for k in range(depth, -1, -1):
+            left = {s: n for s, n in trie.get(data[at - k : at], {}).items() if s not in gone}
             total = sum(left.values()) + len(left)
-            if g[4] in left:
-                return out + math.log10(left[g[4]] / total)
+            if data[at] in left:
+                return out + math.log10(left[data[at]] / total)
             if left:
                 out += math.log10(len(left) / total)
                 gone |= set(left)
         return out - math.log10(256 - len(gone))
 
-    return lambda w: sum(map(log, coded(w)))
+    return lambda text: sum(log(head + text, at) for at in range(depth, depth + len(text)))
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 200, "part_words": 7}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 200, "part_grams": 7}, {"depth": 3}, {"depth": 6, "part_grams": 50}])
 def test_ppm_against_its_definition(spark, options):
     rnd = random.Random(3)
     rows = [(i, " ".join("".join(rnd.choices("abcÉD", k=rnd.randint(1, 7))) for _ in range(rnd.randint(0, 25))), "en") for i in range(60)]
-    rows += [(100 + k, t, lang) for k, (i, t, lang) in enumerate(EDGES)] + [(None, "abc abc", "en")]
+    rows += [(100 + k, t, lang) for k, (i, t, lang) in enumerate(EDGES)] + [(None, "abc abc", "en"), ((1 << 60) + 1, "abc", "en")]
     got = ppm.score(frame(spark, rows), **options).collect()
-    assert len(got) == len(rows)
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _, _ in rows)
     tokens = {i: [*(t or "").encode().lower().split(), ppm.END] for i, t, _ in rows}
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v, log = sum(counts.values()), len(counts), plain_ppm(counts)
+    n, v = sum(counts.values()), len(counts)
+    log = plain_ppm([b" ".join(ws) for i, ws in tokens.items() if not held[i]], options.get("depth", ppm.DEPTH))
     for r in got:
         ws = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(counts[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(map(log, ws)), rel=1e-9)
+        assert r["score"] == pytest.approx(log(b" ".join(ws)), rel=1e-9)
+
+
+def test_ppm_steps_do_not_change_the_grams(monkeypatch):
+    texts = [b"\n", b"abcdefgh ij \n", b"a \n", b"xy" * 40 + b" \n"]
+    whole = [np.concatenate(x) for x in zip(*ppm.coded_grams(texts, 5))]
+    monkeypatch.setattr(ppm, "STEP", 7)
+    steps = [np.concatenate(x) for x in zip(*ppm.coded_grams(texts, 5))]
+    assert all((a == b).all() for a, b in zip(whole, steps))
+    assert [bytes([g & 255]) for g in whole[0]] == [bytes([c]) for t in texts for c in t]
+
+
+def test_ppm_sees_the_order_of_words(spark):
+    rnd = random.Random(4)
+    follows = {w: rnd.sample("the old man saw a small boat near his house and went home".split(), 2) for w in "the old man saw a small boat near his house and went home".split()}
+
+    def text():
+        words = ["the"]
+        while len(words) < 60:
+            words.append(rnd.choice(follows[words[-1]]))
+        return words
+
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == 1][:40]
+    rows = [(i, " ".join(text()), "en") for i in range(3000) if zlib.crc32(str(i).encode()) % 5 != 1][:200]
+    pairs = [(i, text()) for i in held]
+    rows += [(i, " ".join(words), "en") for i, words in pairs[::2]] + [(i, " ".join(sorted(words)), "en") for i, words in pairs[1::2]]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in ppm.score(frame(spark, rows)).collect() if r["held_out"]}
+    assert min(got[i] for i in held[::2]) > max(got[i] for i in held[1::2])
 
 
 def test_ppm_of_nothing(nothing):

@@ -1,18 +1,19 @@
 """Language-model scoring: prediction by partial matching over a byte-context trie.
 
-Texts are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end.  A word's bytes and its end mark are coded one
-by one: the longest context seen in training predicts, a symbol it has not seen is an escape to the next shorter
-context, whose counts leave out the symbols that the longer one has already ruled out; below the empty context all
-bytes left are alike.  Contexts begin at the word, so a word's code length does not depend on where it stands.
+Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end.  A document's tokens, one space between them, are
+coded byte by byte as running text: the longest context seen in training predicts, a symbol it has not seen is an escape
+to the next shorter context, whose counts leave out the symbols that the longer one has already ruled out; below the
+empty context all bytes left are alike.  Contexts run over word ends, so the order of words counts.
 
 All training documents count, and nothing of the size of the corpus is broadcast:
 
-1. each task turns its documents into blocks: the block's distinct words with their training counts, and each
-   document's word numbers and their counts; a document is read once and never shuffled;
-2. word counts are summed; words are dealt into parts of bounded size, whose distinct n-grams ask for code lengths;
-3. trie nodes with the same last two context bytes meet in one group (256^3 n-grams at most; shorter contexts are
-   bounded tables sent along) and the code length of every n-gram is worked out there;
-4. code lengths go back to the word parts, word values to the blocks, and each block adds up its documents.
+1. each task turns its documents into blocks: the block's distinct words and distinct n-grams with their training
+   counts, and each document's word numbers in order; a document is read once and never shuffled;
+2. counts of words and of n-grams are summed;
+3. trie nodes with the same last three context bytes lie in one part, parts hold about `part_grams` n-grams (one ending
+   has 256^(depth - 2) at most); nodes of two context bytes are joined to the parts that need them, shorter ones are
+   bounded tables sent along; the code length of every n-gram is worked out there;
+4. code lengths and word counts go back to the blocks, and each block adds up its documents.
 """
 
 from __future__ import annotations
@@ -27,41 +28,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import raw_texts, remainder
-from threadloom.llm.quality_model import word_grams
+from threadloom.llm.common import raw_texts, remainder, spans_of
 from threadloom.sources.scratch import stage_table
 
-DEPTH = 4  # bytes of context
+DEPTH = 5  # bytes of context, 3 to 6
 HELD_OUT_OF = 5
 BLOCK_BYTES = 16 << 20  # text of a block
-PART_WORDS = 150_000  # distinct words of a part
+PART_GRAMS = 100_000  # n-grams of a part of the trie
+STEP = 1 << 20  # bytes whose n-grams are looked at together
+MERGE = 4 << 20  # n-grams counted before they are merged
 END = b"\n"  # the end token; no word has white space
-BLOCK_SCHEMA = "block long, word binary, number int, trained long, doc_id long, held_out boolean, words binary"
+BLOCK_SCHEMA = "block long, word binary, number int, gram long, trained long, doc_id long, held_out boolean, words binary"
 
 
-# ---- documents to blocks
+# ---- running text to n-grams
+
 
+def coded_grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed n-grams (context, symbol), one per byte of every text, and the text's number of each, a step at a time.
 
-def _packed(ids: np.ndarray, compressor: zstandard.ZstdCompressor) -> bytes:
-    """Distinct word numbers in order, as differences, and how often each occurs."""
-    distinct, n = np.unique(ids, return_counts=True)
-    return compressor.compress(np.concatenate([np.diff(distinct, prepend=0), n]).astype("<u4").tobytes())
+    An n-gram's lowest byte is the symbol, its other bytes the context; in front of a text stand a space and zero bytes."""
+    head = b"\0" * (depth - 1) + b" "
+    data = np.frombuffer(b"".join([head + t for t in texts]), np.uint8)
+    starts = np.cumsum([0] + [depth + len(t) for t in texts[:-1]])
+    for at in range(0, len(data), STEP):
+        first = max(0, at - depth)
+        piece = data[first : at + STEP].astype(np.int64)
+        packed = piece.copy()
+        for back in range(1, depth + 1):
+            packed[back:] |= piece[:-back] << (8 * back)
+        packed = packed[at - first :]
+        place = np.arange(at, at + len(packed))
+        owner = np.searchsorted(starts, place, "right") - 1
+        keep = place - starts[owner] >= depth
+        yield packed[keep], owner[keep]
 
 
-def _unpacked(coded: bytes, decompressor: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(decompressor.decompress(coded), "<u4").astype(np.int64)
-    half = len(both) // 2
-    return np.cumsum(both[:half]), both[half:]
+# ---- documents to blocks
 
 
 class _Block:
-    """A block under way: the numbers of its words, their training counts, and its documents."""
+    """A block under way: the numbers of its words, their training counts, its n-grams' counts, and its documents."""
 
-    def __init__(self, block: int):
-        self.block, self.size = block, 0
+    def __init__(self, block: int, depth: int):
+        self.block, self.depth, self.size = block, depth, 0
         self.numbers: dict[bytes, int] = {}
         self.trained = np.zeros(1 << 16, np.int64)
         self.docs: list[tuple[int | None, bool, bytes]] = []
+        self.waiting: dict[bool, list[bytes]] = {False: [], True: []}
+        self.uncounted = 0
+        self.counted: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, doc_id: int | None, held: bool, text: bytes, compressor: zstandard.ZstdCompressor) -> None:
         words = text.lower().split()
@@ -73,61 +89,65 @@ class _Block:
             self.trained = np.concatenate([self.trained, np.zeros(max(len(self.trained), len(self.numbers) - len(self.trained)), np.int64)])
         if not held:
             self.trained[: len(self.numbers)] += np.bincount(ids, minlength=len(self.numbers))
-        self.docs.append((doc_id, held, _packed(ids, compressor)))
+        self.docs.append((doc_id, held, compressor.compress(ids.astype("<u4").tobytes())))
         self.size += len(text)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        n, m = len(self.numbers), len(self.docs)
-        names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        self.waiting[held].append(b" ".join(words))
+        self.uncounted += len(text)
+        if self.uncounted >= STEP:
+            self.count()
+
+    def count(self) -> None:
+        for held, texts in self.waiting.items():
+            for grams, _ in coded_grams(texts, self.depth) if texts else ():
+                distinct, n = np.unique(grams, return_counts=True)
+                self.counted.append((distinct, np.zeros_like(n) if held else n))
+            texts.clear()
+        self.uncounted = 0
+        if sum(len(g) for g, _ in self.counted[1:]) > MERGE:
+            self.merge()
+
+    def merge(self) -> None:
+        grams, n = (np.concatenate(x) for x in zip(*self.counted))
+        distinct, at = np.unique(grams, return_inverse=True)
+        self.counted = [(distinct, np.bincount(at, n, len(distinct)).astype(np.int64))]
+
+    def rows(self, compressor: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+        """Words, n-grams, documents, and one row that holds all words in the order of their numbers."""
+        self.count()
+        self.merge()
+        (grams, n), words = self.counted[0], list(self.numbers)
         doc_ids, held, coded = zip(*self.docs)
-        for columns in (
-            [pa.array(np.full(n, self.block)), pa.array(list(self.numbers), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(self.trained[:n]), *(pa.nulls(n, t) for t in kinds[4:])],
-            [pa.array(np.full(m, self.block)), *(pa.nulls(m, t) for t in kinds[1:4]), pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(coded, pa.binary())],
+        fields = [x.split() for x in BLOCK_SCHEMA.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+        for size, given in (
+            (len(words), {"word": words, "number": np.arange(len(words)), "trained": self.trained[: len(words)]}),
+            (len(grams), {"gram": grams, "trained": n}),
+            (1, {"words": [compressor.compress(b" ".join(words))]}),
+            (len(coded), {"doc_id": doc_ids, "held_out": held, "words": coded}),
         ):
-            whole = pa.RecordBatch.from_arrays(columns, names=names)
-            for at in range(0, whole.num_rows, 10_000):
+            given["block"] = np.full(size, self.block)
+            columns = [pa.array(given[name], kinds[kind]) if name in given else pa.nulls(size, kinds[kind]) for name, kind in fields]
+            whole = pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
+            for at in range(0, size, 10_000):
                 yield whole.slice(at, 10_000)
 
 
-def _blocks(block_bytes: int):
+def _blocks(block_bytes: int, depth: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
-        block = _Block(TaskContext.get().partitionId() << 32)
+        block = _Block(TaskContext.get().partitionId() << 32, depth)
         for batch in batches:
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch)):
                 block.add(doc_id, held, text or b"", compressor)
                 if block.size >= block_bytes:
-                    yield from block.rows()
-                    block = _Block(block.block + 1)
+                    yield from block.rows(compressor)
+                    block = _Block(block.block + 1, depth)
         if block.docs:
-            yield from block.rows()
+            yield from block.rows(compressor)
 
     return run
 
 
-# ---- words to n-grams
-
-
-def token_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams (context, symbol) of all tokens and their owners; the end token is one symbol."""
-    grams, owner = word_grams(words, DEPTH + 1)
-    ends = np.fromiter((w == END for w in words), bool, len(words))
-    if ends.any():  # its own end mark is not coded
-        last = np.r_[owner[1:] != owner[:-1], True]
-        keep = ~(ends[owner] & last)
-        grams, owner = grams[keep], owner[keep]
-    return grams, owner
-
-
-def _requests(pdf: pd.DataFrame) -> pd.DataFrame:
-    words, trained = list(pdf["word"]), pdf["trained"].to_numpy()
-    grams, owner = token_grams(words)
-    distinct, at = np.unique(grams, return_inverse=True)
-    counts = np.bincount(at, trained[owner]).astype(np.int64)
-    return pd.DataFrame({"part": pdf["part"].iat[0], "gram": distinct, "n": counts})
-
-
 # ---- the trie
 
 
@@ -137,20 +157,20 @@ def _context_sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return contexts, np.bincount(at, n, len(contexts)), np.bincount(at, n > 0, len(contexts))
 
 
-def code_lengths(grams: np.ndarray, n: np.ndarray, shorter: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def code_lengths(grams: np.ndarray, n: np.ndarray, shorter: list[tuple[np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
     """log10 probability of every n-gram's symbol.
 
-    `grams` are distinct, with training counts `n`, and hold all n-grams of the contexts that end in their last two
-    bytes.  `shorter`: n-grams and counts of orders 0 and 1, for all contexts.
+    `grams` are distinct, with training counts `n`, and hold all n-grams of the contexts that end in their last three
+    bytes.  `shorter`: n-grams and counts of orders 0 to 2, of order 2 at least for the contexts that are needed.
     """
     levels = list(shorter)  # (sorted keys with n > 0, counts) per order
-    for order in range(2, DEPTH + 1):
+    for order in range(len(shorter), depth + 1):
         keys, at = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
         total = np.bincount(at, n, len(keys))
         levels.append((keys[total > 0], total[total > 0]))
     out, todo = np.zeros(len(grams)), np.arange(len(grams))
     ruled_out: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # by context of the order above
-    for order in range(DEPTH, -1, -1):
+    for order in range(depth, -1, -1):
         keys, counts = levels[order]
         contexts, totals, symbols = _context_sums(keys, counts)
         own = grams[todo] & ((1 << 8 * (order + 1)) - 1)
@@ -187,38 +207,49 @@ def _rows(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return sorted_keys[row] == keys, row
 
 
-def _trie_group(shorter: list[tuple[np.ndarray, np.ndarray]]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = pdf["gram"].to_numpy()
-        return pd.DataFrame({"gram": grams, "log": code_lengths(grams, pdf["n"].to_numpy(), shorter)})
+def _trie_part(shorter: list[tuple[np.ndarray, np.ndarray]], depth: int):
+    def run(part: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
+        grams, below = part["gram"].to_numpy(), below.sort_values("key")
+        levels = [*shorter, (below["key"].to_numpy(np.int64), below["n"].to_numpy(np.float64))]
+        return pd.DataFrame({"gram": grams, "log": code_lengths(grams, part["n"].to_numpy(), levels, depth)})
 
     return run
 
 
-# ---- back to words and documents
-
-
-def _word_values(key: tuple, words: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
-    if not len(words):
-        return pd.DataFrame({"word": [], "trained": [], "log": []})
-    logs = logs.sort_values("gram")
-    grams, owner = token_grams(list(words["word"]))
-    of_gram = logs["log"].to_numpy()[np.searchsorted(logs["gram"].to_numpy(), grams)]
-    return pd.DataFrame({"word": words["word"], "trained": words["trained"], "log": np.bincount(owner, of_gram, len(words))})
+# ---- back to the documents
 
 
-def _block_scores(total: int, distinct: int):
-    def run(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        log, trained = np.zeros(len(words)), np.zeros(len(words))
-        log[words["number"]] = words["log"]
-        trained[words["number"]] = words["trained"]
+def _block_scores(total: int, distinct: int, depth: int):
+    def run(key: tuple, rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        decompressor = zstandard.ZstdDecompressor()
+        whole = rows["held_out"].isna()
+        words = np.array(decompressor.decompress(rows["words"][whole].iat[0]).split(b" "), object)
+        docs = rows[~whole]
+        keys, value = values["key"].to_numpy(), values["value"].to_numpy()
+        trained, of_word = np.zeros(len(words)), keys < 0
+        trained[-1 - keys[of_word]] = value[of_word]
+        grams, logs = keys[~of_word], value[~of_word]
+        order = np.argsort(grams)
+        grams, logs = grams[order], logs[order]
         base = np.log10((trained + 0.5) / (total + 0.5 * (distinct + 1)))
-        rows, decompressor = [], zstandard.ZstdDecompressor()
-        for doc_id, held, coded in zip(docs["doc_id"], docs["held_out"], docs["words"]):
-            ids, n = _unpacked(coded, decompressor)
-            rows.append((doc_id, held, int(n.sum()), int(n[trained[ids] > 0].sum()), total, float(base[ids] @ n), float(log[ids] @ n)))
-        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return out.astype({"doc_id": "Int64"})
+        coded = [decompressor.decompress(x) for x in docs["words"]]
+        ids = [np.frombuffer(x, "<u4") for x in coded]
+        score = np.zeros(len(ids))
+        for start, end in spans_of(coded, STEP // 2):  # four bytes a word, whose text has about eight
+            texts = [b" ".join(words[i]) for i in ids[start:end]]
+            for found, owner in coded_grams(texts, depth):
+                score[start:end] += np.bincount(owner, logs[np.searchsorted(grams, found)], len(texts))
+        return pd.DataFrame(
+            {
+                "doc_id": docs["doc_id"].astype("Int64").mask(docs["nameless"]).array,
+                "held_out": docs["held_out"].astype(bool).array,
+                "n_tokens": [len(i) for i in ids],
+                "n_known": [int((trained[i] > 0).sum()) for i in ids],
+                "train_tokens": total,
+                "base_score": [float(base[i].sum()) for i in ids],
+                "score": score,
+            }
+        )
 
     return run
 
@@ -226,34 +257,46 @@ def _block_scores(total: int, distinct: int):
 SCORES_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
     Learns from the rows that are not held out (remainder of crc32(doc_id) by 5 is not 1; a NULL doc_id is learnt
     from).  Takes doc_id and text; other columns are not read.  A NULL text is empty, its only token is the end.
-    Every row gives one row, repeated rows too; an empty table gives none.  Documents are coded whole.
+    Every row gives one row, repeated rows too; an empty table gives none.  Documents are coded whole; `depth` is the
+    longest context in bytes (3 to 6).
     """
+    if not 3 <= depth <= 6:
+        raise ValueError("depth must be 3 to 6")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), HELD_OUT_OF) == 1).alias("held_out"), "text")
-    blocks = stage_table(rows.mapInArrow(_blocks(block_bytes), BLOCK_SCHEMA), "blocks")
-    in_blocks = blocks.filter("number is not null").select("block", "word", "number", "trained")
-    summed = in_blocks.groupBy("word").agg(F.sum("trained").alias("trained"))
-    counted = stage_table(summed, "words")
-    total, distinct, number = counted.agg(
-        F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.when(F.col("trained") > 0, 1)), F.count(F.lit(1))
-    ).first()
-    parts = max(1, -(-number // part_words))
-    dealt = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
-    requests = stage_table(dealt.groupBy("part").applyInPandas(_requests, "part int, gram long, n long"), "requests")
-    grams = requests.groupBy("gram").agg(F.sum("n").alias("n"))
+    blocks = stage_table(rows.mapInArrow(_blocks(block_bytes, depth), BLOCK_SCHEMA), "blocks")
+    in_blocks = blocks.filter("word is not null").select("block", "word", "number", "trained")
+    counted = stage_table(in_blocks.groupBy("word").agg(F.sum("trained").alias("trained")), "words")
+    total, distinct = counted.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.when(F.col("trained") > 0, 1))).first()
+    grams_in_blocks = blocks.filter("gram is not null").select("block", "gram", "trained")
+    grams = stage_table(grams_in_blocks.groupBy("gram").agg(F.sum("trained").alias("n")), "grams")
+    parts = max(1, -(-grams.count() // part_grams))
+
+    def of_order(order: int) -> DataFrame:
+        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        return grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).filter("n > 0")
+
     shorter = []
     for order in (0, 1):  # at most 256 and 65,536 rows
-        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        table = requests.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).filter("n > 0").toPandas().sort_values("key")
+        table = of_order(order).toPandas().sort_values("key")
         shorter.append((table["key"].to_numpy(np.int64), table["n"].to_numpy(np.float64)))
-    shard = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    logs = grams.groupBy(shard.alias("shard")).applyInPandas(_trie_group(shorter), "gram long, log double")
-    answers = requests.select("part", "gram").join(logs, "gram")
-    valued = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_word_values, "word binary, trained long, log double")
-    values = in_blocks.select("block", "word", "number").join(valued, "word").select(F.col("block").alias("of_block"), "number", "trained", "log")
-    documents = blocks.filter("number is null").select("block", "doc_id", "held_out", "words")
-    return documents.groupBy("block").cogroup(values.groupBy("of_block")).applyInPandas(_block_scores(total, distinct), SCORES_SCHEMA)
+    last = lambda n: F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * n) - 1))
+    dealt = grams.withColumn("part", F.pmod(F.xxhash64(last(3)), F.lit(parts)).cast("int"))
+    needed = dealt.select(F.col("part").alias("of_part"), last(2).alias("ending")).distinct()
+    below = needed.join(of_order(2).withColumn("ending", F.shiftright("key", 8)), "ending").select("of_part", "key", "n")
+    logs = dealt.groupBy("part").cogroup(below.groupBy("of_part")).applyInPandas(_trie_part(shorter, depth), "gram long, log double")
+    of_words = in_blocks.select("block", "word", "number").join(counted, "word").select(
+        F.col("block").alias("of_block"), (-1 - F.col("number").cast("long")).alias("key"), F.col("trained").cast("double").alias("value")
+    )
+    of_grams = grams_in_blocks.select("block", "gram").join(logs, "gram").select(
+        F.col("block").alias("of_block"), F.col("gram").alias("key"), F.col("log").alias("value")
+    )
+    documents = blocks.filter("word is null and gram is null").select(
+        "block", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), "held_out", "words"
+    )
+    values = of_words.unionAll(of_grams)
+    return documents.groupBy("block").cogroup(values.groupBy("of_block")).applyInPandas(_block_scores(total, distinct, depth), SCORES_SCHEMA)
