@@ -35,8 +35,8 @@ DEPTH = 5  # bytes of context, 3 to 6
 HELD_OUT_OF = 5
 BLOCK_BYTES = 16 << 20  # text of a block
 PART_GRAMS = 100_000  # n-grams of a part of the trie
-STEP = 1 << 20  # bytes whose n-grams are looked at together
-MERGE = 4 << 20  # n-grams counted before they are merged
+STEP = 1 << 19  # bytes whose n-grams are looked at together
+MERGE = 1 << 20  # n-grams counted before they are merged
 END = b"\n"  # the end token; no word has white space
 BLOCK_SCHEMA = "block long, word binary, number int, gram long, trained long, doc_id long, held_out boolean, words binary"
 
@@ -125,11 +125,11 @@ class _Block:
             (1, {"words": [compressor.compress(b" ".join(words))]}),
             (len(coded), {"doc_id": doc_ids, "held_out": held, "words": coded}),
         ):
-            given["block"] = np.full(size, self.block)
-            columns = [pa.array(given[name], kinds[kind]) if name in given else pa.nulls(size, kinds[kind]) for name, kind in fields]
-            whole = pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
             for at in range(0, size, 10_000):
-                yield whole.slice(at, 10_000)
+                some = min(10_000, size - at)
+                part = {"block": np.full(some, self.block)} | {name: column[at : at + some] for name, column in given.items()}
+                columns = [pa.array(part[name], kinds[kind]) if name in part else pa.nulls(some, kinds[kind]) for name, kind in fields]
+                yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
 def _blocks(block_bytes: int, depth: int):
