@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import raw_texts, remainder, spans_of
 from threadloom.sources.scratch import stage_table
 
-DEPTH = 5  # bytes of context, 3 to 6
+DEPTH = 4  # bytes of context, 3 to 6
 HELD_OUT_OF = 5
 BLOCK_BYTES = 16 << 20  # text of a block
 PART_GRAMS = 100_000  # n-grams of a part of the trie
