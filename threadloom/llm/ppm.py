@@ -18,7 +18,9 @@ All training documents count, and nothing of the size of the corpus is broadcast
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -49,19 +51,20 @@ def coded_grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np
 
     An n-gram's lowest byte is the symbol, its other bytes the context; in front of a text stand a space and zero bytes."""
     head = b"\0" * (depth - 1) + b" "
-    data = np.frombuffer(b"".join([head + t for t in texts]), np.uint8)
-    starts = np.cumsum([0] + [depth + len(t) for t in texts[:-1]])
+    data = np.frombuffer(head + head.join(texts), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + depth
+    heads = ((np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)).ravel()
+    owners = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    owners[heads] = -1
     for at in range(0, len(data), STEP):
         first = max(0, at - depth)
         piece = data[first : at + STEP].astype(np.int64)
         packed = piece.copy()
         for back in range(1, depth + 1):
             packed[back:] |= piece[:-back] << (8 * back)
-        packed = packed[at - first :]
-        place = np.arange(at, at + len(packed))
-        owner = np.searchsorted(starts, place, "right") - 1
-        keep = place - starts[owner] >= depth
-        yield packed[keep], owner[keep]
+        owner = owners[at : at + STEP]
+        keep = owner >= 0
+        yield packed[at - first :][keep], owner[keep]
 
 
 # ---- documents to blocks
@@ -72,8 +75,8 @@ class _Block:
 
     def __init__(self, block: int, depth: int):
         self.block, self.depth, self.size = block, depth, 0
-        self.numbers: dict[bytes, int] = {}
-        self.trained = np.zeros(1 << 16, np.int64)
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.trained, self.learnt = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
         self.docs: list[tuple[int | None, bool, bytes]] = []
         self.waiting: dict[bool, list[bytes]] = {False: [], True: []}
         self.uncounted = 0
@@ -82,13 +85,9 @@ class _Block:
     def add(self, doc_id: int | None, held: bool, text: bytes, compressor: zstandard.ZstdCompressor) -> None:
         words = text.lower().split()
         words.append(END)
-        for w in set(words).difference(self.numbers):
-            self.numbers[w] = len(self.numbers)
         ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if len(self.numbers) > len(self.trained):
-            self.trained = np.concatenate([self.trained, np.zeros(max(len(self.trained), len(self.numbers) - len(self.trained)), np.int64)])
         if not held:
-            self.trained[: len(self.numbers)] += np.bincount(ids, minlength=len(self.numbers))
+            self.learnt.append(ids)
         self.docs.append((doc_id, held, compressor.compress(ids.astype("<u4").tobytes())))
         self.size += len(text)
         self.waiting[held].append(b" ".join(words))
@@ -97,6 +96,9 @@ class _Block:
             self.count()
 
     def count(self) -> None:
+        trained = np.bincount(np.concatenate(self.learnt), minlength=len(self.numbers))
+        trained[: len(self.trained)] += self.trained
+        self.trained, self.learnt = trained, self.learnt[:1]
         for held, texts in self.waiting.items():
             for grams, _ in coded_grams(texts, self.depth) if texts else ():
                 distinct, n = np.unique(grams, return_counts=True)
@@ -120,7 +122,7 @@ class _Block:
         fields = [x.split() for x in BLOCK_SCHEMA.split(", ")]
         kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
         for size, given in (
-            (len(words), {"word": words, "number": np.arange(len(words)), "trained": self.trained[: len(words)]}),
+            (len(words), {"word": words, "number": np.arange(len(words)), "trained": self.trained}),
             (len(grams), {"gram": grams, "trained": n}),
             (1, {"words": [compressor.compress(b" ".join(words))]}),
             (len(coded), {"doc_id": doc_ids, "held_out": held, "words": coded}),
@@ -229,8 +231,7 @@ def _block_scores(total: int, distinct: int, depth: int):
         trained, of_word = np.zeros(len(words)), keys < 0
         trained[-1 - keys[of_word]] = value[of_word]
         grams, logs = keys[~of_word], value[~of_word]
-        order = np.argsort(grams)
-        grams, logs = grams[order], logs[order]
+        row_of = pd.Index(grams)
         base = np.log10((trained + 0.5) / (total + 0.5 * (distinct + 1)))
         coded = [decompressor.decompress(x) for x in docs["words"]]
         ids = [np.frombuffer(x, "<u4") for x in coded]
@@ -238,7 +239,7 @@ def _block_scores(total: int, distinct: int, depth: int):
         for start, end in spans_of(coded, STEP // 2):  # four bytes a word, whose text has about eight
             texts = [b" ".join(words[i]) for i in ids[start:end]]
             for found, owner in coded_grams(texts, depth):
-                score[start:end] += np.bincount(owner, logs[np.searchsorted(grams, found)], len(texts))
+                score[start:end] += np.bincount(owner, logs[row_of.get_indexer(found)], len(texts))
         return pd.DataFrame(
             {
                 "doc_id": docs["doc_id"].astype("Int64").mask(docs["nameless"]).array,
