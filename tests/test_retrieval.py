@@ -237,3 +237,24 @@ def test_sweep_query_keeps_the_cheapest_of_several_starts(spark, monkeypatch):
     monkeypatch.setattr(plans, "embedding_rows", lambda spark, d: models.dense_features(rows, "vec_id", "embedding"))
     got = plans.clu_kmeans_sweep(spark, "").collect()
     assert [len(c) for c in seen] == [3] and [(r["k"], r["n"], r["in_range"], r["misplaced"]) for r in got] == [(4, 200, True, 0)]
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """No hash table of (key, term) pairs, texts of one key and of no key still count together, and both ways weigh alike."""
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "The aa bb"), (2, "aa cc"), (3, "zz"), (4, None), (None, "bb aa"), (None, "aa"), (5, "aa bb aa, cc aa")], "id int, t string")
+    unique = df.filter("id in (1, 3, 4, 5)")
+    plan = features.packed_counts(unique, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "SortAggregate" not in plan
+    got = {(r["id"], r["term"]): r["tf"] for r in features.term_counts(df, "id", "t", ["the"]).collect()}
+    want = {}
+    for i, t in ((1, "aa bb aa"), (2, "aa bb"), (2, "aa cc"), (3, "zz"), (None, "bb aa"), (None, "aa"), (5, "aa bb aa cc aa")):
+        words = t.split()
+        for term in [*words, *map(" ".join, zip(words, words[1:]))]:
+            want[i, term] = want.get((i, term), 0) + 1
+    assert got == want
+    counts, vocab = features.fit(df, "id", "t", ["the"])
+    near = lambda w: sorted((str(r["id"]), r["term"], round(r["weight"], 9)) for r in w.collect())
+    by_rows = features.weights(features.counts_of(counts, "id"), vocab, "id", 25000)
+    assert near(features.weights(counts, vocab, "id", 25000)) == near(by_rows) and by_rows.count() > 10
+    whole = lambda v: sorted((str(r["id"]), r["term_ids"], [round(x, 9) for x in r["weights"]]) for r in v.collect())
+    assert whole(features.vectors(counts, vocab, "id", 25000)) == whole(features.vectors(counts, vocab, "id"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import values as V
 from threadloom.functions.scoring import rounded
-from threadloom.operators.features import fit, term_counts, vectors
+from threadloom.operators.features import fit, packed_counts, vectors
 from threadloom.operators.ranks import position_by_range
 from threadloom.sources.scratch import stage_table
 
@@ -458,7 +458,7 @@ class ThreadIndex:
         spark = self.vocab.sparkSession
         part = 1 + spark.read.schema("part int").json(f"{path}/manifest").agg(F.max("part")).first()[0]
         docs = stage_table(self._texts(usable_threads), "docs")
-        counts = term_counts(self._keyed(docs), "thread", "customer_text", self.stop_words)
+        counts = packed_counts(self._keyed(docs), "thread", "customer_text", self.stop_words)
         rows = stage_table(vectors(counts, self.vocab, "thread", self.max_terms).select("thread.*", "term_ids", "weights"), "rows")
         self._write_part(path, part, rows, docs, cut_shards(rows, citable=self.citable, part=part))
         return type(self).load(spark, path)
@@ -470,7 +470,7 @@ class ThreadIndex:
 
         `exclude_self` leaves out threads whose customer message is the query itself.
         """
-        counts = term_counts(messages.select(F.col(key).alias("query_id"), F.col(text).alias("_text")), "query_id", "_text", self.stop_words)
+        counts = packed_counts(messages.select(F.col(key).alias("query_id"), F.col(text).alias("_text")), "query_id", "_text", self.stop_words)
         q = vectors(counts, self.vocab, "query_id", self.max_terms)
         shards = self.shards if k <= self.citable else cut_shards(self.rows, citable=k)
         best = topk_sharded(q, shards, k, min_sim, exclude_self)

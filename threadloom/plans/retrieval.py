@@ -76,7 +76,7 @@ def txt_tfidf(spark, d):
 def txt_transform(spark, d):
     _, vocab = features.fit(table(spark, d, "documents"), "doc_id", "text", q.STOP)
     conv = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
-    w = features.weights(features.term_counts(conv, "k", "text", q.STOP), vocab, "k", V.MAX_INDEX_TERMS)
+    w = features.weights(features.packed_counts(conv, "k", "text", q.STOP), vocab, "k", V.MAX_INDEX_TERMS)
     return w.groupBy("k").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("total")).select("k.*", "n_terms", "total")
 
 
