@@ -80,3 +80,11 @@ def test_label_medians(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 4.0), ("a", 10.005), ("b", 7.0), ("b", None)], "l string, m double")
     assert {r[0]: r[1] for r in gate.label_medians(df, "l", "m").collect()} == {"a": 3.5, "b": 7.0}
     assert gate.global_median(df, "m").first()[0] == 4.0
+
+
+def test_messages_are_not_dealt_out_by_label(spark):
+    """A handful of labels would be a handful of tasks, each with the texts of its label."""
+    df = spark.createDataFrame([(i, "text", "Billing " if i % 2 else None, "severe") for i in range(6)], "id int, t string, l string, s string")
+    out = gate.sla_risk(df, "l", "t", "s", gate.fixed_medians(df, {"billing": 100.0}))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["intent_risk"] for r in out.collect()}[1] != {r["id"]: r["intent_risk"] for r in out.collect()}[0] and out.count() == 6

@@ -70,13 +70,13 @@ def sla_risk(
 ) -> DataFrame:
     """PRJ15-PRJ17, JON13: adds intent_risk, sentiment_risk and sla_risk_score.
 
-    The medians have one row per label; whether that side is small enough to broadcast is left to Spark.
+    The medians have one row per label and are broadcast: by label, few tasks would read all messages.
     """
     m = medians if medians is not None else fixed_medians(df)
     m = m.select(F.col("intent").alias("_label"), F.col("median_minutes").alias("_minutes"))
     key = F.lower(F.trim(F.col(intent)))
     other = fallback if isinstance(fallback, Column) else F.lit(float(fallback))
-    joined = df.join(m, key == F.col("_label"), "left")
+    joined = df.join(F.broadcast(m), key == F.col("_label"), "left")
     return (
         joined.withColumn("_minutes", F.coalesce(F.col("_minutes"), other))
         .withColumn("intent_risk", minutes_risk(F.col("_minutes")))
