@@ -57,6 +57,13 @@ def test_pivot_and_unpivot_are_inverse(spark):
     assert sorted(back.collect()) == sorted(wide.collect())
 
 
+def test_pivot_sorts_once(spark):
+    wide = spark.createDataFrame([(i, 5, 4, 3, 2, 1) for i in range(9)], "id int, " + ", ".join(f"j_{c} int" for c in V.CRITERIA))
+    long = metrics.long_scores(wide, ["id"], "j").withColumn("reason", F.lit("r"))
+    plan = metrics.wide_scores(long, "id", "j")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+
+
 def comparison(spark):
     rows = [(1, "t", "send a DM", 2, 5, 3, 3), (2, "t", "long answer", 4, 4, 1, 5), (3, "t", "x", 3, 3, 5, 2)]
     return spark.createDataFrame(rows, "example_id int, customer_text string, agent_draft string, human_correctness int, j_correctness int, human_groundedness int, j_groundedness int")

@@ -192,7 +192,8 @@ def sweep(
     """
     sparse = "term_ids" in rows.columns
     plain = rows.select("term_ids", "weights").filter("term_ids is not null") if sparse else rows.filter("features is not null").select(vector_to_array("features").alias("x"))
-    plain = stage_table(plain, "kmeans")
+    # A task returns a sum per cluster and term, so there are as many tasks as run at once, however many rows there are.
+    plain = stage_table(plain, "kmeans").coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
     if not sparse:
         first = plain.first()
         size = len(first["x"]) if first else 0

@@ -11,6 +11,9 @@ from threadloom.functions import values as V
 from threadloom.functions.scoring import low_score, rounded
 
 
+PIVOT_ROWS = 1_000_000  # rows that a task puts side by side
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
@@ -101,10 +104,14 @@ def long_scores(df: DataFrame, ids: Sequence[str], prefix: str, criteria: Sequen
 
 
 def wide_scores(df: DataFrame, key: str, prefix: str, criteria: Sequence[str] = tuple(V.CRITERIA), score: str = "score", reason: str = "reason") -> DataFrame:
-    """PRJ33: one row per criterion to score and reason columns prefixed by the scorer's name."""
+    """PRJ33: one row per criterion to score and reason columns prefixed by the scorer's name.
+
+    Strings are put side by side in sorted order, so rows are placed by key first and sorted once, in parts of bounded size.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PIVOT_ROWS))
     aggs = [F.first(F.when(F.col("criterion") == c, F.col(score)), True).alias(f"{prefix}_{c}") for c in criteria]
     aggs += [F.first(F.when(F.col("criterion") == c, F.col(reason)), True).alias(f"{prefix}_{c}_reason") for c in criteria]
-    return df.groupBy(key).agg(*aggs)
+    return df.repartition(parts, key).groupBy(key).agg(*aggs)
 
 
 def score_stats(long: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:

@@ -41,6 +41,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_ROWS = 5_000
 QUERY_ROWS = 5_000
+DENSE_ROWS = 32_768  # rows, and queries, of dense vectors that a task brings together
 CITABLE = 16  # a stored index answers up to this k from its shards as they are
 BLOCK_CELLS = 4_000_000
 MAX_PIVOTS = 4_096  # pivots of dense cells that travel with the task code
@@ -339,14 +340,15 @@ def _to_pivots(pivots: dict[int, np.ndarray], lists: bool):
 
 def topk_dense(
     queries: DataFrame, docs: DataFrame, k: int = V.TOP_K, min_sim: float = V.MIN_SIMILARITY, exclude_self: bool = False,
-    pivots: int | None = None, query_rows: int = QUERY_ROWS,
+    pivots: int | None = None, query_rows: int = DENSE_ROWS, group_rows: int = DENSE_ROWS,
 ) -> DataFrame:
     """RET3: the same contract for dense vectors: queries (query_id, vector), docs (doc_id, owner_id, vector).
 
     Rows lie in the cell of their nearest pivot; pivots are about the square root of the rows, drawn by hash, at most
     MAX_PIVOTS.  A cell is described by its largest and smallest angle to the pivot.  A query is compared with the pivots,
     searched in its nearest cell first, and visits only cells that by the triangle inequality can hold a row as similar as
-    its k-th there.  Vectors of different length do not meet; those of _unit's exceptions take no part.
+    its k-th there.  Cells to visit are taken in groups of about `group_rows` rows, so that a query is copied once per group and
+    a row once per `query_rows` queries, not once per cell.  Vectors of different length do not meet; those of _unit's exceptions take no part.
     """
     kk = 2 * k if exclude_self else k
     q, d = _unit(queries), _unit(docs)
@@ -364,17 +366,27 @@ def topk_dense(
 
     placed = d.mapInPandas(_to_pivots(pivot_rows, False), "doc_id long, owner_id long, vector array<double>, size int, cell int, angle double")
     rows = stage_table(placed.withColumn("shard", F.concat_ws(":", "size", "cell")), "cells")
-    reach = rows.groupBy("shard", "size", "cell").agg(F.max("angle").alias("far"), F.min("angle").alias("close"))
+    reach = rows.groupBy("shard", "size", "cell").agg(F.max("angle").alias("far"), F.min("angle").alias("close"), F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("size").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # a row per cell
+    number = F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / F.lit(group_rows))
+    reach = F.broadcast(stage_table(reach.withColumn("group", F.concat_ws("/", "size", number)).drop("n"), "reach"))
+    grouped = rows.join(reach.select("shard", "group"), "shard").drop("shard").withColumnRenamed("group", "shard")
     seen = stage_table(distinct_q.mapInPandas(_to_pivots(pivot_rows, True), "query_id long, size int, angles array<double>"), "angles")
-    score = lambda where: _score_shards(where, distinct_q, rows, ["vector"], _dense_scorer(kk, k), query_rows)
+    score = lambda where, docs: _score_shards(where, distinct_q, docs, ["vector"], _dense_scorer(kk, k), query_rows)
     nearest = F.array_position("angles", F.array_min("angles")) - 1
     home = stage_table(seen.select("query_id", F.concat_ws(":", "size", nearest).alias("shard"), F.lit(float(min_sim)).alias("floor")), "homes-asked")
-    seeds = stage_table(_ranked(score(home), kk, k), "seeds")
-    asked = seen.join(_floors(distinct_q, seeds, kk, min_sim), "query_id").select("query_id", "size", "floor", F.posexplode("angles").alias("cell", "angle"))
+    seeds = stage_table(_ranked(score(home, rows), kk, k), "seeds")
+    asked = seen.join(_floors(distinct_q, seeds, kk, min_sim), "query_id").withColumn("nearest", nearest).select(
+        "query_id", "size", "floor", "nearest", F.posexplode("angles").alias("cell", "angle")
+    )
     gap = F.greatest(F.lit(0.0), F.col("angle") - F.col("far"), F.col("close") - F.col("angle"))
-    onward = asked.join(reach, ["size", "cell"]).filter(F.cos(gap) >= F.col("floor") - SLACK).select("query_id", "shard", "floor")
-    onward = onward.join(home.select("query_id", "shard"), ["query_id", "shard"], "left_anti")
-    best = _ranked(seeds.drop("rn").unionByName(score(stage_table(onward, "routes"))), kk, k)
+    near = asked.join(reach, ["size", "cell"]).filter(F.cos(gap) >= F.col("floor") - SLACK)
+    onward = near.groupBy("query_id", F.col("group").alias("shard")).agg(F.first("floor").alias("floor"), F.max(F.col("cell") != F.col("nearest")).alias("others"))
+    # A query that goes on meets its home cell again, in its group, so what it found there is dropped.
+    of_query = W.partitionBy("query_id")
+    onward = stage_table(onward.withColumn("others", F.max("others").over(of_query)).filter("others").drop("others"), "routes")
+    seeds = seeds.join(onward.select("query_id").distinct(), "query_id", "left_anti")
+    best = _ranked(seeds.drop("rn").unionByName(score(onward, grouped)), kk, k)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
 
 

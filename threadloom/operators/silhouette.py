@@ -17,7 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE_ROWS = 8_192
 TILE_CELLS = 4_000_000  # numbers of the vectors of a tile
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 500_000  # distances a task holds at a time
 NEAR = 1e-7  # below this share of the squared lengths, a squared distance is taken from the differences
 
 
