@@ -258,3 +258,23 @@ def test_terms_are_counted_in_their_row(spark):
     assert near(features.weights(counts, vocab, "id", 25000)) == near(by_rows) and by_rows.count() > 10
     whole = lambda v: sorted((str(r["id"]), r["term_ids"], [round(x, 9) for x in r["weights"]]) for r in v.collect())
     assert whole(features.vectors(counts, vocab, "id", 25000)) == whole(features.vectors(counts, vocab, "id"))
+
+
+def test_dense_queries_are_copied_once_per_group_of_cells(spark, monkeypatch):
+    """Rows without clusters lead to all cells; a query goes to few groups of them and finds what brute force finds."""
+    import numpy as np
+
+    from threadloom.operators import retrieval
+
+    x = np.random.default_rng(5).normal(size=(120, 6))
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "doc_id long, owner_id long, vector array<double>")
+    queries = rows.select(F.col("doc_id").alias("query_id"), "vector")
+    asked, score = [], retrieval._score_shards
+    monkeypatch.setattr(retrieval, "_score_shards", lambda routes, *rest: asked.append(routes.count()) or score(routes, *rest))
+    got = {r["query_id"]: [h["doc_id"] for h in r["hits"]] for r in topk_dense(queries, rows, 3, 0.15, True, pivots=30, query_rows=40, group_rows=60).collect()}
+    assert asked[0] == 120 and asked[1] <= 3 * 120
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    for i in range(120):
+        want = [j for j in sorted(range(120), key=lambda j: (-round(sims[i, j], 8), j)) if j != i and round(sims[i, j], 8) >= 0.15][:3]
+        assert got.get(i, []) == want

@@ -376,15 +376,19 @@ def topk_dense(
     nearest = F.array_position("angles", F.array_min("angles")) - 1
     home = stage_table(seen.select("query_id", F.concat_ws(":", "size", nearest).alias("shard"), F.lit(float(min_sim)).alias("floor")), "homes-asked")
     seeds = stage_table(_ranked(score(home, rows), kk, k), "seeds")
-    asked = seen.join(_floors(distinct_q, seeds, kk, min_sim), "query_id").withColumn("nearest", nearest).select(
-        "query_id", "size", "floor", "nearest", F.posexplode("angles").alias("cell", "angle")
+    asked = seen.join(_floors(distinct_q, seeds, kk, min_sim), "query_id").select(
+        "query_id", "size", "floor", nearest.alias("nearest"), F.count(F.lit(1)).over(W.partitionBy("query_id")).alias("times"), "angles"
+    )
+    asked = asked.select("query_id", "size", "floor", "nearest", "times", F.posexplode("angles").alias("cell", "angle")
     )
     gap = F.greatest(F.lit(0.0), F.col("angle") - F.col("far"), F.col("close") - F.col("angle"))
     near = asked.join(reach, ["size", "cell"]).filter(F.cos(gap) >= F.col("floor") - SLACK)
-    onward = near.groupBy("query_id", F.col("group").alias("shard")).agg(F.first("floor").alias("floor"), F.max(F.col("cell") != F.col("nearest")).alias("others"))
-    # A query that goes on meets its home cell again, in its group, so what it found there is dropped.
-    of_query = W.partitionBy("query_id")
-    onward = stage_table(onward.withColumn("others", F.max("others").over(of_query)).filter("others").drop("others"), "routes")
+    onward = near.groupBy("query_id", F.col("group").alias("shard")).agg(
+        F.first("floor").alias("floor"), F.first("times").alias("times"), F.max(F.col("cell") != F.col("nearest")).alias("others")
+    )
+    # A query that goes on meets its home cell again, in its group, so what it found there is dropped; repeated ids stay repeated.
+    goes_on = onward.withColumn("others", F.max("others").over(W.partitionBy("query_id"))).filter("others")
+    onward = stage_table(goes_on.select("query_id", "shard", "floor", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col"), "routes")
     seeds = seeds.join(onward.select("query_id").distinct(), "query_id", "left_anti")
     best = _ranked(seeds.drop("rn").unionByName(score(onward, grouped)), kk, k)
     return _merge_per_query(q.select("query_id", "rep_id"), best, k, min_sim, exclude_self)
