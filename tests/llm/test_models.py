@@ -93,6 +93,40 @@ def test_thresholds_come_from_all_trusted_rows(spark):
     assert 1 <= over <= 0.008 * len(rows)  # the quantile itself, without slack
 
 
+def test_the_model_is_fitted_on_all_trusted_rows(spark):
+    """Every row has a word of its own; all but the held-out third, and repeats of an id once, are in the n-grams."""
+    rows = [(i, f"{i:05d} the {i:05d}", "en") for i in range(6000)] + [(8, "00008 the 00008", "en")] * 3
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(frame(spark, rows), labels)
+    held = {i for i in range(6000) if zlib.crc32(str(i).encode()) % quality_model.HELD_OUT_PART == 0}
+    last = {g for i in range(6000) if i not in held for g in quality_model.word_grams([f"{i:05d}".encode()])[0].tolist()}
+    last |= set(quality_model.word_grams([b"the"])[0].tolist())
+    assert model.grams.grams[-1].tolist() == sorted(last)
+
+
+def test_grams_are_added_up_in_parts(monkeypatch):
+    """A task that holds few n-grams hands on the same counts."""
+    texts = [" ".join(f"w{j % 7}x{i % 11}" for j in range(20)) for i in range(50)]
+    batch = quality_model.pa.RecordBatch.from_arrays([quality_model.pa.array(texts)], names=["text"])
+
+    def counted():
+        out = Counter()
+        for part in quality_model._count_grams(3)(iter([batch, batch])):
+            for g, c in zip(*(column.to_pylist() for column in part.columns)):
+                out[g] += c
+        return out
+
+    whole = counted()
+    monkeypatch.setattr(quality_model, "HELD_GRAMS", 5)
+    monkeypatch.setattr(quality_model, "COUNTED_BYTES", 100)
+    assert counted() == whole
+    want = Counter()
+    for t in texts * 2:
+        for w in t.split():
+            want.update(quality_model.word_grams([w.encode()], 3)[0].tolist())
+    assert whole == want
+
+
 def plain_ppm(texts, depth):
     """log10 probability of a text's bytes, by the trie of `texts` with their counts."""
     head = b"\0" * (depth - 1) + b" "

@@ -3,9 +3,10 @@
 The model reads words as bytes, each with an end mark, in contexts of up to four bytes that begin at the word, so a
 word's probability does not depend on where it stands and is computed once per distinct word and block.
 
-Fitting: a bounded sample of trusted labelled rows (`trusted_rows`) is counted by Spark; per order, n-gram counts are
-dealt out by context, discounts come from counts of counts, and joins on the shortened n-gram add the lower order's
-probability.  The tables are bounded by the sample and are sent to the tasks, where every block's distinct n-grams
+Fitting: all trusted labelled rows but the held-out third (or `trusted_rows` of them) are counted by Spark, each task
+adding up its own n-grams first; per order, n-gram counts are dealt out by context, discounts come from counts of counts,
+and joins on the shortened n-gram add the lower order's probability.  The tables hold the distinct n-grams inside words,
+which grow far slower than the text (README), and are sent to the tasks, where every block's distinct n-grams
 are joined with them order by order.  All trusted rows that the model was not fitted on give the per-language quantile
 of perplexity above which a document is rejected, from mergeable sketches.  Labels serve for nothing else; all
 documents are scored whole, in one pass without a shuffle.
@@ -13,6 +14,7 @@ documents are scored whole, in one pass without a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,8 +29,7 @@ from threadloom.llm.common import WordValues, raw_texts, remainder, spans_of
 from threadloom.sources.scratch import stage_table
 
 ORDER = 5
-TRUSTED_ROWS = 3_000  # labelled rows the model is fitted on
-HELD_OUT_PART = 3  # one of these in so many is left out of the fit, so that few labels give thresholds too
+HELD_OUT_PART = 3  # one trusted row in so many is left out of the fit and gives thresholds
 QUANTILE = 0.995  # of held-out trusted documents of a language
 SLACK = 1.02  # times that quantile
 QUANTILE_ACCURACY = 10_000  # rank error of the mergeable quantiles: one in so many
@@ -36,6 +37,8 @@ PRIOR_SYMBOLS = 60  # symbols at the mean rate that every document is credited w
 LEAST_ROWS = 40  # trusted rows outside the fit from which a language has its own threshold
 SYMBOLS = 256
 START, END = 32, 32
+COUNTED_BYTES = 4_000_000  # of text whose distinct words are cut into n-grams at a time
+HELD_GRAMS = 2_000_000  # distinct n-grams that a task adds up before it hands them on
 
 
 def word_grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +97,23 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _count_grams(order: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "c"])
+        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            words = [w for t in raw_texts(batch) for w in (t or b"").split()]
-            if words:
-                names, n = np.unique(np.array(words, dtype=object), return_counts=True)
-                packed, owner = word_grams(list(names), order)
-                grams, at = np.unique(packed, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.bincount(at, n[owner]).astype(np.int64))], names=["gram", "c"])
+            texts = raw_texts(batch)
+            for lo, hi in spans_of(texts, COUNTED_BYTES):
+                words = Counter(w for t in texts[lo:hi] for w in (t or b"").split())
+                if not words:
+                    continue
+                packed, owner = word_grams(list(words), order)
+                n = np.fromiter(words.values(), np.int64, len(words))
+                grams, at = np.unique(np.concatenate([grams, packed]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, n[owner]])).astype(np.int64)
+                if len(grams) > HELD_GRAMS:
+                    yield rows()
+                    grams, counts = grams[:0], counts[:0]
+        if len(grams):
+            yield rows()
 
     return run
 
@@ -117,7 +130,7 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def fit_grams(trusted: DataFrame, order: int = ORDER) -> Grams:
-    """The model of the texts of `trusted`, a frame of bounded size."""
+    """The model of the texts of `trusted`; its tables hold their distinct n-grams."""
     counts = trusted.select("text").mapInArrow(_count_grams(order), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     levels = [stage_table(counts, "grams")]
     for k in range(order - 1, 0, -1):  # lower orders count distinct continuations
@@ -141,7 +154,7 @@ def fit_grams(trusted: DataFrame, order: int = ORDER) -> Grams:
             joined = shares.withColumn("short", short).join(lower, "short").withColumn("p", F.col("own") + F.col("weight") * F.col("lower_p"))
         level_p = stage_table(joined.select("gram", "context", "p", "weight"), "gram-probabilities")
         lower = level_p.select(F.col("gram").alias("short"), F.col("p").alias("lower_p"))
-        rows = level_p.toPandas().sort_values("gram")  # bounded by the sample
+        rows = level_p.toPandas().sort_values("gram")  # distinct n-grams, which the model sends to the tasks
         contexts = rows.drop_duplicates("context").sort_values("context")
         fitted.grams.append(rows["gram"].to_numpy())
         fitted.logs.append(np.log10(rows["p"].to_numpy()))
@@ -166,16 +179,15 @@ class QualityModel:
         return (self.mean * PRIOR_SYMBOLS - sums[:, 0]) / (PRIOR_SYMBOLS + sums[:, 1])
 
 
-def _trusted(docs: DataFrame, labels: DataFrame, trusted_rows: int) -> tuple[Grams, DataFrame]:
+def _trusted(docs: DataFrame, labels: DataFrame, trusted_rows: int | None) -> tuple[Grams, DataFrame]:
     """N-grams of the fitted documents, and the ids of all other trusted ones."""
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
     trusted = stage_table(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted-ids")
-    fitted = trusted.orderBy(*order).limit(trusted_rows).filter(remainder(F.col("doc_id"), HELD_OUT_PART) != 0)
-    fitted = stage_table(fitted, "fitted-ids")
-    sample = docs.select("doc_id", "text").join(F.broadcast(fitted), "doc_id")
+    fitted = trusted if trusted_rows is None else trusted.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(trusted_rows)
+    fitted = stage_table(fitted.filter(remainder(F.col("doc_id"), HELD_OUT_PART) != 0), "fitted-ids")
+    texts = docs.select("doc_id", "text").join(fitted, "doc_id", "left_semi")
     one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")  # of a repeated id one row
-    sample = sample.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
-    return fit_grams(stage_table(sample, "trusted")), trusted.join(F.broadcast(fitted), "doc_id", "left_anti")
+    texts = texts.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
+    return fit_grams(texts), trusted.join(fitted, "doc_id", "left_anti")
 
 
 def _with_limits(grams: Grams, sums: DataFrame, others: DataFrame, quantile: float, slack: float) -> QualityModel:
@@ -205,11 +217,11 @@ def _limit_of(model: QualityModel, lang: Column) -> Column:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, slack: float = SLACK) -> QualityModel:
-    """A model of at most `trusted_rows` documents with quality 1 (those of lowest hash, one row per id), thresholds from
-    all others.
+def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int | None = None, quantile: float = QUANTILE, slack: float = SLACK) -> QualityModel:
+    """A model of all documents with quality 1 (one row per id) but the held-out third, thresholds from that third; with
+    `trusted_rows` the third is taken from so many of lowest hash, the others are all held out too.
 
-    Texts of the sample are whole, so its n-grams, which travel with the tasks, are bounded by the rows' sizes.  Limits
+    Texts are counted whole.  Limits
     are kept by the values of lang with LEAST_ROWS trusted documents or more; others are held to the limit over all.
     NULL ids are not trusted, a NULL text counts as empty; without trusted rows nothing is rejected but texts without a word.
     """
@@ -217,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, qu
     return _with_limits(grams, _sums(docs, grams).filter("doc_id is not null"), others, quantile, slack)
 
 
-def fit_and_classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def fit_and_classify(docs: DataFrame, labels: DataFrame, trusted_rows: int | None = None, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """`classify` by the model that `fit` gives, each document scored once: limits and verdicts come from the same sums."""
     grams, others = _trusted(docs, labels, trusted_rows)
     sums = stage_table(_sums(docs, grams), "document-sums")
@@ -232,7 +244,7 @@ def fit_and_classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRU
 SUMMED = ("_quality_log", "_quality_symbols")  # added to staged rows, and taken off again
 
 
-def fit_and_keep(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def fit_and_keep(docs: DataFrame, labels: DataFrame, trusted_rows: int | None = None, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """The rows of `docs`, with all columns, that `fit_and_classify` keeps; rows are scored once and written with their sums."""
     grams, others = _trusted(docs, labels, trusted_rows)
     schema = T.StructType([*docs.schema, *(T.StructField(c, T.DoubleType()) for c in SUMMED)])
