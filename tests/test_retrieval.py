@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,30 @@ def test_small_shards_give_the_same_hits(spark, index):
     assert run() == run(shard_rows=7, query_rows=11)
 
 
+@pytest.mark.parametrize("cells", [30, 700, 4_000_000])
+def test_sparse_scores_are_those_of_all_pairs(monkeypatch, cells):
+    """Frequent terms, rare ones, blocks of any size: the pairs and the double-precision sums of a full product."""
+    monkeypatch.setattr(retrieval, "BLOCK_CELLS", cells)
+    rng = np.random.default_rng(3)
+    chance = 0.9 / np.arange(1, 301) ** 0.8
+
+    def rows(n, **more):
+        full = np.where(rng.random((n, 300)) < chance, rng.random((n, 300)) + 0.1, 0.0)
+        full[np.arange(n), rng.integers(0, 300, n)] += 0.1
+        full /= np.sqrt((full**2).sum(1, keepdims=True))
+        found = [np.flatnonzero(x) for x in full]
+        return full, pd.DataFrame({"term_ids": [f.astype(np.int32) for f in found], "weights": [x[f] for x, f in zip(full, found)], **more})
+
+    d, docs = rows(120, doc_id=np.arange(120), owner_id=np.arange(120) // 2)
+    q, queries = rows(40, query_id=np.arange(40) + 1000, floor=np.linspace(0.1, 0.7, 40))
+    got = retrieval._sparse_scorer(200, 200)(queries, docs)
+    got = {(a, b): s for a, b, s in zip(got["query_id"], got["doc_id"], got["sim"])}
+    sims = q @ d.T
+    want = {(i + 1000, j): sims[i, j] for i in range(40) for j in range(120) if sims[i, j] >= queries["floor"][i] - retrieval.SLACK}
+    assert 100 < len(want) < sims.size / 2 and got.keys() == want.keys()
+    assert max(abs(got[p] - want[p]) for p in want) < 1e-14
+
+
 def test_hits_carry_the_thread(spark, index):
     df = spark.createDataFrame([(1, "hot copy of one text")], "id long, t string")
     hits = index.query(df, "id", "t").first()["hits"]

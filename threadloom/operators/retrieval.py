@@ -8,7 +8,9 @@
 4. Terms are then taken rarest first: frequent terms whose largest weights together stay below the threshold bring no
    shard in.  Of the shards the others lead to, those whose largest weights add up to the threshold are visited.
 5. A visited shard scores its queries in numpy, a bounded block at a time, and returns only each query's best rows.
-   Pairs exist only inside that block and never cross the network.  The best rows of all shards are merged per query.
+   Pairs exist only inside that block and never cross the network.  Single precision, a matrix product for the shard's
+   frequent terms and postings for the others, tells which pairs may reach the threshold; these are added up in double
+   precision.  The best rows of all shards are merged per query.
 
 Dense vectors go the same way with cells instead of terms: a query is scored in its nearest cell first, and skips each
 cell that the triangle inequality puts below its threshold.
@@ -39,11 +41,13 @@ from threadloom.sources.scratch import stage_table
 # The scoring functions travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_ROWS = 5_000
-QUERY_ROWS = 5_000
+SHARD_ROWS = 32_768  # a query that goes on to a shard is copied once for so many rows
+QUERY_ROWS = 16_384  # and a shard's row once for so many queries
 DENSE_ROWS = 32_768  # rows, and queries, of dense vectors that a task brings together
 CITABLE = 16  # a stored index answers up to this k from its shards as they are
 BLOCK_CELLS = 4_000_000
+FREQUENT_PART = 50  # terms in more than one of so many rows of a shard are multiplied as a matrix, the most frequent
+FREQUENT_TERMS = 64  # so many at most
 MAX_PIVOTS = 4_096  # pivots of dense cells that travel with the task code
 RANK_DIGITS = 8  # similarities equal to 8 digits are ties, settled by the smaller id
 SLACK = 1e-7
@@ -81,46 +85,89 @@ def _empty() -> pd.DataFrame:
     return pd.DataFrame({"query_id": none, "doc_id": none, "owner_id": none, "sim": np.zeros(0)})
 
 
+def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and weights of all rows, one after the other, and the number of terms of each row."""
+    return np.concatenate(rows["term_ids"].to_numpy()), np.concatenate(rows["weights"].to_numpy()), rows["term_ids"].map(len).to_numpy()
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray, most: int):
+    """(first range, end, positions, range of each) of ranges of positions, about `most` positions at a time."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        h = sizes[lo:hi]
+        yield lo, hi, np.repeat(begin[lo:hi] - (np.cumsum(h) - h), h) + np.arange(h.sum()), np.repeat(np.arange(lo, hi), h)
+        lo = hi
+
+
 def _sparse_scorer(k: int, per_owner: int):
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or docs.empty:
             return _empty()
         nd = len(docs)
-        sizes = docs["term_ids"].map(len).to_numpy()
-        t = np.concatenate(docs["term_ids"].to_numpy())
-        w = np.concatenate(docs["weights"].to_numpy())
-        d = np.repeat(np.arange(nd), sizes)
+        t, w, sizes = _flat(docs)
+        first_of = np.cumsum(sizes) - sizes  # of each row, its first term in t
+        longest = np.sqrt(np.bincount(np.repeat(np.arange(nd), sizes), w * w, nd).max())
         by_term = np.argsort(t, kind="stable")
-        t, w, d = t[by_term], w[by_term], d[by_term]
+        pt, pw, pd_ = t[by_term], w[by_term].astype(np.float32), np.repeat(np.arange(nd), sizes)[by_term]
+        terms, df = np.unique(pt, return_counts=True)
+        most = np.argsort(-df, kind="stable")[:FREQUENT_TERMS]
+        frequent = np.sort(terms[most[df[most] * FREQUENT_PART > nd]])
+
+        def split(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Row of each term among the frequent ones, and whether it is one."""
+            if not len(frequent):
+                return np.zeros(len(of), np.int64), np.zeros(len(of), bool)
+            at = np.minimum(np.searchsorted(frequent, of), len(frequent) - 1)
+            return at, frequent[at] == of
+
+        at, often = split(pt)
+        matrix = np.zeros((len(frequent), nd), np.float32)
+        np.add.at(matrix, (at[often], pd_[often]), pw[often])
+        pt, pw, pd_ = pt[~often], pw[~often], pd_[~often]
         out = []
         step = max(1, BLOCK_CELLS // nd)
         for lo in range(0, len(queries), step):
             part = queries.iloc[lo : lo + step]
-            qt = np.concatenate(part["term_ids"].to_numpy())
-            qw = np.concatenate(part["weights"].to_numpy())
-            qi = np.repeat(np.arange(len(part)), part["term_ids"].map(len).to_numpy())
-            begin, end = np.searchsorted(t, qt, "left"), np.searchsorted(t, qt, "right")
-            hits = end - begin
-            cells = np.zeros(len(part) * nd)
+            qt, qw, qn = _flat(part)
+            qi = np.repeat(np.arange(len(part)), qn)
+            at, often = split(qt)
+            asked = np.zeros((len(part), len(frequent)), np.float32)
+            np.add.at(asked, (qi[often], at[often]), qw[often].astype(np.float32))
+            cells = (asked @ matrix).ravel()
+            rt, rw, ri = qt[~often], qw[~often].astype(np.float32), qi[~often]
+            begin = np.searchsorted(pt, rt, "left")
             # Posting entries are expanded a bounded number at a time.
-            cuts = np.searchsorted(np.cumsum(hits), np.arange(BLOCK_CELLS, hits.sum() + BLOCK_CELLS, BLOCK_CELLS), "left") + 1
-            at = 0
-            for to in np.unique(np.minimum(cuts, len(hits))):
-                h = hits[at:to]
-                n = int(h.sum())
-                if n:
-                    pos = np.repeat(begin[at:to] - (np.cumsum(h) - h), h) + np.arange(n)
-                    cells += np.bincount(
-                        np.repeat(qi[at:to], h) * nd + d[pos], weights=np.repeat(qw[at:to], h) * w[pos], minlength=len(cells)
-                    )
-                at = to
-            good = np.flatnonzero(cells >= np.repeat(part["floor"].to_numpy(), nd) - SLACK)
-            out.append(_best(part, docs, good // nd, good % nd, cells[good], k, per_owner))
+            for _, _, pos, entry in _ranges(begin, np.searchsorted(pt, rt, "right") - begin, BLOCK_CELLS):
+                np.add.at(cells, ri[entry] * nd + pd_[pos], rw[entry] * pw[pos])
+            # What n additions in single precision can lose.
+            lost = np.finfo(np.float32).eps * (qn + 8) * np.maximum(1.0, np.sqrt(np.bincount(qi, qw * qw, len(part))) * longest)
+            least = part["floor"].to_numpy() - SLACK
+            near = np.flatnonzero((cells.reshape(len(part), nd) >= (least - lost).astype(np.float32)[:, None]).ravel())
+            gq, gd = near // nd, near % nd
+            sims = _exact(qt, qw, qi, t, w, gq, first_of[gd], sizes[gd])
+            good = sims >= least[gq]
+            out.append(_best(part, docs, gq[good], gd[good], sims[good], k, per_owner))
         return pd.concat(out)
 
     return score
 
 
+def _exact(qt: np.ndarray, qw: np.ndarray, qi: np.ndarray, t: np.ndarray, w: np.ndarray, q: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Products of the pairs of query q and the row whose `sizes` terms begin at `begin`."""
+    out = np.zeros(len(q))
+    span = int(max(qt.max(initial=0), t.max(initial=0))) + 1
+    keys = qi.astype(np.int64) * span + qt
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], qw[order]
+    for lo, hi, pos, pair in _ranges(begin, sizes, BLOCK_CELLS):
+        asked = q[pair] * span + t[pos]
+        at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+        hit = keys[at] == asked if len(keys) else np.zeros(len(at), bool)
+        out[lo:hi] = np.bincount(pair[hit] - lo, weights[at[hit]] * w[pos[hit]], hi - lo)
+    return out
+
+
 def _dense_scorer(k: int, per_owner: int):
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or docs.empty:
