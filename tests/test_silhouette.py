@@ -42,6 +42,17 @@ def test_two_assignments_against_all_pairs(spark, tile_rows):
     assert not got
 
 
+def test_pairs_of_tiles_are_dealt_to_all_cores(spark):
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(2600, 2)) + 1e5, rng.integers(0, 3, 2600)
+    x[1300:1400] = x[:100] + 1e-7  # near each other, in any tile
+    each = silhouettes(frame(spark, x, c), "v", ["c0"])
+    assert each.rdd.getNumPartitions() > 1  # 8,192 rows were one task
+    got = {(tuple(r["x"]), r["clusters"][0]): r["scores"][0] for r in each.collect()}
+    want = brute(x, c)
+    assert len(got) == 2600 and max(abs(got[tuple(v), str(k)] - w) for v, k, w in zip(x.tolist(), c, want)) < 1e-8
+
+
 def test_edges(spark):
     one = plain_silhouette(frame(spark, [[1.0], [2.0]], [5, 5]), "v", ["c0"]).collect()
     assert {r["silhouette"] for r in one} == {None} and {r["n"] for r in one} == {2}
