@@ -85,6 +85,26 @@ def test_every_labelled_row_is_learnt_from(spark):
     assert {r["id"]: r["intent"] for r in got} == {1: "r", 2: "n"}
 
 
+@pytest.mark.parametrize("name", ["cls_pseudo_label"])
+def test_plans_learn_without_a_sample(spark, monkeypatch, tmp_path, name):
+    from threadloom.plans.catalog import QUERIES
+
+    said = ["le chat et les chiens mangent", "die katze und der hund schlafen", "los perros de la casa", "the dog sleeps all day"]
+    talks = [(i, turn, role, f"{said[i % 4]} {role} {i % 3} " + "word " * 40) for i in range(24) for turn, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(talks, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    docs = [(i, said[i % 4], "abcd"[i % 4]) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def drawn(*args, **kwargs):
+        raise AssertionError("a sample is drawn")
+
+    monkeypatch.setattr(models, "random_n", drawn, raising=False)
+    got = {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    each = ["a", "b", "c", "d"] if name == "cls_pseudo_label" else ["de", "en", "es", "fr"]
+    n = 3 if name == "cls_pseudo_label" else 6
+    assert got == {(k, n, n, n) for k in each}
+
+
 def test_folds_learn_from_all_other_rows(spark, monkeypatch):
     rows = [(i, f"battery drains quick {i % 5}" if i % 2 else f"wifi signal drops {i % 7}", "p" if i % 2 else "n") for i in range(30)]
     df = spark.createDataFrame(rows, "id long, t string, y string")
