@@ -85,7 +85,7 @@ def test_every_labelled_row_is_learnt_from(spark):
     assert {r["id"]: r["intent"] for r in got} == {1: "r", 2: "n"}
 
 
-@pytest.mark.parametrize("name", ["cls_pseudo_label"])
+@pytest.mark.parametrize("name", ["cls_pseudo_label", "pip_simple_trained"])
 def test_plans_learn_without_a_sample(spark, monkeypatch, tmp_path, name):
     from threadloom.plans.catalog import QUERIES
 
