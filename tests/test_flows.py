@@ -119,7 +119,7 @@ def test_folds_learn_from_all_other_rows(spark, monkeypatch):
 
     monkeypatch.setattr(models, "random_n", drawn, raising=False)
     monkeypatch.setattr(models.TextClassifier, "train", noted)
-    monkeypatch.setattr(models, "FIT_CELLS", 0)  # one at a time
+    monkeypatch.setattr(models, "FIT_CELLS", 0, raising=False)  # one at a time
     out = models.cross_validated(df, "id", "t", "y", folds=2).collect()
     assert len(out) == 30 and sorted(m.fitted.count() for m in fits) == [14, 16]
 
